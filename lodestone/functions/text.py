@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
@@ -42,6 +44,11 @@ def stable_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it several times in an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(text, F.lit(WHITE))
@@ -86,20 +93,25 @@ def retrieval_tokens(text: Column) -> Column:
 def entity_name(text: Column) -> Column:
     """The identifier of a heading, with suffix words but without a parenthesis; null if none."""
     pattern = rf"(?U)^({IDENTIFIER}{IDENTIFIER_TAIL})(?:\s+\([^\r\n]*\))?$"
-    return F.nullif(F.regexp_extract(strip(text), pattern, 1), F.lit(""))
+    return bind(F.regexp_extract(strip(text), pattern, 1), lambda found: F.nullif(found, F.lit("")))
 
 
 def entity_names(text: Column) -> Column:
     """All names of a '/'- or ';'-separated heading; empty unless every part is a name."""
     names = F.transform(F.split(strip(text), r"\s*/\s*|\s*;\s*"), entity_name)
-    listed = distinct_ignore_case(names)
-    return F.when(F.forall(names, lambda n: n.isNotNull()), listed).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return bind(
+        names, lambda n: F.when(F.forall(n, lambda x: x.isNotNull()), distinct_ignore_case(n)).otherwise(none)
+    )
 
 
 def distinct_ignore_case(values: Column) -> Column:
     """First spelling of each value, compared without case."""
-    folded = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
+
+    def firsts(folded: Column) -> Column:
+        return F.filter(values, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
+
+    return bind(F.transform(values, F.lower), firsts)
 
 
 def quote_literal(name: Column) -> Column:

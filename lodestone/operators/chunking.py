@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import retrieval_tokens, stable_id, strip, token_count, token_pieces
 from lodestone.operators.folds import Fold, segmented_fold
-from lodestone.operators.scans import by_ordinal, previous, running, top_rows
+from lodestone.operators.scans import by_ordinal, has_hot_key, previous, running, top_rows
 
 
 def _windows(pieces: Column, text: Column, size: int, overlap: int) -> Column:
@@ -52,8 +52,9 @@ def structural_groups(blocks: DataFrame) -> DataFrame:
     A boundary compares a block with the one before it, which agrees with the head of its group.
     """
     segment = by_ordinal("ordinal")
+    hot = has_hot_key(blocks, ["source"])
     seen = previous(blocks, ["source"], ["ordinal"], segment, {
-        "_names": F.col("family_names"), "_kind": F.col("kind"), "_section": F.col("section")})
+        "_names": F.col("family_names"), "_kind": F.col("kind"), "_section": F.col("section")}, hot)
     vision = "vision_interpretation"
     outside = F.size("family_names") == 0
     boundary = (
@@ -63,7 +64,7 @@ def structural_groups(blocks: DataFrame) -> DataFrame:
         | ((F.col("kind") == "heading") & F.array_contains("family_names", F.col("text")))
     )
     starts = F.when(boundary, 1).otherwise(0)
-    out = running(seen, ["source"], ["ordinal"], segment, {"group_id": ("sum", starts)})
+    out = running(seen, ["source"], ["ordinal"], segment, {"group_id": ("sum", starts)}, hot)
     return out.drop("_names", "_kind", "_section")
 
 
@@ -91,9 +92,10 @@ def pack_blocks(blocks: DataFrame, keys: list[str], size: int, tokens: str = "to
     The fold state is the token count of the open pack, so long groups are folded in segments.
     """
     cut = by_ordinal("ordinal") if segment is None else segment
-    marked = segmented_fold(blocks, keys, ["ordinal"], cut, [tokens], _packing(size), "_starts", "boolean")
+    hot = has_hot_key(blocks, keys)
+    marked = segmented_fold(blocks, keys, ["ordinal"], cut, [tokens], _packing(size), "_starts", "boolean", hot)
     first = F.when(F.col("_starts"), F.col("ordinal"))
-    return running(marked, keys, ["ordinal"], cut, {"pack": ("max", first)}).drop("_starts")
+    return running(marked, keys, ["ordinal"], cut, {"pack": ("max", first)}, hot).drop("_starts")
 
 
 def pack_texts(packed: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.operators.scans import has_hot_key
+from lodestone.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -41,8 +44,13 @@ def segmented_fold(
     fold: Fold,
     output: str,
     output_type: str,
+    hot: bool | None = None,
 ) -> DataFrame:
-    df = df.withColumn("_seg", segment.cast("long"))
+    """Fold every key in order; the largest key is measured first and long keys are folded in segments."""
+    if not (has_hot_key(df, keys) if hot is None else hot):
+        whole = df.withColumns({"_seg": F.lit(0).cast("long"), "_index": F.lit(None).cast("long")})
+        return _folded(whole, keys, order, inputs, fold, output, output_type)
+    df = cut_lineage(df.withColumn("_seg", segment.cast("long")))
     portion = [*keys, "_seg"]
     parts = df.groupBy(*portion).agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(*keys).orderBy("_seg")
@@ -85,9 +93,16 @@ def segmented_fold(
         entries = entries.withColumn("_index", F.when(F.col("_seg") == F.col("_from") + 1, F.col("_index")))
     entries = entries.select(*portion, "_index")
 
-    joined = df.join(entries, portion, "left")
-    placed = joined.repartition(*portion).sortWithinPartitions(*portion, *order)
-    kept = [f for f in placed.schema.fields if f.name not in ("_index",)]
+    return _folded(df.join(entries, portion, "left"), keys, order, inputs, fold, output, output_type)
+
+
+def _folded(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], fold: Fold, output: str, output_type: str
+) -> DataFrame:
+    """Run the fold over (keys, _seg) portions in partition order, from their entry states."""
+    portion = [*keys, "_seg"]
+    placed = df.repartition(*portion).sortWithinPartitions(*portion, *order)
+    kept = [f for f in placed.schema.fields if f.name != "_index"]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{output}` {output_type}"
 

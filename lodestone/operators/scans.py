@@ -1,8 +1,9 @@
 """Ordered running values and row numbers that stay parallel under hot keys.
 
-A plain window over (key, order) puts a whole key into one task. Here every key is cut into
-segments along its order. Each segment is scanned on its own, one summary row per segment is
-scanned per key, and the two are joined: rows shuffle once, by (key, segment).
+A plain window over (key, order) puts a whole key into one task. That is right while keys are small,
+so the largest key is measured first. Beyond ``HOT_ROWS`` every key is cut into segments along its
+order: each segment is scanned on its own, one summary row per segment is scanned per key, and the
+two are joined, so rows shuffle by (key, segment).
 """
 
 from __future__ import annotations
@@ -11,7 +12,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.session import cut_lineage
+
 SEGMENT = 1 << 16
+HOT_ROWS = 1 << 20
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """Whether some key holds more rows than one task should sort; counts are combined map-side."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (largest or 0) > (HOT_ROWS if limit is None else limit)
 
 
 def by_ordinal(ordinal: str, width: int = SEGMENT) -> Column:
@@ -29,9 +39,16 @@ def running(
     order: Sequence[str],
     segment: Column,
     values: dict[str, tuple[str, Column]],
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running values; kinds: sum, count, max, min, last (last non-null)."""
-    df = _with_segment(df, segment)
+    if not (has_hot_key(df, keys) if hot is None else hot):
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        calls = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
+                 "last": lambda v: F.last(v, ignorenulls=True)}
+        return df.withColumns({name: calls[kind](value).over(plain) for name, (kind, value) in values.items()})
+    # Both the segment summaries and the rows read the input, so it is written once.
+    df = cut_lineage(_with_segment(df, segment))
     local = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     inner, total, prefix, merged = {}, [], [], {}
@@ -63,10 +80,14 @@ def running(
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, values: dict[str, Column],
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add the given values of the preceding row of the same key (null on the first row)."""
-    df = _with_segment(df, segment)
+    if not (has_hot_key(df, keys) if hot is None else hot):
+        plain = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({n: F.lag(v).over(plain) for n, v in values.items()})
+    df = cut_lineage(_with_segment(df, segment))
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     local = Window.partitionBy(*keys, "_seg").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_seg")
@@ -81,14 +102,19 @@ def previous(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], score: Column, tie: str, name: str, tie_bucket: Column | None = None
+    df: DataFrame, keys: Sequence[str], score: Column, tie: str, name: str, tie_bucket: Column | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Exact row number per key by (score desc, tie asc), split by score and by tie range.
 
     Rows above a (score, tie bucket) cell are counted from map-side combined cell sizes, so only
     rows of one cell are ever sorted together. ``tie_bucket`` must grow with ``tie``.
     """
+    if not (has_hot_key(df, keys) if hot is None else hot):
+        plain = Window.partitionBy(*keys).orderBy(score.desc(), tie)
+        return df.withColumn(name, F.row_number().over(plain).cast("long"))
     bucket = F.floor(F.col(tie) / F.lit(SEGMENT)) if tie_bucket is None else tie_bucket
+    df = cut_lineage(df)
     df = df.withColumns({"_score": score, "_cell": bucket})
     cells = [*keys, "_score", "_cell"]
     ahead = Window.partitionBy(*keys).orderBy(F.desc("_score"), "_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.session import derive
+from lodestone.session import cut_lineage, derive
 
 BLOCKS = """SELECT * FROM (
 WITH p AS (SELECT p_partkey, replace(p_brand, '#', '_') AS source, p_type, p_name, p_size, p_retailprice,
@@ -65,7 +65,8 @@ classified AS (SELECT o.*, coalesce(n, 0) AS n_references, {MEMBERS} AS members,
 def entity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = derive(spark, sf_dir, BLOCKS)
-    return rows.withColumns({
+    # The corpus is read several times by every pipeline step, as a stored block table would be.
+    return cut_lineage(rows.withColumns({
         "family_names": F.when(F.col("label").isNotNull(), F.array("label")).otherwise(none),
         "asset_ids": F.when(F.col("asset").isNotNull(), F.array("asset")).otherwise(none),
-    }).drop("label", "asset")
+    }).drop("label", "asset"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import entities as E
 from lodestone.queries.corpus import OWNED, REFERRED, REGISTRY, entity_blocks
 from lodestone.registry import query
+from lodestone.session import cut_lineage, derive
 
 ID = "sha256(source || '|family|' || upper({}))"
 
@@ -18,8 +19,8 @@ def entity_registry(spark, d):
 
 def owned(spark, d):
     blocks = entity_blocks(spark, d)
-    registry = E.entity_registry(blocks)
-    return E.assign_owner(blocks, registry), registry
+    registry = cut_lineage(E.entity_registry(blocks))
+    return cut_lineage(E.assign_owner(blocks, registry)), registry
 
 
 @query("assign_owner", f"WITH {OWNED} SELECT source, ordinal, owner_name, {ID.format('owner_name')} AS owner_id FROM owned")
@@ -34,8 +35,8 @@ def references(spark, d):
 
 def classified(spark, d):
     blocks, registry = owned(spark, d)
-    refs = E.references(blocks, registry)
-    return E.classify_blocks(blocks, refs), registry, refs
+    refs = cut_lineage(E.references(blocks, registry))
+    return cut_lineage(E.classify_blocks(blocks, refs)), registry, refs
 
 
 @query("classify_blocks", f"""WITH {REFERRED} SELECT source, ordinal, n_references, CASE WHEN conflict THEN 'ambiguous' WHEN owner_name IS NULL THEN 'general_article'
@@ -92,8 +93,6 @@ def integrity_report(spark, d):
 SELECT source, p_partkey AS ordinal, CASE WHEN p_type = 'LARGE' THEN source || '_LARGE|' || source || '_MEDIUM' ELSE '' END AS names,
 CASE WHEN p_type = 'LARGE' THEN sha256(source || '|family|' || upper(source || '_LARGE / ' || source || '_MEDIUM')) END AS owner_id FROM blocks""")
 def backfill_shared(spark, d):
-    from lodestone.session import derive
-
     rows = derive(spark, d, "SELECT replace(p_brand, '#', '_') AS source, p_type AS section, p_partkey AS ordinal FROM part")
     rows = rows.withColumns({"owner_id": F.lit(None).cast("string"), "family_names": F.array().cast("array<string>")})
     out = E.backfill_shared(entity_blocks(spark, d), rows)

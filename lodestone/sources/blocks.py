@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import entity_name, stable_id, strip
-from lodestone.operators.scans import by_ordinal, running
+from lodestone.operators.scans import by_ordinal, has_hot_key, running
 
 # Fixed values.
 NO_SECTION = "Без раздела"
@@ -54,7 +54,7 @@ def structure_blocks(raw: DataFrame) -> DataFrame:
     }
     values["_named"] = ("last", F.when(F.col("_explicit").isNotNull(), F.struct("pos", F.col("_explicit").alias("names"))))
     values["ordinal"] = ("count", F.lit(1))
-    rows = running(rows, ["source"], ["pos"], segment, values)
+    rows = running(rows, ["source"], ["pos"], segment, values, has_hot_key(rows, ["source"]))
 
     # A heading is live until one of its own or a higher level follows it.
     def position(n: int) -> Column:
