@@ -85,28 +85,38 @@ def assign_owner(blocks: DataFrame, registry: DataFrame) -> DataFrame:
 RUN = r"[\p{L}\p{N}_№.+\-]+"
 
 
-def _run_keys(text: Column) -> Column:
-    """Lower-case runs with '_' and their prefixes before a '.' that no letter or digit follows."""
-    runs = F.filter(F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0)), lambda r: F.contains(r, F.lit("_")))
+def run_keys(text: Column, joined_only: bool = True) -> Column:
+    """Lower-case token runs, and their prefixes before a '.' that no letter or digit follows.
+
+    A whole name can only start where a run starts. ``joined_only`` keeps runs with '_'.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0))
+    if joined_only:
+        runs = F.filter(runs, lambda r: F.contains(r, F.lit("_")))
 
     def keys(run: Column) -> Column:
         stops = F.filter(
             F.sequence(F.lit(1), F.length(run)),
             lambda i: (F.substring(run, i, F.lit(1)) == ".") & ~F.substring(run, i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]"),
         )
-        return F.concat(F.array(run), F.transform(stops, lambda i: F.substring(run, F.lit(1), i - 1)))
+        return F.when(F.contains(run, F.lit(".")), F.concat(
+            F.array(run), F.transform(stops, lambda i: F.substring(run, F.lit(1), i - 1)))).otherwise(F.array(run))
 
     return F.array_distinct(F.flatten(F.transform(runs, keys)))
 
 
+def name_keys(name: Column) -> Column:
+    return F.regexp_extract(F.lower(name), f"^{RUN}", 0)
+
+
 def references(blocks: DataFrame, registry: DataFrame) -> DataFrame:
     """(source, ordinal, entity_id): registered names in a block, without its owner and members.
 
     A name can only start at a token of the text, so blocks and names meet on that token.
     """
     names = registry.select(
-        "source", "name", "key", "entity_id", F.regexp_extract(F.lower("name"), f"^{RUN}", 0).alias("_k"))
-    tokens = blocks.select("source", "ordinal", "text", "owner_id", "owner_name", F.explode(_run_keys(F.col("text"))).alias("_k"))
+        "source", "name", "key", "entity_id", name_keys(F.col("name")).alias("_k"))
+    tokens = blocks.select("source", "ordinal", "text", "owner_id", "owner_name", F.explode(run_keys(F.col("text"))).alias("_k"))
     members = F.transform(entity_names(F.col("owner_name")), F.lower)
     own = F.coalesce(F.col("entity_id") == F.col("owner_id"), F.lit(False)) | F.coalesce(F.array_contains(members, F.col("key")), F.lit(False))
     hits = tokens.join(names, ["source", "_k"]).filter(contains_name(F.col("text"), F.col("name")) & ~own)

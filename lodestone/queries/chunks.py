@@ -124,7 +124,7 @@ def passages(spark, d):
     return C.passages(docs, "doc_id", 300, 50, F.concat_ws("; ", "lang", "source"))
 
 
-TERMS = "(SELECT doc_id, list_distinct(" + D.retrieval_tokens("substr(text, CAST(n_chars / 2 AS BIGINT), 60)") + ") AS terms FROM documents)"
+TERMS = "(SELECT doc_id, list_distinct(" + D.retrieval_tokens("substr(text, CAST(floor(n_chars / 2) AS BIGINT) + 1, 60)") + ") AS terms FROM documents)"
 
 
 @query("best_excerpt", f"""SELECT doc_id, "start", "end", text, token_count, distinct_hits, hits FROM (
@@ -134,7 +134,7 @@ SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distinct_hits DESC, hi
     "w.*", 'doc_id, "start", "end", text'))
 def best_excerpt(spark, d):
     docs = table(spark, d, "documents")
-    middle = F.substring("text", F.round(F.col("n_chars") / 2).cast("int"), F.lit(60))
+    middle = F.substring("text", (F.floor(F.col("n_chars") / 2) + 1).cast("int"), F.lit(60))
     pairs = docs.select("doc_id", "text", F.array_distinct(retrieval_tokens(middle)).alias("terms"))
     return C.best_excerpt(pairs, ["doc_id"], 100)
 
