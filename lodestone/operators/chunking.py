@@ -10,16 +10,17 @@ from lodestone.operators.folds import Fold, segmented_fold
 from lodestone.operators.scans import by_ordinal, has_hot_key, previous, running, top_rows
 
 
-def _windows(pieces: Column, text: Column, size: int, overlap: int) -> Column:
+def _windows(pieces: Column, text: Column, size: int | Column, overlap: int | Column) -> Column:
     """Array of windows (start, end, text) by tokens; offsets in code points, last window ends the text."""
+    size, overlap = (x if isinstance(x, Column) else F.lit(x) for x in (size, overlap))
     step = size - overlap
     n = F.size(pieces)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
+    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step).cast("int") + 1)
     lengths = F.transform(pieces, F.length)
     # Offsets are running sums of the lengths of whole steps, so each piece is added once.
     strides = F.transform(
         F.sequence(F.lit(0), count - 1),
-        lambda k: F.aggregate(F.slice(lengths, k * step + 1, F.lit(step)), F.lit(0), lambda a, x: a + x),
+        lambda k: F.aggregate(F.slice(lengths, k * step + 1, step), F.lit(0), lambda a, x: a + x),
     )
     starts = F.aggregate(
         strides,
@@ -29,7 +30,7 @@ def _windows(pieces: Column, text: Column, size: int, overlap: int) -> Column:
     )
 
     def window(start: Column, k: Column) -> Column:
-        body = F.array_join(F.slice(pieces, k * step + 1, F.lit(size)), "")
+        body = F.array_join(F.slice(pieces, k * step + 1, size), "")
         end = F.when(k == count - 1, F.length(text)).otherwise(start + F.length(body))
         return F.struct(start.alias("start"), end.cast("int").alias("end"),
                         F.substring(text, start + 1, end - start).alias("text"))
@@ -37,12 +38,14 @@ def _windows(pieces: Column, text: Column, size: int, overlap: int) -> Column:
     return F.filter(F.transform(starts, window), lambda w: strip(w["text"]) != "")
 
 
-def fixed_windows(df: DataFrame, keys: list[str], text: str = "text", size: int = 600, overlap: int = 100) -> DataFrame:
+def fixed_windows(df: DataFrame, keys: list[str], text: str = "text", size: int | Column = 600, overlap: int | Column = 100) -> DataFrame:
     """Overlapping token windows of a text: (keys, window, start, end, text, token_count)."""
-    if size < 8 or not 0 <= overlap < size:
+    if isinstance(size, int) and isinstance(overlap, int) and (size < 8 or not 0 <= overlap < size):
         raise ValueError("size must be at least 8 and overlap smaller than size")
-    pieces = df.filter(strip(F.col(text)) != "").select(*keys, F.col(text).alias("_text"), token_pieces(F.col(text)).alias("_pieces"))
-    rows = pieces.select(*keys, F.posexplode(_windows(F.col("_pieces"), F.col("_text"), size, overlap)).alias("window", "_w"))
+    sizes = [x if isinstance(x, Column) else F.lit(x) for x in (size, overlap)]
+    pieces = df.filter(strip(F.col(text)) != "").select(
+        *keys, F.col(text).alias("_text"), token_pieces(F.col(text)).alias("_pieces"), sizes[0].alias("_size"), sizes[1].alias("_over"))
+    rows = pieces.select(*keys, F.posexplode(_windows(F.col("_pieces"), F.col("_text"), F.col("_size"), F.col("_over"))).alias("window", "_w"))
     return rows.select(*keys, "window", "_w.start", "_w.end", "_w.text", token_count(F.col("_w.text")).alias("token_count"))
 
 
@@ -220,12 +223,13 @@ def passages(chunks: DataFrame, key: str, size: int, overlap: int, heading: Colu
     return rows
 
 
-def best_excerpt(pairs: DataFrame, keys: list[str], size: int, overlap: int | None = None) -> DataFrame:
+def best_excerpt(pairs: DataFrame, keys: list[str], size: int | Column, overlap: int | Column | None = None) -> DataFrame:
     """Window of each text with most distinct query terms, then most hits, then earliest.
 
     pairs: keys, text, terms (array of distinct query terms).
     """
-    overlap = min(48, size // 4) if overlap is None else overlap
+    if overlap is None:
+        overlap = min(48, size // 4) if isinstance(size, int) else F.least(F.lit(48), F.floor(size / 4).cast("int"))
     windows = fixed_windows(pairs, keys, "text", size, overlap)
     scored = windows.join(pairs.select(*keys, "terms"), keys).withColumn("_t", retrieval_tokens(F.col("text")))
     scored = scored.withColumns({
