@@ -100,7 +100,7 @@ PICTURED = "SELECT CAST(doc_id % 10 AS STRING) AS source, doc_id AS ordinal, CAS
 READ = "SELECT DISTINCT CAST(doc_id % 10 AS STRING) AS source, 'a' || (doc_id % 40) AS asset_id, 'm.png' AS media_part, CASE WHEN doc_id % 40 < 20 THEN 'ocr' ELSE '' END AS ocr_text, CASE WHEN doc_id % 40 < 10 THEN 'shape' END AS vision_text, 'v1' AS processor_version FROM documents"
 
 
-@query("append_machine_text", f"""WITH b AS ({PICTURED}), a AS ({READ}), r AS (SELECT source, ordinal FROM b JOIN a ON a.source = b.source AND a.asset_id = b.asset WHERE kind = 'vision_interpretation' AND vision_text IS NOT NULL),
+@query("append_machine_text", f"""WITH b AS ({PICTURED}), a AS ({READ}), r AS (SELECT b.source, b.ordinal FROM b JOIN a ON a.source = b.source AND a.asset_id = b.asset WHERE kind = 'vision_interpretation' AND vision_text IS NOT NULL),
 h AS (SELECT source, asset, min(ordinal) AS host FROM b WHERE kind = 'paragraph' GROUP BY ALL), t AS (SELECT source, asset_id, 'ocr' AS kind, ocr_text AS x FROM a WHERE ocr_text <> '' UNION ALL SELECT source, asset_id, 'vision_interpretation', vision_text FROM a WHERE vision_text IS NOT NULL)
 SELECT b.source, b.ordinal, b.kind, b.text FROM b ANTI JOIN r ON b.source = r.source AND b.ordinal = r.ordinal
 UNION ALL SELECT t.source, (SELECT max(ordinal) FROM b WHERE b.source = t.source) + row_number() OVER (PARTITION BY t.source ORDER BY host, asset_id, kind), kind, '[' || kind || ': машинное извлечение, требуется проверка по изображению m.png]' || chr(10) || x

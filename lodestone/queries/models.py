@@ -66,21 +66,22 @@ def resolve_properties(spark, d):
 
 
 def nested_elements(spark, d):
-    """Parts as elements, their line items as instance parameters, one type parameter each."""
+    """Line items as elements: three instance parameters and one type parameter each."""
+
+    def parameter(number, name):
+        return F.struct(F.lit(number).cast("long").alias("parameterId"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("source"),
+                        F.col(f"l_{name}").cast("long").cast("string").alias("rawValue"))
+
     lines = table(spark, d, "lineitem")
-    parameter = F.struct(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("parameterId"), F.col("l_shipmode").alias("name") if "l_shipmode" in lines.columns else F.col("l_returnflag").alias("name"),
-        F.lit(None).cast("string").alias("source"), F.round("l_extendedprice", 2).cast("string").alias("rawValue"))
-    grouped = lines.groupBy(F.col("l_partkey").alias("elementId")).agg(F.collect_list(parameter).alias("instanceParameters"))
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("elementId"), F.col("p_type").alias("category"), F.array(F.struct(
-        F.col("p_size").cast("long").alias("parameterId"), F.lit("size").alias("name"), F.lit(None).cast("string").alias("source"), F.col("p_size").cast("string").alias("rawValue"))).alias("typeParameters"))
-    return parts.join(grouped, "elementId", "left")
+    return lines.select(
+        F.col("l_orderkey").alias("elementId"), F.array(parameter(1, "quantity"), parameter(2, "partkey"), parameter(3, "suppkey")).alias("instanceParameters"),
+        F.array(parameter(4, "linenumber")).alias("typeParameters"))
 
 
-@query("parameters_long", """SELECT l_partkey AS "elementId", l_orderkey * 10 + l_linenumber AS "parameterId", 'instance' AS source FROM lineitem JOIN part ON p_partkey = l_partkey
-UNION ALL SELECT p_partkey, p_size, 'type' FROM part""")
+@query("parameters_long", """SELECT l_orderkey AS "elementId", id AS "parameterId", name, source, CAST(CASE id WHEN 1 THEN CAST(l_quantity AS BIGINT) WHEN 2 THEN l_partkey WHEN 3 THEN l_suppkey ELSE l_linenumber END AS VARCHAR) AS "rawValue"
+FROM lineitem, (VALUES (CAST(1 AS BIGINT), 'quantity', 'instance'), (2, 'partkey', 'instance'), (3, 'suppkey', 'instance'), (4, 'linenumber', 'type')) v(id, name, source)""")
 def parameters_long_query(spark, d):
-    return parameters_long(nested_elements(spark, d), []).select("elementId", "parameterId", "source")
+    return parameters_long(nested_elements(spark, d), []).select("elementId", "parameterId", "name", "source", "rawValue")
 
 
 @query("read_snapshot", """SELECT p_type AS snapshot_file, p_partkey AS "elementId", p_brand AS category, CAST(p_size AS VARCHAR) AS "rawValue" FROM part""")
