@@ -59,9 +59,13 @@ def squeeze(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Strip one inflection ending from plain words of five letters or more."""
-    fixed = (F.length(word) < 5) | word.rlike(r"[_\p{Nd}]") | (word == "нельзя")
-    return F.when(fixed, word).otherwise(F.regexp_replace(word, f"(?:{'|'.join(ENDINGS)})$", ""))
+    """Strip one inflection ending from plain words of five letters or more.
+
+    The last letter tells cheaply that most words of other languages have no such ending.
+    """
+    last = sorted({ending[-1] for ending in ENDINGS})
+    plain = (F.length(word) >= 5) & F.substring(word, -1, 1).isin(*last) & ~word.rlike(r"[_\p{Nd}]") & (word != "нельзя")
+    return F.when(plain, F.regexp_replace(word, f"(?:{'|'.join(ENDINGS)})$", "")).otherwise(word)
 
 
 def fold(text: Column) -> Column:
@@ -69,7 +73,7 @@ def fold(text: Column) -> Column:
 
 
 def trim_run(word: Column) -> Column:
-    return F.regexp_replace(word, r"^[.\-]+|[.\-]+$", "")
+    return F.btrim(word, F.lit(".-"))
 
 
 def keep_word(word: Column) -> Column:
@@ -87,7 +91,8 @@ def retrieval_tokens(text: Column) -> Column:
     """Search tokens, plus those of the parts (over two characters) of joined identifiers."""
     joined = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)+"), F.lit(0))
     parts = F.filter(F.flatten(F.transform(joined, lambda w: F.split(w, "_"))), lambda w: F.length(w) > 2)
-    return F.concat(search_tokens(text), F.flatten(F.transform(parts, search_tokens)))
+    extra = F.flatten(F.transform(parts, search_tokens))
+    return F.when(F.contains(text, F.lit("_")), F.concat(search_tokens(text), extra)).otherwise(search_tokens(text))
 
 
 def entity_name(text: Column) -> Column:

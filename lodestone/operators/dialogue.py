@@ -90,9 +90,8 @@ def chat_state(changes: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     limit can ever be refused a turn; they alone run in order, as a stream with bounded state.
     """
     rows = changes.withColumns({"_v": strip(F.col("value")), "_at": F.struct("turn", "seq")}).withColumn("_k", F.lower("_v"))
-    sizes = rows.filter("action = 'add'").groupBy("chat_id", "category").agg(F.approx_count_distinct("_k", 0.01).alias("_n"))
-    # The estimate only routes: anything near the limit goes through the ordered path, which is always right.
-    long = sizes.filter(F.col("_n") > max_items * 0.8).select("chat_id").distinct()
+    added = rows.filter("action = 'add'").select("chat_id", "category", "_k").distinct()
+    long = added.groupBy("chat_id", "category").count().filter(F.col("count") > max_items).select("chat_id").distinct()
     short = rows.join(long, "chat_id", "left_anti")
     key = ["chat_id", "category", "_k"]
     lists = short.filter(F.col("category") != "goal")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.text import contains_name
 from lodestone.operators.entities import name_keys, run_keys
-from lodestone.operators.scans import row_numbers, top_rows
+from lodestone.operators.scans import has_hot_key, row_numbers, top_rows
 
 KEY = ["query_id", "chunk_id"]
 DENSE_WINDOW, LEXICAL_WINDOW, DEFAULT_LIMIT = 60, 40, 8
@@ -40,10 +40,14 @@ def exact_entity_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return texts.select("query_id", "chunk_id", F.lit(True).alias("exact"), found.alias("in_text"))
 
 
-def rank_channels(pairs: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Add lexical, dense_rank over all pairs and lexical_rank over positive scores (0 = none)."""
-    dense = row_numbers(pairs, ["query_id"], F.col("similarity"), "chunk_id", "dense_rank")
-    words = row_numbers(lexical.filter("lexical > 0"), ["query_id"], F.col("lexical"), "chunk_id", "lexical_rank")
+def rank_channels(pairs: DataFrame, lexical: DataFrame, tie_bucket: Column | None = None) -> DataFrame:
+    """Add lexical, dense_rank over all pairs and lexical_rank over positive scores (0 = none).
+
+    A question has at most as many lexical hits as pairs, so one measure decides for both channels.
+    """
+    hot = has_hot_key(pairs, ["query_id"])
+    dense = row_numbers(pairs, ["query_id"], F.col("similarity"), "chunk_id", "dense_rank", tie_bucket, hot)
+    words = row_numbers(lexical.filter("lexical > 0"), ["query_id"], F.col("lexical"), "chunk_id", "lexical_rank", tie_bucket, hot)
     joined = dense.join(words, KEY, "left")
     return joined.withColumns({"lexical": F.coalesce("lexical", F.lit(0.0)), "lexical_rank": F.coalesce("lexical_rank", F.lit(0))})
 

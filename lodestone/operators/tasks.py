@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.operators.folds import Fold, segmented_fold
 from lodestone.operators.scans import by_ordinal
@@ -68,6 +68,14 @@ def _windows(width: int) -> Fold:
     return Fold(step, sweep, opening, closing, lapses=True)
 
 
+def epoch_seconds(df: DataFrame, ts: str) -> Column:
+    """Whole seconds since 1970; a timestamp without zone is taken as it stands, whatever the session zone."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        since = F.expr(f"CAST(`{ts}` - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND)")
+        return F.floor(since.cast("decimal(20,6)")).cast("long")
+    return F.unix_timestamp(F.date_trunc("second", F.col(ts)))
+
+
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = 6, window: int = 60) -> DataFrame:
     """Add window_start, allowed and retry_after by windows that open at a key's first event.
 
@@ -76,7 +84,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = 6,
     """
     if not 1 < window <= DAY:
         raise ValueError("window must be from 2 seconds to a day")
-    rows = events.withColumn("_sec", F.unix_timestamp(F.date_trunc("second", F.col(ts))))
+    rows = events.withColumn("_sec", epoch_seconds(events, ts))
     seconds = rows.groupBy(key, "_sec").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     opened = segmented_fold(seconds, [key], ["_sec"], F.floor(F.col("_sec") / DAY), ["_sec"], _windows(window), "window_start", "bigint")
     placed = rows.join(opened, [key, "_sec"])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.functions.messages import split_questions
 from lodestone.functions.text import search_tokens
 from lodestone.operators import retrieval as R
-from lodestone.operators.dedup import near_duplicates
+from lodestone.operators.dedup import near_duplicates, signatures
 from lodestone.operators.dense import card_recall, dense_topk, similarity_pairs
 from lodestone.operators.lexical import bm25, lexical_rerank, query_terms, tokenize
 from lodestone.session import cut_lineage
@@ -40,7 +40,8 @@ def finish(reranked: DataFrame, chunks: DataFrame, limit: int | None = None, sem
         "_order": -F.col("rerank"), "_names": F.array_join("family_names", "|"), "_owner": F.coalesce("owner_id", F.lit(""))})
     words = chunks.join(eligible.select("chunk_id").distinct(), "chunk_id", "left_semi")
     words = words.select("chunk_id", search_tokens(F.col("text")).alias("_tokens"))
-    same = near_duplicates(eligible.join(words, "chunk_id"), ["query_id", "_owner", "_names"], "chunk_id", ["_order"], "_tokens")
+    signed = cut_lineage(signatures(words, "chunk_id", "_tokens"))
+    same = near_duplicates(eligible, ["query_id", "_owner", "_names"], "chunk_id", ["_order"], signed)
     repeats = same.filter("duplicate").select(*KEY, F.lit(True).alias("_dup"))
     marked = judged.join(repeats, KEY, "left").withColumns({
         "reason": F.when(F.col("_dup"), "duplicate").otherwise(F.col("reason")),

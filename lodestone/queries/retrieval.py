@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import search_tokens
 from lodestone.functions.vectors import HASH_DIMS, hashing_vectors
 from lodestone.operators import retrieval as R
-from lodestone.operators.dedup import near_duplicates
+from lodestone.operators.dedup import near_duplicates, signatures
 from lodestone.operators.dense import similarity_pairs
 from lodestone.operators.lexical import bm25, corpus_stats, lexical_rerank, query_terms, tokenize
 from lodestone.operators.scans import top_rows
@@ -202,7 +202,7 @@ def near_duplicates_query(spark, d):
     rows = hits(spark, d)
     judged = R.reject_reason(rows, R.gap_cutoff(rows)).filter("reason IS NULL").withColumn("_r", -F.col("rerank"))
     words = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), search_tokens(F.col("text")).alias("_t"))
-    out = near_duplicates(judged.join(words, "chunk_id"), ["query_id", "owner_id"], "chunk_id", ["_r"], "_t")
+    out = near_duplicates(judged, ["query_id", "owner_id"], "chunk_id", ["_r"], signatures(words, "chunk_id", "_t"))
     return out.select("query_id", "chunk_id", "duplicate")
 
 
@@ -210,7 +210,7 @@ def near_duplicates_query(spark, d):
 {DEDUP}, {_greedy('rows', 'g', 'chunk_id')} SELECT r.chunk_id AS doc_id, d.chunk_id IS NOT NULL AS duplicate FROM rows r LEFT JOIN dups d USING (g, chunk_id)""")
 def corpus_near_duplicates(spark, d):
     docs = table(spark, d, "documents").withColumn("_t", search_tokens(F.col("text")))
-    return near_duplicates(docs, ["lang"], "doc_id", [], "_t").select("doc_id", "duplicate")
+    return near_duplicates(docs, ["lang"], "doc_id", [], signatures(docs, "doc_id", "_t")).select("doc_id", "duplicate")
 
 
 @query("diversify", f"{STAGE_FINAL} SELECT query_id, chunk_id, CAST(position AS INTEGER) AS position FROM final WHERE selected")

@@ -32,8 +32,18 @@ def build_session(app: str = "lodestone", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan of few splits over the cores, for work that is heavy per row; large scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in TEXT_TABLES else scan
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -58,9 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that iterative jobs survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table under the shared checkpoint folder and read it back.
+
+    Iterative jobs and shared intermediates survive lost executors, later reads prune columns, and the
+    planner sees real sizes.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
