@@ -42,22 +42,22 @@ HEADINGS = f"""heads AS (SELECT source, ordinal, text, coalesce(heading_level, 0
 collided AS (SELECT source, lower(own) AS k FROM heads WHERE own IS NOT NULL GROUP BY ALL HAVING count(DISTINCT lower(text)) > 1),
 named AS (SELECT source, ordinal, lvl, CASE WHEN own IS NOT NULL THEN CASE WHEN (source, lower(own)) IN (SELECT (source, k) FROM collided) THEN text ELSE own END
   WHEN len(parts) > 1 AND len(list_filter(parts, lambda x: x IS NULL)) = 0 THEN text END AS name FROM heads)"""
-REGISTRY = f"""blocks AS ({BLOCKS}), {HEADINGS},
-registry AS (SELECT source, lower(name) AS key, arg_min(name, ordinal) AS name FROM (SELECT source, ordinal, name FROM named WHERE name IS NOT NULL
+REGISTRY = f"""blocks AS MATERIALIZED ({BLOCKS}), {HEADINGS},
+registry AS MATERIALIZED (SELECT source, lower(name) AS key, arg_min(name, ordinal) AS name FROM (SELECT source, ordinal, name FROM named WHERE name IS NOT NULL
   UNION ALL SELECT source, ordinal, {own_name('label')} FROM blocks WHERE label IS NOT NULL) WHERE name IS NOT NULL GROUP BY ALL)"""
 OWNED = f"""{REGISTRY},
 o1 AS (SELECT b.*, n.name AS hname, n.lvl, max(CASE WHEN n.name IS NOT NULL THEN b.ordinal END) OVER (PARTITION BY b.source ORDER BY b.ordinal) AS e
   FROM blocks b LEFT JOIN named n USING (source, ordinal)),
 o2 AS (SELECT o1.*, n.name AS ename, n.lvl AS elvl FROM o1 LEFT JOIN named n ON n.source = o1.source AND n.ordinal = o1.e),
 o3 AS (SELECT *, max(CASE WHEN kind = 'heading' AND hname IS NULL AND lvl <= elvl THEN ordinal END) OVER (PARTITION BY source ORDER BY ordinal) AS closed FROM o2),
-owned AS (SELECT source, ordinal, section, text, kind, heading_level, asset,
+owned AS MATERIALIZED (SELECT source, ordinal, section, text, kind, heading_level, asset,
   CASE WHEN label IS NOT NULL THEN label WHEN ename IS NOT NULL AND coalesce(closed, -1) < e THEN ename END AS owner_name FROM o3)"""
 MEMBERS = f"CASE WHEN owner_name IS NULL THEN [] ELSE list_filter({listed('owner_name')}, lambda x: x IS NOT NULL) END"
 REFERRED = f"""{OWNED},
-refs AS (SELECT o.source, o.ordinal, sha256(o.source || '|family|' || upper(r.name)) AS entity_id FROM owned o JOIN registry r USING (source)
+refs AS MATERIALIZED (SELECT o.source, o.ordinal, sha256(o.source || '|family|' || upper(r.name)) AS entity_id FROM owned o JOIN registry r USING (source)
   WHERE coalesce(r.name <> o.owner_name, true) AND NOT list_contains(list_transform({MEMBERS}, lambda x: lower(x)), r.key)
-  AND regexp_matches(o.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_№.+\\-])' || regexp_replace(r.name, '([().|])', '\\\\\\1', 'g') || '(?:$|[^\\p{{L}}\\p{{N}}_№+.\\-]|\\.$|\\.[^\\p{{L}}\\p{{N}}])')),
-classified AS (SELECT o.*, coalesce(n, 0) AS n_references, {MEMBERS} AS members,
+  AND CASE WHEN contains(lower(o.text), r.key) THEN regexp_matches(o.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_№.+\\-])' || regexp_replace(r.name, '([().|])', '\\\\\\1', 'g') || '(?:$|[^\\p{{L}}\\p{{N}}_№+.\\-]|\\.$|\\.[^\\p{{L}}\\p{{N}}])') ELSE false END),
+classified AS MATERIALIZED (SELECT o.*, coalesce(n, 0) AS n_references, {MEMBERS} AS members,
   o.owner_name IS NOT NULL AND n > 0 AND regexp_matches(text, '(?i)^В этой статье.*(?:инструмент|семейств)') AS conflict
   FROM owned o LEFT JOIN (SELECT source, ordinal, count(*) AS n FROM refs GROUP BY ALL) USING (source, ordinal))"""
 
