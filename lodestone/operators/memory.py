@@ -62,7 +62,8 @@ def apply_memory_changes(entries: DataFrame, changes: DataFrame, scope: str) ->
     order = "change_id"
     deleted = named.filter("action = 'delete' AND _layer IS NOT NULL").select("id", "change_id", "target")
     moves = named.filter((F.col("action") == "upsert") & ~_blank("content")).select("id", F.col("change_id").alias("_m"), F.col("target").alias("_to"))
-    placed = deleted.join(moves, "id", "left").filter(F.col("_m").isNull() | (F.col("_m") < F.col("change_id")))
+    earlier = (F.col("d.id") == F.col("m.id")) & (F.col("m._m") < F.col("d.change_id"))
+    placed = deleted.alias("d").join(moves.alias("m"), earlier, "left").select("d.id", "d.change_id", "d.target", "m._m", "m._to")
     placed = placed.groupBy("id", "change_id", "target").agg(F.max_by("_to", "_m").alias("_to"))
     placed = placed.join(facts, "id").filter(F.coalesce("_to", "_layer") == F.col("target"))
     ends = placed.groupBy("id").agg(F.min("change_id").alias("_end"))
