@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lodestone.functions.text import token_count
 from lodestone.operators import context as A, evidence as Q
-from lodestone.operators.chunking import evidence_lines, fixed_windows
-from lodestone.operators.scans import top_rows
+from lodestone.operators.chunking import fixed_windows
 from lodestone.plans import hybrid as P
 from lodestone.queries import duck as D
 from lodestone.queries.chunks import windows_sql
 from lodestone.queries.corpus import OWNED
-from lodestone.queries.entities import classified, owned
+from lodestone.queries.entities import owned
 from lodestone.queries.retrieval import STAGE_FINAL, chunks as doc_chunks, hybrid, questions
 from lodestone.queries.vectors import TOPK, sides
 from lodestone.registry import query
@@ -59,8 +58,6 @@ def local_hits(spark, d):
 
 
 def _by_rank():
-    from pyspark.sql import Window
-
     return Window.partitionBy("query_id").orderBy(F.desc("rerank"), "chunk_id")
 
 
@@ -103,8 +100,7 @@ def linked_evidence(spark, d):
     visual = rows.select("chunk_id", "owner_id", F.col("chunk_id").alias("first_ordinal"), "conflict",
                          F.when(F.col("kind") == "family_card", F.col("text")).alias("visual"))
     exact = hits.filter("exact").select("query_id", "owner_id").distinct()
-    nothing = rows.filter("conflict").groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1000000000").select("owner_id")
-    return A.linked_evidence(hits, visual, exact, nothing)
+    return A.linked_evidence(hits, visual, exact)
 
 
 # --- evidence ------------------------------------------------------------------------------------
@@ -119,9 +115,6 @@ def answer_shape(spark, d):
     return Q.answer_shape(rows, rows.filter("pos <> 8").select("request_id", "pos")).select("request_id", "pos", "shape")
 
 
-CITED = """SELECT doc_id AS request_id, i AS seq, CASE WHEN i % 3 = 0 THEN q || ' not there' ELSE q END AS quote"""
-
-
 @query("quote_support", f"""WITH l AS (SELECT doc_id AS request_id, CAST(i AS INTEGER) AS seq, CASE WHEN i % 3 = 0 THEN q || ' nowhere' ELSE q END AS quote FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 c AS (SELECT doc_id AS request_id, "window" AS rank, CAST("window" AS VARCHAR) AS chunk_id, {D.squeeze('nfc_normalize(text)')} AS h FROM ({windows_sql('documents', 'doc_id', 120, 20)})),

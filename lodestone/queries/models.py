@@ -8,7 +8,7 @@ from lodestone.operators import catalog as K, snapshots as S, viewgraph as V
 from lodestone.registry import query
 from lodestone.session import cut_lineage, derive, table
 from lodestone.sources import versions as R
-from lodestone.sources.snapshots import parameters_long, snapshot_tables
+from lodestone.sources.snapshots import SNAPSHOT, parameters_long, snapshot_tables
 
 # --- versions ------------------------------------------------------------------------------------
 VERSIONS = """SELECT c_mktsegment AS section, CASE WHEN o_orderkey % 3 = 0 THEN CAST(n AS STRING) ELSE 'V' || CASE WHEN n < 10 THEN '00' WHEN n < 100 THEN '0' ELSE '' END || n END AS version
@@ -86,8 +86,6 @@ def parameters_long_query(spark, d):
 
 @query("read_snapshot", """SELECT p_type AS snapshot_file, p_partkey AS "elementId", p_brand AS category, CAST(p_size AS VARCHAR) AS "rawValue" FROM part""")
 def read_snapshot_query(spark, d):
-    from lodestone.sources.snapshots import SNAPSHOT
-
     parts = table(spark, d, "part")
     element = F.struct(F.col("p_partkey").alias("elementId"), F.col("p_brand").alias("category"), F.array(F.struct(
         F.lit(1).alias("parameterId"), F.lit("size").alias("name"), F.col("p_size").cast("string").alias("rawValue"))).alias("instanceParameters"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import messages as M, text as X
-from lodestone.functions.units import status_of, to_unit, UNIT_FACTORS
+from lodestone.functions.units import status_of, to_unit
 from lodestone.functions.vectors import text_rotation
 from lodestone.queries import duck as D
 from lodestone.registry import query
@@ -17,7 +17,7 @@ PART_NAMES = """SELECT p_partkey, replace(p_brand, '#', '_') || '_' || p_type AS
   p_name, p_size, p_retailprice FROM part"""
 
 
-@query("stable_id", f"SELECT doc_id, sha256(doc_id || '|' || source || '|' || text) AS id FROM documents")
+@query("stable_id", "SELECT doc_id, sha256(doc_id || '|' || source || '|' || text) AS id FROM documents")
 def stable_id(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", X.stable_id(F.col("doc_id").cast("string"), F.col("source"), F.col("text")).alias("id")

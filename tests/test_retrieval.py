@@ -11,6 +11,7 @@ from lodestone.operators import context as A, retrieval as R
 from lodestone.operators.catalog import spec_topk
 from lodestone.operators.dedup import near_duplicates, signatures
 from lodestone.operators.dense import dense_topk
+from lodestone.operators.scoring import embed, word_hash_encoder
 from lodestone.plans.hybrid import hybrid_search
 
 CHUNK = "chunk_id string, text string, embedding array<double>, family_names array<string>, section string, owner_id string, kind string, conflict boolean"
@@ -140,3 +141,22 @@ def test_rrf_without_lexical_rank(spark):
     row = spark.range(1).select(R.rrf(F.lit(1), F.lit(0)).alias("a"), R.rrf(F.lit(1), F.lit(1)).alias("b")).first()
     assert row.a == round(1 / 61, 9) and row.b == round(2 / 61, 9)
     assert spark.range(1).select(search_tokens(F.lit("и в на")).alias("t")).first().t == []
+
+
+def test_linked_images_go_first_and_carry_no_score(spark):
+    hits = spark.createDataFrame([("q", "t1", "o", 0.9, 1, True, "selected"), ("q", "t2", "o", 0.8, 2, True, "selected"), ("q", "v1", "o", 0.7, 3, False, "family_limit")],
+                                 "query_id string, chunk_id string, owner_id string, rerank double, place int, selected boolean, reason string")
+    chunks = spark.createDataFrame([("v1", "o", 1, "вид", False), ("v2", "o", 2, "вид", False), ("v3", "o", 3, "разрез", False), ("v4", "o", 4, "план", False), ("x", "p", 1, "чужой", False)],
+                                   "chunk_id string, owner_id string, first_ordinal int, visual string, conflict boolean")
+    none = spark.createDataFrame([], "query_id string, owner_id string")
+    got = {r.chunk_id: (r.selected, r.reason, r.mode) for r in A.linked_evidence(hits, chunks, none, limit=3).collect()}
+    linked = "linked_family_visual_evidence"
+    assert got == {"v1": (True, linked, "scored"), "v3": (True, linked, "linked_image:no_similarity"), "t1": (True, "selected", "scored"), "t2": (False, "visual_context_limit", "scored")}
+
+
+def test_encoder_output_is_checked(spark):
+    docs = spark.createDataFrame([(i, f"слово {i}") for i in range(40)], "id long, text string")
+    rows = embed(docs, "id", "text", word_hash_encoder(8), 8).collect()
+    assert len(rows) == 40 and all(len(r.embedding) == 8 and r.embedding[-1] >= 1 for r in rows)
+    with pytest.raises(Exception, match="wrong number or size"):
+        embed(docs, "id", "text", word_hash_encoder(4), 8).collect()
