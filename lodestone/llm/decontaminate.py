@@ -14,6 +14,7 @@ inputs are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +31,7 @@ WIDTH = 13
 GROUP_BYTES = 32 << 20
 
 _plain = np.where(ALNUM, LOWER, 0x20).astype(np.uint8)
-_automata: dict[int, tuple] = {}
+_automata: dict[str, tuple] = {}
 
 
 def _normal(data: bytes) -> str:
@@ -50,9 +51,9 @@ def patterns(items: list[tuple[str, str]], width: int) -> dict[str, tuple[int, s
     return found
 
 
-def _automaton(held, width: int) -> tuple:
+def _automaton(key: str, held, width: int) -> tuple:
     """The automaton of a broadcast group, built once in each Python worker."""
-    if held.id not in _automata:
+    if key not in _automata:
         windows = patterns(held.value, width)
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         entries = []
@@ -61,16 +62,17 @@ def _automaton(held, width: int) -> tuple:
             entries.append((size, sorted(ids)))
         if windows:
             machine.make_automaton()
-        _automata[held.id] = (machine if windows else None, entries)
-    return _automata[held.id]
+        _automata[key] = (machine if windows else None, entries)
+    return _automata[key]
 
 
 def _scanner(held, width: int):
     """Append the spans (word numbers) and item ids that one group's automaton finds."""
+    key = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            machine, entries = _automaton(held, width)
+            machine, entries = _automaton(key, held, width)
             if machine is None:
                 yield batch
                 continue
