@@ -125,9 +125,10 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = (words.start[a + begin] - words.offsets[i], words.end[a + end - 1] - words.offsets[i])
                 passages[i].append({"start": int(chars[at[0]]), "stop": int(chars[at[1]])})
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        rest = [n for n in batch.schema.names if n not in ("text", "_spans", "_items")]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "_id"), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), column(batch, "_items"), pa.array(passages, kinds)],
-            names=["_id", "n_words", "n_hit", "items", "passages"])
+            [*[column(batch, n) for n in rest], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), column(batch, "_items"), pa.array(passages, kinds)],
+            names=[*rest, "n_words", "n_hit", "items", "passages"])
 
 
 def decontaminate(
@@ -135,21 +136,37 @@ def decontaminate(
     item_text: str = "text", width: int = WIDTH, group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted ids), passages (character spans of the original)."""
+    return _found(docs, bench, id_col, text_col, item_col, item_text, width, group_bytes, []).withColumnRenamed("_id", id_col)
+
+
+def drop_contaminated(
+    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows and columns of ``docs`` without contaminated documents."""
+    found = _found(docs, bench, id_col, text_col, item_col, item_text, WIDTH, GROUP_BYTES, docs.columns).filter(~contaminated())
+    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _found(
+    docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, group_bytes: int, carry: list[str],
+) -> DataFrame:
+    carried = [f"_c{i}" for i in range(len(carry))]
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried))
     spark = docs.sparkSession
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-int(size) // group_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
-    inner = f"_id {kind}, text string, _spans array<struct<start:bigint,stop:bigint>>, _items array<string>"
+    inner = f"_id {kind}{kinds}, text string, _spans array<struct<start:bigint,stop:bigint>>, _items array<string>"
     out = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("text"),
+        F.col(id_col).alias("_id"), *[F.col(c).alias(n) for c, n in zip(carry, carried)], F.col(text_col).alias("text"),
         F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
     for group in range(groups):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == group)
         held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         out = out.mapInArrow(_scanner(held, width), inner)
-    final = f"_id {kind}, n_words bigint, n_hit bigint, items array<string>, passages array<struct<start:bigint,stop:bigint>>"
-    return out.mapInArrow(_summary, final).withColumnRenamed("_id", id_col)
+    final = f"_id {kind}{kinds}, n_words bigint, n_hit bigint, items array<string>, passages array<struct<start:bigint,stop:bigint>>"
+    return out.mapInArrow(_summary, final)
 
 
 def contaminated() -> F.Column:

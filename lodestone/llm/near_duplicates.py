@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.words import PLAIN, Words, column, mix, pieces, ragged, span_hashes, split
@@ -236,6 +236,29 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of its group) and kept (id = component_id)."""
+    signed, found = _grouped(docs, id_col, text_col, shingle, percent)
+    out = signed.select("id", "c1", "c2", "n_shingles").join(found, ["c1", "c2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    out = out.select("id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT,
+) -> DataFrame:
+    """The rows and columns of ``docs`` with one row of each group (smallest id first), and all rows without words."""
+    signed, found = _grouped(docs, id_col, text_col, shingle, percent)
+    keys = {"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(text_col, F.lit(1), id_col)}
+    stay = found.filter("first").select(F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"), F.lit(1).alias("_most"))
+    free = signed.filter("n_shingles = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.lit(0).alias("_most")).distinct()
+    rows = docs.withColumns(keys).join(stay.unionByName(free), ["_k1", "_k2"])
+    # A row that is repeated whole has one key; its first copy stays.
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_most")))
+    return rows.filter("_most = 0 OR _n = 1").select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their keys, classes and set sizes; and per class its component_id, first row's key and whether it leads its group."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({
         "c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(1), "text"), "k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", F.lit(1), "id")})
     kind = docs.schema[id_col].dataType.simpleString()
@@ -258,9 +281,9 @@ def near_duplicates(
     signed = cut_lineage(source.mapInArrow(
         sign, f"id {kind}, c1 bigint, c2 bigint, k1 bigint, k2 bigint, n_shingles bigint, bands array<bigint>, " + ", ".join(f"{p} bigint" for p in parts)))
     filled = signed.filter("n_shingles > 0")
-    # Copies of a text fold into one class by aggregates; the first row by key stands for it.
+    # Copies of a text fold into one class by aggregates; its first row by id and key stands for it.
     heads = cut_lineage(filled.groupBy("c1", "c2").agg(
-        F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("k"), F.max("n_shingles").alias("n_shingles")))
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("k"), F.max("n_shingles").alias("n_shingles")))
     classes = filled.dropDuplicates(["c1", "c2"]).select("c1", "c2", *parts, F.explode("bands").alias("band"))
     sizes = filled.select("c1", "c2", F.explode("bands").alias("band")).distinct().groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keys = ["band", "ti", "tj"]
@@ -276,15 +299,12 @@ def near_duplicates(
     keys = ["r1", "r2", "ti", "tj"]
     tiles = _tiles(texts, ["r1", "r2"], F.col("n")).select(*keys, "c1", "c2", "text")
     groups = components(_pairs(tiles.mapInArrow(_confirmed(keys, shingle, percent), edge_type)))
-    groups = groups.select(F.col("node.c1").alias("c1"), F.col("node.c2").alias("c2"), "root").join(heads.select("c1", "c2", "low"), ["c1", "c2"])
-    groups = cut_lineage(groups)
-    lowest = groups.groupBy("root").agg(F.min("low").alias("group_low"))
-    found = groups.join(lowest, "root").select("c1", "c2", "group_low")
-    found = heads.join(found, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("group_low", "low").alias("component_id"))
-    out = signed.select("id", "c1", "c2", "n_shingles").join(found, ["c1", "c2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    out = out.select("id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+    groups = cut_lineage(groups.select(F.col("node.c1").alias("c1"), F.col("node.c2").alias("c2"), "root").join(heads.select("c1", "c2", "k"), ["c1", "c2"]))
+    lowest = groups.groupBy("root").agg(F.min("k").alias("low"))
+    found = groups.join(lowest, "root").select("c1", "c2", "low")
+    found = heads.join(found, ["c1", "c2"], "left").select(
+        "c1", "c2", "k", F.coalesce("low.id", "k.id").alias("component_id"), (F.col("low").isNull() | (F.col("low") == F.col("k"))).alias("first"))
+    return signed, found
 
 
 OP4_SQL = r"""

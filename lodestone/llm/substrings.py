@@ -221,9 +221,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, edge = joined.tobytes(), np.append(begin, int(sizes.sum()))[left]
         kept = [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         n_words = np.diff(words.first)
+        rest = [n for n in batch.schema.names if n not in ("text", "spans")]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "id"), pa.array(n_words, pa.int64()), pa.array(n_words - np.diff(left), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["id", "n_words", "n_removed", "kept"])
+            [*[column(batch, n) for n in rest], pa.array(n_words, pa.int64()), pa.array(n_words - np.diff(left), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            names=[*rest, "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(
@@ -231,7 +232,26 @@ def remove_repeats(
     bucket_bytes: int = BUCKET_BYTES, hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """One row per document: id, n_words, n_removed and kept, the words left of the text joined by single blanks."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _removed(docs, id_col, text_col, window, seed, bucket_bytes, hot_share, []).withColumnRenamed("id", id_col)
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated words gone from the text; other texts stay as they are."""
+    rest = [c for c in docs.columns if c not in (text_col, length_col)]
+    found = _removed(docs, id_col, text_col, window, SEED_WORDS, BUCKET_BYTES, HOT_SHARE, [*rest, text_col, *([length_col] if length_col else [])])
+    carried = {c: F.col(f"_c{i}") for i, c in enumerate([*rest, text_col, *([length_col] if length_col else [])])}
+    changed = F.col("n_removed") > 0
+    if length_col:
+        carried[length_col] = F.when(changed, F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(carried[length_col])
+    carried[text_col] = F.when(changed, F.col("kept")).otherwise(carried[text_col])
+    return found.select(*[carried[c].alias(c) for c in docs.columns])
+
+
+def _removed(
+    docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, bucket_bytes: int, hot_share: float, carry: list[str],
+) -> DataFrame:
+    carried = [f"_c{i}" for i in range(len(carry))]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, carried)])
     source = source.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", F.lit(1), "id")})
     hot, size = hot_seeds(source, seed, hot_share)
     buckets = max(1, 3 * size // bucket_bytes)
@@ -241,8 +261,9 @@ def remove_repeats(
     # Equal rows have equal spans, which the set folds before the shuffle; a set is as long as its text at most.
     spans = cut_lineage(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = source.join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
-    return marked.mapInArrow(_remove, f"id {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
+    marked = source.join(spans, ["k1", "k2"], "left").select("id", *carried, "text", "spans")
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried))
+    return marked.mapInArrow(_remove, f"id {kind}{kinds}, n_words bigint, n_removed bigint, kept string")
 
 
 OP3_SQL = r"""
