@@ -1,3 +1,3 @@
 """Importing this module registers the queries of the numbered operators."""
 
-from lodestone.llm import decontaminate, licenses, near_duplicates, neighbours, quality, revisits, sentence_pieces, substrings, tokens  # noqa: F401
+from lodestone.llm import decontaminate, katz, licenses, near_duplicates, neighbours, quality, revisits, sentence_pieces, substrings, tokens  # noqa: F401
