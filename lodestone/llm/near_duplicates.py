@@ -248,13 +248,13 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows and columns of ``docs`` with one row of each group (smallest id first), and all rows without words."""
     signed, found = _grouped(docs, id_col, text_col, shingle, percent)
-    keys = {"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(text_col, F.lit(1), id_col)}
-    stay = found.filter("first").select(F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"), F.lit(1).alias("_most"))
-    free = signed.filter("n_shingles = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.lit(0).alias("_most")).distinct()
-    rows = docs.withColumns(keys).join(stay.unionByName(free), ["_k1", "_k2"])
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit(1), id_col).alias("k2"), F.struct(*docs.columns).alias("row"))
+    stay = found.filter("first").select("k.k1", "k.k2", F.lit(True).alias("single"))
+    free = signed.filter("n_shingles = 0").select("k1", "k2", F.lit(False).alias("single")).distinct()
+    rows = rows.join(stay.unionByName(free), ["k1", "k2"])
     # A row that is repeated whole has one key; its first copy stays.
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_most")))
-    return rows.filter("_most = 0 OR _n = 1").select(*docs.columns)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("single")))
+    return rows.filter("NOT single OR n = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
