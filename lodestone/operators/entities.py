@@ -12,7 +12,6 @@ from lodestone.functions.text import (
 )
 from lodestone.operators.scans import by_ordinal, first_rows, has_hot_key, running
 
-MAX_CARD_TEXT = 1 << 20
 
 
 def _none() -> Column:
@@ -151,39 +150,37 @@ def card_lines(blocks: DataFrame) -> DataFrame:
 
 
 def entity_cards(blocks: DataFrame, registry: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row per entity: block range and count, warnings, assets, references, purpose and constraints.
+    """One row per entity: members, block range and count, warnings, assets, references, purpose and constraints.
 
-    Block ordinals stay in the block table. Purpose text longer than any encoder takes is left out and
-    flagged; its lines remain in ``card_lines``.
+    Block ordinals stay in the block table, and each line of purpose and constraints is also a row of ``card_lines``.
     """
     owned = blocks.filter("owner_id IS NOT NULL").withColumnRenamed("owner_id", "entity_id")
     stats = owned.groupBy("source", "entity_id").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"),
         F.sum(F.size("warnings")).alias("n_warnings"),
     )
-    assets = owned.select("source", "entity_id", F.explode("asset_ids").alias("a")).distinct()
-    assets = assets.groupBy("source", "entity_id").agg(F.count(F.lit(1)).alias("n_assets"))
+    assets = owned.select("source", "entity_id", F.explode("asset_ids").alias("a"))
+    assets = assets.groupBy("source", "entity_id").agg(F.array_sort(F.collect_set("a")).alias("asset_ids"))
     cited = refs.withColumnRenamed("entity_id", "_ref").join(owned.select("source", "ordinal", "entity_id"), ["source", "ordinal"])
-    cited = cited.select("source", "entity_id", "_ref").distinct().groupBy("source", "entity_id").agg(F.count(F.lit(1)).alias("n_references"))
-    lines = card_lines(blocks)
-    sizes = lines.groupBy("source", "entity_id", "role").agg(F.sum(F.length("text") + 1).alias("_size"))
-    short = lines.join(sizes.filter(F.col("_size") <= MAX_CARD_TEXT), ["source", "entity_id", "role"])
+    cited = cited.groupBy("source", "entity_id").agg(F.array_sort(F.collect_set("_ref")).alias("reference_ids"))
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
-    joined = short.groupBy("source", "entity_id", "role").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("t"))
+    joined = card_lines(blocks).groupBy("source", "entity_id", "role").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("t"))
     texts = joined.groupBy("source", "entity_id").agg(
         F.max(F.when(F.col("role") == "purpose", F.col("t"))).alias("purpose"),
         F.max(F.when(F.col("role") == "constraints", F.col("t"))).alias("constraints"))
-    over = sizes.filter(F.col("_size") > MAX_CARD_TEXT).select("source", "entity_id").distinct().withColumn("text_oversize", F.lit(True))
-    cards = registry.select("source", "entity_id", "name")
-    for part in (stats, assets, cited, texts, over):
+    members = F.filter(entity_names(F.col("name")), lambda n: n.isNotNull())
+    cards = registry.select("source", "entity_id", "name", members.alias("member_names"))
+    for part in (stats, assets, cited, texts):
         cards = cards.join(part, ["source", "entity_id"], "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_blocks", "n_warnings", "n_assets", "n_references")}
+    ids = {c: F.coalesce(c, _none()) for c in ("asset_ids", "reference_ids")}
     return cards.withColumns({
-        **zero,
+        **{c: F.coalesce(c, F.lit(0)) for c in ("n_blocks", "n_warnings")},
+        **ids,
+        "n_assets": F.size(ids["asset_ids"]).cast("long"),
+        "n_references": F.size(ids["reference_ids"]).cast("long"),
         "purpose": F.coalesce("purpose", F.lit("")),
         "constraints": F.coalesce("constraints", F.lit("")),
         "status": F.when(F.coalesce("n_warnings", F.lit(0)) == 0, "identified").otherwise("conflict"),
-        "text_oversize": F.coalesce("text_oversize", F.lit(False)),
     })
 
 

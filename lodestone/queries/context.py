@@ -211,14 +211,28 @@ def baseline_search(spark, d):
     return P.baseline_search(*sides(spark, d), 10)
 
 
-@query("compare_strategies", f"""WITH t AS ({TOPK}), h AS (SELECT query_id, chunk_id, similarity FROM t WHERE rank <= 5)
-SELECT query_id, count(*) AS all_hits, max(similarity) AS all_best, arg_min(chunk_id, -similarity * 1000000000 + chunk_id) AS all_top, a.n AS labelled_hits, a.b AS labelled_best, a.c AS labelled_top FROM h JOIN (
- SELECT query_id, count(*) AS n, max(similarity) AS b, arg_min(chunk_id, r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM (
-  SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(-1, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) + 0 AS similarity
-  FROM embeddings a, embeddings b WHERE b.label < 5)) WHERE r <= 5 GROUP BY query_id) a USING (query_id) GROUP BY ALL""")
+# Two chunkings of the same rows: each row alone, and windows of two neighbours whose vector is their sum.
+def _best(name: str, chunks: str) -> str:
+    sim = "round(greatest(-1, least(1, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))), 6) + 0"
+    return f"""(SELECT query_id, count(*) AS {name}_hits, max(similarity) AS {name}_best, arg_min(chunk_id, r) AS {name}_top FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM (
+  SELECT q.vec_id AS query_id, c.chunk_id, {sim} AS similarity FROM embeddings q, ({chunks}) c)) WHERE r <= 5 GROUP BY query_id)"""
+
+
+PAIRED_DUCK = """SELECT a.vec_id // 2 AS chunk_id, CASE WHEN b.embedding IS NULL THEN CAST(a.embedding AS DOUBLE[])
+ ELSE list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) + x[2]) END AS embedding
+ FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 0) a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
+@query("compare_strategies", f"""SELECT * FROM {_best('single', 'SELECT vec_id AS chunk_id, embedding FROM embeddings')} s JOIN {_best('paired', PAIRED_DUCK)} p USING (query_id)""")
 def compare_strategies(spark, d):
     asked, rows = sides(spark, d)
-    return P.compare_strategies(asked, {"all": rows, "labelled": rows.filter("owner_id < 5")}, 5)
+    # The windows start at every other row; each row lies in one window.
+    after = rows.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("_next"))
+    starts = rows.filter(F.col("chunk_id") % 2 == 0).join(after, "chunk_id", "left")
+    both = F.zip_with(F.col("embedding"), "_next", lambda x, y: x.cast("double") + y.cast("double"))
+    paired = starts.select((F.col("chunk_id") / 2).cast("long").alias("chunk_id"), F.coalesce(both, F.col("embedding").cast("array<double>")).alias("embedding"))
+    return P.compare_strategies(asked, {"single": rows, "paired": paired}, 5)
 
 
 @query("retrieval_diagnostics", f"""{STAGE_FINAL} SELECT query_id, chunk_id, dense_rank, lexical_rank, similarity, lexical, fusion, rerank, 'lexical_fallback' AS mode, exact, selected, verdict AS reason,

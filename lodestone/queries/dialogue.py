@@ -64,8 +64,8 @@ def dedup_memory(spark, d):
 
 
 CHANGES = """SELECT event_id AS change_id, CASE event_id % 11 WHEN 0 THEN 'delete' WHEN 1 THEN 'delete' WHEN 2 THEN 'noop' ELSE 'upsert' END AS action, CASE event_id % 7 WHEN 0 THEN 'elsewhere' WHEN 1 THEN 'working' ELSE 'long-term' END AS target,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 400 AS STRING) END AS id, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE event_type END AS content, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN NULL ELSE '7' END AS confidence FROM events"""
-STORE = "SELECT CAST(c_custkey AS STRING) AS id, 'working' AS layer, 'task1' AS scope, c_name AS content FROM customer WHERE c_custkey < 300"
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS id, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE event_type END AS content, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN NULL ELSE '7' END AS confidence FROM events"""
+STORE = "SELECT CAST(c_custkey AS STRING) AS id, 'working' AS layer, 'task1' AS scope, c_name AS content FROM customer"
 
 
 @query("route_changes", f"""WITH c AS (SELECT c.*, s.content AS stored, coalesce(confidence NOT IN ('high', 'medium'), true) AS unsure FROM ({CHANGES}) c LEFT JOIN ({STORE}) s ON c.id = s.id),
@@ -84,12 +84,15 @@ def apply_memory_changes(spark, d):
     return M.apply_memory_changes(entries, changes, "task1")[0].select("id", "layer", "scope", "content")
 
 
+# Every event is in one group of its scope: a plan merges the group of an even event and deletes that of an odd one.
+PLAN = """SELECT CAST(event_id % 50 AS STRING) AS scope, min(event_id) AS op, CASE WHEN min(event_id) % 2 = 0 THEN 'merge' ELSE 'delete' END AS kind,
+  array_sort(collect_list(event_id)) AS items, min(event_type) AS content FROM events GROUP BY event_id % 50, CAST(floor(event_id / 100) AS BIGINT)"""
+
+
 @query("apply_merge_plan")
 def apply_merge_plan(spark, d):
     entries = derive(spark, d, f"SELECT CAST(ord % 50 AS STRING) AS scope, ord AS n, content, optimized FROM ({UNIQUE_SPARK})")
-    plan = derive(spark, d, """SELECT CAST(event_id % 50 AS STRING) AS scope, event_id AS op, CASE WHEN event_id % 2 = 0 THEN 'merge' ELSE 'delete' END AS kind,
-      CASE WHEN event_id % 2 = 0 THEN array(event_id, event_id + 50) ELSE array(event_id) END AS items, event_type AS content FROM events WHERE event_id % 300 < 40""")
-    return M.apply_merge_plan(entries, plan)[0]
+    return M.apply_merge_plan(entries, derive(spark, d, PLAN))[0]
 
 
 @query("move_memory", f"""WITH e AS ({UNIQUE_DUCK}), m AS (SELECT id, CASE WHEN ord % 10 = 0 THEN 'working' ELSE layer END AS source, CASE ord % 4 WHEN 0 THEN 'long-term' WHEN 1 THEN 'working' WHEN 2 THEN 'short-term' END AS target FROM e WHERE ord % 5 = 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import entities as E
-from lodestone.queries.corpus import OWNED, REFERRED, REGISTRY, entity_blocks
+from lodestone.queries.corpus import OWNED, REFERRED, REGISTRY, entity_blocks, listed
 from lodestone.registry import query
 from lodestone.session import cut_lineage, derive
 
@@ -59,14 +59,19 @@ cards AS (SELECT r.source, r.name, {ID.format('r.name').replace('source', 'r.sou
   (SELECT count(*) FROM classified c WHERE c.source = r.source AND c.owner_name = r.name AND conflict) AS n_warnings,
   (SELECT count(DISTINCT asset) FROM classified c WHERE c.source = r.source AND c.owner_name = r.name) AS n_assets,
   (SELECT count(DISTINCT f.entity_id) FROM classified c JOIN refs f USING (source, ordinal) WHERE c.source = r.source AND c.owner_name = r.name) AS n_references,
+  coalesce((SELECT string_agg(DISTINCT asset, ' ' ORDER BY asset) FROM classified c WHERE c.source = r.source AND c.owner_name = r.name), '') AS asset_ids,
+  coalesce((SELECT string_agg(DISTINCT f.entity_id, ' ' ORDER BY f.entity_id) FROM classified c JOIN refs f USING (source, ordinal) WHERE c.source = r.source AND c.owner_name = r.name), '') AS reference_ids,
+  array_to_string(list_filter({listed('r.name')}, lambda x: x IS NOT NULL), '|') AS member_names,
   coalesce((SELECT string_agg(text, chr(10) ORDER BY ordinal) FROM lines l WHERE l.source = r.source AND l.owner_name = r.name AND role = 'purpose'), '') AS purpose,
   coalesce((SELECT string_agg(text, chr(10) ORDER BY ordinal) FROM lines l WHERE l.source = r.source AND l.owner_name = r.name AND role = 'constraints'), '') AS constraints
   FROM registry r)"""
 
 
-@query("entity_cards", f"""WITH {CARDS} SELECT *, CASE WHEN n_warnings = 0 THEN 'identified' ELSE 'conflict' END AS status, false AS text_oversize FROM cards""")
+@query("entity_cards", f"""WITH {CARDS} SELECT *, CASE WHEN n_warnings = 0 THEN 'identified' ELSE 'conflict' END AS status FROM cards""")
 def entity_cards(spark, d):
-    return E.entity_cards(*classified(spark, d))
+    cards = E.entity_cards(*classified(spark, d))
+    lists = {"asset_ids": " ", "reference_ids": " ", "member_names": "|"}
+    return cards.withColumns({c: F.array_join(c, mark) for c, mark in lists.items()})
 
 
 def corpus_assets(spark, d):

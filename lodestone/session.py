@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,16 +57,21 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a temporary one only where it is unset."""
+    """The shared checkpoint folder named by the session.
+
+    Where it is unset, a local session (driver and tasks on one machine) gets a temporary folder; a cluster is refused.
+    """
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = context.getCheckpointDir()
+    if current:
+        return current
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-ckpt-")
     context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -80,6 +87,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediates."""
-    import uuid
-
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
