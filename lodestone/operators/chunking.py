@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import retrieval_tokens, stable_id, strip, token_count, token_pieces
-from lodestone.operators.folds import Fold, segmented_fold
-from lodestone.operators.scans import by_ordinal, has_hot_key, previous, running, top_rows
+from lodestone.operators.folds import Fold, counted, segmented_fold
+from lodestone.operators.scans import previous, running, top_rows
 
 
 def _windows(pieces: Column, text: Column, size: int | Column, overlap: int | Column) -> Column:
@@ -54,10 +54,8 @@ def structural_groups(blocks: DataFrame) -> DataFrame:
 
     A boundary compares a block with the one before it, which agrees with the head of its group.
     """
-    segment = by_ordinal("ordinal")
-    hot = has_hot_key(blocks, ["source"])
-    seen = previous(blocks, ["source"], ["ordinal"], segment, {
-        "_names": F.col("family_names"), "_kind": F.col("kind"), "_section": F.col("section")}, hot)
+    seen = previous(blocks, ["source"], ["ordinal"], {
+        "_names": F.col("family_names"), "_kind": F.col("kind"), "_section": F.col("section")})
     vision = "vision_interpretation"
     outside = F.size("family_names") == 0
     boundary = (
@@ -67,7 +65,7 @@ def structural_groups(blocks: DataFrame) -> DataFrame:
         | ((F.col("kind") == "heading") & F.array_contains("family_names", F.col("text")))
     )
     starts = F.when(boundary, 1).otherwise(0)
-    out = running(seen, ["source"], ["ordinal"], segment, {"group_id": ("sum", starts)}, hot)
+    out = running(seen, ["source"], ["ordinal"], {"group_id": ("sum", starts)})
     return out.drop("_names", "_kind", "_section")
 
 
@@ -86,19 +84,17 @@ def _packing(size: int) -> Fold:
             return np.zeros_like(states)
         return np.where((states > 0) & (states + tokens <= size), states + tokens, tokens)
 
-    return Fold(step, sweep, lambda seg: np.arange(size + 1), lambda states, seg: states)
+    return Fold(step, sweep, **counted(size))
 
 
-def pack_blocks(blocks: DataFrame, keys: list[str], size: int, tokens: str = "token_count", segment: Column | None = None) -> DataFrame:
+def pack_blocks(blocks: DataFrame, keys: list[str], size: int, tokens: str = "token_count") -> DataFrame:
     """Greedy packing of blocks in order: add pack (ordinal of its first block).
 
     The fold state is the token count of the open pack, so long groups are folded in segments.
     """
-    cut = by_ordinal("ordinal") if segment is None else segment
-    hot = has_hot_key(blocks, keys)
-    marked = segmented_fold(blocks, keys, ["ordinal"], cut, [tokens], _packing(size), "_starts", "boolean", hot)
+    marked = segmented_fold(blocks, keys, ["ordinal"], [tokens], _packing(size), "_starts", "boolean")
     first = F.when(F.col("_starts"), F.col("ordinal"))
-    return running(marked, keys, ["ordinal"], cut, {"pack": ("max", first)}, hot).drop("_starts")
+    return running(marked, keys, ["ordinal"], {"pack": ("max", first)}).drop("_starts")
 
 
 def pack_texts(packed: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +110,7 @@ def pack_texts(packed: DataFrame, keys: list[str]) -> DataFrame:
 
 def block_offsets(blocks: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
     """Character range of every block in its joined text (blocks joined by a blank line)."""
-    ends = running(blocks, keys, [ordinal], by_ordinal(ordinal), {"_end": ("sum", F.length("text") + 2)})
+    ends = running(blocks, keys, [ordinal], {"_end": ("sum", F.length("text") + 2)})
     end = (F.col("_end") - 2).cast("long")
     return ends.withColumns({"block_start": end - F.length("text"), "block_end": end}).drop("_end")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.messages import MAX_FACT
 from lodestone.functions.text import strip
-from lodestone.operators.scans import has_hot_key, row_numbers, top_rows
+from lodestone.operators.scans import row_numbers, top_rows
 
 LIST_CATEGORIES = ("clarifications", "constraints", "terms", "selections", "decisions")
 MAX_ITEMS = 32
@@ -163,8 +163,7 @@ def _ordered_state(changes: DataFrame, max_items: int) -> DataFrame:
 
 def turn_gaps(turns: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Turns whose number is not their place (1, 2, …) within the key: add expected."""
-    hot = has_hot_key(turns, keys)
-    ranked = row_numbers(turns, keys, -F.col(order), order, "expected", hot=hot)
+    ranked = row_numbers(turns, keys, -F.col(order), order, "expected")
     return ranked.filter(F.col(order) != F.col("expected"))
 
 

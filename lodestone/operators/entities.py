@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone.functions.text import (
     CLAIM_PATTERN, CONFLICT_WARNING, contains_name, entity_name, entity_names, stable_id, strip,
 )
-from lodestone.operators.scans import by_ordinal, first_rows, has_hot_key, running
+from lodestone.operators.scans import first_rows, running
 
 
 
@@ -54,17 +54,15 @@ def assign_owner(blocks: DataFrame, registry: DataFrame) -> DataFrame:
 
     Adds owner_name and owner_id. A row labelled with one registered name is owned by that name.
     """
-    segment = by_ordinal("ordinal")
-    hot = has_hot_key(blocks, ["source"])
     heads = _headings(blocks).withColumnRenamed("name", "_name")
     plain = blocks.filter("kind <> 'heading'").withColumns(
         {"_level": F.lit(None).cast("int"), "_name": F.lit(None).cast("string")}
     )
     rows = blocks.filter("kind = 'heading'").join(heads, ["source", "ordinal"], "left").unionByName(plain)
     entry = F.when(F.col("_name").isNotNull(), F.struct("ordinal", "_name", "_level"))
-    rows = running(rows, ["source"], ["ordinal"], segment, {"_e": ("last", entry)}, hot)
+    rows = running(rows, ["source"], ["ordinal"], {"_e": ("last", entry)})
     closes = (F.col("kind") == "heading") & F.col("_name").isNull() & (F.col("_level") <= F.col("_e._level"))
-    rows = running(rows, ["source"], ["ordinal"], segment, {"_closed": ("max", F.when(closes, F.col("ordinal")))}, hot)
+    rows = running(rows, ["source"], ["ordinal"], {"_closed": ("max", F.when(closes, F.col("ordinal")))})
     open_ = F.col("_e").isNotNull() & (F.coalesce("_closed", F.lit(-1)) < F.col("_e.ordinal"))
     rows = rows.withColumn("owner_name", F.when(open_, F.col("_e._name"))).drop("_e", "_closed", "_level", "_name")
     labelled = F.col("kind").startswith("table-row") & (F.size("family_names") == 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import stable_id, strip
-from lodestone.operators.scans import by_ordinal, running
+from lodestone.operators.scans import running
 
 MAX_INPUT_TOKENS = 8191
 MACHINE_WARNING = "machine_extracted_unverified"
@@ -81,7 +81,7 @@ def append_machine_text(blocks: DataFrame, assets: DataFrame) -> DataFrame:
     texts = texts.filter(F.coalesce(strip(F.col("_text")), F.lit("")) != "").join(hosts, ["source", "asset_id"])
     last = blocks.groupBy("source").agg(F.max("ordinal").alias("_last"))
     order = ["_host", "asset_id", "kind"]
-    numbered = running(texts, ["source"], order, F.floor(F.col("_host") / (1 << 16)), {"_n": ("count", F.lit(1))})
+    numbered = running(texts, ["source"], order, {"_n": ("count", F.lit(1))})
     note = F.concat(F.lit("["), "kind", F.lit(": машинное извлечение, требуется проверка по изображению "), "media_part", F.lit("]\n"), "_text")
     added = numbered.join(last, "source").select(
         "source", (F.col("_last") + F.col("_n")).cast(blocks.schema["ordinal"].dataType).alias("ordinal"), "kind", note.alias("text"),

@@ -1,9 +1,9 @@
-"""Ordered running values and row numbers that stay parallel under hot keys.
+"""Ordered running values and row numbers, one way for every size.
 
-A plain window over (key, order) puts a whole key into one task. That is right while keys are small,
-so the largest key is measured first. Beyond ``HOT_ROWS`` every key is cut into segments along its
-order: each segment is scanned on its own, one summary row per segment is scanned per key, and the
-two are joined, so rows shuffle by (key, segment).
+A plain window over (key, order) puts a whole key into one task. Here rows are range-partitioned by (key, order) and
+written once, so that segments are balanced by rows whatever the keys and orders are, and a key of any size is spread.
+Every segment is scanned on its own; one summary row per key and segment (no key has more of them than there are
+partitions) is scanned per key; the two are joined on key and segment. Keys, orders and scores may be null.
 """
 
 from __future__ import annotations
@@ -14,41 +14,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.session import cut_lineage
 
-SEGMENT = 1 << 16
-HOT_ROWS = 1 << 20
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The rows as a written table with ``_seg``, the number of their range of (keys, order)."""
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_seg", F.spark_partition_id().cast("long")))
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    """Whether some key holds more rows than one task should sort; counts are combined map-side."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > (HOT_ROWS if limit is None else limit)
 
+def join_segments(rows: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys and segment, null keys included."""
+    named = parts.select(*[F.col(c).alias(f"_r_{c}") if c in (*keys, "_seg") else F.col(c) for c in parts.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_seg") == F.col("_r__seg")]
+    on = same[0]
+    for condition in same[1:]:
+        on = on & condition
+    return rows.join(named, on, "left").drop("_r__seg", *[f"_r_{k}" for k in keys])
 
-def by_ordinal(ordinal: str, width: int = SEGMENT) -> Column:
-    """Segment number of an integer order column."""
-    return F.floor(F.col(ordinal) / F.lit(width))
 
-
-def _with_segment(df: DataFrame, segment: Column) -> DataFrame:
-    return df.withColumn("_seg", segment)
-
-
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    segment: Column,
-    values: dict[str, tuple[str, Column]],
-    hot: bool | None = None,
-) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add inclusive running values; kinds: sum, count, max, min, last (last non-null)."""
-    if not (has_hot_key(df, keys) if hot is None else hot):
-        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        calls = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
-                 "last": lambda v: F.last(v, ignorenulls=True)}
-        return df.withColumns({name: calls[kind](value).over(plain) for name, (kind, value) in values.items()})
-    # Both the segment summaries and the rows read the input, so it is written once.
-    df = cut_lineage(_with_segment(df, segment))
+    df = ranged(df, keys, order)
     local = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     inner, total, prefix, merged = {}, [], [], {}
@@ -75,19 +59,13 @@ def running(
         else:
             raise ValueError(kind)
     carried = df.groupBy(*keys, "_seg").agg(*total).select(*keys, "_seg", *prefix)
-    out = df.withColumns(inner).join(carried, [*keys, "_seg"], "left").withColumns(merged)
+    out = join_segments(df.withColumns(inner), carried, keys).withColumns(merged)
     return out.drop("_seg", *[f"_own_{n}" for n in values], *[f"_pre_{n}" for n in values])
 
 
-def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, values: dict[str, Column],
-    hot: bool | None = None,
-) -> DataFrame:
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Add the given values of the preceding row of the same key (null on the first row)."""
-    if not (has_hot_key(df, keys) if hot is None else hot):
-        plain = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({n: F.lag(v).over(plain) for n, v in values.items()})
-    df = cut_lineage(_with_segment(df, segment))
+    df = ranged(df, keys, order)
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     local = Window.partitionBy(*keys, "_seg").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_seg")
@@ -96,33 +74,21 @@ def previous(
         .agg(F.max_by(row, F.struct(*order)).alias("_end"))
         .select(*keys, "_seg", F.lag("_end").over(across).alias("_before"))
     )
-    out = df.withColumn("_lag", F.lag(row).over(local)).join(ends, [*keys, "_seg"], "left")
+    out = join_segments(df.withColumn("_lag", F.lag(row).over(local)), ends, keys)
     prior = F.coalesce("_lag", "_before")
     return out.withColumns({n: prior.getField(n) for n in values}).drop("_seg", "_lag", "_before")
 
 
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], score: Column, tie: str, name: str, tie_bucket: Column | None = None,
-    hot: bool | None = None,
-) -> DataFrame:
-    """Exact row number per key by (score desc, tie asc), split by score and by tie range.
-
-    Rows above a (score, tie bucket) cell are counted from map-side combined cell sizes, so only
-    rows of one cell are ever sorted together. ``tie_bucket`` must grow with ``tie``.
-    """
-    if not (has_hot_key(df, keys) if hot is None else hot):
-        plain = Window.partitionBy(*keys).orderBy(score.desc(), tie)
-        return df.withColumn(name, F.row_number().over(plain).cast("long"))
-    bucket = F.floor(F.col(tie) / F.lit(SEGMENT)) if tie_bucket is None else tie_bucket
-    df = cut_lineage(df)
-    df = df.withColumns({"_score": score, "_cell": bucket})
-    cells = [*keys, "_score", "_cell"]
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("_score"), "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*cells).orderBy(tie))
-    joined = df.withColumn("_rn", within).join(sizes, cells, "left")
-    return joined.withColumn(name, (F.col("_ahead") + F.col("_rn")).cast("long")).drop("_score", "_cell", "_ahead", "_rn")
+def row_numbers(df: DataFrame, keys: Sequence[str], score: Column, tie: str, name: str) -> DataFrame:
+    """Exact row number per key by (score desc, tie asc), for ties of any type: the place in its segment, behind the
+    rows of the key's earlier segments."""
+    df = ranged(df.withColumn("_score", score), keys, [F.desc("_score"), F.asc(tie)])
+    across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(F.desc("_score"), tie))
+    joined = join_segments(df.withColumn("_rn", within), sizes, keys)
+    return joined.withColumn(name, (F.col("_ahead") + F.col("_rn")).cast("long")).drop("_score", "_seg", "_ahead", "_rn")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:

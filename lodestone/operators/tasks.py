@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.operators.folds import Fold, segmented_fold
-from lodestone.operators.scans import by_ordinal
+from lodestone.operators.folds import Fold, counted, segmented_fold
 
 # States and allowed edges.
 STATES = ("PLANNING", "EXECUTION", "VALIDATION", "DONE")
@@ -40,8 +39,8 @@ def task_transitions(log: DataFrame, key: str = "task_id", order: str = "seq") -
     """
     codes = F.create_map(*[F.lit(x) for name, code in _CODES.items() for x in (name, code)])
     rows = log.withColumns({"_code": F.coalesce(F.try_element_at(codes, F.col("state")), F.lit(0)), "_ok": F.coalesce("confirmed", F.lit(False))})
-    fold = Fold(transition, _sweep, lambda seg: np.arange(len(STATES) + 1), lambda states, seg: states)
-    return segmented_fold(rows, [key], [order], by_ordinal(order), ["_code", "_ok"], fold, "accepted", "boolean").drop("_code", "_ok")
+    fold = Fold(transition, _sweep, **counted(len(STATES)))
+    return segmented_fold(rows, [key], [order], ["_code", "_ok"], fold, "accepted", "boolean").drop("_code", "_ok")
 
 
 DAY = 86_400
@@ -58,14 +57,14 @@ def _windows(width: int) -> Fold:
     def sweep(began, second):
         return np.where(second - began >= width, second, began)
 
-    def opening(segment):
-        return np.concatenate([[_NEVER], segment * DAY - np.arange(1, width)]).astype("int64")
+    def opening(first):
+        return np.concatenate([[_NEVER], first - np.arange(1, width)]).astype("int64")
 
-    def closing(states, segment):
-        age = (segment + 1) * DAY - states
+    def index(states, first):
+        age = first - np.asarray(states)
         return np.where((age >= 1) & (age < width), age, 0)
 
-    return Fold(step, sweep, opening, closing, lapses=True)
+    return Fold(step, sweep, opening, index)
 
 
 def epoch_seconds(df: DataFrame, ts: str) -> Column:
@@ -86,7 +85,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = 6,
         raise ValueError("window must be from 2 seconds to a day")
     rows = events.withColumn("_sec", epoch_seconds(events, ts))
     seconds = rows.groupBy(key, "_sec").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    opened = segmented_fold(seconds, [key], ["_sec"], F.floor(F.col("_sec") / DAY), ["_sec"], _windows(window), "window_start", "bigint")
+    opened = segmented_fold(seconds, [key], ["_sec"], ["_sec"], _windows(window), "window_start", "bigint")
     placed = rows.join(opened, [key, "_sec"])
     nth = F.row_number().over(Window.partitionBy(key, "window_start").orderBy(ts, order))
     out = placed.withColumn("allowed", nth <= limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import entity_name, stable_id, strip
-from lodestone.operators.scans import by_ordinal, has_hot_key, running
+from lodestone.operators.scans import running
 
 # Fixed values.
 NO_SECTION = "Без раздела"
@@ -45,7 +45,6 @@ def structure_blocks(raw: DataFrame) -> DataFrame:
     rows = rows.filter(~blank | has_asset).withColumn(
         "text", F.when(~blank, F.col("text")).when(table_row, IMAGE_ROW_TEXT).otherwise(IMAGE_TEXT)
     )
-    segment = by_ordinal("pos")
     names = F.transform(F.regexp_extract_all("text", F.lit(NAME_FIELD), F.lit(1)), strip)
     rows = rows.withColumn("_explicit", F.when(~table_row & (F.size(names) > 0), names))
     heading = F.col("level").isNotNull()
@@ -54,7 +53,7 @@ def structure_blocks(raw: DataFrame) -> DataFrame:
     }
     values["_named"] = ("last", F.when(F.col("_explicit").isNotNull(), F.struct("pos", F.col("_explicit").alias("names"))))
     values["ordinal"] = ("count", F.lit(1))
-    rows = running(rows, ["source"], ["pos"], segment, values, has_hot_key(rows, ["source"]))
+    rows = running(rows, ["source"], ["pos"], values)
 
     # A heading is live until one of its own or a higher level follows it.
     def position(n: int) -> Column:
@@ -77,7 +76,7 @@ def structure_blocks(raw: DataFrame) -> DataFrame:
     plain = rows.filter(F.col("table_id").isNull()).withColumns(
         {"row": F.lit(None).cast("long"), "table_headers": F.array().cast("array<string>"), "family_names": F.col("_names")}
     )
-    tables = running(rows.filter(F.col("table_id").isNotNull()), ["source", "table_id"], ["pos"], segment, {"row": ("count", F.lit(1))})
+    tables = running(rows.filter(F.col("table_id").isNotNull()), ["source", "table_id"], ["pos"], {"row": ("count", F.lit(1))})
     heads = tables.filter("row = 1").select("source", "table_id", F.col("cells").alias("table_headers"))
     column = F.array_position(F.transform("table_headers", lambda c: strip(c).rlike(NAME_COLUMN)), True)
     named = F.when(column > 0, F.get(F.col("cells"), (column - 1).cast("int")))

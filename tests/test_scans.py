@@ -10,40 +10,47 @@ from lodestone.operators import chunking, context, folds, scans, tasks
 
 @pytest.fixture(scope="module")
 def rows(spark):
+    """One key with half of the rows, null keys, null values, and orders far apart."""
     rng = random.Random(7)
-    data = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}", i, rng.choice([None, 1, 2, 5, 9]), rng.randrange(1, 12)) for i in range(600)]
-    return spark.createDataFrame(data, "k string, o long, v int, t int").cache()
+    data = [("hot" if rng.random() < 0.5 else rng.choice(["k0", "k1", "k2", None]), i * 10**9 if i % 3 else i * 10**9 + 7, rng.choice([None, 1, 2, 5, 9]), rng.randrange(1, 12), f"id{rng.randrange(10**6)}-{i}") for i in range(600)]
+    return spark.createDataFrame(data, "k string, o long, v int, t int, s string").cache()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def small_segments(spark):
+    """Keep every range partition, so that small tables have several segments."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
 
 
 def same(a, b):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
+def test_a_key_is_spread_by_rows(rows):
+    held = scans.ranged(rows, ["k"], ["o"])
+    assert held.filter("k = 'hot'").select("_seg").distinct().count() > 1
+
+
 def test_running_equals_plain_windows(rows):
-    values = {"s": ("sum", F.col("v")), "c": ("count", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v")), "z": ("last", F.col("v"))}
-    segment = scans.by_ordinal("o", 17)
-    cut = scans.running(rows, ["k"], ["o"], segment, values, hot=True)
-    plain = scans.running(rows, ["k"], ["o"], segment, values, hot=False)
-    same(cut.select("k", "o", *values), plain.select("k", "o", *values))
+    values = {"sum": ("sum", F.col("v")), "c": ("count", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v")), "z": ("last", F.col("v"))}
+    plain = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    calls = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda v: F.last(v, ignorenulls=True)}
+    want = rows.withColumns({n: calls[kind](value).over(plain) for n, (kind, value) in values.items()})
+    same(scans.running(rows, ["k"], ["o"], values).select("k", "o", *values), want.select("k", "o", *values))
 
 
 def test_previous_equals_lag(rows):
-    segment = scans.by_ordinal("o", 13)
-    cut = scans.previous(rows, ["k"], ["o"], segment, {"p": F.col("v"), "q": F.col("o")}, hot=True)
+    cut = scans.previous(rows, ["k"], ["o"], {"p": F.col("v"), "q": F.col("o")})
     plain = rows.withColumns({"p": F.lag("v").over(Window.partitionBy("k").orderBy("o")), "q": F.lag("o").over(Window.partitionBy("k").orderBy("o"))})
     same(cut.select("k", "o", "p", "q"), plain.select("k", "o", "p", "q"))
 
 
-def test_row_numbers_split_by_score_and_tie(rows):
-    score = F.coalesce("v", F.lit(0))
-    cut = scans.row_numbers(rows, ["k"], score, "o", "r", F.floor(F.col("o") / 50), hot=True)
-    plain = scans.row_numbers(rows, ["k"], score, "o", "r", hot=False)
-    same(cut.select("k", "o", "r"), plain.select("k", "o", "r"))
-
-
-def test_hot_key_is_measured(rows):
-    assert scans.has_hot_key(rows, ["k"], 200)
-    assert not scans.has_hot_key(rows, ["k"], 2000)
+def test_row_numbers_by_score_and_text_ties(rows):
+    plain = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), "s")).cast("long")
+    same(scans.row_numbers(rows, ["k"], F.col("v"), "s", "r").select("k", "s", "r"), rows.withColumn("r", plain).select("k", "s", "r"))
 
 
 def test_first_rows_is_the_first_by_order(rows):
@@ -66,36 +73,36 @@ def loop_pack(items, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_packing_fold_in_segments(rows, hot):
+def test_packing_fold_in_segments(rows):
     fold = chunking._packing(10)
-    out = folds.segmented_fold(rows.select("k", "o", "t"), ["k"], ["o"], scans.by_ordinal("o", 23), ["t"], fold, "starts", "boolean", hot)
+    out = folds.segmented_fold(rows.select("k", "o", "t"), ["k"], ["o"], ["t"], fold, "starts", "boolean")
+    held = rows.collect()
     got = {(r.k, r.o): r.starts for r in out.collect()}
     for k in {r.k for r in rows.collect()}:
-        items = sorted((r.o, r.t) for r in rows.collect() if r.k == k)
+        items = sorted((r.o, r.t) for r in held if r.k == k)
         for o, pack in loop_pack(items, 10).items():
             assert got[(k, o)] == (pack == o)
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_budget_fold_in_segments(rows, hot):
-    out = folds.segmented_fold(rows.select("k", "o", "t"), ["k"], ["o"], scans.by_ordinal("o", 31), ["t"], context._spending(90), "fits", "boolean", hot)
+def test_budget_fold_in_segments(rows, monkeypatch):
+    monkeypatch.setattr(folds, "BLOCK", 2)
+    out = folds.segmented_fold(rows.select("k", "o", "t"), ["k"], ["o"], ["t"], context._spending(90), "fits", "boolean")
+    held = rows.collect()
     got = {(r.k, r.o): r.fits for r in out.collect()}
     for k in {r.k for r in rows.collect()}:
         spent = 0
-        for o, t in sorted((r.o, r.t) for r in rows.collect() if r.k == k):
+        for o, t in sorted((r.o, r.t) for r in held if r.k == k):
             fits = spent + t <= 90
             spent += t if fits else 0
             assert got[(k, o)] == fits
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_rate_window_fold_across_days(spark, hot):
+def test_rate_window_fold_across_days(spark):
     rng = random.Random(3)
     day = tasks.DAY
     seconds = sorted({rng.randrange(day - 300, day + 300) for _ in range(120)} | {rng.randrange(3 * day) for _ in range(60)} | {2 * day + 5, 40 * day})
     df = spark.createDataFrame([("hot", s) for s in seconds], "k string, s long")
-    out = folds.segmented_fold(df, ["k"], ["s"], F.floor(F.col("s") / day), ["s"], tasks._windows(60), "began", "bigint", hot)
+    out = folds.segmented_fold(df, ["k"], ["s"], ["s"], tasks._windows(60), "began", "bigint")
     began, expected = -(10**18), {}
     for s in seconds:
         began = s if s - began >= 60 else began
