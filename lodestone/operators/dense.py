@@ -1,82 +1,149 @@
-"""Dense similarity in tiles, exact top-k and card recall."""
+"""Dense similarity in tiles: exact top-k, best cards, and exact ranks of chosen candidates."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.functions.vectors import cosine
 from lodestone.operators.scans import top_rows
 
-TILE_ROWS = 20_000
+TILE_ROWS = 2048
+STRIP_ROWS = 256
+ASKED = 256
 DIGITS = 6
 
 
 def _tiles(df: DataFrame) -> int:
-    """Tiles of bounded size, and enough of them to use the cores once there is real work."""
-    n = df.count()
-    spread = df.sparkSession.sparkContext.defaultParallelism if n > 1000 else 1
-    return max(math.ceil(n / TILE_ROWS), spread)
+    return max(1, -(-df.count() // TILE_ROWS))
 
 
-def _tiled(queries: DataFrame, chunks: DataFrame, k: int | None, digits: int) -> DataFrame:
-    """Similarity of every query and chunk, as matrix products of tiles; k best per query and tile, or all.
+def _tiled(queries: DataFrame, chunks: DataFrame, digits: int, schema: str, pick: Callable) -> DataFrame:
+    """Run ``pick(query rows, chunk rows, similarities)`` over strips of every pair of tiles.
 
-    A tile pair is one task: TILE_ROWS bounds what it holds, whatever the tables grow to. Scores are
-    rounded, so that ties fall to the chunk id in any tiling.
+    A pair of tiles is one task and holds TILE_ROWS rows of each side and the similarities of STRIP_ROWS queries,
+    whatever the tables grow to; what ``pick`` returns is all that leaves it. Scores are rounded, so that ties fall to
+    the chunk id in any tiling.
     """
-    across = _tiles(chunks)
-    down = max(1, math.ceil(queries.count() / TILE_ROWS))
-    left = queries.select("query_id", F.col("embedding").alias("_v"), F.pmod(F.xxhash64("query_id"), F.lit(down)).alias("_q"))
+    across, down = _tiles(chunks), _tiles(queries)
+    left = queries.withColumn("_q", F.pmod(F.xxhash64(*[c for c in queries.columns if c != "embedding"]), F.lit(down)))
     left = left.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
-    right = chunks.select("chunk_id", F.col("embedding").alias("_v"), F.pmod(F.xxhash64("chunk_id"), F.lit(across)).alias("_c"))
+    right = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(across)))
     right = right.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
-    types = {**dict(queries.dtypes), **dict(chunks.dtypes)}
-    schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, similarity double"
 
     def product(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names = [part.split()[0] for part in schema.split(", ")]
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": c["chunk_id"][:0], "similarity": []})
-        a = np.stack(q["_v"].to_list()).astype("float64")
-        b = np.stack(c["_v"].to_list()).astype("float64")
-        norm = np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1)))
-        scores = np.clip(np.round(a @ b.T / norm, digits), -1.0, 1.0) + 0.0
-        ids = c["chunk_id"].to_numpy()
-        if k is None or k >= len(ids):
-            picks = [np.arange(len(ids))] * len(a)
-        else:
-            picks = []
-            for row in scores:
-                floor = np.partition(row, -k)[-k]
-                near = np.flatnonzero(row >= floor)
-                picks.append(near[np.lexsort((ids[near], -row[near]))][:k])
-        return pd.DataFrame({
-            "query_id": np.repeat(q["query_id"].to_numpy(), [len(p) for p in picks]),
-            "chunk_id": np.concatenate([ids[p] for p in picks]),
-            "similarity": np.concatenate([row[p] for row, p in zip(scores, picks)]),
-        })
+            return pd.DataFrame({n: [] for n in names})
+        b = np.stack(c["embedding"].to_list()).astype("float64")
+        size, found = (b * b).sum(1), []
+        for i in range(0, len(q), STRIP_ROWS):
+            strip = q.iloc[i : i + STRIP_ROWS]
+            a = np.stack(strip["embedding"].to_list()).astype("float64")
+            norm = np.sqrt(np.outer((a * a).sum(1), size))
+            found.append(pick(strip, c, np.clip(np.round(a @ b.T / norm, digits), -1.0, 1.0) + 0.0))
+        return pd.concat(found, ignore_index=True)[names]
 
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(product, schema)
 
 
-def similarity_pairs(queries: DataFrame, chunks: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """(query_id, chunk_id, similarity) for all pairs; use only where every rank is wanted."""
-    return _tiled(queries, chunks, None, digits)
+def _best(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best by (similarity desc, id)."""
+    if k < len(row):
+        near = np.flatnonzero(row >= np.partition(row, -k)[-k])
+    else:
+        near = np.arange(len(row))
+    return near[np.lexsort((ids[near], -row[near]))][:k]
+
+
+def _hits(strip: pd.DataFrame, ids: np.ndarray, scores: np.ndarray, picks: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({
+        "query_id": np.repeat(strip["query_id"].to_numpy(), [len(p) for p in picks]),
+        "chunk_id": np.concatenate([ids[p] for p in picks]), "similarity": np.concatenate([row[p] for row, p in zip(scores, picks)])})
+
+
+def _hit_types(queries: DataFrame, chunks: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}"
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     """Best k chunks per query by similarity, then id; tiles hand over k rows per query only."""
     if not 1 <= k <= 100:
         raise ValueError("k must be from 1 to 100")
-    return top_rows(_tiled(queries, chunks, k, digits), ["query_id"], [F.desc("similarity"), "chunk_id"], k)
+    return _topk(queries, chunks, k, digits)
+
+
+def _topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
+    def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        ids = c["chunk_id"].to_numpy()
+        return _hits(strip, ids, scores, [_best(row, ids, k) for row in scores])
 
+    rows = _tiled(
+        queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding"), digits, f"{_hit_types(queries, chunks)}, similarity double", pick)
+    return top_rows(rows, ["query_id"], [F.desc("similarity"), "chunk_id"], k)
 
-def card_recall(queries: DataFrame, cards: DataFrame, owners: int = 20, pairs: DataFrame | None = None) -> DataFrame:
-    """Best card per owner, then the best owners: (query_id, owner_id, chunk_id, similarity, rank)."""
-    scored = (similarity_pairs(queries, cards) if pairs is None else pairs).join(cards.select("chunk_id", "owner_id"), "chunk_id")
-    best = scored.groupBy("query_id", "owner_id").agg(
+
+def card_recall(queries: DataFrame, cards: DataFrame, owners: int = 20, digits: int = DIGITS) -> DataFrame:
+    """Best card per owner, then the best owners: (query_id, owner_id, chunk_id, similarity, rank).
+
+    The best card of an owner is among the best of its own tile, and no more than ``owners`` owners of a tile can be
+    among the best of all, so a tile hands over that many rows per query.
+    """
+    def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        ids = c["chunk_id"].to_numpy()
+        holder = pd.factorize(c["owner_id"], use_na_sentinel=False)[0]
+        picks = []
+        for row in scores:
+            order = np.lexsort((ids, -row))
+            first = np.unique(holder[order], return_index=True)[1]
+            picks.append(order[np.sort(first)[:owners]])
+        out = _hits(strip, ids, scores, picks)
+        out["owner_id"] = np.concatenate([c["owner_id"].to_numpy()[p] for p in picks])
+        return out
+
+    kinds = f"{_hit_types(queries, cards)}, similarity double, owner_id {dict(cards.dtypes)['owner_id']}"
+    rows = _tiled(queries.select("query_id", "embedding"), cards.select("chunk_id", "owner_id", "embedding"), digits, kinds, pick)
+    best = rows.groupBy("query_id", "owner_id").agg(
         F.min_by(F.struct("chunk_id", "similarity"), F.struct(-F.col("similarity"), F.col("chunk_id"))).alias("_b"))
     flat = best.select("query_id", "owner_id", "_b.chunk_id", "_b.similarity")
     return top_rows(flat, ["query_id"], [F.desc("similarity"), "chunk_id"], owners)
+
+
+def dense_ranks(queries: DataFrame, chunks: DataFrame, wanted: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(query_id, chunk_id, similarity, dense_rank) of the wanted pairs, ranked among all chunks.
+
+    Similarities of the pairs come from joins. Their ranks are one more than the numbers of chunks ahead, which every tile
+    counts for itself, so wanted pairs times tiles leave the tiles and never all pairs.
+    """
+    both = wanted.select("query_id", "chunk_id").distinct().join(queries.select("query_id", F.col("embedding").alias("_a")), "query_id")
+    both = both.join(chunks.select("chunk_id", F.col("embedding").alias("_b")), "chunk_id")
+    pairs = both.select("query_id", "chunk_id", (F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("_a"), F.col("_b")))), digits) + 0.0).alias("similarity"))
+    # A query asks for ASKED of its pairs at a time, so a query with many pairs is several rows.
+    lots = pairs.withColumn("_lot", F.floor((F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")) - 1) / ASKED))
+    asked = lots.groupBy("query_id", "_lot").agg(F.collect_list("chunk_id").alias("_ids"), F.collect_list("similarity").alias("_sims"))
+    asked = asked.join(queries.select("query_id", "embedding"), "query_id").drop("_lot")
+
+    def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        ids, out = c["chunk_id"].to_numpy(), []
+        for query, names, sims, row in zip(strip["query_id"], strip["_ids"], strip["_sims"], scores):
+            sims, names = np.asarray(sims), np.asarray(names)
+            ahead = (row[None] > sims[:, None]).sum(1)
+            even = row[None] == sims[:, None]
+            for i in np.flatnonzero(even.any(1)):
+                ahead[i] += int((ids[even[i]] < names[i]).sum())
+            out.append(pd.DataFrame({"query_id": [query] * len(names), "chunk_id": names, "ahead": ahead.astype("int64")}))
+        return pd.concat(out, ignore_index=True)
+
+    counts = _tiled(asked, chunks.select("chunk_id", "embedding"), digits, f"{_hit_types(queries, chunks)}, ahead bigint", pick)
+    ranks = counts.groupBy("query_id", "chunk_id").agg((F.sum("ahead") + 1).alias("dense_rank"))
+    return pairs.join(ranks, ["query_id", "chunk_id"])
+
+
+def dense_candidates(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(query_id, chunk_id, similarity, dense_rank) of the k best of each query and of the wanted pairs."""
+    top = _topk(queries, chunks, k, digits).select("query_id", "chunk_id", "similarity", F.col("rank").cast("long").alias("dense_rank"))
+    rest = wanted.select("query_id", "chunk_id").join(top, ["query_id", "chunk_id"], "left_anti")
+    return top.unionByName(dense_ranks(queries, chunks, rest, digits))

@@ -40,11 +40,14 @@ def exact_entity_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return texts.select("query_id", "chunk_id", F.lit(True).alias("exact"), found.alias("in_text"))
 
 
-def rank_channels(pairs: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Add lexical, dense_rank over all pairs and lexical_rank over positive scores (0 = none)."""
-    dense = row_numbers(pairs, ["query_id"], F.col("similarity"), "chunk_id", "dense_rank")
-    words = row_numbers(lexical.filter("lexical > 0"), ["query_id"], F.col("lexical"), "chunk_id", "lexical_rank")
-    joined = dense.join(words, KEY, "left")
+def lexical_ranks(lexical: DataFrame) -> DataFrame:
+    """Add lexical_rank over the positive scores of each question."""
+    return row_numbers(lexical.filter("lexical > 0"), ["query_id"], F.col("lexical"), "chunk_id", "lexical_rank")
+
+
+def rank_channels(dense: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates with dense_rank, and lexical and lexical_rank where words are shared (0 = none)."""
+    joined = dense.join(words.select(*KEY, "lexical", "lexical_rank"), KEY, "left")
     return joined.withColumns({"lexical": F.coalesce("lexical", F.lit(0.0)), "lexical_rank": F.coalesce("lexical_rank", F.lit(0))})
 
 

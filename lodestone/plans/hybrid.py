@@ -8,7 +8,7 @@ from lodestone.functions.messages import split_questions
 from lodestone.functions.text import search_tokens
 from lodestone.operators import retrieval as R
 from lodestone.operators.dedup import near_duplicates, signatures
-from lodestone.operators.dense import card_recall, dense_topk, similarity_pairs
+from lodestone.operators.dense import card_recall, dense_candidates, dense_topk
 from lodestone.operators.lexical import bm25, lexical_rerank, query_terms, tokenize
 from lodestone.session import cut_lineage
 
@@ -18,17 +18,21 @@ KEY = R.KEY
 def hybrid_candidates(queries: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
     """First stage: dense and lexical ranks, fusion, and the hits of any channel.
 
+    Candidates are the best by similarity, the best by words, the chunks of a named entity and the best cards; only
+    they are ranked among all chunks.
+
     queries: query_id, text, embedding. chunks: chunk_id, text, section, family_names, owner_id, kind,
     conflict, embedding.
     """
     whole = F.concat_ws("\n", "text", "section", F.array_join("family_names", " "))
     tokens = cut_lineage(tokenize(chunks, "chunk_id", whole))
     terms = query_terms(queries)
-    pairs = cut_lineage(similarity_pairs(queries, chunks))
-    ranked = R.rank_channels(pairs, bm25(terms, tokens))
-    cards = card_recall(queries, chunks.filter("kind = 'family_card'"), pairs=pairs)
-    exact = R.exact_entity_match(queries, chunks)
-    return R.candidates(ranked, exact, cards, limit)
+    words = cut_lineage(R.lexical_ranks(bm25(terms, tokens)))
+    cards = cut_lineage(card_recall(queries, chunks.filter("kind = 'family_card'")))
+    exact = cut_lineage(R.exact_entity_match(queries, chunks))
+    wanted = words.filter(F.col("lexical_rank") <= R.LEXICAL_WINDOW).select(*KEY).unionByName(exact.select(*KEY)).unionByName(cards.select(*KEY))
+    dense = dense_candidates(queries, chunks, max(R.DENSE_WINDOW, limit or 0), cut_lineage(wanted.distinct()))
+    return R.candidates(R.rank_channels(dense, words), exact, cards, limit)
 
 
 def finish(reranked: DataFrame, chunks: DataFrame, limit: int | None = None, semantic: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from lodestone.functions.text import search_tokens
 from lodestone.functions.vectors import HASH_DIMS, hashing_vectors
 from lodestone.operators import retrieval as R
 from lodestone.operators.dedup import near_duplicates, signatures
-from lodestone.operators.dense import similarity_pairs
+from lodestone.operators.dense import dense_candidates
 from lodestone.operators.lexical import bm25, corpus_stats, lexical_rerank, query_terms, tokenize
 from lodestone.operators.scans import top_rows
 from lodestone.plans import hybrid as P
@@ -148,14 +148,19 @@ def exact_entity_match(spark, d):
     return R.exact_entity_match(derive(spark, d, QUESTIONS), rows)
 
 
-@query("rank_channels", f"{STAGE_LEX}, {RANKED} SELECT query_id, chunk_id, similarity, lexical, dense_rank, lexical_rank FROM ranked")
+# Ranks are wanted for the best of either channel only; they are places among all chunks.
+BEST = "dense_rank <= 60 OR lexical_rank BETWEEN 1 AND 40"
+
+
+@query("rank_channels", f"{STAGE_LEX}, {RANKED} SELECT query_id, chunk_id, similarity, lexical, dense_rank, lexical_rank FROM ranked WHERE {BEST}")
 def rank_channels(spark, d):
     _, tokens, terms = token_tables(spark, d)
-    pairs = cut_lineage(similarity_pairs(questions(spark, d), chunks(spark, d)))
-    return R.rank_channels(pairs, bm25(terms, tokens))
+    words = cut_lineage(R.lexical_ranks(bm25(terms, tokens)))
+    dense = dense_candidates(questions(spark, d), chunks(spark, d), R.DENSE_WINDOW, words.filter(F.col("lexical_rank") <= R.LEXICAL_WINDOW))
+    return R.rank_channels(dense, words)
 
 
-@query("rrf", f"""{STAGE_LEX}, {RANKED} SELECT query_id, chunk_id, round(1 / (60 + dense_rank) + CASE WHEN lexical_rank > 0 THEN 1 / (60 + lexical_rank) ELSE 0 END, 9) AS fusion FROM ranked""")
+@query("rrf", f"""{STAGE_LEX}, {RANKED} SELECT query_id, chunk_id, round(1 / (60 + dense_rank) + CASE WHEN lexical_rank > 0 THEN 1 / (60 + lexical_rank) ELSE 0 END, 9) AS fusion FROM ranked WHERE {BEST}""")
 def rrf(spark, d):
     return rank_channels(spark, d).select("query_id", "chunk_id", R.rrf(F.col("dense_rank"), F.col("lexical_rank")).alias("fusion"))
 
