@@ -22,13 +22,15 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def index_batch(docs: DataFrame, batch: int, path: str, size: int = 600, overlap: int = 100) -> None:
     """Chunk one batch and encode inputs that no earlier batch has encoded.
 
-    Every batch writes its own folder and overwrites it, so a replayed batch changes nothing.
+    Every batch writes its own folder and overwrites it, so a replayed batch changes nothing. The ids of its documents
+    are written too: a document that is sent again is known by its last batch, even where that has no chunks.
     """
     spark = docs.sparkSession
     chunks = fixed_windows(docs, ["doc_id"], "text", size, overlap)
     chunks = chunks.withColumns({
         "chunk_id": stable_id(F.col("doc_id").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), F.col("text")),
         "input_hash": F.sha2("text", 256)})
+    docs.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
     chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
     written = spark.read.parquet(f"{path}/chunks/batch={batch}")
     known = _stored(spark, f"{path}/vectors", VECTORS).filter(F.col("batch") != batch).select("input_hash").distinct()
@@ -45,9 +47,10 @@ def index_stream(docs: DataFrame, path: str, **sizes: int):
 
 
 def stream_index(docs: DataFrame, path: str, **sizes: int) -> DataFrame:
-    """Run the stream over all that is there and return the chunks with their vectors."""
+    """Run the stream over all that is there and return the chunks of each document's last batch with their vectors."""
     index_stream(docs, path, **sizes).awaitTermination()
     spark = docs.sparkSession
-    chunks = spark.read.parquet(f"{path}/chunks")
+    last = spark.read.parquet(f"{path}/docs").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    chunks = spark.read.parquet(f"{path}/chunks").join(last, ["doc_id", "batch"], "left_semi")
     vectors = _stored(spark, f"{path}/vectors", VECTORS).groupBy("input_hash").agg(F.any_value("embedding").alias("embedding"))
     return chunks.join(vectors, "input_hash", "left")
