@@ -101,7 +101,7 @@ def _scanner(held, width: int):
     return scan
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summary(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Word counts, hit words and merged hit passages in characters of the original text."""
     for batch in pieces(batches, "text"):
         words = split(column(batch, "text"), ALNUM)
@@ -125,7 +125,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = (words.start[a + begin] - words.offsets[i], words.end[a + end - 1] - words.offsets[i])
                 passages[i].append({"start": int(chars[at[0]]), "stop": int(chars[at[1]])})
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        rest = [n for n in batch.schema.names if n not in ("text", "_spans", "_items")]
+        rest = [n for n in batch.schema.names if n not in ("_spans", "_items") and (with_text or n != "text")]
         yield pa.RecordBatch.from_arrays(
             [*[column(batch, n) for n in rest], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), column(batch, "_items"), pa.array(passages, kinds)],
             names=[*rest, "n_words", "n_hit", "items", "passages"])
@@ -143,12 +143,14 @@ def drop_contaminated(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """The rows and columns of ``docs`` without contaminated documents."""
-    found = _found(docs, bench, id_col, text_col, item_col, item_text, WIDTH, GROUP_BYTES, docs.columns).filter(~contaminated())
-    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rest = [c for c in docs.columns if c != text_col]
+    found = _found(docs, bench, id_col, text_col, item_col, item_text, WIDTH, GROUP_BYTES, rest, True).filter(~contaminated())
+    carried = {c: F.col(f"_c{i}") for i, c in enumerate(rest)} | {text_col: F.col("text")}
+    return found.select(*[carried[c].alias(c) for c in docs.columns])
 
 
 def _found(
-    docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, group_bytes: int, carry: list[str],
+    docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, group_bytes: int, carry: list[str], with_text: bool = False,
 ) -> DataFrame:
     carried = [f"_c{i}" for i in range(len(carry))]
     kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried))
@@ -165,8 +167,9 @@ def _found(
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == group)
         held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         out = out.mapInArrow(_scanner(held, width), inner)
-    final = f"_id {kind}{kinds}, n_words bigint, n_hit bigint, items array<string>, passages array<struct<start:bigint,stop:bigint>>"
-    return out.mapInArrow(_summary, final)
+    text = ", text string" if with_text else ""
+    final = f"_id {kind}{kinds}{text}, n_words bigint, n_hit bigint, items array<string>, passages array<struct<start:bigint,stop:bigint>>"
+    return out.mapInArrow(lambda batches: _summary(batches, with_text), final)
 
 
 def contaminated() -> F.Column:

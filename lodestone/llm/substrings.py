@@ -205,7 +205,7 @@ def _counter(window: int):
     return count
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         words = split(column(batch, "text"))
         spans = column(batch, "spans")
@@ -221,7 +221,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, edge = joined.tobytes(), np.append(begin, int(sizes.sum()))[left]
         kept = [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         n_words = np.diff(words.first)
-        rest = [n for n in batch.schema.names if n not in ("text", "spans")]
+        rest = [n for n in batch.schema.names if n != "spans" and (with_text or n != "text")]
         yield pa.RecordBatch.from_arrays(
             [*[column(batch, n) for n in rest], pa.array(n_words, pa.int64()), pa.array(n_words - np.diff(left), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
             names=[*rest, "n_words", "n_removed", "kept"])
@@ -237,18 +237,18 @@ def remove_repeats(
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW) -> DataFrame:
     """The rows and columns of ``docs`` with repeated words gone from the text; other texts stay as they are."""
-    rest = [c for c in docs.columns if c not in (text_col, length_col)]
-    found = _removed(docs, id_col, text_col, window, SEED_WORDS, BUCKET_BYTES, HOT_SHARE, [*rest, text_col, *([length_col] if length_col else [])])
-    carried = {c: F.col(f"_c{i}") for i, c in enumerate([*rest, text_col, *([length_col] if length_col else [])])}
+    rest = [c for c in docs.columns if c != text_col]
+    found = _removed(docs, id_col, text_col, window, SEED_WORDS, BUCKET_BYTES, HOT_SHARE, rest, True)
+    carried = {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
     changed = F.col("n_removed") > 0
     if length_col:
         carried[length_col] = F.when(changed, F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(carried[length_col])
-    carried[text_col] = F.when(changed, F.col("kept")).otherwise(carried[text_col])
+    carried[text_col] = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     return found.select(*[carried[c].alias(c) for c in docs.columns])
 
 
 def _removed(
-    docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, bucket_bytes: int, hot_share: float, carry: list[str],
+    docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, bucket_bytes: int, hot_share: float, carry: list[str], with_text: bool = False,
 ) -> DataFrame:
     carried = [f"_c{i}" for i in range(len(carry))]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, carried)])
@@ -263,7 +263,8 @@ def _removed(
     kind = docs.schema[id_col].dataType.simpleString()
     marked = source.join(spans, ["k1", "k2"], "left").select("id", *carried, "text", "spans")
     kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried))
-    return marked.mapInArrow(_remove, f"id {kind}{kinds}, n_words bigint, n_removed bigint, kept string")
+    text = ", text string" if with_text else ""
+    return marked.mapInArrow(lambda batches: _remove(batches, with_text), f"id {kind}{kinds}{text}, n_words bigint, n_removed bigint, kept string")
 
 
 OP3_SQL = r"""
