@@ -12,7 +12,6 @@ from lodestone.functions.messages import APPEARANCE, PARAMETER_LIKE
 from lodestone.functions.text import squeeze, strip
 
 # Fixed values.
-UNKNOWN = "Не знаю. Для корректного ответа нужны дополнительные данные."
 ASK_MORE = "Не знаю. Для корректного ответа укажите дополнительно - "
 ASK = {
     "image": "читаемое изображение общего вида или разреза элемента для вопроса «",

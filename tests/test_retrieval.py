@@ -160,3 +160,16 @@ def test_encoder_output_is_checked(spark):
     assert len(rows) == 40 and all(len(r.embedding) == 8 and r.embedding[-1] >= 1 for r in rows)
     with pytest.raises(Exception, match="wrong number or size"):
         embed(docs, "id", "text", word_hash_encoder(4), 8).collect()
+
+
+def test_templates_without_duplicates_take_few_rounds(spark, monkeypatch):
+    from lodestone.operators import dedup
+
+    rounds = []
+    verified = dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    words = [f"w{i}" for i in range(80)]
+    texts = [(i, 0, words[:60] + [f"x{i}_{j}" for j in range(20)]) for i in range(300)]
+    df = spark.createDataFrame(texts, "id int, g int, t array<string>")
+    found = near_duplicates(df, ["g"], "id", [], signatures(df, "id", "t"))
+    assert found.filter("duplicate").count() == 0 and len(rounds) <= 2
