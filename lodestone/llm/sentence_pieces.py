@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -117,20 +117,38 @@ class Pieces:
 
     def unit(self, text: str) -> tuple[int, bytes]:
         """Best sum and ids of a text that starts and ends at sure cuts."""
-        best, back = self.forward(text, {0: 0})
-        return best[-1], np.array(self.trace(text, back, len(text))[1], "<i4").tobytes()
+        ids, longest, best, back = self.ids, self.longest, [0], [0]
+        for j in range(1, len(text) + 1):
+            top, at = NONE, j - 1
+            for i in range(max(0, j - longest), j):  # the longer piece first, so it wins ties
+                known = ids.get(text[i:j])
+                if known is not None and best[i] + known[1] > top:
+                    top, at = best[i] + known[1], i
+            if top == NONE or text[j - 1] not in ids:
+                value = best[j - 1] + self.byte_score * len(text[j - 1].encode())
+                if text[j - 1] not in ids and value > top:
+                    top, at = value, j - 1
+            best.append(top)
+            back.append(at)
+        out, j = [], len(text)
+        while j:
+            out.append(self._step(text, j, j - back[j])[0])
+            j = back[j]
+        return best[-1], np.array([i for step in reversed(out) for i in step], "<i4").tobytes()
 
     def known(self, units: list[str]) -> list[tuple[int, bytes]]:
-        if len(self.cache) + len(units) > CACHE_UNITS:
-            self.cache = {}
-        cache, out = self.cache, []
+        cache, fresh, out = self.cache, {}, []
         for u in units:
-            found = cache.get(u)
+            found = cache.get(u) or fresh.get(u)
             if found is None:
                 found = self.unit(u)
                 if len(u) <= 64:
-                    cache[u] = found
+                    fresh[u] = found
             out.append(found)
+        if len(cache) + len(fresh) > CACHE_UNITS:
+            self.cache = fresh
+        else:
+            cache.update(fresh)
         return out
 
     def units(self, text: str) -> tuple[int, bytes]:
@@ -236,8 +254,9 @@ class Pieces:
             out[e] = np.where(tail == NONE, NONE, head + middle + tail)
         return out
 
-    def paths(self, text: str, size: int, entry: list[int]) -> list[tuple[int, bytes]]:
-        """For every exit cut its entry cut and the ids between, given the best sums at the entry cuts (-1: none)."""
+    def paths(self, text: str, size: int, entry: list[int]) -> tuple[bytes, list[tuple[int, bytes]]]:
+        """The ids all paths begin with, and for every exit cut its entry cut (-1: none) and further ids, given the best
+        sums at the entry cuts."""
         ends = self._ends(text, size)
         seeds = {e: int(v) for e, v in enumerate(entry) if v > NONE // 2}
         out: list[tuple[int, bytes]] = []
@@ -255,7 +274,7 @@ class Pieces:
                 else:
                     e, ids = self.trace(text, back, size + f - steps[f])
                     out.append((e, raw(ids + (list(self._step(text, size + f, steps[f])[0]) if steps[f] else []))))
-            return out
+            return b"", out
         first, last = ends
         best, back = self.forward(text[:first], seeds)
         e, ids = self.trace(text, back, first)
@@ -267,8 +286,8 @@ class Pieces:
                 out.append((-1, b""))
                 continue
             _, ids = self.trace(text[last:], back, size - last + f - steps[f])
-            out.append((e, head + raw(ids + (list(self._step(text[last:], size - last + f, steps[f])[0]) if steps[f] else []))))
-        return out
+            out.append((e, raw(ids + (list(self._step(text[last:], size - last + f, steps[f])[0]) if steps[f] else []))))
+        return head, out
 
 
 def model(path: str) -> Pieces:
@@ -292,6 +311,13 @@ def encode_pieces(
 ) -> DataFrame:
     """One row per document: id, text, pieces (array of ids), score (best sum in millionths)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, text string, pieces array<int>, score bigint"
+    return _encoded(docs, path, id_col, text_col, chunk, block, lambda batches: batches, schema).withColumnRenamed("id", id_col)
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, block: int, finish: Callable, schema: str) -> DataFrame:
+    """Encoded documents as ``finish`` makes them of batches of id, text, pieces and score, in the task that encodes."""
+    kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = F.length("text") >= chunk
 
@@ -301,7 +327,7 @@ def encode_pieces(
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), column(batch, "text"), _id_lists(ids, begin), pa.array(score)], names=["id", "text", "pieces", "score"])
 
-    out = source.filter(~F.coalesce(long, F.lit(False))).mapInArrow(whole, f"id {kind}, text string, pieces array<int>, score bigint")
+    out = source.filter(~F.coalesce(long, F.lit(False))).mapInArrow(lambda batches: finish(whole(batches)), schema)
     keyed = source.filter(long).withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", F.lit(1), "id")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,14 +341,18 @@ def encode_pieces(
                     yield pa.RecordBatch.from_pylist([dict(zip(("k1", "k2", "k", "size", "part"), r)) for r in rows[i : i + 64]], schema=chunk_type)
 
     chunk_type = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("k", pa.int64()), ("size", pa.int64()), ("part", pa.string())])
+    # The steps between scans are heavy for their bytes, so partitions are not merged by size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Chunks are dealt out anew, so that one document's work is spread; a repeated row has its chunks once.
     chunks = cut_lineage(keyed.select("k1", "k2", "text").mapInArrow(cut, "k1 bigint, k2 bigint, k bigint, size bigint, part string")
-                         .repartition("k1", "k2", "k").dropDuplicates(["k1", "k2", "k"]))
+                         .repartition(parts, "k1", "k2", "k").dropDuplicates(["k1", "k2", "k"]))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [model(path).transfer(t, n).reshape(-1).tolist() for t, n in zip(column(batch, "part").to_pylist(), column(batch, "size").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[column(batch, n) for n in ("k1", "k2", "k")], pa.array(cells, pa.list_(pa.int64()))], names=["k1", "k2", "k", "m"])
+        for whole_batch in batches:
+            for i in range(0, whole_batch.num_rows, 32):
+                batch = whole_batch.slice(i, 32)
+                cells = [model(path).transfer(t, n).reshape(-1).tolist() for t, n in zip(column(batch, "part").to_pylist(), column(batch, "size").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*[column(batch, n) for n in ("k1", "k2", "k")], pa.array(cells, pa.list_(pa.int64()))], names=["k1", "k2", "k", "m"])
 
     stepped = cut_lineage(chunks.mapInArrow(matrices, "k1 bigint, k2 bigint, k bigint, m array<bigint>").withColumn("b", F.floor(F.col("k") / block)))
 
@@ -350,33 +380,39 @@ def encode_pieces(
 
         return scan
 
-    blocks = stepped.groupBy("k1", "k2", "b").applyInPandas(product, "k1 bigint, k2 bigint, b bigint, m array<bigint>")
-    opening = blocks.groupBy("k1", "k2").applyInPandas(entries("b"), "k1 bigint, k2 bigint, b bigint, entry array<bigint>")
-    seeded = stepped.join(opening, ["k1", "k2", "b"]).groupBy("k1", "k2", "b").applyInPandas(entries("k"), "k1 bigint, k2 bigint, k bigint, entry array<bigint>")
+    blocks = stepped.repartition(parts, "k1", "k2", "b").groupBy("k1", "k2", "b").applyInPandas(product, "k1 bigint, k2 bigint, b bigint, m array<bigint>")
+    opening = blocks.repartition(parts, "k1", "k2").groupBy("k1", "k2").applyInPandas(entries("b"), "k1 bigint, k2 bigint, b bigint, entry array<bigint>")
+    seeded = stepped.join(opening, ["k1", "k2", "b"]).repartition(parts, "k1", "k2", "b").groupBy("k1", "k2", "b").applyInPandas(entries("k"), "k1 bigint, k2 bigint, k bigint, entry array<bigint>")
 
     path_type = pa.list_(pa.struct([("e", pa.int32()), ("ids", pa.binary())]))
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = zip(*[column(batch, n).to_pylist() for n in ("part", "size", "entry")])
-            found = [[{"e": e, "ids": ids} for e, ids in model(path).paths(t, n, entry)] for t, n, entry in parts]
-            yield pa.RecordBatch.from_arrays([*[column(batch, n) for n in ("k1", "k2", "k")], pa.array(found, path_type)], names=["k1", "k2", "k", "paths"])
+        for whole_batch in batches:
+            for i in range(0, whole_batch.num_rows, 32):
+                batch = whole_batch.slice(i, 32)
+                parts = zip(*[column(batch, n).to_pylist() for n in ("part", "size", "entry")])
+                found = [model(path).paths(t, n, entry) for t, n, entry in parts]
+                ways = [[{"e": e, "ids": ids} for e, ids in own] for _, own in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*[column(batch, n) for n in ("k1", "k2", "k")], pa.array([h for h, _ in found], pa.binary()), pa.array(ways, path_type)],
+                    names=["k1", "k2", "k", "head", "paths"])
 
     traced = chunks.join(seeded, ["k1", "k2", "k"]).select("k1", "k2", "k", "part", "size", "entry").mapInArrow(
-        traces, "k1 bigint, k2 bigint, k bigint, paths array<struct<e:int,ids:binary>>")
+        traces, "k1 bigint, k2 bigint, k bigint, head binary, paths array<struct<e:int,ids:binary>>")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", ascending=False)
         exit_cut, out = 0, []
-        for paths in pdf.sort_values("k", ascending=False)["paths"]:
+        for head, paths in zip(pdf["head"], pdf["paths"]):
             exit_cut, ids = paths[exit_cut]["e"], paths[exit_cut]["ids"]
-            out.append(ids)
+            out.append(head + ids)
         whole_ids = np.frombuffer(b"".join(reversed(out)), "<i4")
-        return pdf.iloc[:1][["k1", "k2"]].assign(pieces=[whole_ids.tolist()])
+        return pdf.iloc[:1][["k1", "k2"]].assign(pieces=[whole_ids])
 
-    picked = traced.groupBy("k1", "k2").applyInPandas(pick, "k1 bigint, k2 bigint, pieces array<int>")
+    picked = traced.repartition(parts, "k1", "k2").groupBy("k1", "k2").applyInPandas(pick, "k1 bigint, k2 bigint, pieces array<int>")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             m = model(path)
             worth = np.zeros(len(m.spell), np.int64)
             for i, s in m.ids.values():
@@ -388,8 +424,8 @@ def encode_pieces(
             edge = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ("id", "text", "pieces")], pa.array(total[edge[1:]] - total[edge[:-1]])], names=["id", "text", "pieces", "score"])
 
-    giants = keyed.join(picked, ["k1", "k2"]).select("id", "text", "pieces").mapInArrow(sums, f"id {kind}, text string, pieces array<int>, score bigint")
-    return out.unionByName(giants).withColumnRenamed("id", id_col)
+    giants = keyed.join(picked, ["k1", "k2"]).select("id", "text", "pieces").mapInArrow(lambda batches: finish(sums(batches)), schema)
+    return out.unionByName(giants)
 
 
 def decode_pieces(encoded: DataFrame, path: str, pieces_col: str = "pieces") -> DataFrame:
@@ -411,15 +447,24 @@ def decode_pieces(encoded: DataFrame, path: str, pieces_col: str = "pieces") ->
 
 def piece_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, score, pieces_crc32 (little-endian 32-bit ids), round_trip (decoding gives the text back)."""
-    found = decode_pieces(encode_pieces(docs, path), path)
-
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda v: zlib.crc32(np.asarray(v, "<i4").tobytes()))
 
-    return found.select(
-        "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "score", crc("pieces").alias("pieces_crc32"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for i in range(0, whole_batch.num_rows, 1000):
+                batch = whole_batch.slice(i, 1000)
+                ids = column(batch, "pieces").flatten().to_numpy().astype("<i4")
+                n = pc.list_value_length(column(batch, "pieces")).to_numpy(zero_copy_only=False)
+                begin = np.concatenate([[0], np.cumsum(n)])
+                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                texts = column(batch, "text").cast(pa.large_binary()).fill_null(b"")
+                same = pc.equal(texts, pa.array(model(path).decode(ids, begin), pa.large_binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "id"), pa.array(n, pa.int64()), column(batch, "score"), pa.array(crc, pa.int64()), same],
+                    names=["doc_id", "n_pieces", "score", "pieces_crc32", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_pieces bigint, score bigint, pieces_crc32 bigint, round_trip boolean"
+    return _encoded(docs, path, "doc_id", "text", CHUNK, BLOCK, digest, schema)
 
 
 @query("op8_sentence_pieces")

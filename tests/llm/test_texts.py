@@ -246,8 +246,9 @@ def test_pieces_across_chunks(chunk):
         assert entry[0] == best[-1]
         exit_cut, ids = 0, []
         for (part, size), seeds in zip(cut[::-1], entries[::-1]):
-            exit_cut, raw = model.paths(part, size, seeds)[exit_cut]
-            ids.append(raw)
+            head, ways = model.paths(part, size, seeds)
+            exit_cut, raw = ways[exit_cut]
+            ids.append(head + raw)
         assert np.frombuffer(b"".join(ids[::-1]), "<i4").tolist() == model.trace(text, back, len(text))[1]
 
 
