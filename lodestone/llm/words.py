@@ -55,11 +55,11 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size, which]
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of values[start:end] for every span, from one prefix sum."""
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0, own: bool = False) -> np.ndarray:
+    """64-bit hash of values[start:end] for every span, from one prefix sum; ``own`` values may be overwritten."""
     up, down = powers(len(values) + 1, which)
     prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
+    np.cumsum(np.multiply(values, up[: len(values)], out=values if own else None), out=prefix[1:])
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -78,7 +78,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return span_hashes(_BYTE[which][self.data], self.start, self.end, which)
+        return span_hashes(_BYTE[which][self.data], self.start, self.end, which, own=True)
 
     def shingles(self, n: int, which: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starts (as word numbers) and hashes of all runs of n words that lie in one row."""
