@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.words import column, pieces, ragged
+from lodestone.llm.words import column, mix, pieces, powers, ragged
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -41,6 +41,8 @@ CHUNK = 1 << 15
 BLOCK = 64
 CACHE_UNITS = 500_000
 NONE = -(1 << 60)
+SLOT_BITS = 22
+_SLOT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 _CUT = re.compile(r"(?<=[^ ]) ")
@@ -71,6 +73,23 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.byte_score = -round(2e6 * float(np.log(size)))
         self.cache: dict[str, tuple[int, bytes]] = {}
+        # The same vocabulary as a table of hashes, for many units at once; a second table takes what collides in the first.
+        texts = list(self.ids)
+        self.number = np.array([self.ids[t][0] for t in texts], np.int32)
+        self.worth = np.array([self.ids[t][1] for t in texts], np.int64)
+        length = np.array(list(map(len, texts)))
+        self.hashes = np.zeros(len(texts), np.uint64)
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            self.hashes[at] = self._prefixes("".join(texts[i] for i in at), n, len(at))[:, -1]
+        first = np.full(1 << SLOT_BITS, -1, np.int32)
+        first[self._slot(self.hashes, 0)] = np.arange(len(texts))
+        left = np.flatnonzero(first[self._slot(self.hashes, 0)] != np.arange(len(texts)))
+        second = np.full(1 << SLOT_BITS, -1, np.int32)
+        second[self._slot(self.hashes[left], 1)] = left
+        if (second[self._slot(self.hashes[left], 1)] != left).any():
+            raise ValueError("pieces collide in both tables")
+        self.slots = (first, second)
 
     def _step(self, text: str, j: int, length: int) -> tuple[tuple[int, ...], int] | None:
         """Ids and score of the piece text[j-length:j], bytes for a single character without one."""
@@ -136,21 +155,73 @@ class Pieces:
             j = back[j]
         return best[-1], np.array([i for step in reversed(out) for i in step], "<i4").tobytes()
 
+    @staticmethod
+    def _slot(hashes: np.ndarray, which: int) -> np.ndarray:
+        return ((hashes * _SLOT[which]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    @staticmethod
+    def _prefixes(joined: str, n: int, m: int) -> np.ndarray:
+        """Prefix hashes [m, n + 1] of m texts of n characters each."""
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n)
+        out = np.zeros((m, n + 1), np.uint64)
+        np.cumsum(mix(chars.astype(np.uint64) + np.uint64(1)) * powers(n)[0][:n], axis=1, out=out[:, 1:])
+        return out
+
+    def many(self, units: list[str]) -> list[tuple[int, bytes]]:
+        """``unit`` of many texts: those of one length take their steps together."""
+        out: list[tuple[int, bytes] | None] = [None] * len(units)
+        by_length: dict[int, list[int]] = {}
+        for i, u in enumerate(units):
+            if len(u) <= 40:
+                by_length.setdefault(len(u), []).append(i)
+        for n, places in by_length.items():
+            for a in range(0, len(places), 20_000):
+                self._together(units, n, places[a : a + 20_000], out)
+        return [self.unit(u) if found is None else found for u, found in zip(units, out)]
+
+    def _together(self, units: list[str], n: int, places: list[int], out: list) -> None:
+        m = len(places)
+        prefix, down = self._prefixes("".join([units[i] for i in places]), n, m).T.copy(), powers(n)[1]
+        best, back, piece = np.full((n + 1, m), NONE, np.int64), np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int64)
+        best[0] = 0
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):  # the longer piece first, so it wins ties
+                key = (prefix[j] - prefix[i]) * down[i]
+                for which, table in enumerate(self.slots):
+                    entry = table[self._slot(key, which)]
+                    hit = np.flatnonzero((self.hashes[entry] == key) & (entry >= 0) & (best[i] > NONE))
+                    if len(hit):
+                        value = best[i][hit] + self.worth[entry[hit]]
+                        more = value > best[j][hit]
+                        hit, value = hit[more], value[more]
+                        best[j][hit], back[j][hit], piece[j][hit] = value, j - i, self.number[entry[hit]]
+        # Units with a character that has no piece, or that a hash misled, are left to the plain way.
+        sure = np.flatnonzero((best[1:] > NONE).all(axis=0))
+        at, steps = np.full(len(sure), n), []
+        while (at > 0).any():
+            steps.append(np.where(at > 0, piece[at, sure], -1))
+            at = at - back[at, sure]
+        ids = np.array(steps[::-1], np.int32).T
+        for row, k in zip(ids, sure.tolist()):
+            own = row[row >= 0]
+            if b"".join([self.spell[i] for i in own.tolist()]) == units[places[k]].encode():
+                out[places[k]] = (int(best[n, k]), own.astype("<i4").tobytes())
+
     def known(self, units: list[str]) -> list[tuple[int, bytes]]:
-        cache, fresh, out = self.cache, {}, []
-        for u in units:
-            found = cache.get(u) or fresh.get(u)
-            if found is None:
-                found = self.unit(u)
-                if len(u) <= 64:
-                    fresh[u] = found
-            out.append(found)
+        cache = self.cache
+        new = list(dict.fromkeys(u for u in units if u not in cache))
+        # Steps of arrays pay off for many units only; both ways give the same.
+        fresh = dict(zip(new, self.many(new) if len(new) >= 2000 else map(self.unit, new)))
+        out = [fresh[u] if u in fresh else cache[u] for u in units]
         if len(cache) + len(fresh) > CACHE_UNITS:
-            self.cache = fresh
-        else:
-            cache.update(fresh)
+            self.cache = cache = {}
+        cache.update((u, found) for u, found in fresh.items() if len(u) <= 64)
         return out
 
+    def learn(self, texts: list[str]) -> None:
+        """Encode the units of several texts together, ahead of their use."""
+        self.known(list(dict.fromkeys(u for t in texts for u in _UNIT.findall(t))))
+
     def units(self, text: str) -> tuple[int, bytes]:
         """Best sum and ids of a text that starts at a sure cut, by its words."""
         found = self.known(_UNIT.findall(text))
@@ -351,6 +422,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
         for whole_batch in batches:
             for i in range(0, whole_batch.num_rows, 32):
                 batch = whole_batch.slice(i, 32)
+                model(path).learn(column(batch, "part").to_pylist())
                 cells = [model(path).transfer(t, n).reshape(-1).tolist() for t, n in zip(column(batch, "part").to_pylist(), column(batch, "size").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[column(batch, n) for n in ("k1", "k2", "k")], pa.array(cells, pa.list_(pa.int64()))], names=["k1", "k2", "k", "m"])
 
@@ -390,6 +462,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
         for whole_batch in batches:
             for i in range(0, whole_batch.num_rows, 32):
                 batch = whole_batch.slice(i, 32)
+                model(path).learn(column(batch, "part").to_pylist())
                 parts = zip(*[column(batch, n).to_pylist() for n in ("part", "size", "entry")])
                 found = [model(path).paths(t, n, entry) for t, n, entry in parts]
                 ways = [[{"e": e, "ids": ids} for e, ids in own] for _, own in found]
