@@ -166,10 +166,12 @@ def _found(
     for group in range(groups):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == group)
         held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        out = out.mapInArrow(_scanner(held, width), inner)
+        scan = _scanner(held, width)
+        if group < groups - 1:
+            out = out.mapInArrow(scan, inner)
     text = ", text string" if with_text else ""
     final = f"_id {kind}{kinds}{text}, n_words bigint, n_hit bigint, items array<string>, passages array<struct<start:bigint,stop:bigint>>"
-    return out.mapInArrow(lambda batches: _summary(batches, with_text), final)
+    return out.mapInArrow(lambda batches: _summary(scan(batches), with_text), final)
 
 
 def contaminated() -> F.Column:

@@ -39,7 +39,8 @@ from lodestone.session import cut_lineage, table
 
 CHUNK = 1 << 15
 BLOCK = 64
-CACHE_UNITS = 500_000
+CACHE_UNITS = 250_000
+PIECE_BYTES = 2 << 20
 NONE = -(1 << 60)
 SLOT_BITS = 22
 _SLOT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -393,7 +394,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
     long = F.length("text") >= chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             ids, begin, score = model(path).encode(column(batch, "text").cast(pa.large_string()).fill_null(""))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), column(batch, "text"), _id_lists(ids, begin), pa.array(score)], names=["id", "text", "pieces", "score"])
