@@ -6,6 +6,11 @@ of which it holds a word of the prefix, the ``size - needed + 1`` rarest ones (p
 distinct words (length filter), and the words left after the first common one must suffice (positional filter).
 What passes is counted exactly. Only words of templates matter, so a block is reduced to those before any work.
 
+Statements are often wrapped, so blocks are also the paragraphs (runs of lines that each hold a word) and, for statements
+with empty lines between, runs of as many words as the template has that cross the end of a paragraph; texts that may
+hold such a run pass the same filters as a whole. A longer block counts where it holds more of the template than
+any line (for runs: line or paragraph) that it touches; these are listed as spans, beside the matches of lines.
+
 Templates are a parameter of this operator and travel with the task; the join itself needs no shuffle of texts.
 Beside the join, places of fixed phrases are listed.
 
@@ -84,6 +89,22 @@ def _blocks(words: Words) -> np.ndarray:
     return lines[words.start] + words.row
 
 
+def _paragraphs(blocks: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The paragraph of each word: lines that follow each other in a text, up to a line without words."""
+    if not len(blocks):
+        return blocks
+    return np.concatenate([[0], np.cumsum((np.diff(row) > 0) | (np.diff(blocks) > 1))])
+
+
+def _runs(at: np.ndarray, entry: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the run of ``length`` words from each hit on: its distinct entries, and the number of its last hit."""
+    held = np.zeros(len(at), np.int64)
+    for e in np.unique(entry):
+        own = np.append(at[entry == e], np.iinfo(np.int64).max)
+        held += own[np.searchsorted(own, at)] < at + length
+    return held, np.searchsorted(at, at + length) - 1
+
+
 def _pairs(block: np.ndarray, entry: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (block, entry) pairs in order."""
     both = np.unique(block * size + entry)
@@ -110,7 +131,8 @@ def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document: id, n_words, places (phrase starts by label) and matches (blocks that meet a template)."""
+    """One row per document: id, n_words, places (phrase starts by label), matches (lines that meet a template) and spans (several lines that do)."""
+    lengths = [len(words_of(text)) for _, text in templates]
     sets = [sorted(set(words_of(text))) for _, text in templates]
     phrase_words = [words_of(text) for text, _ in phrases]
     vocabulary = sorted({w for s in [*sets, *phrase_words] for w in s})
@@ -136,6 +158,8 @@ def scan_licenses(
     kind = docs.schema[id_col].dataType.simpleString()
     place_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
     match_type = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("line", pa.int64()), ("containment", pa.float64())]))
+    span_type = pa.list_(pa.struct([
+        ("label", pa.string()), ("template", pa.int32()), ("line", pa.int64()), ("last_line", pa.int64()), ("containment", pa.float64())]))
 
     def joined(block: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every (block, template) with enough common words, from distinct pairs in order."""
@@ -156,6 +180,34 @@ def scan_licenses(
         good = common >= needed[template_of]
         return block_of[good], template_of[good], common[good]
 
+    def spanning(hit: np.ndarray, entry: np.ndarray, blocks: np.ndarray, row: np.ndarray, lines: tuple) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, template, first word, last word, common words) of what several lines hold of a template beyond each of them."""
+        paragraph, size = _paragraphs(blocks, row), len(known.words)
+        best: dict[tuple[int, int], int] = {}
+        for b, t, n in zip(*(x.tolist() for x in lines)):
+            key = int(paragraph[np.searchsorted(blocks, b)]), t
+            best[key] = max(best.get(key, 0), n)
+        of = paragraph[hit]
+        for p, t, n in zip(*(x.tolist() for x in joined(*_pairs(of, entry, size)))):
+            if n > best.get((p, t), 0):
+                best[p, t] = n
+                a, b = np.searchsorted(of, [p, p + 1])
+                own = hit[a:b][member[t, entry[a:b]]]
+                yield int(row[own[0]]), t, int(own[0]), int(own[-1]), n
+        owner = row[hit]
+        for r, t, _ in zip(*(x.tolist() for x in joined(*_pairs(owner, entry, size)))):
+            a, b = np.searchsorted(owner, [r, r + 1])
+            mine = member[t, entry[a:b]]
+            at, own = hit[a:b][mine], entry[a:b][mine]
+            held, last = _runs(at, own, lengths[t])
+            first_of, last_of = paragraph[at], paragraph[at[last]]
+            able = np.flatnonzero((held >= needed[t]) & (last_of > first_of))
+            good = [i for i in able.tolist() if all(held[i] > best.get((p, t), 0) for p in range(int(first_of[i]), int(last_of[i]) + 1))]
+            while good:  # the fullest of the runs that begin in the first one, then those behind it
+                i = max((i for i in good if at[i] < at[good[0]] + lengths[t]), key=lambda i: (held[i], -i))
+                yield r, t, int(at[i]), int(at[last[i]]), int(held[i])
+                good = [j for j in good if at[j] >= at[i] + lengths[t]]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             words = split(column(batch, "text"), ALNUM, lower=True)
@@ -163,6 +215,7 @@ def scan_licenses(
             hit, entry = known.find(words)
             places: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             matches: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             entries = np.full(len(words.start) + 16, -1, np.int64)
             entries[hit] = entry
             rows = np.concatenate([row, np.full(16, -1, np.int64)])
@@ -178,13 +231,17 @@ def scan_licenses(
             for i, t, b, n in zip(owner.tolist(), template_of.tolist(), block_of.tolist(), common.tolist()):
                 line = b - i - int(newlines[words.offsets[i]])
                 matches[i].append({"label": labels[t], "template": t, "line": line, "containment": n / int(sizes[t])})
+            for i, t, a, b, n in spanning(hit, entry, blocks, row, (block_of, template_of, common)):
+                line, last = (int(blocks[x]) - i - int(newlines[words.offsets[i]]) for x in (a, b))
+                spans[i].append({"label": labels[t], "template": t, "line": line, "last_line": last, "containment": n / int(sizes[t])})
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(places, place_type), pa.array(matches, match_type)],
-                names=["_id", "n_words", "places", "matches"])
+                [column(batch, "_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(places, place_type), pa.array(matches, match_type), pa.array(spans, span_type)],
+                names=["_id", "n_words", "places", "matches", "spans"])
 
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(
         scan, f"_id {kind}, n_words bigint, places array<struct<label:string,start:bigint>>, "
-        "matches array<struct<label:string,template:int,line:bigint,containment:double>>")
+        "matches array<struct<label:string,template:int,line:bigint,containment:double>>, "
+        "spans array<struct<label:string,template:int,line:bigint,last_line:bigint,containment:double>>")
     return found.withColumnRenamed("_id", id_col)
 
 
@@ -225,10 +282,10 @@ FROM w LEFT JOIN base USING (k) LEFT JOIN every USING (k) LEFT JOIN best USING (
 def op5(spark, sf_dir):
     found = scan_licenses(table(spark, sf_dir, "documents"))
     starts, own = F.col("places.start"), F.array_distinct(F.col("places.label"))
-    contained = F.array_max(F.col("matches.containment"))
+    contained = F.array_max(F.concat("matches.containment", "spans.containment"))
     joined = lambda labels: F.concat_ws(",", F.array_sort(labels))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), joined(own).alias("base_labels"),
-        joined(F.array_union(own, F.col("matches.label"))).alias("labels"),
+        joined(F.array_union(own, F.concat("matches.label", "spans.label"))).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(contained, F.lit(0.0))).alias("score"))

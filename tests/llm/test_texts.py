@@ -137,6 +137,28 @@ def test_licenses(spark, empty):
     assert rows(licenses.scan_licenses(empty)) == []
 
 
+def test_wrapped_licenses(spark):
+    made, want = [], {}
+    for t, (label, text) in enumerate(licenses.TEMPLATES):
+        own = text.split()
+        half = len(own) // 2
+        for n, joint in enumerate(("\n", "\r\n * ", "\n\n", "\n//\n  // ")):
+            made.append((10 * t + n, f"before it\n\n{' '.join(own[:half])}{joint}{' '.join(own[half:])}\n\nbehind it"))
+            want[10 * t + n] = (label, t, 2, 2 + joint.count("\n"), 1.0)
+        made.append((10 * t + 5, "\n".join(w for word in own for w in ("", word))))  # a word in every second line
+        want[10 * t + 5] = (label, t, 1, 2 * len(own) - 1, 1.0)
+    long = licenses.TEMPLATES[1][1].split()
+    made += [(900, f"{' '.join(long[:9])} and\nsome inserted words of one more line\n{' '.join(long[9:])}"), (901, f"{' '.join(long[:9])}\n\n{'x ' * 30}\n\n{' '.join(long[9:])}")]
+    made += [(902, f"{' '.join(long)}\n\n{' '.join(long)}\n{' '.join(long)}"), (903, None), (904, "\n\n")]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(made, "doc_id int, text string").coalesce(1)).collect()}
+    for key, span in want.items():
+        assert not any(m.template == span[1] for m in found[key].matches), key
+        assert [tuple(s) for s in found[key].spans if s.template == span[1]] == [span], key
+    assert [(s.label, s.line, s.last_line) for s in found[900].spans] == [("mit", 0, 2)]
+    assert not found[901].spans and not found[902].spans and [m.line for m in found[902].matches] == [0, 2, 3]
+    assert not found[903].spans and not found[904].spans
+
+
 def test_license_join_is_exact(docs):
     picked = [("one", "ab1 ab2 é3"), ("two", " ".join(PAIRS[0][1].split()[:30])), ("none", "")]
     found = {(r.doc_id, r.n_words): {(m.template, m.line, round(m.containment, 9)) for m in r.matches} for r in licenses.scan_licenses(docs, templates=picked, threshold=0.4).collect()}
