@@ -115,5 +115,39 @@ def katz(rows, estimate, held, top=5, beyond=0.5):
     return out
 
 
+def katz_of_order(rows, estimate, held, order, top=5, beyond=0.5):
+    """Per row: tokens, base score and score, by the recursion token by token."""
+    tokens = [PLAIN.findall(lower(t)) + ["\n"] for _, t in rows]
+    padded = [["\0"] * (order - 1) + t for t in tokens]
+    grams = lambda t, k: [tuple(t[i - k + 1 : i + 1]) for i in range(order - 1, len(t))]
+    counts = {k: Counter(g for t, h in zip(padded, held) if not h for g in grams(t, k)) for k in range(1, order + 1)}
+    total = sum(counts[1].values()) + len(counts[1]) + 1
+    star, behind = {}, defaultdict(dict)
+    for k in range(2, order + 1):
+        of_counts = Counter(counts[k].values())
+        star[k] = estimate([0] + [of_counts[i] for i in range(1, top + 2)] + [0])
+        for g, c in counts[k].items():
+            behind[g[:-1]][g[-1]] = c
+    less = lambda c, k: star[k][c - 1] if c <= top else c - beyond
+    weights = {}
+
+    def p(w, h):
+        if not h:
+            return (counts[1][(w,)] + 1) / total
+        own = behind.get(h)
+        if own is None:
+            return p(w, h[1:])
+        if w in own:
+            return less(own[w], len(h) + 1) / sum(own.values())
+        if h not in weights:
+            weights[h] = (1 - sum(p(x, h) for x in own)) / (1 - sum(p(x, h[1:]) for x in own))
+        return weights[h] * p(w, h[1:])
+
+    every = [x for (x,) in counts[1]]
+    for h in list(behind)[::97]:  # with the mass of unknown words each context sums to one
+        assert abs(sum(p(w, h) for w in [*every, "\1"]) - 1) < 1e-9
+    return [(len(t), sum(math.log10(p(w, ())) for w in t), sum(math.log10(p(g[-1], g[:-1])) for g in grams(q, order))) for t, q in zip(tokens, padded)]
+
+
 def crc(key):
     return zlib.crc32(("" if key is None else str(key)).encode())

@@ -231,6 +231,33 @@ def test_katz(docs, empty):
     assert all(r.score == 0 and r.train_tokens == 0 for r in katz.score_texts(docs, F.lit(True)).collect())
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_higher_order(docs, empty, order):
+    held = [brute.crc(k) % 7 == 2 for k, _ in PAIRS]
+    want = brute.katz_of_order(PAIRS, lambda n: katz.discounted(np.array(n)), held, order)
+    for settings in ({}, {"hot_share": 0.01, "part_tokens": 1500}):
+        found = katz.score_texts(docs, quality.crc_remainder("doc_id", 7) == 2, order=order, **settings).collect()
+        by = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.base_score, r.score) for r in found)
+        plain = sorted((k is not None, k or 0, *w) for (k, _), w in zip(PAIRS, want))
+        for r, w in zip(by, plain, strict=True):
+            assert r[:3] == w[:3] and abs(r[3] - w[3]) < 1e-6 and abs(r[4] - w[4]) < 1e-6
+    assert rows(katz.score_texts(empty, F.lit(False), order=order)) == []
+    assert all(r.score == 0 for r in katz.score_texts(docs, F.lit(True), order=order).collect())
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_from_stored_tables(docs, empty, order):
+    held = [brute.crc(k) % 7 == 2 for k, _ in PAIRS]
+    want = brute.katz_of_order(PAIRS, lambda n: katz.discounted(np.array(n)), held, order)
+    for settings in ({}, {"hot_share": 0.01, "part_tokens": 1500}):
+        model, _ = katz.train_and_score(docs, quality.crc_remainder("doc_id", 7) == 2, order=order, **settings)
+        found = sorted((r.doc_id is not None, r.doc_id or 0, len(r.log_p), sum(r.log_p)) for r in katz.token_scores(docs, model).collect())
+        plain = sorted((k is not None, k or 0, w[0], w[2]) for (k, _), w in zip(PAIRS, want))
+        for r, w in zip(found, plain, strict=True):
+            assert r[:3] == w[:3] and abs(r[3] - w[3]) < 1e-6
+    assert rows(katz.token_scores(empty, model)) == []
+
+
 def test_pieces(docs, empty):
     model = sentence_pieces.Pieces(PIECE)
 
