@@ -4,8 +4,10 @@ Every window of ``width`` consecutive words of an item is one pattern of an auto
 pattern). A text is normalised once (A-Z lower-cased, words joined by single blanks) and scanned once per automaton;
 matches are mapped back to word numbers and to character offsets of the original text.
 
-Items reach the executors by broadcast. Their size is measured first: items beyond ``group_bytes`` are split into
-groups of about that size, one automaton each, and the texts pass through the automata one after the other.
+Items reach the executors by broadcast. Equal texts are folded first, with their ids (in several rows, where all ids
+exceed ``group_bytes``). These rows are dealt to buckets, the buckets measured and packed into groups of at most
+``group_bytes``, one automaton each, and the texts pass through the automata one after the other. Only a single row beyond
+that size makes a larger group: a text of an item is never split.
 
 Defined cases: a null or empty text has no words and no hits; a null or wordless item has no pattern; a null item id
 counts as the id ""; repeated items and rows each count for themselves, the same id once; further columns of the
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.words import ALNUM, LOWER, column, covered, pieces, split
 from lodestone.registry import query
-from lodestone.session import table
+from lodestone.session import cut_lineage, table
 
 WIDTH = 13
 GROUP_BYTES = 32 << 20
@@ -39,30 +41,54 @@ def _normal(data: bytes) -> str:
     return (b" " + b" ".join(data.split()) + b" ").decode("latin-1")
 
 
-def patterns(items: list[tuple[str, str]], width: int) -> dict[str, tuple[int, set[str]]]:
-    """Normalised window -> (its number of words, the ids of items that hold it)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
+def patterns(texts: list[str], width: int) -> dict[str, tuple[int, set[int]]]:
+    """Normalised window -> (its number of words, the numbers of the texts that hold it)."""
+    found: dict[str, tuple[int, set[int]]] = {}
+    for number, text in enumerate(texts):
         words = bytes(_plain[np.frombuffer((text or "").encode(), np.uint8)]).split()
         size = min(width, len(words))
         for i in range(len(words) - size + 1 if words else 0):
             window = _normal(b" ".join(words[i : i + size]))
-            found.setdefault(window, (size, set()))[1].add(item)
+            found.setdefault(window, (size, set()))[1].add(number)
     return found
 
 
+def grouped(items: DataFrame, group_bytes: int) -> tuple[DataFrame, list[list[int]]]:
+    """Rows (ids, text, bucket) of distinct texts of ``items`` (item, text), and the buckets of each group, packed by measured size."""
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item")).alias("all"), F.sum(F.octet_length("item")).alias("ids")).first()
+    salts = max(1, -(-int(total.ids or 0) // group_bytes))
+    folded = cut_lineage(items.groupBy("text", F.pmod(F.xxhash64("item"), F.lit(salts)).alias("salt")).agg(F.collect_set("item").alias("ids")).withColumn(
+        "size", F.octet_length("text") + F.aggregate("ids", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x))))
+    buckets = 4 * max(1, -(-int(total["all"] or 0) // group_bytes))
+    while True:
+        dealt = folded.withColumn("bucket", F.pmod(F.xxhash64("text", "salt"), F.lit(buckets)))
+        sizes = dealt.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("bucket").collect()
+        if all(r["size"] <= group_bytes or r.n == 1 for r in sizes):
+            break
+        buckets *= 4
+    groups, held = [[]], 0
+    for r in sizes:
+        if groups[-1] and held + r["size"] > group_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(r.bucket)
+        held += r["size"]
+    return dealt.select("ids", "text", "bucket"), groups
+
+
 def _automaton(key: str, held, width: int) -> tuple:
     """The automaton of a broadcast group, built once in each Python worker."""
     if key not in _automata:
-        windows = patterns(held.value, width)
+        rows = held.value
+        windows = patterns([text for _, text in rows], width)
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         entries = []
-        for i, (window, (size, ids)) in enumerate(windows.items()):
+        for i, (window, (size, texts)) in enumerate(windows.items()):
             machine.add_word(window, i)
-            entries.append((size, sorted(ids)))
+            entries.append((size, sorted(texts)))
         if windows:
             machine.make_automaton()
-        _automata[key] = (machine if windows else None, entries)
+        _automata[key] = (machine if windows else None, entries, [ids for ids, _ in rows])
     return _automata[key]
 
 
@@ -72,7 +98,7 @@ def _scanner(held, width: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            machine, entries = _automaton(key, held, width)
+            machine, entries, names = _automaton(key, held, width)
             if machine is None:
                 yield batch
                 continue
@@ -86,11 +112,13 @@ def _scanner(held, width: int):
                 if hits:
                     blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 0x20)
                     stops = np.searchsorted(blanks, [end for end, _ in hits])
-                    found, known = set(), set(ids[i])
+                    found, texts_hit, known = set(), set(), set(ids[i])
                     for stop, (_, entry) in zip(stops.tolist(), hits):
-                        size, items = entries[entry]
+                        size, held_by = entries[entry]
                         found.add((stop - size, stop))
-                        known.update(items)
+                        texts_hit.update(held_by)
+                    for number in texts_hit:
+                        known.update(names[number])
                     spans[i] = spans[i] + [{"start": a, "stop": b} for a, b in sorted(found)]
                     ids[i] = sorted(known)
             arrays = [column(batch, n) for n in batch.schema.names]
@@ -156,18 +184,17 @@ def _found(
     kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried))
     spark = docs.sparkSession
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-int(size) // group_bytes))
+    folded, groups = grouped(items, group_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     inner = f"_id {kind}{kinds}, text string, _spans array<struct<start:bigint,stop:bigint>>, _items array<string>"
     out = docs.select(
         F.col(id_col).alias("_id"), *[F.col(c).alias(n) for c, n in zip(carry, carried)], F.col(text_col).alias("text"),
         F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
-    for group in range(groups):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == group)
-        held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    for group, buckets in enumerate(groups):
+        part = folded.filter(F.col("bucket").isin(buckets)) if len(groups) > 1 else folded
+        held = spark.sparkContext.broadcast([(r.ids, r.text) for r in part.collect()])
         scan = _scanner(held, width)
-        if group < groups - 1:
+        if group < len(groups) - 1:
             out = out.mapInArrow(scan, inner)
     text = ", text string" if with_text else ""
     final = f"_id {kind}{kinds}{text}, n_words bigint, n_hit bigint, items array<string>, passages array<struct<start:bigint,stop:bigint>>"

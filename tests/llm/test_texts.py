@@ -1,5 +1,6 @@
 """Operators over texts against plain versions, on documents with every odd case, on copies and on empty tables."""
 
+import pickle
 import zlib
 
 import numpy as np
@@ -123,6 +124,18 @@ def test_contamination(docs, empty, spark):
     assert clean.count() == sum(not (h > 0 and 20 * h >= n) for _, n, h, _ in want)
 
 
+def test_contamination_by_one_repeated_item(docs, spark, monkeypatch):
+    body = PAIRS[0][1].split()
+    items = [(i, " ".join(body[10:60])) for i in range(200)] + [(1000 + i, " ".join(body[i : i + 14])) for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    sizes, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sizes.append(len(pickle.dumps(value))), send(self, value))[1])
+    found = decontaminate.decontaminate(docs, bench, group_bytes=4000)
+    want = [(k, *brute.hits(t, items)) for k, t in PAIRS]
+    assert rows(found.select("doc_id", "n_words", "n_hit", "items")) == expected(want)
+    assert max(sizes) < 8000 and len(sizes) < 12  # ten thousands of bytes of one text came in one group
+
+
 def test_licenses(spark, empty):
     made = [(1, "Released under the MIT License.\nReleased under the mit, LICENSE"), (2, None), (3, ""), (4, "mit\nlicense"), (5, "License the under released MIT stuff"),
             (6, "x\nLicensed under CC BY-NC 4.0.\nThe GNU General Public License and the Apache License"), (6, "x"), (None, "general  public-license")]
