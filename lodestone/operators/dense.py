@@ -37,7 +37,7 @@ def _tiled(queries: DataFrame, chunks: DataFrame, digits: int, schema: str, pick
     def product(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         names = [part.split()[0] for part in schema.split(", ")]
         if q.empty or c.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype="object") for n in names})  # takes any declared type, unlike float64
         b = np.stack(c["embedding"].to_list()).astype("float64")
         size, found = (b * b).sum(1), []
         for i in range(0, len(q), STRIP_ROWS):
