@@ -151,3 +151,69 @@ def katz_of_order(rows, estimate, held, order, top=5, beyond=0.5):
 
 def crc(key):
     return zlib.crc32(("" if key is None else str(key)).encode())
+
+
+def tokens_of_both(path_a, path_b):
+    """Ids and bytes of a text's tokens by both tokenizers, from the libraries alone."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer, decoders
+
+    a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    odd = iter(range(0x100, 0x200))
+    byte_of = {chr(i) if i in printable else chr(next(odd)): i for i in range(256)}
+    assert decoders.ByteLevel().decode(["Ġa"]) == " a" and byte_of["Ġ"] == 32
+
+    def encode(text):
+        left = [(i, bytes(byte_of[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+        right = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
+        whole = (" " + text).encode()
+        same = text and b"".join(x for _, x in left) == whole == b"".join(x for _, x in right)
+        return (left, right) if same else ([], [])
+
+    return encode
+
+
+def alignments(rows, encode):
+    """Per row what the alignment query returns, and documents and links of every pair."""
+
+    def spans(tokens):
+        at = 0
+        for i, raw in tokens:
+            yield i, at, at + len(raw)
+            at += len(raw)
+
+    found, docs, links = [], Counter(), Counter()
+    for _, text in rows:
+        left, right = (list(spans(t)) for t in encode(text or ""))
+        both = [(i, j) for i, s, e in left for j, u, v in right if max(s, u) < min(e, v)] if len(left) < 300 else None
+        if both is None:  # the same by two pointers, for long texts
+            both, low = [], 0
+            for i, s, e in left:
+                while right[low][2] <= s:
+                    low += 1
+                k = low
+                while k < len(right) and right[k][1] < e:
+                    both.append((i, right[k][0]))
+                    k += 1
+        cuts = sorted({e for *_, e in left} & {e for *_, e in right})
+        groups, x, y = [], 0, 0
+        for cut in cuts:
+            a, b = [], []
+            while x < len(left) and left[x][2] <= cut:
+                a.append(str(left[x][0]))
+                x += 1
+            while y < len(right) and right[y][2] <= cut:
+                b.append(str(right[y][0]))
+                y += 1
+            groups.append(f"{','.join(a)}|{','.join(b)}")
+        found.append((len(left), len(right), groups, both))
+        docs.update(set(both))
+        links.update(both)
+    best = defaultdict(int)
+    for (i, _), n in docs.items():
+        best[i] = max(best[i], n)
+    rows = [(a, b, len(groups), len(both), sum(docs[p] == best[p[0]] for p in both), sum(docs[p] for p in both),
+             hashlib.sha256(";".join(groups).encode()).hexdigest() if a else "") for a, b, groups, both in found]
+    return rows, {p: (docs[p], links[p]) for p in docs}
