@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +33,11 @@ from lodestone.llm.words import column, pieces, ragged
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
-PIECE_BYTES = 2 << 20
-BLOCK_DOCS, BLOCK_POSTINGS = 1 << 16, 2_000_000
-CACHE_UNITS = 150_000
-JOINED = 256
+PIECE_BYTES = 1 << 20
+BLOCK_DOCS, BLOCK_POSTINGS = 1 << 16, 1_000_000
+CACHE_UNITS = 100_000
+#: Units that are encoded as one text, and texts that are encoded at once.
+JOINED, TEXTS = 256, 32
 
 #: White space other than single blanks and line feeds: such texts are one unit.
 _ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n| $"
@@ -85,9 +86,14 @@ class Aligned:
         return cls(**arrays, groups=pa.concat_arrays([p.groups for p in parts]))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(size.sum())), size
+def _flat(encode: Callable[[list[str]], list[list[int]]], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and how many each has; lists of ids live for TEXTS texts at a time."""
+    ids, sizes = [np.zeros(0, np.int64)], []
+    for i in range(0, len(texts), TEXTS):
+        lists = encode(texts[i : i + TEXTS])
+        sizes += map(len, lists)
+        ids.append(np.fromiter(itertools.chain.from_iterable(lists), np.int64, sum(sizes[-len(lists) :])))
+    return np.concatenate(ids), np.array(sizes, np.int64)
 
 
 def _digits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +144,15 @@ class Aligner:
         return len(self.bytes_b.size)
 
     def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        return _flat(lambda part: [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)], texts)
 
     def _encode_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that begin with the blank that B adds itself, or with a line feed (the blank is taken off again)."""
-        lists = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        return _flat([ids if t[0] == " " else ids[1:] for t, ids in zip(texts, lists)])
+        def encode(part: list[str]) -> list[list[int]]:
+            lists = self.b.encode([t[1:] if t[0] == " " else t for t in part], num_threads=1)
+            return [ids if t[0] == " " else ids[1:] for t, ids in zip(part, lists)]
+
+        return _flat(encode, texts)
 
     def align(self, units: list[str]) -> Aligned:
         """Units begin with a blank or line feed and hold no other one."""
