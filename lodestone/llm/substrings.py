@@ -3,11 +3,13 @@
 A window is ``window`` consecutive words of one text. Its minimiser is the least hash of the runs of ``seed`` words
 in it. Consecutive windows that share a minimiser travel as one packed string (their words, joined by blanks) to the
 bucket of that minimiser, so all copies of a window meet in one bucket, where sorting counts them. Hashes only sort:
-windows of equal hash are compared byte by byte before they count as copies.
+windows of equal hash are compared byte by byte before they count as copies. Only distinct strings and their counts meet
+in a bucket. Its verdicts, the repeated passages of a string, go back by the string's name (128 bits) in a join with the
+places of all strings, so the copies of one passage need not be in one group.
 
 Hot minimisers: runs of words with a large share of all runs (counted per piece of text, no run above the share can be
 missed) come last in the order of minimisers, so text around a frequent line is dealt by its other words. Only a window
-made of such runs alone has one as its minimiser, and equal packed strings of a piece travel once, with their places.
+made of such runs alone has one as its minimiser, and equal packed strings of a piece travel once.
 The list of hot runs has at most ``1 / share`` entries.
 
 Defined cases: a null or empty text has no words; a text shorter than a window keeps all its words; repeated rows are
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.words import PLAIN, Words, column, covered, mix, pieces, ragged, split
+from lodestone.llm.words import PLAIN, Words, column, covered, mix, pieces, ragged, span_hashes, split
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -96,12 +98,25 @@ def super_kmers(words: Words, window: int, seed: int, hot: np.ndarray) -> tuple[
     return starts[first], starts[last], value[first]
 
 
+def _spans(batch: pa.RecordBatch, window: int, seed: int, hot: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a piece, and first word, word behind the last, and minimiser of each of its packed strings."""
+    words = split(column(batch, "text"))
+    first, last, minimiser = super_kmers(words, window, seed, hot)
+    return words, first, last + window, minimiser
+
+
+def _names(words: Words, first: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """128 bits that name the words of each span, the same in every text."""
+    return [span_hashes(words.hashes(which), first, stop, which).view(np.int64) for which in (0, 1)]
+
+
 def _packer(window: int, seed: int, hot: np.ndarray, buckets: int):
+    """Frames of packed strings: per piece and bucket the distinct strings and how often each stands there."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches, "text"):
-            words = split(column(batch, "text"))
-            first, last, minimiser = super_kmers(words, window, seed, hot)
+            words, first, stop, minimiser = _spans(batch, window, seed, hot)
             if not len(first):
                 continue
             sizes = words.end - words.start + 1
@@ -109,25 +124,36 @@ def _packer(window: int, seed: int, hot: np.ndarray, buckets: int):
             begin = np.cumsum(sizes) - sizes
             spaced[ragged(begin, sizes - 1)] = words.data[ragged(words.start, sizes - 1)]
             raw = spaced.tobytes()
-            stop = begin[last + window - 1] + sizes[last + window - 1] - 1
-            row = words.row[first]
-            keys = np.stack([column(batch, k).to_numpy(zero_copy_only=False)[row] for k in ("k1", "k2")] + [first - words.first[row]])
-            groups: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
+            low, high = begin[first], begin[stop - 1] + sizes[stop - 1] - 1
             bucket = (mix(minimiser) % np.uint64(buckets)).astype(np.int64)
-            for i, (b, x, y) in enumerate(zip(bucket.tolist(), begin[first].tolist(), stop.tolist())):
-                groups[b].setdefault(raw[x:y], []).append(i)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
             rows = []
-            for b, held in groups.items():
-                counts = np.array([len(v) for v in held.values()], np.int32)
-                places = keys[:, [i for v in held.values() for i in v]]
-                rows.append((b, squeeze(b"\n".join(held)), squeeze(counts.tobytes()), squeeze(places.tobytes())))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                held: dict[bytes, int] = defaultdict(int)
+                for i, j in zip(low[order[x:y]].tolist(), high[order[x:y]].tolist()):
+                    held[raw[i:j]] += 1
+                rows.append((squeeze(b"\n".join(held)), squeeze(np.array(list(held.values()), np.int64).tobytes())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]],
-                names=["bucket", "body", "counts", "places"])
+                [pa.array(bucket[order[cuts[:-1]]]), *[pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]], names=["bucket", "body", "counts"])
 
     return pack
 
 
+def _placer(window: int, seed: int, hot: np.ndarray):
+    """Names of packed strings and where they stand: the row's key and the first word."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words, first, stop, _ = _spans(batch, window, seed, hot)
+            row = words.row[first] if len(first) else first
+            keys = [column(batch, k).take(pa.array(row)) for k in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, _names(words, first, stop)), *keys, pa.array(first - words.first[row], pa.int64())], names=["s1", "s2", "k1", "k2", "base"])
+
+    return place
+
+
 def leaders(words: Words, window: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows, and for each the number of the first window with the same words (itself, if new)."""
     at, hashes = words.shingles(window)
@@ -155,10 +181,8 @@ def leaders(words: Words, window: int, bits: int = 64) -> tuple[np.ndarray, np.n
     return at, lead
 
 
-def repeated_spans(bodies: list[bytes], counts: np.ndarray, window: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_spans(words: Words, counts: np.ndarray, window: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages (record, first word, word after the last) of packed strings whose windows stand in two places or more."""
-    records = pa.array([r for body in bodies for r in body.split(b"\n")], pa.large_binary()).cast(pa.large_string())
-    words = split(records, PLAIN)
     at, lead = leaders(words, window, bits)
     row = words.row[at]
     total = np.bincount(lead, weights=counts[row], minlength=len(at))
@@ -172,35 +196,29 @@ def repeated_spans(bodies: list[bytes], counts: np.ndarray, window: int, bits: i
 
 
 def _counter(window: int):
-    def bucket_rows(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
-        expand = zstandard.ZstdDecompressor().decompress
-        counts = np.concatenate([np.frombuffer(expand(c), np.int32) for _, c, _ in held]).astype(np.int64)
-        record, start, stop = repeated_spans([expand(b) for b, _, _ in held], counts, window)
-        if not len(record):
-            return None
-        places = np.concatenate([np.frombuffer(expand(p), np.int64).reshape(3, -1) for _, _, p in held], axis=1)
-        each = counts[record]
-        place = ragged((np.cumsum(counts) - counts)[record], each)
-        base = places[2][place]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(places[0][place]), pa.array(places[1][place]), pa.array(base + np.repeat(start, each)), pa.array(base + np.repeat(stop, each))],
-            names=["k1", "k2", "start", "stop"])
+    """Per bucket, the repeated passages of its distinct strings, by name of the string."""
+
+    def verdicts(held: dict[bytes, int]) -> pa.RecordBatch:
+        words = split(pa.array(list(held), pa.large_binary()).cast(pa.large_string()))
+        record, start, stop = repeated_spans(words, np.fromiter(held.values(), np.int64, len(held)), window)
+        names = _names(words, words.first[record], words.first[record + 1])
+        return pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["s1", "s2", "start", "stop"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        expand = zstandard.ZstdDecompressor().decompress
+        current, held = None, {}
         for batch in batches:
-            for bucket, *parts in zip(*[column(batch, n).to_pylist() for n in ("bucket", "body", "counts", "places")]):
+            for i, bucket in enumerate(column(batch, "bucket").to_pylist()):
                 if bucket != current and held:
-                    out = bucket_rows(held)
-                    if out is not None:
-                        yield out
-                    held = []
+                    yield verdicts(held)
+                    held = {}
                 current = bucket
-                held.append(tuple(parts))
+                body, counts = (expand(column(batch, n)[i].as_buffer()) for n in ("body", "counts"))
+                # Equal strings of many pieces fold here, so a bucket is as large as its distinct strings.
+                for record, n in zip(body.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                    held[record] = held.get(record, 0) + n
         if held:
-            out = bucket_rows(held)
-            if out is not None:
-                yield out
+            yield verdicts(held)
 
     return count
 
@@ -255,9 +273,11 @@ def _removed(
     source = source.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", F.lit(1), "id")})
     hot, size = hot_seeds(source, seed, hot_share)
     buckets = max(1, 3 * size // bucket_bytes)
-    packed = source.select("text", "k1", "k2").mapInArrow(
-        _packer(window, seed, np.array(hot, np.int64).view(np.uint64), buckets), "bucket bigint, body binary, counts binary, places binary")
-    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window), "k1 bigint, k2 bigint, start bigint, stop bigint")
+    late = np.array(hot, np.int64).view(np.uint64)
+    packed = source.select("text").mapInArrow(_packer(window, seed, late, buckets), "bucket bigint, body binary, counts binary")
+    found = cut_lineage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window), "s1 bigint, s2 bigint, start bigint, stop bigint"))
+    places = source.select("text", "k1", "k2").mapInArrow(_placer(window, seed, late), "s1 bigint, s2 bigint, k1 bigint, k2 bigint, base bigint")
+    spans = places.join(found, ["s1", "s2"]).select("k1", "k2", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("stop")).alias("stop"))
     # Equal rows have equal spans, which the set folds before the shuffle; a set is as long as its text at most.
     spans = cut_lineage(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     kind = docs.schema[id_col].dataType.simpleString()
