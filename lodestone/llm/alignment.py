@@ -477,7 +477,8 @@ def align(
     scores = counts.join(best, "a").select("a", "b", "n_pair", (F.col("n_pair") == F.col("n_most")).alias("top"))
     slim = ("block", "n_docs", "a", "n", "bits", "docs", "planes")
     held = ("number", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    scored = blocks.filter("a IS NOT NULL").join(scores, ["a", "b"]).select(*slim, "n_pair", "top")
+    # Pairs grow with the corpus: they are never broadcast.
+    scored = blocks.filter("a IS NOT NULL").join(scores.hint("merge"), ["a", "b"]).select(*slim, "n_pair", "top")
     rows = blocks.filter("a IS NULL").select("block", "n_docs", *held).unionByName(scored, allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.repartition("block").sortWithinPartitions("block", F.col("a").isNotNull()).mapInArrow(
