@@ -1,149 +1,367 @@
-"""Dense similarity in tiles: exact top-k, best cards, and exact ranks of chosen candidates."""
+"""Exact dense search over tiles with bounds: top-k, best cards per owner, and ranks of chosen candidates.
+
+Chunks belong to cells around centres and, within a cell, to rings of angles to the centre; a ring is cut into tiles of
+about TILE_ROWS rows by a hash of the id. A question's angle to the centre and the ring's least and greatest angle bound
+every similarity in the ring from both sides. A first round searches the nearest rings that hold enough rows, a second
+one only rings that can still reach the k-th score found there; whatever is skipped cannot change a result.
+
+Centres come from a sample of at most SAMPLE rows; they shape the tiles and never the results. The driver holds the
+centres and one line per ring, CENTRES * RINGS at most. A tile and a block of questions meet in one task.
+
+Vectors that are null, zero or hold null or non-finite components take no part. Ties fall to the chunk id.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.vectors import cosine
 from lodestone.operators.scans import top_rows
+from lodestone.session import cut_lineage
 
 TILE_ROWS = 2048
 STRIP_ROWS = 256
+QUERY_ROWS = 8192
+SAMPLE, CENTRES, RINGS, SWEEPS = 8192, 1024, 8, 6
 ASKED = 256
 DIGITS = 6
+ANGLE_SLACK = 1e-6
 
 
-def _tiles(df: DataFrame) -> int:
-    return max(1, -(-df.count() // TILE_ROWS))
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: no null or non-finite component, and one that is not zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _tiled(queries: DataFrame, chunks: DataFrame, digits: int, schema: str, pick: Callable) -> DataFrame:
-    """Run ``pick(query rows, chunk rows, similarities)`` over strips of every pair of tiles.
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype("float64")
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    if not len(centres):
+        return np.zeros((len(units), 0))
+    return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
 
-    A pair of tiles is one task and holds TILE_ROWS rows of each side and the similarities of STRIP_ROWS queries,
-    whatever the tables grow to; what ``pick`` returns is all that leaves it. Scores are rounded, so that ties fall to
-    the chunk id in any tiling.
-    """
-    across, down = _tiles(chunks), _tiles(queries)
-    left = queries.withColumn("_q", F.pmod(F.xxhash64(*[c for c in queries.columns if c != "embedding"]), F.lit(down)))
-    left = left.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
-    right = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(across)))
-    right = right.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+
+@dataclass
+class Rings:
+    """What bounds need: centres, and per ring its cell, angles, rows, cards and tiles."""
+
+    centres: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    count: np.ndarray
+    cards: np.ndarray
+    salts: np.ndarray
+    digits: int
+
+    def bounds(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest similarity that each vector can have with a row of each ring."""
+        angle = _angles(units, self.centres)[:, self.cell]
+        near = np.maximum(np.maximum(self.low - angle, angle - self.high) - ANGLE_SLACK, 0.0)
+        far = np.minimum(angle + self.high + ANGLE_SLACK, np.pi)
+        slack = 10.0**-self.digits
+        return np.cos(far) - slack, np.cos(near) + slack
+
+    def first(self, units: np.ndarray, k: int, owners: int) -> np.ndarray:
+        """Rings of the first round: the nearest that hold ``k`` rows and ``owners`` cards."""
+        order = np.argsort(-self.bounds(units)[1], axis=1, kind="stable")
+        chosen = np.zeros(order.shape, bool)
+        for need, have in ((k, self.count), (owners, self.cards)):
+            if need:
+                own = have[order]
+                chosen |= (np.cumsum(own, axis=1) - own < need) & (own > 0)
+        out = np.zeros_like(chosen)
+        np.put_along_axis(out, order, chosen, axis=1)
+        return out
+
+    def second(self, units: np.ndarray, least: np.ndarray, least_card: np.ndarray, k: int, owners: int) -> np.ndarray:
+        """Rings beyond the first round that may hold a row of the given score or better."""
+        best = self.bounds(units)[1]
+        reach = np.zeros(best.shape, bool)
+        if k:
+            reach |= (best >= least[:, None]) & (self.count > 0)
+        if owners:
+            reach |= (best >= least_card[:, None]) & (self.cards > 0)
+        return reach & ~self.first(units, k, owners)
+
+
+@dataclass
+class Tiles:
+    """Chunks dealt to rings and tiles (ring, tile), and the rings."""
+
+    rows: DataFrame
+    rings: Rings
+
+
+def _centres(sample: np.ndarray, n: int) -> np.ndarray:
+    """Directions of ``n`` groups of the sample, by spherical k-means from evenly spaced rows."""
+    centres = sample[np.linspace(0, len(sample) - 1, n).astype(int)]
+    for _ in range(SWEEPS):
+        own = np.argmax(sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        size = np.sqrt((sums * sums).sum(1))
+        centres = np.unique(sums[size > 1e-9] / size[size > 1e-9, None], axis=0)
+    return centres
+
+
+def tiles(chunks: DataFrame, digits: int = DIGITS, tile_rows: int = TILE_ROWS) -> Tiles:
+    """Deal chunks (chunk_id, embedding, and owner_id and card where cards are wanted) to rings and tiles."""
+    names = [c for c in ("chunk_id", "owner_id", "card") if c in chunks.columns]
+    rows = chunks.select(*names, "embedding").filter(usable(F.col("embedding")))
+    total = rows.count()
+    sample = rows.select("embedding").orderBy(F.xxhash64("chunk_id")).limit(SAMPLE).collect() if total else []
+    drawn = _units(np.array([r.embedding for r in sample], "float64")) if sample else np.zeros((0, 1))
+    centres = _centres(drawn, min(CENTRES, len(drawn), -(-total // tile_rows))) if sample else drawn
+    # Ring limits are quantiles of the sample's angles, numbers of tiles follow from its shares.
+    angle = _angles(drawn, centres)
+    own = np.argmin(angle, axis=1) if sample else np.zeros(0, int)
+    cuts, salts, cell = [], [], []
+    for c in range(len(centres)):
+        held = np.sort(angle[own == c, c])
+        rings = max(1, min(RINGS, -(-len(held) * total // max(1, len(drawn) * tile_rows))))
+        cuts.append(held[[i * len(held) // rings for i in range(1, rings)]] if len(held) else np.zeros(0))
+        salts += [max(1, -(-(len(held) * total // max(1, len(drawn))) // (rings * tile_rows)))] * rings
+        cell += [c] * rings
+    start = np.searchsorted(cell, np.arange(len(centres)))
+    many = np.array(salts, int)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), TILE_ROWS):
+                part = pdf.iloc[i : i + TILE_ROWS].copy()
+                away = _angles(_units(_matrix(part["embedding"])), centres)
+                near = np.argmin(away, axis=1)
+                here = away[np.arange(len(part)), near]
+                part["ring"] = start[near] + np.array([np.searchsorted(cuts[c], a, side="right") for c, a in zip(near, here)], dtype="int64")
+                part["tile"] = pd.util.hash_array(part["chunk_id"].to_numpy(), categorize=False) % many[part["ring"]].astype("uint64")
+                part["angle"] = here
+                yield part
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    dealt = cut_lineage(rows.mapInPandas(deal, f"{kinds}, ring bigint, tile bigint, angle double"))
+    card = F.sum(F.col("card").cast("int")) if "card" in names else F.lit(0)
+    found = dealt.groupBy("ring").agg(F.min("angle"), F.max("angle"), F.count(F.lit(1)), card).collect() if total else []
+    stats = np.zeros((4, len(cell)))
+    for ring, *values in found:
+        stats[:, ring] = [v or 0 for v in values]
+    rings = Rings(centres, np.array(cell, int), stats[0], stats[1], stats[2].astype(int), stats[3].astype(int), many, digits)
+    return Tiles(dealt.drop("angle"), rings)
+
+
+def _sent(queries: DataFrame, rings: Rings, choose: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """A row of each question for every tile of the rings that ``choose`` picks for it."""
+    columns = [c for c in queries.columns if not c.startswith("_least")]
+    kinds = ", ".join(f"{c} {dict(queries.dtypes)[c]}" for c in columns)
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), STRIP_ROWS):
+                part = pdf.iloc[i : i + STRIP_ROWS]
+                row, ring = np.nonzero(choose(part, _units(_matrix(part["embedding"]))))
+                salts = rings.salts[ring]
+                row, ring, ends = np.repeat(row, salts), np.repeat(ring, salts), np.cumsum(salts)
+                out = part[columns].iloc[row].copy()
+                out["ring"], out["tile"] = ring, np.arange(len(row)) - np.repeat(ends - salts, salts)
+                yield out
+
+    return queries.mapInPandas(send, f"{kinds}, ring bigint, tile bigint")
+
+
+def _met(sent: DataFrame, held: Tiles, blocks: int, schema: str, pick: Callable) -> DataFrame:
+    """Run ``pick(questions, chunks in id order, similarities)`` over strips of every tile and the questions sent to it."""
+    left = sent.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    right = held.rows.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    names, digits = [part.split()[0] for part in schema.split(", ")], held.rings.digits
 
     def product(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        names = [part.split()[0] for part in schema.split(", ")]
         if q.empty or c.empty:
             return pd.DataFrame({n: pd.Series([], dtype="object") for n in names})  # takes any declared type, unlike float64
-        b = np.stack(c["embedding"].to_list()).astype("float64")
+        c = c.sort_values("chunk_id", ignore_index=True)
+        b = _matrix(c["embedding"])
         size, found = (b * b).sum(1), []
         for i in range(0, len(q), STRIP_ROWS):
             strip = q.iloc[i : i + STRIP_ROWS]
-            a = np.stack(strip["embedding"].to_list()).astype("float64")
+            a = _matrix(strip["embedding"])
             norm = np.sqrt(np.outer((a * a).sum(1), size))
             found.append(pick(strip, c, np.clip(np.round(a @ b.T / norm, digits), -1.0, 1.0) + 0.0))
         return pd.concat(found, ignore_index=True)[names]
 
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(product, schema)
+    return left.groupBy("ring", "tile", "_q").cogroup(right.groupBy("ring", "tile", "_q")).applyInPandas(product, schema)
 
 
-def _best(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by (similarity desc, id)."""
-    if k < len(row):
-        near = np.flatnonzero(row >= np.partition(row, -k)[-k])
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of each row by (score desc, column)."""
+    if k < scores.shape[1]:
+        row, col = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
     else:
-        near = np.arange(len(row))
-    return near[np.lexsort((ids[near], -row[near]))][:k]
-
-
-def _hits(strip: pd.DataFrame, ids: np.ndarray, scores: np.ndarray, picks: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({
-        "query_id": np.repeat(strip["query_id"].to_numpy(), [len(p) for p in picks]),
-        "chunk_id": np.concatenate([ids[p] for p in picks]), "similarity": np.concatenate([row[p] for row, p in zip(scores, picks)])})
+        row, col = (x.reshape(-1) for x in np.indices(scores.shape))
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def _best_cards(scores: np.ndarray, holder: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best card of each owner, for the ``owners`` best owners of each row."""
+    order = np.argsort(-scores, axis=1, kind="stable")
+    lines = np.arange(len(scores))[:, None]
+    place = np.full((len(scores), int(holder.max(initial=-1)) + 1), scores.shape[1])
+    # Of several places of an owner the last written counts, which is the best one.
+    place[lines, holder[order[:, ::-1]]] = np.arange(scores.shape[1])[::-1]
+    first = np.sort(place, axis=1)[:, :owners]
+    return np.repeat(lines[:, 0], first.shape[1]), order[lines, first].reshape(-1)
+
+
+def search(queries: DataFrame, held: Tiles, k: int, owners: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The k best chunks of each question with rank, and the best cards of the ``owners`` best owners with rank."""
+    rings = held.rings
+    asked = queries.select("query_id", "embedding").filter(usable(F.col("embedding")))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    kinds = dict(held.rows.dtypes)
+    owner = f", owner_id {kinds['owner_id']}, card boolean" if owners else ""
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, similarity double{owner}"
 
-
-def _hit_types(queries: DataFrame, chunks: DataFrame) -> str:
-    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}"
+    def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        ids, names, parts = c["chunk_id"].to_numpy(), strip["query_id"].to_numpy(), []
+        if k:
+            row, col = _best(scores, k)
+            parts.append(pd.DataFrame({"query_id": names[row], "chunk_id": ids[col], "similarity": scores[row, col], "owner_id": None, "card": False}))
+        cards = np.flatnonzero(c["card"].fillna(False).to_numpy(dtype=bool)) if owners else []
+        if len(cards):
+            holder = pd.factorize(c["owner_id"].iloc[cards], use_na_sentinel=False)[0]
+            row, col = _best_cards(scores[:, cards], holder, owners)
+            col = cards[col]
+            parts.append(pd.DataFrame({"query_id": names[row], "chunk_id": ids[col], "similarity": scores[row, col],
+                                       "owner_id": c["owner_id"].to_numpy()[col], "card": True}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["query_id", "chunk_id", "similarity", "owner_id", "card"])
+
+    def best(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        order = [F.desc("similarity"), "chunk_id"]
+        if not owners:
+            return top_rows(rows, ["query_id"], order, k), rows
+        chunks_ = top_rows(rows.filter("NOT card").select("query_id", "chunk_id", "similarity"), ["query_id"], order, max(k, 1))
+        each = rows.filter("card").groupBy("query_id", "owner_id").agg(
+            F.min_by(F.struct("chunk_id", "similarity"), F.struct(-F.col("similarity"), F.col("chunk_id"))).alias("_b"))
+        return chunks_, top_rows(each.select("query_id", "owner_id", "_b.chunk_id", "_b.similarity"), ["query_id"], order, owners)
+
+    near = cut_lineage(_met(_sent(asked, rings, lambda _, u: rings.first(u, k, owners)), held, blocks, schema, pick))
+    limits = asked
+    for rows, need, name in zip(best(near), (k, owners), ("_least", "_least_card")):
+        last = rows.filter(F.col("rank") == need).select("query_id", F.col("similarity").alias(name)) if need else None
+        limits = limits.join(last, "query_id", "left") if need else limits.withColumn(name, F.lit(0.0))
+    limits = limits.fillna(-2.0, ["_least", "_least_card"])
+    rest = _sent(limits, rings, lambda part, u: rings.second(u, part["_least"].to_numpy(), part["_least_card"].to_numpy(), k, owners))
+    return best(near.unionByName(_met(rest, held, blocks, schema, pick)))
+
+
+def tiles_met(queries: DataFrame, held: Tiles, k: int) -> DataFrame:
+    """(query_id, n_tiles, n_met): of all tiles, how many a search of the k best meets."""
+    rings = held.rings
+    top = search(queries, held, k)[0].filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("_least"))
+    rows = queries.select("query_id", "embedding").filter(usable(F.col("embedding"))).join(top, "query_id", "left").fillna(-2.0, ["_least"])
+
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                u = _units(_matrix(pdf["embedding"]))
+                chosen = rings.first(u, k, 0) | rings.second(u, pdf["_least"].to_numpy(), pdf["_least"].to_numpy(), k, 0)
+                yield pd.DataFrame({"query_id": pdf["query_id"], "n_tiles": int(rings.salts.sum()), "n_met": (chosen * rings.salts).sum(1)})
+
+    return rows.mapInPandas(met, f"query_id {dict(queries.dtypes)['query_id']}, n_tiles bigint, n_met bigint")
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
-    """Best k chunks per query by similarity, then id; tiles hand over k rows per query only."""
+    """Best k chunks per question by similarity, then id."""
     if not 1 <= k <= 100:
         raise ValueError("k must be from 1 to 100")
-    return _topk(queries, chunks, k, digits)
-
-
-def _topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
-    def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
-        ids = c["chunk_id"].to_numpy()
-        return _hits(strip, ids, scores, [_best(row, ids, k) for row in scores])
-
-    rows = _tiled(
-        queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding"), digits, f"{_hit_types(queries, chunks)}, similarity double", pick)
-    return top_rows(rows, ["query_id"], [F.desc("similarity"), "chunk_id"], k)
+    return search(queries, tiles(chunks.select("chunk_id", "embedding"), digits), k)[0]
 
 
 def card_recall(queries: DataFrame, cards: DataFrame, owners: int = 20, digits: int = DIGITS) -> DataFrame:
-    """Best card per owner, then the best owners: (query_id, owner_id, chunk_id, similarity, rank).
+    """Best card per owner, then the best owners: (query_id, owner_id, chunk_id, similarity, rank)."""
+    return search(queries, tiles(cards.select("chunk_id", "owner_id", "embedding", F.lit(True).alias("card")), digits), 0, owners)[1]
 
-    The best card of an owner is among the best of its own tile, and no more than ``owners`` owners of a tile can be
-    among the best of all, so a tile hands over that many rows per query.
-    """
-    def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
-        ids = c["chunk_id"].to_numpy()
-        holder = pd.factorize(c["owner_id"], use_na_sentinel=False)[0]
-        picks = []
-        for row in scores:
-            order = np.lexsort((ids, -row))
-            first = np.unique(holder[order], return_index=True)[1]
-            picks.append(order[np.sort(first)[:owners]])
-        out = _hits(strip, ids, scores, picks)
-        out["owner_id"] = np.concatenate([c["owner_id"].to_numpy()[p] for p in picks])
-        return out
-
-    kinds = f"{_hit_types(queries, cards)}, similarity double, owner_id {dict(cards.dtypes)['owner_id']}"
-    rows = _tiled(queries.select("query_id", "embedding"), cards.select("chunk_id", "owner_id", "embedding"), digits, kinds, pick)
-    best = rows.groupBy("query_id", "owner_id").agg(
-        F.min_by(F.struct("chunk_id", "similarity"), F.struct(-F.col("similarity"), F.col("chunk_id"))).alias("_b"))
-    flat = best.select("query_id", "owner_id", "_b.chunk_id", "_b.similarity")
-    return top_rows(flat, ["query_id"], [F.desc("similarity"), "chunk_id"], owners)
 
-
-def dense_ranks(queries: DataFrame, chunks: DataFrame, wanted: DataFrame, digits: int = DIGITS) -> DataFrame:
+def dense_ranks(queries: DataFrame, chunks: DataFrame, wanted: DataFrame, held: Tiles | None = None, digits: int = DIGITS) -> DataFrame:
     """(query_id, chunk_id, similarity, dense_rank) of the wanted pairs, ranked among all chunks.
 
-    Similarities of the pairs come from joins. Their ranks are one more than the numbers of chunks ahead, which every tile
-    counts for itself, so wanted pairs times tiles leave the tiles and never all pairs.
+    Similarities of the pairs come from joins. A rank is one more than the number of chunks ahead: rings that lie wholly
+    ahead of a pair count as they are, rings wholly behind it not at all, and only the others are searched.
     """
+    held = held or tiles(chunks.select("chunk_id", "embedding"), digits)
+    rings = held.rings
     both = wanted.select("query_id", "chunk_id").distinct().join(queries.select("query_id", F.col("embedding").alias("_a")), "query_id")
-    both = both.join(chunks.select("chunk_id", F.col("embedding").alias("_b")), "chunk_id")
-    pairs = both.select("query_id", "chunk_id", (F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("_a"), F.col("_b")))), digits) + 0.0).alias("similarity"))
-    # A query asks for ASKED of its pairs at a time, so a query with many pairs is several rows.
+    both = both.join(chunks.select("chunk_id", F.col("embedding").alias("_b")), "chunk_id").filter(usable(F.col("_a")) & usable(F.col("_b")))
+    like = F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("_a"), F.col("_b")))), rings.digits) + 0.0
+    pairs = cut_lineage(both.select("query_id", "chunk_id", like.alias("similarity")))
+    # A question asks for ASKED of its pairs at a time, so a question with many pairs is several rows.
     lots = pairs.withColumn("_lot", F.floor((F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")) - 1) / ASKED))
     asked = lots.groupBy("query_id", "_lot").agg(F.collect_list("chunk_id").alias("_ids"), F.collect_list("similarity").alias("_sims"))
-    asked = asked.join(queries.select("query_id", "embedding"), "query_id").drop("_lot")
+    asked = cut_lineage(asked.join(queries.select("query_id", "embedding"), "query_id").drop("_lot"))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    kinds = dict(held.rows.dtypes)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, ahead bigint"
+
+    def unclear(part: pd.DataFrame, units: np.ndarray) -> np.ndarray:
+        least, most = rings.bounds(units)
+        sims = [np.sort(np.asarray(s)) for s in part["_sims"]]
+        # A ring is unclear if one of the similarities lies within its bounds.
+        inside = [np.searchsorted(s, hi, side="right") > np.searchsorted(s, lo) for s, lo, hi in zip(sims, least, most)]
+        return np.stack(inside) & (rings.count > 0)
+
+    def clear(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), STRIP_ROWS):
+                part = pdf.iloc[i : i + STRIP_ROWS]
+                units = _units(_matrix(part["embedding"]))
+                least, open_ = rings.bounds(units)[0], unclear(part, units)
+                ahead = [((lo[None] > np.asarray(s)[:, None]) & ~o & (rings.count > 0)) @ rings.count for lo, o, s in zip(least, open_, part["_sims"])]
+                yield _counts(part, ahead)
 
     def pick(strip: pd.DataFrame, c: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
-        ids, out = c["chunk_id"].to_numpy(), []
-        for query, names, sims, row in zip(strip["query_id"], strip["_ids"], strip["_sims"], scores):
-            sims, names = np.asarray(sims), np.asarray(names)
-            ahead = (row[None] > sims[:, None]).sum(1)
-            even = row[None] == sims[:, None]
-            for i in np.flatnonzero(even.any(1)):
-                ahead[i] += int((ids[even[i]] < names[i]).sum())
-            out.append(pd.DataFrame({"query_id": [query] * len(names), "chunk_id": names, "ahead": ahead.astype("int64")}))
-        return pd.concat(out, ignore_index=True)
-
-    counts = _tiled(asked, chunks.select("chunk_id", "embedding"), digits, f"{_hit_types(queries, chunks)}, ahead bigint", pick)
+        ids, ahead = c["chunk_id"].to_numpy(), []
+        for names, sims, row in zip(strip["_ids"], strip["_sims"], scores):
+            order = np.argsort(row, kind="stable")  # by score, equal ones by id
+            line, sims = row[order], np.asarray(sims)
+            low, high = np.searchsorted(line, sims), np.searchsorted(line, sims, side="right")
+            ahead.append(len(line) - high)
+            for i in np.flatnonzero(high > low):
+                ahead[-1][i] += np.searchsorted(ids[order[low[i] : high[i]]], names[i])
+        return _counts(strip, ahead)
+
+    counts = _met(_sent(asked, rings, unclear), held, blocks, schema, pick).unionByName(asked.mapInPandas(clear, schema))
     ranks = counts.groupBy("query_id", "chunk_id").agg((F.sum("ahead") + 1).alias("dense_rank"))
     return pairs.join(ranks, ["query_id", "chunk_id"])
 
 
+def _counts(asked: pd.DataFrame, ahead: list[np.ndarray]) -> pd.DataFrame:
+    sizes = [len(a) for a in ahead]
+    return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), sizes), "chunk_id": np.concatenate([np.asarray(x) for x in asked["_ids"]]),
+                         "ahead": np.concatenate(ahead).astype("int64")})
+
+
 def dense_candidates(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """(query_id, chunk_id, similarity, dense_rank) of the k best of each query and of the wanted pairs."""
-    top = _topk(queries, chunks, k, digits).select("query_id", "chunk_id", "similarity", F.col("rank").cast("long").alias("dense_rank"))
+    """(query_id, chunk_id, similarity, dense_rank) of the k best of each question and of the wanted pairs."""
+    held = tiles(chunks.select("chunk_id", "embedding"), digits)
+    top = cut_lineage(search(queries, held, k)[0])
+    return ranked_with(queries, chunks, held, top, wanted)
+
+
+def ranked_with(queries: DataFrame, chunks: DataFrame, held: Tiles, top: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ranked rows of ``top``, and those wanted pairs that it lacks, ranked among all chunks."""
+    top = top.select("query_id", "chunk_id", "similarity", F.col("rank").cast("long").alias("dense_rank"))
     rest = wanted.select("query_id", "chunk_id").join(top, ["query_id", "chunk_id"], "left_anti")
-    return top.unionByName(dense_ranks(queries, chunks, rest, digits))
+    return top.unionByName(dense_ranks(queries, chunks, rest, held))

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.functions.text import contains_name
+from lodestone.functions.text import contains_name, retrieval_tokens
 from lodestone.operators.entities import name_keys, run_keys
 from lodestone.operators.scans import row_numbers, top_rows
 
 KEY = ["query_id", "chunk_id"]
 DENSE_WINDOW, LEXICAL_WINDOW, DEFAULT_LIMIT = 60, 40, 8
-FLOOR, GAP = {False: 0.25, True: -2.5}, {False: 0.15, True: 2.0}
+FLOOR, GAP = 0.25, 0.15
+SEMANTIC_FLOOR, SEMANTIC_GAP = -2.5, 2.0
+SEMANTIC_MODE = "cross_encoder:"
 
 
 def named_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
@@ -69,40 +71,55 @@ def candidates(ranked: DataFrame, exact: DataFrame, cards: DataFrame, limit: int
     return flags.filter(kept).withColumn("fusion", rrf(F.col("dense_rank"), F.col("lexical_rank")))
 
 
-def exact_queries(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id").agg(F.max("exact").alias("exact_query"))
+def matched_terms(hits: DataFrame, queries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Add matched_terms: the question's distinct terms that the chunk holds, in the order of the question.
+
+    tokens: chunk_id, tokens (of text, section and names).
+    """
+    asked = queries.select("query_id", F.array_distinct(retrieval_tokens(F.col("text"))).alias("_asked"))
+    rows = hits.join(asked, "query_id", "left").join(tokens.select("chunk_id", F.col("tokens").alias("_held")), "chunk_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumn("matched_terms", F.coalesce(F.array_intersect("_asked", "_held"), none)).drop("_asked", "_held")
 
 
-def gap_cutoff(hits: DataFrame, semantic: bool = False) -> DataFrame:
-    """(query_id, cutoff): the floor, or the score before the first wide gap among the top 20.
+def question_modes(hits: DataFrame, semantic: bool | None = None) -> DataFrame:
+    """(query_id, exact_query, semantic): whether the question names an entity of a hit, and whether a model scored its hits.
+
+    The mode of a question is that of its hits, unless ``semantic`` says it for all.
+    """
+    scored = F.col("mode").startswith(SEMANTIC_MODE) if "mode" in hits.columns else F.lit(False)
+    flag = F.coalesce(F.max(scored), F.lit(False)) if semantic is None else F.lit(semantic)
+    return hits.groupBy("query_id").agg(F.max("exact").alias("exact_query"), flag.alias("semantic"))
+
+
+def gap_cutoff(hits: DataFrame, semantic: bool | None = None, semantic_floor: float = SEMANTIC_FLOOR) -> DataFrame:
+    """(query_id, cutoff): the floor, or the score before the first wide gap among the top 20, by the question's mode.
 
     Hits of conflicting sources do not count, nor hits outside a named entity, nor (unless a model
-    scored them) hits with a lexical score. hits: similarity, rerank, lexical, exact, conflict.
+    scored them) hits with a lexical score. hits: similarity, rerank, lexical, exact, conflict, mode.
     """
-    score = F.coalesce("rerank", F.lit(0.0)) if semantic else F.col("similarity")
-    flagged = hits.join(exact_queries(hits), "query_id")
-    pool = flagged.filter(~F.col("conflict") & (~F.col("exact_query") | F.col("exact")) & (F.lit(semantic) | (F.col("lexical") == 0)))
-    top = top_rows(pool.select("query_id", "exact_query", score.alias("_s"), "chunk_id"), ["query_id"], [F.desc("_s"), "chunk_id"], 20, "_i")
+    modes = question_modes(hits, semantic)
+    flagged = hits.select("query_id", "chunk_id", "similarity", "rerank", "lexical", "exact", "conflict").join(modes, "query_id")
+    pool = flagged.filter(~F.col("conflict") & (~F.col("exact_query") | F.col("exact")) & (F.col("semantic") | (F.col("lexical") == 0)))
+    score = F.when(F.col("semantic"), F.coalesce("rerank", F.lit(0.0))).otherwise(F.col("similarity"))
+    top = top_rows(pool.select("query_id", "exact_query", "semantic", score.alias("_s"), "chunk_id"), ["query_id"], [F.desc("_s"), "chunk_id"], 20, "_i")
     before = F.lag("_s").over(Window.partitionBy("query_id").orderBy("_i"))
-    opened = F.when((F.col("_i") > F.when(F.col("exact_query"), 1).otherwise(3)) & (F.col("_b") - F.col("_s") > GAP[semantic]), F.col("_b"))
+    wide = F.when(F.col("semantic"), SEMANTIC_GAP).otherwise(GAP)
+    opened = F.when((F.col("_i") > F.when(F.col("exact_query"), 1).otherwise(3)) & (F.col("_b") - F.col("_s") > wide), F.col("_b"))
     gaps = top.withColumn("_b", before).groupBy("query_id").agg(F.max(opened).alias("_g"))
-    floor = F.lit(FLOOR[semantic])
-    base = hits.select("query_id").distinct().join(gaps, "query_id", "left")
-    return base.select("query_id", F.greatest(floor, F.coalesce("_g", floor)).alias("cutoff"))
+    floor = F.when(F.col("semantic"), float(semantic_floor)).otherwise(FLOOR)
+    return modes.join(gaps, "query_id", "left").select("query_id", F.greatest(floor, F.coalesce("_g", floor)).alias("cutoff"))
 
 
-def reject_reason(hits: DataFrame, cutoffs: DataFrame, semantic: bool = False) -> DataFrame:
-    """Add reason: source_conflict, different_owner, threshold or null; a lexical score defies the threshold."""
-    rows = hits.join(cutoffs, "query_id").join(exact_queries(hits), "query_id")
-    weak = (
-        (F.col("rerank") < F.col("cutoff")) if semantic
-        else (F.col("similarity") < F.col("cutoff")) & (F.col("lexical") <= 0)
-    )
+def reject_reason(hits: DataFrame, cutoffs: DataFrame, semantic: bool | None = None) -> DataFrame:
+    """Add reason: source_conflict, different_owner, threshold or null; a lexical score defies the threshold of similarity."""
+    rows = hits.drop("reason").join(cutoffs, "query_id").join(question_modes(hits, semantic), "query_id")
+    weak = F.when(F.col("semantic"), F.col("rerank") < F.col("cutoff")).otherwise((F.col("similarity") < F.col("cutoff")) & (F.col("lexical") <= 0))
     reason = (
         F.when(F.col("conflict"), "source_conflict").when(F.col("exact_query") & ~F.col("exact"), "different_owner")
         .when(weak, "threshold")
     )
-    return rows.withColumn("reason", reason).drop("cutoff", "exact_query")
+    return rows.withColumn("reason", reason).drop("cutoff", "exact_query", "semantic")
 
 
 def group_key(owner: Column, names: Column, section: Column) -> Column:
@@ -116,7 +133,7 @@ def diversify(hits: DataFrame, score: str = "rerank", limit: int = DEFAULT_LIMIT
 
     Two rounds, or eight where the question names an entity. hits: group_key, exact, reason (null = eligible).
     """
-    eligible = hits.filter("reason IS NULL").join(exact_queries(hits), "query_id")
+    eligible = hits.filter("reason IS NULL").join(question_modes(hits, False), "query_id")
     rank = F.struct((-F.col(score)).alias("_s"), F.col("chunk_id").alias("_c"))
     slim = eligible.select(*KEY, "group_key", "exact_query", rank.alias("_r"))
     firsts = slim.groupBy("query_id", "group_key").agg(F.min("_r").alias("_first"))
