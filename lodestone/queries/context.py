@@ -219,26 +219,28 @@ def _best(name: str, chunks: str) -> str:
   SELECT q.vec_id AS query_id, c.chunk_id, {sim} AS similarity FROM embeddings q, ({chunks}) c)) WHERE r <= 5 GROUP BY query_id)"""
 
 
-PAIRED_DUCK = """SELECT a.vec_id // 2 AS chunk_id, CASE WHEN b.embedding IS NULL THEN CAST(a.embedding AS DOUBLE[])
- ELSE list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) + x[2]) END AS embedding
- FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 0) a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+PAIRED_DUCK = """SELECT chunk_id, CASE WHEN len(v) = 1 THEN v[1] ELSE list_transform(list_zip(v[1], v[2]), lambda x: x[1] + x[2]) END AS embedding
+ FROM (SELECT CAST(floor(vec_id / 2) AS BIGINT) AS chunk_id, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS v FROM embeddings GROUP BY 1)"""
 
 
 @query("compare_strategies", f"""SELECT * FROM {_best('single', 'SELECT vec_id AS chunk_id, embedding FROM embeddings')} s JOIN {_best('paired', PAIRED_DUCK)} p USING (query_id)""")
 def compare_strategies(spark, d):
     asked, rows = sides(spark, d)
-    # The windows start at every other row; each row lies in one window.
-    after = rows.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("_next"))
-    starts = rows.filter(F.col("chunk_id") % 2 == 0).join(after, "chunk_id", "left")
-    both = F.zip_with(F.col("embedding"), "_next", lambda x, y: x.cast("double") + y.cast("double"))
-    paired = starts.select((F.col("chunk_id") / 2).cast("long").alias("chunk_id"), F.coalesce(both, F.col("embedding").cast("array<double>")).alias("embedding"))
+    # Every row lies in the window of its half id, alone where its neighbour is missing.
+    wide = rows.select(F.floor(F.col("chunk_id") / 2).alias("chunk_id"), F.struct("chunk_id", F.col("embedding").cast("array<double>").alias("v")).alias("row"))
+    pairs = wide.groupBy("chunk_id").agg(F.array_sort(F.collect_list("row")).alias("r"))
+    first, second = F.get("r", F.lit(0))["v"], F.get("r", F.lit(1))["v"]
+    paired = pairs.select("chunk_id", F.coalesce(F.zip_with(first, second, lambda x, y: x + y), first).alias("embedding"))
     return P.compare_strategies(asked, {"single": rows, "paired": paired}, 5)
 
 
 @query("retrieval_diagnostics", f"""{STAGE_FINAL} SELECT query_id, chunk_id, dense_rank, lexical_rank, similarity, lexical, fusion, rerank, 'lexical_fallback' AS mode, exact, selected, verdict AS reason,
-CAST(position AS INTEGER) AS position, substr(c.text, 1, 400) AS excerpt FROM final JOIN chunks c USING (chunk_id)""")
+CAST(position AS INTEGER) AS position, substr(c.text, 1, 400) AS excerpt, CAST(NULL AS VARCHAR) AS reranker_error,
+array_to_string(list_filter(qt.toks, lambda t, i: list_position(qt.toks, t) = i AND list_contains(dt.toks, t)), ' ') AS matched_terms
+FROM final JOIN chunks c USING (chunk_id) JOIN questionst qt USING (query_id) JOIN docs dt USING (chunk_id)""")
 def retrieval_diagnostics(spark, d):
-    return P.retrieval_diagnostics(hybrid(spark, d), table(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id"))
+    rows = P.retrieval_diagnostics(hybrid(spark, d), table(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id"))
+    return rows.withColumn("matched_terms", F.array_join("matched_terms", " "))
 
 
 @query("multi_question", f"""SELECT conv_id * 1000 + turn AS message_id, n AS number, question, (conv_id * 1000 + turn) || '#' || n AS query_id FROM (

@@ -13,6 +13,7 @@ from lodestone.operators.lexical import bm25, corpus_stats, lexical_rerank, quer
 from lodestone.operators.scans import top_rows
 from lodestone.plans import hybrid as P
 from lodestone.queries import duck as D
+from lodestone.queries.chunks import windows_sql
 from lodestone.registry import query
 from lodestone.session import cut_lineage, derive, table
 
@@ -45,10 +46,13 @@ def _vectors(name: str, key: str) -> str:
 {name}n AS (SELECT {key}, sum(n * n) AS norm FROM {name}v GROUP BY ALL)"""
 
 
-BASE = f"""chunks AS MATERIALIZED ({CHUNKS}), questions AS MATERIALIZED ({QUESTIONS}),
+def _base(questions: str) -> str:
+    return f"""chunks AS MATERIALIZED ({CHUNKS}), questions AS MATERIALIZED ({questions}),
 {_vectors('chunks', 'chunk_id')}, {_vectors('questions', 'query_id')},
 pairs AS MATERIALIZED (SELECT query_id, chunk_id, round(CAST(dot AS DOUBLE) / sqrt(CAST(qn.norm * cn.norm AS DOUBLE)), 6) AS similarity FROM (
   SELECT q.query_id, c.chunk_id, sum(q.n * c.n) AS dot FROM questionsv q JOIN chunksv c USING (slot) GROUP BY ALL) JOIN questionsn qn USING (query_id) JOIN chunksn cn USING (chunk_id))"""
+
+
 LEXICAL = f"""docs AS MATERIALIZED (SELECT chunk_id, {D.retrieval_tokens("text || chr(10) || section || chr(10) || owner_id")} AS toks FROM chunks),
 stats AS (SELECT count(*) AS n, greatest(1, avg(len(toks))) AS mean FROM docs),
 terms AS MATERIALIZED (SELECT query_id, unnest(list_distinct(toks)) AS term FROM questionst),
@@ -78,15 +82,18 @@ best AS (SELECT query_id, chunk_id, max(s) AS b FROM (SELECT query_id, chunk_id,
 heads AS (SELECT chunk_id, unnest(list_distinct({D.retrieval_tokens("owner_id || ' ' || section")})) AS term FROM chunks),
 titled AS (SELECT query_id, chunk_id, count(*) AS titled FROM cands JOIN heads USING (chunk_id) JOIN terms USING (query_id, term) GROUP BY ALL),
 counts AS (SELECT query_id, count(*) AS nt FROM terms GROUP BY ALL),
-reranked AS MATERIALIZED (SELECT c.*, round(CASE WHEN nt IS NULL THEN similarity ELSE 0.30 * similarity + 0.45 * (0.4 * coalesce(f, 0) + 0.6 * greatest(coalesce(f, 0), coalesce(b, 0))) /
+worded AS MATERIALIZED (SELECT c.*, round(CASE WHEN nt IS NULL THEN similarity ELSE 0.30 * similarity + 0.45 * (0.4 * coalesce(f, 0) + 0.6 * greatest(coalesce(f, 0), coalesce(b, 0))) /
   (1 + 0.4 * coalesce(f, 0) + 0.6 * greatest(coalesce(f, 0), coalesce(b, 0))) + 0.15 * coalesce(covered, 0) / nt + 0.10 * coalesce(titled, 0) / nt END, 8) AS rerank
   FROM cands c LEFT JOIN full_ USING (query_id, chunk_id) LEFT JOIN best USING (query_id, chunk_id) LEFT JOIN titled USING (query_id, chunk_id) LEFT JOIN counts USING (query_id))"""
-JUDGED = """hits AS MATERIALIZED (SELECT r.*, conflict, owner_id, section, max(CAST(exact AS INTEGER)) OVER (PARTITION BY query_id) = 1 AS eq FROM reranked r JOIN chunks USING (chunk_id)),
-top20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS i FROM hits WHERE NOT conflict AND (NOT eq OR exact) AND lexical = 0),
-gaps AS (SELECT query_id, max(CASE WHEN i > CASE WHEN eq THEN 1 ELSE 3 END AND prev - similarity > 0.15 THEN prev END) AS g FROM (
-  SELECT *, lag(similarity) OVER (PARTITION BY query_id ORDER BY i) AS prev FROM top20 WHERE i <= 20) GROUP BY ALL),
-cutoffs AS (SELECT query_id, greatest(0.25, coalesce(g, 0.25)) AS cutoff FROM (SELECT DISTINCT query_id FROM hits) LEFT JOIN gaps USING (query_id)),
-judged AS MATERIALIZED (SELECT h.*, CASE WHEN conflict THEN 'source_conflict' WHEN eq AND NOT exact THEN 'different_owner' WHEN similarity < cutoff AND lexical <= 0 THEN 'threshold' END AS reason
+PLAIN = "reranked AS MATERIALIZED (SELECT *, false AS semantic FROM worded)"
+JUDGED = """hits AS MATERIALIZED (SELECT r.*, conflict, owner_id, section, max(CAST(exact AS INTEGER)) OVER (PARTITION BY query_id) = 1 AS eq,
+  CASE WHEN semantic THEN rerank ELSE similarity END AS judge FROM reranked r JOIN chunks USING (chunk_id)),
+top20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY judge DESC, chunk_id) AS i FROM hits WHERE NOT conflict AND (NOT eq OR exact) AND (semantic OR lexical = 0)),
+gaps AS (SELECT query_id, max(CASE WHEN i > CASE WHEN eq THEN 1 ELSE 3 END AND prev - judge > CASE WHEN semantic THEN 2.0 ELSE 0.15 END THEN prev END) AS g FROM (
+  SELECT *, lag(judge) OVER (PARTITION BY query_id ORDER BY i) AS prev FROM top20 WHERE i <= 20) GROUP BY ALL),
+cutoffs AS (SELECT query_id, greatest(floor, coalesce(g, floor)) AS cutoff FROM (SELECT DISTINCT query_id, CAST(CASE WHEN semantic THEN -2.5 ELSE 0.25 END AS DOUBLE) AS floor FROM hits) LEFT JOIN gaps USING (query_id)),
+judged AS MATERIALIZED (SELECT h.*, CASE WHEN conflict THEN 'source_conflict' WHEN eq AND NOT exact THEN 'different_owner'
+  WHEN CASE WHEN semantic THEN rerank < cutoff ELSE similarity < cutoff AND lexical <= 0 END THEN 'threshold' END AS reason
   FROM hits h JOIN cutoffs USING (query_id))"""
 SHINGLES = "list_distinct(list_transform(range(1, greatest(1, len({t}) - 1)), lambda i: {t}[i] || ' ' || {t}[i + 1] || ' ' || {t}[i + 2]))"
 DEDUP = f"""words AS MATERIALIZED (SELECT chunk_id, toks, hash(list_filter(toks, lambda w: regexp_matches(w, '\\p{{Nd}}') OR w IN ('не', 'нельзя', 'без'))) AS crit, {SHINGLES.format(t='toks')} AS sh
@@ -113,11 +120,18 @@ deep AS (SELECT *, row_number() OVER (PARTITION BY query_id, owner_id ORDER BY r
 chosen AS (SELECT query_id, chunk_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, fr DESC, fc) AS position FROM deep WHERE depth <= CASE WHEN eq THEN 8 ELSE 2 END) WHERE position <= 8),
 final AS (SELECT m.*, position, position IS NOT NULL AS selected, coalesce(m.reason, CASE WHEN position IS NOT NULL THEN 'selected' ELSE 'family_limit' END) AS verdict FROM marked m LEFT JOIN chosen USING (query_id, chunk_id))"""
 
-STAGE_LEX = f"WITH {BASE}, {LEXICAL}"
+
+
+def final_sql(questions: str, reranked: str = PLAIN) -> str:
+    """All stages for other questions, or with other scores of the second stage."""
+    return f"WITH {_base(questions)}, {LEXICAL}, {EXACT}, {RANKED}, {CANDIDATES}, {RERANK}, {reranked}, {JUDGED}, {SELECTED}"
+
+
+STAGE_LEX = f"WITH {_base(QUESTIONS)}, {LEXICAL}"
 STAGE_RANK = f"{STAGE_LEX}, {EXACT}, {RANKED}, {CANDIDATES}"
-STAGE_RERANK = f"{STAGE_RANK}, {RERANK}"
+STAGE_RERANK = f"{STAGE_RANK}, {RERANK}, {PLAIN}"
 STAGE_JUDGED = f"{STAGE_RERANK}, {JUDGED}"
-STAGE_FINAL = f"{STAGE_JUDGED}, {SELECTED}"
+STAGE_FINAL = final_sql(QUESTIONS)
 
 
 # --- queries -------------------------------------------------------------------------------------
@@ -231,3 +245,55 @@ def hybrid(spark, d):
 def hybrid_search(spark, d):
     return hybrid(spark, d).select(
         "query_id", "chunk_id", "similarity", "lexical", "dense_rank", "lexical_rank", "fusion", "rerank", "exact", "selected", "reason")
+
+
+# --- modes and lists of questions ----------------------------------------------------------------
+MODEL_OF = "CASE item_id % 3 WHEN 1 THEN 'sizes' WHEN 2 THEN 'flaky' END"
+SCORED = f"""windows AS (SELECT chunk_id, concat_ws(chr(10), owner_id, section, w.text) AS passage FROM ({windows_sql('chunks', 'chunk_id', 300, 50)}) w JOIN chunks USING (chunk_id)),
+scores AS MATERIALIZED (SELECT chunk_id, max(CAST(length(passage) % 13 - 5 AS DOUBLE)) AS s FROM windows GROUP BY chunk_id),
+models AS (SELECT item_id AS query_id, {MODEL_OF} AS model, text FROM benchmark),
+asked_of AS (SELECT query_id, model, model = 'flaky' AND length(q.text) % 2 = 0 AS down FROM models JOIN questions q USING (query_id) WHERE model IS NOT NULL),
+lacking AS (SELECT DISTINCT query_id FROM worded w LEFT JOIN scores USING (chunk_id) WHERE s IS NULL),
+good AS (SELECT query_id, model FROM asked_of WHERE NOT down AND query_id NOT IN (SELECT query_id FROM lacking)),
+reranked AS MATERIALIZED (SELECT w.* REPLACE (CASE WHEN g.query_id IS NULL THEN rerank ELSE s END AS rerank), g.query_id IS NOT NULL AS semantic,
+  CASE WHEN g.query_id IS NOT NULL THEN 'cross_encoder:' || g.model WHEN a.query_id IS NOT NULL THEN 'lexical_fallback:reranker_unavailable' ELSE 'lexical_fallback' END AS mode,
+  CASE WHEN g.query_id IS NULL AND a.query_id IS NOT NULL THEN CASE WHEN a.down THEN 'reranker_TimeoutError' ELSE 'reranker_missing' END END AS reranker_error
+  FROM worded w LEFT JOIN scores USING (chunk_id) LEFT JOIN asked_of a USING (query_id) LEFT JOIN good g USING (query_id))"""
+
+
+def _sizes(question, texts):
+    return [len(t) % 13 - 5.0 for t in texts]
+
+
+def _flaky(question, texts):
+    if len(question) % 2 == 0:
+        raise TimeoutError("model is down")
+    return _sizes(question, texts)
+
+
+@query("hybrid_search_modes", f"""{final_sql(QUESTIONS, SCORED)} SELECT query_id, chunk_id, rerank, mode, reranker_error, selected, verdict AS reason FROM final""")
+def hybrid_search_modes(spark, d):
+    asked = questions(spark, d).join(derive(spark, d, f"SELECT item_id AS query_id, {MODEL_OF} AS model FROM benchmark"), "query_id")
+    hits = P.hybrid_search(asked, chunks(spark, d), models={"sizes": _sizes, "flaky": _flaky})
+    return hits.select("query_id", "chunk_id", "rerank", "mode", "reranker_error", "selected", "reason")
+
+
+LISTED = """SELECT a.item_id AS message_id, '1. ' || a.text || '? 2. ' || b.text || '!' AS text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 AND a.item_id % 2 = 0"""
+EACH = f"""SELECT message_id || '#' || number AS query_id, {D.strip('question')} AS text FROM (
+  SELECT item_id - item_id % 2 AS message_id, item_id % 2 + 1 AS number, text || CASE WHEN item_id % 2 = 0 THEN '?' ELSE '!' END AS question FROM benchmark
+  WHERE item_id - item_id % 2 + 1 IN (SELECT item_id FROM benchmark) AND item_id - item_id % 2 IN (SELECT item_id FROM benchmark))"""
+
+
+@query("multi_question_search", f"""{final_sql(EACH)},
+each_ AS (SELECT query_id, CAST(split_part(query_id, '#', 1) AS BIGINT) AS message_id, CAST(split_part(query_id, '#', 2) AS INTEGER) AS number FROM questions),
+counts_ AS (SELECT query_id, count(*) AS n FROM final GROUP BY query_id),
+given AS (SELECT query_id, message_id, number, position, chunk_id, CAST(row_number() OVER (PARTITION BY message_id ORDER BY number, position) AS INTEGER) AS place,
+  number > min(number) OVER (PARTITION BY message_id, chunk_id) AS repeated FROM final JOIN each_ USING (query_id) WHERE selected)
+SELECT e.message_id, e.number, (SELECT count(*) FROM chunks) AS n_scanned, CAST(coalesce(n, 0) AS BIGINT) AS n_candidates, place, CAST(position AS INTEGER) AS position, chunk_id, repeated
+FROM each_ e LEFT JOIN counts_ USING (query_id) LEFT JOIN given USING (query_id)""")
+def multi_question_search(spark, d):
+    encode = lambda rows: hashing_vectors(rows, "query_id", F.col("text"))
+    contexts, _ = P.multi_question_search(derive(spark, d, LISTED), chunks(spark, d), encode)
+    contexts = cut_lineage(contexts)
+    sources = P.message_sources(contexts).select("message_id", "number", "place", "position", "chunk_id", "repeated")
+    return contexts.select("message_id", "number", "n_scanned", "n_candidates").join(sources, ["message_id", "number"], "left")
