@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_tokens
-from lodestone.operators import context as A, retrieval as R
+from lodestone.operators import context as A, dedup, retrieval as R
 from lodestone.operators.catalog import spec_topk
 from lodestone.operators.dedup import near_duplicates, signatures
 from lodestone.operators.dense import dense_topk
@@ -173,3 +173,20 @@ def test_templates_without_duplicates_take_few_rounds(spark, monkeypatch):
     df = spark.createDataFrame(texts, "id int, g int, t array<string>")
     found = near_duplicates(df, ["g"], "id", [], signatures(df, "id", "t"))
     assert found.filter("duplicate").count() == 0 and len(rounds) <= 2
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_possible_pairs_of_templates_grow_with_the_rows(spark, n):
+    """Letters on one form: shared sentences, and parts of few common words, of very different lengths."""
+    pick = random.Random(n)
+    form = " ".join(f"form{i}" for i in range(40))
+    common = [f"k{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts = [(i, "g", f"{form} {' '.join(pick.choice(common) for _ in range(pick.choice([20, 30, 60, 90])))} {form[:90]}") for i in range(n)]
+    df = spark.createDataFrame(texts, "id long, g string, text string").withColumn("t", search_tokens(F.col("text"))).repartition(4)
+    signed = signatures(df, "id", "t")
+    rows = df.select("g", "id", F.struct("id").alias("_ord")).join(signed, "id")
+    space = ["g", "_crit"]
+    members = dedup._shared([*space, "_s", "_room"], dedup._prefix(rows, space, "id"))
+    pairs = dedup.possible_pairs(members, members, [*space, "_s", "_room"], ["g"], "id").count()
+    assert pairs <= n
+    assert near_duplicates(df.filter("id < 500"), ["g"], "id", [], signed).filter("duplicate").count() == 0
