@@ -225,20 +225,32 @@ def annotation_kind(spark, d):
 
 
 # --- catalog -------------------------------------------------------------------------------------
-WEIGHTS = {"brand": 0.3, "kind": 0.4, "size": 0.2}
 ITEMS = "SELECT p_partkey AS item, p_brand AS brand, p_type AS kind, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_size END AS size FROM part"
-PATTERN_SQL = " UNION ALL ".join(f"""SELECT a.item, '{"+".join(p)}' AS pattern, min(b.item) AS partner, CAST({w} AS DOUBLE) AS score, {str("kind" not in p).lower()} AS vetoed, CASE WHEN any_value(a.size) IS NULL THEN 'size' ELSE '' END AS unobserved
-FROM i a JOIN i b ON a.item <> b.item AND {" AND ".join(f"a.{c} = b.{c}" for c in p)} GROUP BY a.item""" for p, w in K._patterns(WEIGHTS))
+COMPARED = """round(CASE WHEN {a}.brand = {b}.brand THEN 0.3 ELSE 0 END + CASE WHEN {a}.kind = {b}.kind THEN 0.4 ELSE 0 END + CASE WHEN {a}.size = {b}.size THEN 0.2 ELSE 0 END, 6) AS score,
+ concat_ws(',', CASE WHEN {a}.brand = {b}.brand THEN 'brand' END, CASE WHEN {a}.kind = {b}.kind THEN 'kind' END, CASE WHEN {a}.size = {b}.size THEN 'size' END) AS matches,
+ concat_ws(',', CASE WHEN {a}.brand <> {b}.brand THEN 'brand' END, CASE WHEN {a}.kind <> {b}.kind THEN 'kind' END, CASE WHEN {a}.size <> {b}.size THEN 'size' END) AS differences,
+ concat_ws(',', CASE WHEN {a}.kind IS NULL OR {b}.kind IS NULL THEN 'kind' END, CASE WHEN {a}.size IS NULL OR {b}.size IS NULL THEN 'size' END) AS missing"""
+HIDING = "SELECT item, brand, CASE WHEN item % 7 = 0 THEN NULL ELSE kind END AS kind, size FROM (" + ITEMS + ")"
+WEIGHTS = {"brand": 0.3, "kind": 0.4, "size": 0.2}
+NEAR = " UNION ".join(
+    f"""SELECT a.item, min(b.item) AS partner FROM i a JOIN i b ON a.item <> b.item AND {" AND ".join(f"a.{c} = b.{c}" for c in p)} {veto} GROUP BY a.item"""
+    for p, _ in K._patterns(WEIGHTS) for veto in ("", "AND a.kind IS NOT NULL AND b.kind IS NULL") if not veto or "kind" not in p)
+PAIRS = f"""i AS ({HIDING}), near AS ({NEAR}), p AS (SELECT n.item, n.partner, {COMPARED.format(a='a', b='b')}, coalesce(a.kind <> b.kind, false) AS vetoed
+ FROM near n JOIN i a ON a.item = n.item JOIN i b ON b.item = n.partner)"""
+
+
+def near_items(spark, d):
+    return K.catalog_pairs(derive(spark, d, HIDING), "item", WEIGHTS, ["kind"])
 
 
-@query("catalog_pairs", f"WITH i AS ({ITEMS}) {PATTERN_SQL}")
+@query("catalog_pairs", f"WITH {PAIRS} SELECT item, partner, CAST(score AS DOUBLE) AS score, vetoed, matches, differences, missing FROM p")
 def catalog_pairs(spark, d):
-    return K.catalog_pairs(derive(spark, d, ITEMS), "item", WEIGHTS, ["kind"])
+    return near_items(spark, d)
 
 
-@query("unify_recommend", f"""WITH i AS ({ITEMS}), p AS ({PATTERN_SQL}) SELECT item, partner, score, pattern AS reason FROM p WHERE NOT vetoed QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, pattern) = 1""")
+@query("unify_recommend", f"""WITH {PAIRS} SELECT item, partner, CAST(score AS DOUBLE) AS score, matches AS reason, missing FROM p WHERE NOT vetoed QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, partner) = 1""")
 def unify_recommend(spark, d):
-    return K.unify_recommend(K.catalog_pairs(derive(spark, d, ITEMS), "item", WEIGHTS, ["kind"]), "item")
+    return K.unify_recommend(near_items(spark, d), "item")
 
 
 SPECS = "SELECT s_suppkey AS spec, 'Brand#' || (1 + s_nationkey % 25) AS brand, CASE s_suppkey % 3 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'PROMO' ELSE 'HUGE' END AS kind, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey % 50 AS INT) END AS size FROM supplier"

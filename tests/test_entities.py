@@ -99,3 +99,46 @@ def test_evidence_lines_keep_all_text(spark):
     rows = C.evidence_lines(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]).orderBy("line").collect()
     assert all(len(r.quote) <= 220 for r in rows)
     assert "".join("".join(r.quote.split()) for r in rows) == "".join(text.split())
+
+
+def test_catalog_pairs_come_from_both_rows(spark):
+    from lodestone.operators.catalog import catalog_pairs, unify_recommend
+
+    weights = {"brand": 0.3, "kind": 0.4, "size": 0.2}
+    made = [(1, "b", "k", 5), (2, "b", "k", 5), (3, "b", "x", 5), (4, "b", None, 5), (5, "c", None, 9), (6, None, None, None), (7, "c", "y", 9)]
+    items = spark.createDataFrame(made, "item int, brand string, kind string, size int")
+    pairs = {(r.item, r.partner): (r.score, r.vetoed, r.matches, r.differences, r.missing) for r in catalog_pairs(items, "item", weights, ["kind"]).collect()}
+    assert pairs[1, 2] == (0.9, False, "brand,kind,size", "", "") and pairs[2, 1] == pairs[1, 2]
+    assert pairs[3, 1] == (0.5, True, "brand,size", "kind", "") and pairs[3, 4] == (0.5, False, "brand,size", "", "kind")
+    assert pairs[7, 5] == (0.5, False, "brand,size", "", "kind") and not any(6 in p for p in pairs)
+    assert len(pairs) == catalog_pairs(items, "item", weights, ["kind"]).count()
+    best = {r.item: (r.partner, r.score, r.reason, r.missing) for r in unify_recommend(catalog_pairs(items, "item", weights, ["kind"]), "item").collect()}
+    assert best[3] == (4, 0.5, "brand,size", "kind") and best[1] == (2, 0.9, "brand,kind,size", "") and best[4] == (1, 0.5, "brand,size", "kind")
+
+
+def test_catalog_pairs_equal_all_pairs(spark):
+    import random
+
+    from lodestone.operators.catalog import catalog_pairs
+
+    pick = random.Random(3)
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    made = [(i, *[pick.choice([None, "x", "y", "z"]) for _ in range(3)]) for i in range(120)]
+    found = {(r.item, r.partner): (r.score, r.vetoed) for r in catalog_pairs(spark.createDataFrame(made, "item int, a string, b string, c string"), "item", weights, ["a", "c"]).collect()}
+    for i, *x in made:
+        best, free = {}, {}
+        for j, *y in made:
+            if i == j:
+                continue
+            same = [n for n, p, q in zip("abc", x, y) if p is not None and p == q]
+            veto = any(p is not None and q is not None and p != q for n, p, q in zip("abc", x, y) if n in "ac")
+            score = round(sum(weights[n] for n in same), 6)
+            if same:
+                best[score] = min(best.get(score, j), j)
+                if not veto:
+                    free[score] = min(free.get(score, j), j)
+            if (i, j) in found:
+                assert found[i, j] == (score, veto)
+        for scores in (best, free):
+            if scores:
+                assert (i, scores[max(scores)]) in found
