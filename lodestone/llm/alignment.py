@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.words import column, pieces, ragged
+from lodestone.llm.words import column, give_back, pieces, ragged
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -521,6 +521,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(best, doc[lead], times[lead])
     if current is not None:
         yield from done()
+    give_back()
 
 
 @query("op11_tokenizer_alignment")

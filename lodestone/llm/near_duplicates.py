@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.words import PLAIN, Words, column, mix, pieces, ragged, span_hashes, split
+from lodestone.llm.words import PLAIN, Words, column, give_back, mix, pieces, ragged, span_hashes, split
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -127,6 +127,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    give_back()
 
 
 def _edges(t: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.words import PLAIN, Words, column, covered, mix, pieces, ragged, span_hashes, split
+from lodestone.llm.words import PLAIN, Words, column, covered, give_back, mix, pieces, ragged, span_hashes, split
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -219,6 +219,8 @@ def _counter(window: int):
                     held[record] = held.get(record, 0) + n
         if held:
             yield verdicts(held)
+        held = {}
+        give_back()
 
     return count
 

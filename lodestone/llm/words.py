@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,7 +80,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return span_hashes(_BYTE[which][self.data], self.start, self.end, which, own=True)
+        """Hash of each word, from slices of the bytes: a hash does not depend on where its word stands."""
+        out, at = np.empty(len(self.start), np.uint64), 0
+        while at < len(out):
+            low = int(self.start[at])
+            stop = max(at + 1, int(np.searchsorted(self.end, low + PIECE_BYTES, side="right")))
+            raw = _BYTE[which][self.data[low : int(self.end[stop - 1])]]
+            out[at:stop] = span_hashes(raw, self.start[at:stop] - low, self.end[at:stop] - low, which, own=True)
+            at = stop
+        return out
 
     def shingles(self, n: int, which: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starts (as word numbers) and hashes of all runs of n words that lie in one row."""
@@ -127,6 +137,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             stop = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what the task no longer uses to the system: a worker outlives its tasks, and free memory would stay in it."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -335,3 +335,12 @@ def test_boosted_tables_learn_a_pair():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.Gam().fit(x[:3000], y[:3000])
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.97
+
+
+def test_hashes_of_words_do_not_depend_on_slices(monkeypatch):
+    texts = pa.array([" ".join(f"w{i % 90}é" for i in range(2000)), "w1é", "x" * 5000])
+    whole = words.split(texts)
+    before = [whole.hashes(which) for which in (0, 1)]
+    monkeypatch.setattr(words, "PIECE_BYTES", 64)
+    assert all((whole.hashes(which) == h).all() for which, h in enumerate(before))
+    assert before[0][2000] == before[0][1] and before[0][2000] != before[1][2000]
