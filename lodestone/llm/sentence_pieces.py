@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.words import column, mix, pieces, powers, ragged
+from lodestone.llm.words import column, pieces, ragged
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -42,14 +42,48 @@ BLOCK = 64
 CACHE_UNITS = 250_000
 PIECE_BYTES = 2 << 20
 NONE = -(1 << 60)
-SLOT_BITS = 22
-_SLOT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 _CUT = re.compile(r"(?<=[^ ]) ")
 _models: dict[str, "Pieces"] = {}
 
 
+class Steps:
+    """A table of distinct numbers and their values: hashed places, the next free one where a place is taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        rest, shift = np.arange(len(keys)), 0
+        while len(rest):
+            place = (self._place(keys[rest]) + shift) & ((1 << self.bits) - 1)
+            free = self.keys[place] < 0
+            _, first = np.unique(place, return_index=True)  # of several keys for one place, the first takes it
+            takes = np.zeros(len(rest), bool)
+            takes[first] = True
+            takes &= free
+            self.keys[place[takes]], self.values[place[takes]] = keys[rest[takes]], values[rest[takes]]
+            rest, shift = rest[~takes], shift + 1
+        self.probes = shift
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for keys that are not there or not ``real``."""
+        place = self._place(keys)
+        out = np.where((self.keys[place] == keys) & real, self.values[place], -1)
+        for shift in range(1, self.probes):
+            rest = np.flatnonzero((out < 0) & real & (self.keys[place] >= 0))
+            if not len(rest):
+                break
+            place[rest] = (self._place(keys[rest]) + shift) & ((1 << self.bits) - 1)
+            hit = self.keys[place[rest]] == keys[rest]
+            out[rest[hit]] = self.values[place[rest[hit]]]
+        return out
+
+
 class Pieces:
     """A vocabulary with scores, and best paths over it."""
 
@@ -74,23 +108,25 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.byte_score = -round(2e6 * float(np.log(size)))
         self.cache: dict[str, tuple[int, bytes]] = {}
-        # The same vocabulary as a table of hashes, for many units at once; a second table takes what collides in the first.
-        texts = list(self.ids)
-        self.number = np.array([self.ids[t][0] for t in texts], np.int32)
-        self.worth = np.array([self.ids[t][1] for t in texts], np.int64)
-        length = np.array(list(map(len, texts)))
-        self.hashes = np.zeros(len(texts), np.uint64)
-        for n in np.unique(length).tolist():
-            at = np.flatnonzero(length == n)
-            self.hashes[at] = self._prefixes("".join(texts[i] for i in at), n, len(at))[:, -1]
-        first = np.full(1 << SLOT_BITS, -1, np.int32)
-        first[self._slot(self.hashes, 0)] = np.arange(len(texts))
-        left = np.flatnonzero(first[self._slot(self.hashes, 0)] != np.arange(len(texts)))
-        second = np.full(1 << SLOT_BITS, -1, np.int32)
-        second[self._slot(self.hashes[left], 1)] = left
-        if (second[self._slot(self.hashes[left], 1)] != left).any():
-            raise ValueError("pieces collide in both tables")
-        self.slots = (first, second)
+        # The same vocabulary as a trie, for many units at once: its steps (state, character) stand in one hashed table.
+        states: dict[tuple[int, int], int] = {}
+        # A character of one byte without a piece is one step as well: its byte piece.
+        lone = {chr(b): (self.byte[b], self.byte_score) for b in range(128) if chr(b) not in self.ids}
+        self.symbol = {c: i for i, c in enumerate(sorted({*"".join(self.ids), *lone}))}
+        self.end, self.worth = [-1], [0]
+        for text, (number, worth) in {**self.ids, **lone}.items():
+            state = 0
+            for c in text:
+                step = (state, self.symbol[c])
+                if step not in states:
+                    states[step] = len(self.end)
+                    self.end.append(-1)
+                    self.worth.append(0)
+                state = states[step]
+            self.end[state], self.worth[state] = number, worth
+        self.end, self.worth = np.array(self.end, np.int32), np.array(self.worth, np.int64)
+        self.steps = Steps(np.array([s * len(self.symbol) + c for s, c in states], np.int64), np.fromiter(states.values(), np.int32, len(states)))
+        self.points = np.array([ord(c) for c in self.symbol])
 
     def _step(self, text: str, j: int, length: int) -> tuple[tuple[int, ...], int] | None:
         """Ids and score of the piece text[j-length:j], bytes for a single character without one."""
@@ -156,17 +192,11 @@ class Pieces:
             j = back[j]
         return best[-1], np.array([i for step in reversed(out) for i in step], "<i4").tobytes()
 
-    @staticmethod
-    def _slot(hashes: np.ndarray, which: int) -> np.ndarray:
-        return ((hashes * _SLOT[which]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-    @staticmethod
-    def _prefixes(joined: str, n: int, m: int) -> np.ndarray:
-        """Prefix hashes [m, n + 1] of m texts of n characters each."""
-        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n)
-        out = np.zeros((m, n + 1), np.uint64)
-        np.cumsum(mix(chars.astype(np.uint64) + np.uint64(1)) * powers(n)[0][:n], axis=1, out=out[:, 1:])
-        return out
+    def _symbols(self, joined: str) -> np.ndarray:
+        """Number of each character among those of the vocabulary, -1 for others."""
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, chars), len(self.points) - 1)
+        return np.where(self.points[at] == chars, at, -1)
 
     def many(self, units: list[str]) -> list[tuple[int, bytes]]:
         """``unit`` of many texts: those of one length take their steps together."""
@@ -181,32 +211,39 @@ class Pieces:
         return [self.unit(u) if found is None else found for u, found in zip(units, out)]
 
     def _together(self, units: list[str], n: int, places: list[int], out: list) -> None:
-        m = len(places)
-        prefix, down = self._prefixes("".join([units[i] for i in places]), n, m).T.copy(), powers(n)[1]
-        best, back, piece = np.full((n + 1, m), NONE, np.int64), np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int64)
+        m, width = len(places), len(self.symbol)
+        chars = self._symbols("".join([units[i] for i in places])).reshape(m, n).T.copy()
+        best, back, piece = np.full((n + 1, m), NONE, np.int64), np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int32)
         best[0] = 0
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):  # the longer piece first, so it wins ties
-                key = (prefix[j] - prefix[i]) * down[i]
-                for which, table in enumerate(self.slots):
-                    entry = table[self._slot(key, which)]
-                    hit = np.flatnonzero((self.hashes[entry] == key) & (entry >= 0) & (best[i] > NONE))
-                    if len(hit):
-                        value = best[i][hit] + self.worth[entry[hit]]
-                        more = value > best[j][hit]
-                        hit, value = hit[more], value[more]
-                        best[j][hit], back[j][hit], piece[j][hit] = value, j - i, self.number[entry[hit]]
-        # Units with a character that has no piece, or that a hash misled, are left to the plain way.
+        for i in range(n):  # pieces that start earlier come first, so the longer one wins ties
+            alive = np.flatnonzero(best[i] > NONE)
+            state = np.zeros(len(alive), np.int64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                state = self.steps.find(state * width + chars[j - 1, alive], chars[j - 1, alive] >= 0)
+                on = np.flatnonzero(state >= 0)
+                if not len(on):
+                    break
+                alive, state = alive[on], state[on].astype(np.int64)
+                whole = np.flatnonzero(self.end[state] >= 0)
+                if len(whole):
+                    at, own = alive[whole], state[whole]
+                    value = best[i][at] + self.worth[own]
+                    more = value > best[j][at]
+                    at, own = at[more], own[more]
+                    best[j][at], back[j][at], piece[j][at] = value[more], j - i, self.end[own]
+        # Units with a character that has no piece are left to the plain way.
         sure = np.flatnonzero((best[1:] > NONE).all(axis=0))
         at, steps = np.full(len(sure), n), []
         while (at > 0).any():
             steps.append(np.where(at > 0, piece[at, sure], -1))
             at = at - back[at, sure]
+        if not len(sure):
+            return
         ids = np.array(steps[::-1], np.int32).T
-        for row, k in zip(ids, sure.tolist()):
-            own = row[row >= 0]
-            if b"".join([self.spell[i] for i in own.tolist()]) == units[places[k]].encode():
-                out[places[k]] = (int(best[n, k]), own.astype("<i4").tobytes())
+        ends = np.cumsum((ids >= 0).sum(axis=1)) * 4
+        raw = ids[ids >= 0].astype("<i4").tobytes()
+        for k, score, a, b in zip(sure.tolist(), best[n, sure].tolist(), [0, *ends.tolist()], ends.tolist()):
+            out[places[k]] = (score, raw[a:b])
 
     def known(self, units: list[str]) -> list[tuple[int, bytes]]:
         cache = self.cache

@@ -344,3 +344,19 @@ def test_hashes_of_words_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(words, "PIECE_BYTES", 64)
     assert all((whole.hashes(which) == h).all() for which, h in enumerate(before))
     assert before[0][2000] == before[0][1] and before[0][2000] != before[1][2000]
+
+
+def test_steps_of_any_number_of_keys():
+    """Larger vocabularies take further places where hashes meet."""
+    pick = np.random.default_rng(5)
+    keys = np.unique(pick.integers(0, 1 << 40, 300_000))
+    steps = sentence_pieces.Steps(keys[::2], np.arange(len(keys[::2]), dtype=np.int32))
+    found = steps.find(keys, np.ones(len(keys), bool))
+    assert (found[::2] == np.arange(len(keys[::2]))).all() and (found[1::2] == -1).all() and steps.probes > 1
+    assert (steps.find(keys, np.zeros(len(keys), bool)) == -1).all()
+
+
+def test_units_together_equal_the_plain_way():
+    model = sentence_pieces.model(PIECE)
+    units = [" the", " naïve", "\nLine", " 中文", " 🙂x", " a\x00b", " tab\there", " " + "long" * 12, " ▁x", "\n", " Zürich's", " é", " \x7f"] + [f" w{i}é{i * 7 % 13}" for i in range(300)]
+    assert model.many(units) == [model.unit(u) for u in units]
