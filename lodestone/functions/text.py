@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
@@ -172,16 +173,37 @@ def fits_budget(text: Column, instructions: int, reserve: int, limit: int) -> Co
     return F.octet_length(text) + F.lit(instructions + 64 + reserve) <= limit
 
 
-def token_count(text: Column) -> Column:
-    """Default token count: runs of letters and digits, and single other marks."""
-    return F.size(F.regexp_extract_all(text, F.lit(UNIT_TOKEN), F.lit(0)))
-
-
 def token_pieces(text: Column) -> Column:
     """Tokens with the space before them; together with the trailing space they make up the text."""
     return F.regexp_extract_all(text, F.lit(rf"\s*(?:{UNIT_TOKEN})"), F.lit(0))
 
 
+#: A tokenizer: from a text to its tokens, each with what stands before it, in order from the start of the text.
+Pieces = Callable[[Column], Column]
+
+
+def token_count(text: Column, pieces: Pieces | None = None) -> Column:
+    """Number of tokens; by default runs of letters and digits, and single other marks."""
+    return F.size(F.regexp_extract_all(text, F.lit(UNIT_TOKEN), F.lit(0)) if pieces is None else pieces(text))
+
+
+def python_pieces(cut: Callable[[Sequence[str]], Sequence[Sequence[str]]]) -> Pieces:
+    """A tokenizer in Python, called with the texts of an Arrow batch; null has no tokens.
+
+    ``cut`` gives the pieces of each text. Pieces that do not begin the text, one after the other, fail.
+    """
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        plain = [t if isinstance(t, str) else "" for t in texts]
+        found = [list(p) for p in cut(plain)]
+        if len(found) != len(plain) or not all(t.startswith("".join(p)) for t, p in zip(plain, found)):
+            raise ValueError("the tokenizer's pieces do not make up the text")
+        return pd.Series(found, dtype="object")
+
+    return pieces
+
+
 def first_non_blank(*values: Column) -> Column:
     return F.coalesce(*[F.when(strip(v) != "", v) for v in values])
 

@@ -2,51 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.functions.text import retrieval_tokens, stable_id, strip, token_count, token_pieces
+from lodestone.functions.text import Pieces, retrieval_tokens, stable_id, strip, token_count, token_pieces
 from lodestone.operators.folds import Fold, counted, segmented_fold
 from lodestone.operators.scans import previous, running, top_rows
 
 
+SEGMENT = 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where a lambda would compute it anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(pieces: Column, text: Column, size: int | Column, overlap: int | Column) -> Column:
-    """Array of windows (start, end, text) by tokens; offsets in code points, last window ends the text."""
+    """Array of windows (start, end, text, tokens); offsets in code points, last window ends the text.
+
+    One pass over the pieces finds where windows start and end; a window's text comes from the segments it touches, so
+    the work is in proportion to the text.
+    """
     size, overlap = (x if isinstance(x, Column) else F.lit(x) for x in (size, overlap))
     step = size - overlap
     n = F.size(pieces)
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    lengths = F.transform(pieces, F.length)
-    # Offsets are running sums of the lengths of whole steps, so each piece is added once.
-    strides = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda k: F.aggregate(F.slice(lengths, k * step + 1, step), F.lit(0), lambda a, x: a + x),
-    )
-    starts = F.aggregate(
-        strides,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list")),
-        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list")),
-        lambda acc: acc["list"],
-    )
-
-    def window(start: Column, k: Column) -> Column:
-        body = F.array_join(F.slice(pieces, k * step + 1, size), "")
-        end = F.when(k == count - 1, F.length(text)).otherwise(start + F.length(body))
-        return F.struct(start.alias("start"), end.cast("int").alias("end"),
-                        F.substring(text, start + 1, end - start).alias("text"))
-
-    return F.filter(F.transform(starts, window), lambda w: strip(w["text"]) != "")
-
-
-def fixed_windows(df: DataFrame, keys: list[str], text: str = "text", size: int | Column = 600, overlap: int | Column = 100) -> DataFrame:
-    """Overlapping token windows of a text: (keys, window, start, end, text, token_count)."""
+    none = F.array().cast("array<int>")
+
+    def add(acc: Column, length: Column) -> Column:
+        i, at = acc["i"], acc["at"]
+        return F.struct(
+            (at + length).alias("at"), (i + 1).alias("i"),
+            F.when(i % step == 0, F.concat(acc["starts"], F.array(at))).otherwise(acc["starts"]).alias("starts"),
+            F.when((i >= size - 1) & ((i - size + 1) % step == 0), F.concat(acc["ends"], F.array(at + length))).otherwise(acc["ends"]).alias("ends"))
+
+    places = F.aggregate(F.transform(pieces, F.length), F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("starts"), none.alias("ends")), add)
+    segments = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+    held = F.struct(places.alias("places"), segments.alias("segments"), F.length(text).alias("total"), count.alias("count"), n.alias("n"))
+
+    def window(h: Column, k: Column) -> Column:
+        start = F.coalesce(F.get(h["places"]["starts"], k), F.lit(0))
+        end = F.when(k == h["count"] - 1, h["total"]).otherwise(F.get(h["places"]["ends"], k))
+        first = F.floor(start / SEGMENT).cast("int")
+        touched = F.slice(h["segments"], first + 1, F.floor(end / SEGMENT).cast("int") - first + 1)
+        body = F.substring(F.array_join(touched, ""), start - first * SEGMENT + 1, end - start)
+        return F.struct(start.alias("start"), end.alias("end"), body.alias("text"), F.least(size, h["n"] - k * step).cast("int").alias("tokens"))
+
+    return _let(held, lambda h: F.filter(F.transform(F.sequence(F.lit(0), h["count"] - 1), lambda k: window(h, k)), lambda w: strip(w["text"]) != ""))
+
+
+def fixed_windows(
+    df: DataFrame, keys: list[str], text: str = "text", size: int | Column = 600, overlap: int | Column = 100, pieces: Pieces = token_pieces,
+) -> DataFrame:
+    """Overlapping token windows of a text: (keys, window, start, end, text, token_count), by any tokenizer."""
     if isinstance(size, int) and isinstance(overlap, int) and (size < 8 or not 0 <= overlap < size):
         raise ValueError("size must be at least 8 and overlap smaller than size")
     sizes = [x if isinstance(x, Column) else F.lit(x) for x in (size, overlap)]
-    pieces = df.filter(strip(F.col(text)) != "").select(
-        *keys, F.col(text).alias("_text"), token_pieces(F.col(text)).alias("_pieces"), sizes[0].alias("_size"), sizes[1].alias("_over"))
-    rows = pieces.select(*keys, F.posexplode(_windows(F.col("_pieces"), F.col("_text"), F.col("_size"), F.col("_over"))).alias("window", "_w"))
-    return rows.select(*keys, "window", "_w.start", "_w.end", "_w.text", token_count(F.col("_w.text")).alias("token_count"))
+    cut = df.filter(strip(F.col(text)) != "").select(
+        *keys, F.col(text).alias("_text"), pieces(F.col(text)).alias("_pieces"), sizes[0].alias("_size"), sizes[1].alias("_over"))
+    rows = cut.select(*keys, F.posexplode(_windows(F.col("_pieces"), F.col("_text"), F.col("_size"), F.col("_over"))).alias("window", "_w"))
+    return rows.select(*keys, "window", "_w.start", "_w.end", "_w.text", F.col("_w.tokens").alias("token_count"))
 
 
 def structural_groups(blocks: DataFrame) -> DataFrame:
@@ -189,7 +207,7 @@ def _contained(texts: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame
     return heads.join(keyed, [*keys, "_gram"]).filter(F.contains("_line", "text")).select(*keys, "text").distinct()
 
 
-def card_chunks(blocks: DataFrame, lines: DataFrame, size: int = 650) -> DataFrame:
+def card_chunks(blocks: DataFrame, lines: DataFrame, size: int = 650, pieces: Pieces | None = None) -> DataFrame:
     """Separate chunks, kind 'family_card', from the blocks quoted in purpose or constraints of an entity.
 
     Entities without a purpose have no card chunk.
@@ -201,7 +219,7 @@ def card_chunks(blocks: DataFrame, lines: DataFrame, size: int = 650) -> DataFra
     owned = owned.join(purposeful, keys, "left_semi")
     texts = _contained(owned.select(*keys, "text").distinct(), lines.select(*keys, "text"), keys)
     quoted = owned.join(texts, [*keys, "text"], "left_semi")
-    grouped = structural_groups(quoted.withColumn("token_count", token_count(F.col("text"))))
+    grouped = structural_groups(quoted.withColumn("token_count", token_count(F.col("text"), pieces)))
     keys = ["source", "owner_id", "group_id"]
     chunks = pack_texts(pack_blocks(grouped, keys, size), keys)
     return chunks.withColumns({
@@ -210,23 +228,25 @@ def card_chunks(blocks: DataFrame, lines: DataFrame, size: int = 650) -> DataFra
     })
 
 
-def passages(chunks: DataFrame, key: str, size: int, overlap: int, heading: Column | None = None) -> DataFrame:
+def passages(chunks: DataFrame, key: str, size: int, overlap: int, heading: Column | None = None, pieces: Pieces = token_pieces) -> DataFrame:
     """Token windows of chunks as passages, with an optional heading line in front."""
-    rows = fixed_windows(chunks, [key], "text", size, overlap)
+    rows = fixed_windows(chunks, [key], "text", size, overlap, pieces)
     if heading is not None:
         heads = chunks.select(key, heading.alias("_heading"))
         rows = rows.join(heads, key).withColumn("text", F.concat_ws("\n", "_heading", "text")).drop("_heading")
     return rows
 
 
-def best_excerpt(pairs: DataFrame, keys: list[str], size: int | Column, overlap: int | Column | None = None) -> DataFrame:
+def best_excerpt(
+    pairs: DataFrame, keys: list[str], size: int | Column, overlap: int | Column | None = None, pieces: Pieces = token_pieces,
+) -> DataFrame:
     """Window of each text with most distinct query terms, then most hits, then earliest.
 
     pairs: keys, text, terms (array of distinct query terms).
     """
     if overlap is None:
         overlap = min(48, size // 4) if isinstance(size, int) else F.least(F.lit(48), F.floor(size / 4).cast("int"))
-    windows = fixed_windows(pairs, keys, "text", size, overlap)
+    windows = fixed_windows(pairs, keys, "text", size, overlap, pieces)
     scored = windows.join(pairs.select(*keys, "terms"), keys).withColumn("_t", retrieval_tokens(F.col("text")))
     scored = scored.withColumns({
         "distinct_hits": F.size(F.array_intersect("_t", "terms")),
@@ -236,6 +256,21 @@ def best_excerpt(pairs: DataFrame, keys: list[str], size: int | Column, overlap:
     return best.drop("_rank", "_t", "terms", "window")
 
 
+def excerpt_spans(excerpts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of a chunk as the excerpt has them: those that it touches, cut at its ends on both sides.
+
+    excerpts: keys, start, end. spans: keys, span_start, span_end, source_start, source_end and what else they carry.
+    """
+    rows = spans.join(excerpts.select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b")), keys)
+    inside = rows.filter((F.col("span_start") < F.col("_b")) & (F.col("span_end") > F.col("_a")))
+    return inside.withColumns({
+        "span_start": F.greatest("span_start", "_a") - F.col("_a"),
+        "span_end": F.least("span_end", "_b") - F.col("_a"),
+        "source_start": F.col("source_start") + F.greatest(F.lit(0), F.col("_a") - F.col("span_start")),
+        "source_end": F.col("source_end") - F.greatest(F.lit(0), F.col("span_end") - F.col("_b")),
+    }).drop("_a", "_b")
+
+
 def evidence_lines(chunks: DataFrame, keys: list[str], limit: int = 220) -> DataFrame:
     """Lines as quotes of at most ``limit`` characters, broken at the last blank past 80, in order."""
     spans = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^\r\n]+"), F.lit(0)), strip), lambda s: s != "")
@@ -248,7 +283,5 @@ def evidence_lines(chunks: DataFrame, keys: list[str], limit: int = 220) -> Data
 
 def literal_slices(df: DataFrame, keys: list[str], text: str = "text", length: int = 600) -> DataFrame:
     """Fixed-length literal slices of a text."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.floor((F.length(text) - 1) / length)))
-    rows = df.select(*keys, text, F.explode(starts).alias("slice"))
-    return rows.select(*keys, F.col("slice").cast("int").alias("slice"),
-                       F.substring(F.col(text), (F.col("slice") * length + 1).cast("int"), F.lit(length)).alias("text"))
+    slices = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+    return df.select(*keys, F.posexplode(slices).alias("slice", "text"))

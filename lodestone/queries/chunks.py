@@ -139,6 +139,22 @@ def best_excerpt(spark, d):
     return C.best_excerpt(pairs, ["doc_id"], 100)
 
 
+SEGMENTS = """SELECT doc_id, CAST(k * 70 AS INTEGER) AS span_start, CAST(least((k + 1) * 70, length(text)) AS INTEGER) AS span_end,
+  CAST(k * 70 + 1000 AS INTEGER) AS source_start, CAST(least((k + 1) * 70, length(text)) + 1000 AS INTEGER) AS source_end, CAST(k AS INTEGER) AS ordinal FROM ({unnested})"""
+
+
+@query("excerpt_spans", f"""WITH w AS ({windows_sql('documents', 'doc_id', 100, 25)}), e AS (SELECT doc_id, "start" AS a, "end" AS b FROM w WHERE "window" = 1),
+s AS ({SEGMENTS.format(unnested='SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 70) AS BIGINT))) AS k FROM documents')})
+SELECT doc_id, ordinal, greatest(span_start, a) - a AS span_start, least(span_end, b) - a AS span_end, source_start + greatest(0, a - span_start) AS source_start,
+ source_end - greatest(0, span_end - b) AS source_end FROM s JOIN e USING (doc_id) WHERE span_start < b AND span_end > a""")
+def excerpt_spans(spark, d):
+    docs = table(spark, d, "documents")
+    second = C.fixed_windows(docs, ["doc_id"], "text", 100, 25).filter("window = 1")
+    docs.createOrReplaceTempView("documents")
+    cells = "SELECT doc_id, text, explode(sequence(0, CAST(ceil(length(text) / 70) AS BIGINT) - 1)) AS k FROM documents WHERE length(text) > 0"
+    return C.excerpt_spans(second, spark.sql(SEGMENTS.format(unnested=cells)), ["doc_id"])
+
+
 @query("evidence_lines", f"""SELECT doc_id, CAST(i AS INTEGER) AS line, q AS quote FROM (SELECT doc_id, unnest(l) AS q, generate_subscripts(l, 1) AS i FROM (
 SELECT doc_id, flatten(list_transform(list_filter(list_transform(regexp_extract_all(text, '[^\\r\\n]+'), lambda s: {D.strip('s')}), lambda s: s <> ''),
  lambda s: list_transform(regexp_extract_all(s, '(?s).{{1,220}}\\z|.{{81,219}} |.{{220}}'), lambda x: {D.strip('x')}))) AS l FROM documents))""")

@@ -86,3 +86,73 @@ def test_vectors(spark):
     assert [r.c for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, -1.0]
     bad = spark.createDataFrame([([0.0, 0.0],), ([float("nan"), 1.0],), ([1.0],), (None,), ([1.0, 2.0],)], "a array<double>")
     assert [r.v for r in bad.select(valid_vector(F.col("a"), 2).alias("v")).collect()] == [False, False, False, False, True]
+
+
+def test_windows_packs_and_budgets_by_another_tokenizer(spark):
+    """Pairs of characters as tokens, in Python, against plain slices."""
+    from lodestone.functions.text import python_pieces, token_count
+    from lodestone.operators import chunking as C, context as A
+
+    two = python_pieces(lambda texts: [[t[i : i + 2] for i in range(0, len(t) - len(t) % 2, 2)] for t in texts])
+    texts = ["a b c d e f g h i j k l m n o p", "é🙂" * 25, "x", "", None, "  ", "odd length of words here!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    assert {r.id: r.n for r in df.select("id", token_count(F.col("text"), two).alias("n")).collect()} == {i: len(t or "") // 2 for i, t in enumerate(texts)}
+    rows = {(r.id, r.window): (r.start, r.end, r.text, r.token_count) for r in C.fixed_windows(df, ["id"], "text", 8, 3, two).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        if not (t or "").strip():
+            continue
+        n, k = len(t) // 2, 0
+        while True:
+            last = k * 5 + 8 >= n
+            part = t[k * 10 :] if last else t[k * 10 : k * 10 + 16]
+            if part.strip():
+                want[i, k] = (k * 10, k * 10 + len(part), part, min(8, n - k * 5))
+            if last:
+                break
+            k += 1
+    assert rows == want
+    pairs = df.filter("id < 2").withColumn("terms", F.array(F.lit("k"), F.lit("l")))
+    best = {r.id: r.text for r in C.best_excerpt(pairs, ["id"], 8, 3, two).collect()}
+    assert "k l" in best[0] and len(best[0]) <= 16
+    assert {r.window for r in C.passages(df, "id", 8, 3, pieces=two).filter("id = 0").collect()} == {k for i, k in want if i == 0}
+    hits = df.withColumns({"section": F.lit("s"), "chunk_id": F.col("id")})
+    for r in A.fragments(hits, True, two).collect():
+        assert r.cost == len(r.fragment) // 2
+    bad = python_pieces(lambda texts: [["nothing"] for _ in texts])
+    with pytest.raises(Exception, match="do not make up"):
+        df.filter("id = 0").select(token_count(F.col("text"), bad)).collect()
+
+
+def test_work_on_long_texts_is_linear(spark):
+    import time
+
+    from lodestone.operators import chunking as C
+
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(1, "word, " * n)], "id int, text string").cache()
+        df.count()
+        for again in range(2):
+            start = time.perf_counter()
+            assert C.fixed_windows(df, ["id"], "text", 64, 8).count() > 0 and C.literal_slices(df, ["id"], "text", 60).count() == n // 10
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 2
+
+
+def test_excerpt_cuts_spans_on_both_sides(spark):
+    from lodestone.operators import chunking as C
+
+    spans = spark.createDataFrame([("c", 1, 0, 10, 100, 110), ("c", 2, 10, 30, 5, 25), ("c", 3, 30, 40, 0, 10), ("d", 1, 0, 9, 0, 9)],
+                                  "chunk_id string, ordinal int, span_start int, span_end int, source_start int, source_end int")
+    cut = C.excerpt_spans(spark.createDataFrame([("c", 8, 25)], "chunk_id string, start int, end int"), spans, ["chunk_id"])
+    assert sorted(tuple(r)[1:] for r in cut.collect()) == [(1, 0, 2, 108, 110), (2, 2, 17, 5, 20)]
+    assert cut.columns == spans.columns
+
+
+def test_encoder_leaves_null_texts_out(spark):
+    from lodestone.operators.scoring import embed, word_hash_encoder
+
+    df = spark.createDataFrame([(i, None if i % 2 else f"t {i}") for i in range(9)] + [(9, None)], "id int, text string").coalesce(1)
+    rows = {r.id: r.embedding for r in embed(df, "id", "text", word_hash_encoder(4), 4, batch=2).collect()}
+    assert all((rows[i] is None) == bool(i % 2) for i in range(10)) and len(rows[0]) == 4
