@@ -1,15 +1,15 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan: an exact set-similarity join of text blocks with license templates.
 
-A block meets a template when it holds at least ``threshold`` of the template's distinct words. Words are ordered
-globally by the number of blocks that hold them (counted over the whole corpus). A block can only meet a template
-of which it holds a word of the prefix, the ``size - needed + 1`` rarest ones (prefix filter); it must have enough
-distinct words (length filter), and the words left after the first common one must suffice (positional filter).
-What passes is counted exactly. Only words of templates matter, so a block is reduced to those before any work.
+A text block is a run of consecutive words of one text, ``REACH`` times as many as the template has (statements are wrapped
+over lines, commented and reformatted, but their words stay close). A block meets a template when it holds at least
+``threshold`` of the template's distinct words. Words are ordered globally by the number of lines that hold them (counted
+over the whole corpus). A text can only hold such a block if it holds a word of the template's prefix, the
+``size - needed + 1`` rarest ones (prefix filter), enough distinct words (length filter), and enough of them behind the
+first common one (positional filter). For texts that pass, every block that starts at a word of the template is counted
+exactly. Only words of templates matter, so a text is reduced to those before any work.
 
-Statements are often wrapped, so blocks are also the paragraphs (runs of lines that each hold a word) and, for statements
-with empty lines between, runs of as many words as the template has that cross the end of a paragraph; texts that may
-hold such a run pass the same filters as a whole. A longer block counts where it holds more of the template than
-any line (for runs: line or paragraph) that it touches; these are listed as spans, beside the matches of lines.
+Matches are the fullest blocks of a text and template, of equal ones the shortest, that do not overlap, each cut to the
+words it needs.
 
 Templates are a parameter of this operator and travel with the task; the join itself needs no shuffle of texts.
 Beside the join, places of fixed phrases are listed.
@@ -20,6 +20,7 @@ result; a template without words never matches; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from lodestone.registry import query
 from lodestone.session import table
 
 THRESHOLD = 0.9
+REACH = 2
 
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -89,20 +91,27 @@ def _blocks(words: Words) -> np.ndarray:
     return lines[words.start] + words.row
 
 
-def _paragraphs(blocks: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The paragraph of each word: lines that follow each other in a text, up to a line without words."""
-    if not len(blocks):
-        return blocks
-    return np.concatenate([[0], np.cumsum((np.diff(row) > 0) | (np.diff(blocks) > 1))])
-
-
 def _runs(at: np.ndarray, entry: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the run of ``length`` words from each hit on: its distinct entries, and the number of its last hit."""
-    held = np.zeros(len(at), np.int64)
+    """For the run of ``length`` words from each hit on: its distinct entries, and the word at which the last of them is first seen."""
+    held, end = np.zeros(len(at), np.int64), at.copy()
     for e in np.unique(entry):
         own = np.append(at[entry == e], np.iinfo(np.int64).max)
-        held += own[np.searchsorted(own, at)] < at + length
-    return held, np.searchsorted(at, at + length) - 1
+        seen = own[np.searchsorted(own, at)]
+        inside = seen < at + length
+        held += inside
+        end = np.where(inside, np.maximum(end, seen), end)
+    return held, end
+
+
+def _apart(order: list[int], start: list[int], end: list[int]) -> Iterator[int]:
+    """Of intervals in order of preference, those that do not overlap one taken before."""
+    starts, ends = [], []
+    for i in order:
+        k = bisect_left(starts, start[i])
+        if (k == 0 or ends[k - 1] < start[i]) and (k == len(starts) or starts[k] > end[i]):
+            starts.insert(k, start[i])
+            ends.insert(k, end[i])
+            yield i
 
 
 def _pairs(block: np.ndarray, entry: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +140,7 @@ def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document: id, n_words, places (phrase starts by label), matches (lines that meet a template) and spans (several lines that do)."""
+    """One row per document: id, n_words, places (phrase starts by label) and matches (blocks that meet a template)."""
     lengths = [len(words_of(text)) for _, text in templates]
     sets = [sorted(set(words_of(text))) for _, text in templates]
     phrase_words = [words_of(text) for text, _ in phrases]
@@ -157,12 +166,12 @@ def scan_licenses(
     labels, phrase_labels = [label for label, _ in templates], [label for _, label in phrases]
     kind = docs.schema[id_col].dataType.simpleString()
     place_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
-    match_type = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("line", pa.int64()), ("containment", pa.float64())]))
-    span_type = pa.list_(pa.struct([
-        ("label", pa.string()), ("template", pa.int32()), ("line", pa.int64()), ("last_line", pa.int64()), ("containment", pa.float64())]))
+    match_type = pa.list_(pa.struct([
+        ("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()),
+        ("line", pa.int64()), ("last_line", pa.int64()), ("containment", pa.float64())]))
 
-    def joined(block: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every (block, template) with enough common words, from distinct pairs in order."""
+    def joined(block: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (text, template) with enough common words, from distinct pairs in order."""
         total = np.bincount(block, minlength=int(block[-1]) + 1) if len(block) else np.zeros(1, np.int64)
         place = np.arange(len(block)) - (np.cumsum(total) - total)[block]
         source = np.repeat(np.arange(len(block)), n_posting[entry])
@@ -178,35 +187,20 @@ def scan_licenses(
         held = member[template_of[rows], entry[ragged(begin[block_of], total[block_of])]]
         common = np.bincount(rows, weights=held, minlength=len(candidates)).astype(np.int64)
         good = common >= needed[template_of]
-        return block_of[good], template_of[good], common[good]
-
-    def spanning(hit: np.ndarray, entry: np.ndarray, blocks: np.ndarray, row: np.ndarray, lines: tuple) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, template, first word, last word, common words) of what several lines hold of a template beyond each of them."""
-        paragraph, size = _paragraphs(blocks, row), len(known.words)
-        best: dict[tuple[int, int], int] = {}
-        for b, t, n in zip(*(x.tolist() for x in lines)):
-            key = int(paragraph[np.searchsorted(blocks, b)]), t
-            best[key] = max(best.get(key, 0), n)
-        of = paragraph[hit]
-        for p, t, n in zip(*(x.tolist() for x in joined(*_pairs(of, entry, size)))):
-            if n > best.get((p, t), 0):
-                best[p, t] = n
-                a, b = np.searchsorted(of, [p, p + 1])
-                own = hit[a:b][member[t, entry[a:b]]]
-                yield int(row[own[0]]), t, int(own[0]), int(own[-1]), n
+        return block_of[good], template_of[good]
+
+    def blocks_of(hit: np.ndarray, entry: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, template, first word, last word, common words) of the matches of a piece."""
         owner = row[hit]
-        for r, t, _ in zip(*(x.tolist() for x in joined(*_pairs(owner, entry, size)))):
+        for r, t in zip(*(x.tolist() for x in joined(*_pairs(owner, entry, len(known.words))))):
             a, b = np.searchsorted(owner, [r, r + 1])
             mine = member[t, entry[a:b]]
-            at, own = hit[a:b][mine], entry[a:b][mine]
-            held, last = _runs(at, own, lengths[t])
-            first_of, last_of = paragraph[at], paragraph[at[last]]
-            able = np.flatnonzero((held >= needed[t]) & (last_of > first_of))
-            good = [i for i in able.tolist() if all(held[i] > best.get((p, t), 0) for p in range(int(first_of[i]), int(last_of[i]) + 1))]
-            while good:  # the fullest of the runs that begin in the first one, then those behind it
-                i = max((i for i in good if at[i] < at[good[0]] + lengths[t]), key=lambda i: (held[i], -i))
-                yield r, t, int(at[i]), int(at[last[i]]), int(held[i])
-                good = [j for j in good if at[j] >= at[i] + lengths[t]]
+            at = hit[a:b][mine]
+            held, end = _runs(at, entry[a:b][mine], REACH * lengths[t])
+            able = np.flatnonzero(held >= needed[t])
+            order = able[np.lexsort((at[able], (end - at)[able], -held[able]))]
+            for i in _apart(order.tolist(), at, end):
+                yield r, t, int(at[i]), int(end[i]), int(held[i])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -215,7 +209,6 @@ def scan_licenses(
             hit, entry = known.find(words)
             places: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             matches: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             entries = np.full(len(words.start) + 16, -1, np.int64)
             entries[hit] = entry
             rows = np.concatenate([row, np.full(16, -1, np.int64)])
@@ -225,23 +218,19 @@ def scan_licenses(
                     at = at[(entries[at + i] == wanted) & (rows[at + i] == rows[at])]
                 for i in at.tolist():
                     places[row[i]].append({"label": label, "start": int(i - words.first[row[i]])})
-            block_of, template_of, common = joined(*_pairs(blocks[hit], entry, len(known.words)))
-            owner = row[np.searchsorted(blocks, block_of)] if len(block_of) else block_of
             newlines = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
-            for i, t, b, n in zip(owner.tolist(), template_of.tolist(), block_of.tolist(), common.tolist()):
-                line = b - i - int(newlines[words.offsets[i]])
-                matches[i].append({"label": labels[t], "template": t, "line": line, "containment": n / int(sizes[t])})
-            for i, t, a, b, n in spanning(hit, entry, blocks, row, (block_of, template_of, common)):
+            for i, t, a, b, n in blocks_of(hit, entry, row):
                 line, last = (int(blocks[x]) - i - int(newlines[words.offsets[i]]) for x in (a, b))
-                spans[i].append({"label": labels[t], "template": t, "line": line, "last_line": last, "containment": n / int(sizes[t])})
+                first = int(words.first[i])
+                matches[i].append({"label": labels[t], "template": t, "first_word": a - first, "last_word": b - first,
+                                   "line": line, "last_line": last, "containment": n / int(sizes[t])})
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(places, place_type), pa.array(matches, match_type), pa.array(spans, span_type)],
-                names=["_id", "n_words", "places", "matches", "spans"])
+                [column(batch, "_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(places, place_type), pa.array(matches, match_type)],
+                names=["_id", "n_words", "places", "matches"])
 
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(
         scan, f"_id {kind}, n_words bigint, places array<struct<label:string,start:bigint>>, "
-        "matches array<struct<label:string,template:int,line:bigint,containment:double>>, "
-        "spans array<struct<label:string,template:int,line:bigint,last_line:bigint,containment:double>>")
+        "matches array<struct<label:string,template:int,first_word:bigint,last_word:bigint,line:bigint,last_line:bigint,containment:double>>")
     return found.withColumnRenamed("_id", id_col)
 
 
@@ -253,20 +242,27 @@ def _sql() -> str:
     words = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     phrases = ", ".join(f"('{label}', {words_of(text)!r})" for text, label in PHRASES)
     templates = ", ".join(
-        f"('{label}', {sorted(set(words_of(text)))!r}, {max(1, int(np.ceil(THRESHOLD * len(set(words_of(text))) - 1e-9)))})" for label, text in TEMPLATES)
+        f"({t}, '{label}', {sorted(set(words_of(text)))!r}, {max(1, int(np.ceil(THRESHOLD * len(set(words_of(text))) - 1e-9)))}, {REACH * len(words_of(text))})"
+        for t, (label, text) in enumerate(TEMPLATES))
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS k, {_lower('text')} AS t FROM documents),
 w AS (SELECT doc_id, k, regexp_extract_all(t, {words}) AS w FROM d),
 phrase(label, p) AS (VALUES {phrases}),
-template(label, s, need) AS (VALUES {templates}),
+template(tid, label, s, need, reach) AS (VALUES {templates}),
 places AS (
   SELECT k, label, i - 1 AS start
   FROM (SELECT k, label, p, w, unnest(range(1, len(w) - len(p) + 2)) AS i FROM w, phrase)
   WHERE w[i : i + len(p) - 1] = p),
-lines AS (SELECT k, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), {words})) AS s FROM d),
+flat AS (SELECT k, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+member AS (SELECT tid, unnest(s) AS word FROM template),
+hits AS MATERIALIZED (SELECT k, tid, word, i FROM flat JOIN member USING (word)),
+may AS (SELECT k, tid FROM hits JOIN template USING (tid) GROUP BY k, tid HAVING count(DISTINCT word) >= any_value(need)),
+held AS (
+  SELECT k, tid, (SELECT count(DISTINCT h.word) FROM hits h WHERE h.k = x.k AND h.tid = x.tid AND h.i BETWEEN x.i AND x.i + reach - 1) AS n
+  FROM hits x JOIN may USING (k, tid) JOIN template USING (tid)),
 matches AS (
-  SELECT k, label, len(list_intersect(template.s, lines.s)) / len(template.s) AS c
-  FROM lines, template WHERE len(lines.s) >= need AND len(list_intersect(template.s, lines.s)) >= need),
+  SELECT k, any_value(label) AS label, max(n) / any_value(len(s)) AS c
+  FROM held JOIN template USING (tid) GROUP BY k, tid HAVING max(n) >= any_value(need)),
 base AS (
   SELECT k, count(*) AS n, min(start) AS a, max(start) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM places GROUP BY k),
@@ -282,10 +278,10 @@ FROM w LEFT JOIN base USING (k) LEFT JOIN every USING (k) LEFT JOIN best USING (
 def op5(spark, sf_dir):
     found = scan_licenses(table(spark, sf_dir, "documents"))
     starts, own = F.col("places.start"), F.array_distinct(F.col("places.label"))
-    contained = F.array_max(F.concat("matches.containment", "spans.containment"))
+    contained = F.array_max("matches.containment")
     joined = lambda labels: F.concat_ws(",", F.array_sort(labels))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), joined(own).alias("base_labels"),
-        joined(F.array_union(own, F.concat("matches.label", "spans.label"))).alias("labels"),
+        joined(F.array_union(own, "matches.label")).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(contained, F.lit(0.0))).alias("score"))

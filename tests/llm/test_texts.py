@@ -141,7 +141,7 @@ def test_licenses(spark, empty):
             (6, "x\nLicensed under CC BY-NC 4.0.\nThe GNU General Public License and the Apache License"), (6, "x"), (None, "general  public-license")]
     found = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(spark.createDataFrame([(*m, 0, 0) for m in made], "doc_id int, text string, places int, n_words int")).collect()}
     assert [(p.label, p.start) for p in found[1, 10].places] == [("mit", 3), ("mit", 8)]
-    assert [(m.label, m.line) for m in found[1, 10].matches] == [("mit", 0), ("mit", 1)]
+    assert sorted((m.label, m.line, m.first_word, m.last_word) for m in found[1, 10].matches) == [("mit", 0, 0, 4), ("mit", 1, 5, 9)]
     assert not found[2, 0].places and not found[3, 0].matches
     assert [p.start for p in found[4, 2].places] == [0] and not found[4, 2].matches
     assert not found[5, 6].places and [m.label for m in found[5, 6].matches] == ["mit"]
@@ -155,35 +155,47 @@ def test_wrapped_licenses(spark):
     for t, (label, text) in enumerate(licenses.TEMPLATES):
         own = text.split()
         half = len(own) // 2
-        for n, joint in enumerate(("\n", "\r\n * ", "\n\n", "\n//\n  // ")):
+        for n, joint in enumerate((" ", "\n", "\r\n * ", "\n\n", "\n//\n  // ")):
             made.append((10 * t + n, f"before it\n\n{' '.join(own[:half])}{joint}{' '.join(own[half:])}\n\nbehind it"))
             want[10 * t + n] = (label, t, 2, 2 + joint.count("\n"), 1.0)
         made.append((10 * t + 5, "\n".join(w for word in own for w in ("", word))))  # a word in every second line
         want[10 * t + 5] = (label, t, 1, 2 * len(own) - 1, 1.0)
+        made.append((10 * t + 6, " ".join(f"{w} {' '.join(['x'] * 80)}" for w in own)))  # far apart on one line
     long = licenses.TEMPLATES[1][1].split()
-    made += [(900, f"{' '.join(long[:9])} and\nsome inserted words of one more line\n{' '.join(long[9:])}"), (901, f"{' '.join(long[:9])}\n\n{'x ' * 30}\n\n{' '.join(long[9:])}")]
+    made += [(900, f"{' '.join(long[:9])} and\nsome inserted words of one more line\n{' '.join(long[9:])}"), (901, f"{' '.join(long[:9])}\n\n{'x ' * 60}\n\n{' '.join(long[9:])}")]
     made += [(902, f"{' '.join(long)}\n\n{' '.join(long)}\n{' '.join(long)}"), (903, None), (904, "\n\n")]
     found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(made, "doc_id int, text string").coalesce(1)).collect()}
     for key, span in want.items():
-        assert not any(m.template == span[1] for m in found[key].matches), key
-        assert [tuple(s) for s in found[key].spans if s.template == span[1]] == [span], key
-    assert [(s.label, s.line, s.last_line) for s in found[900].spans] == [("mit", 0, 2)]
-    assert not found[901].spans and not found[902].spans and [m.line for m in found[902].matches] == [0, 2, 3]
-    assert not found[903].spans and not found[904].spans
+        # A statement that repeats its first words is cut to the shorter block.
+        own = [(m.label, m.template, max(m.line, span[2]) if m.line <= span[2] + 4 else m.line, m.last_line, m.containment) for m in found[key].matches if m.template == span[1]]
+        assert own in ([span], [(*span[:2], span[2] + 4, *span[3:])]) and len(own) == 1, key
+    assert not any(found[10 * t + 6].matches for t in range(len(licenses.TEMPLATES)))
+    assert [(m.label, m.line, m.last_line) for m in found[900].matches] == [("mit", 0, 2)]
+    assert not found[901].matches and sorted(m.line for m in found[902].matches) == [0, 2, 3]
+    assert not found[903].matches and not found[904].matches
 
 
 def test_license_join_is_exact(docs):
+    """Every block of twice the template's words, against plain sets."""
     picked = [("one", "ab1 ab2 é3"), ("two", " ".join(PAIRS[0][1].split()[:30])), ("none", "")]
-    found = {(r.doc_id, r.n_words): {(m.template, m.line, round(m.containment, 9)) for m in r.matches} for r in licenses.scan_licenses(docs, templates=picked, threshold=0.4).collect()}
+    found = {}
+    for r in licenses.scan_licenses(docs, templates=picked, threshold=0.4).collect():
+        spans = sorted((m.first_word, m.last_word, m.template) for m in r.matches)
+        for t in range(len(picked)):
+            own = [s for s in spans if s[2] == t]
+            assert all(a[1] < b[0] for a, b in zip(own, own[1:]))  # matches of a template do not overlap
+        best = {}
+        for m in r.matches:
+            best[m.template] = max(best.get(m.template, 0), round(m.containment, 9))
+        found[r.doc_id, r.n_words] = best
     for key, text in PAIRS:
-        want = set()
-        for number, line in enumerate((text or "").split("\n")):
-            own = set(brute.ALNUM.findall(brute.lower(line)))
-            for t, (_, template) in enumerate(picked):
-                need = set(brute.ALNUM.findall(brute.lower(template)))
-                if need and len(own & need) >= 0.4 * len(need) - 1e-9:
-                    want.add((t, number, round(len(own & need) / len(need), 9)))
-        assert found[key, len(brute.ALNUM.findall(brute.lower(text)))] == want
+        words, want = brute.ALNUM.findall(brute.lower(text)), {}
+        for t, (_, template) in enumerate(picked):
+            need = brute.ALNUM.findall(brute.lower(template))
+            most = max((len(set(words[i : i + 2 * len(need)]) & set(need)) for i in range(len(words))), default=0)
+            if need and most >= 0.4 * len(set(need)) - 1e-9:
+                want[t] = round(most / len(set(need)), 9)
+        assert found[key, len(words)] == want
 
 
 def test_token_files(docs, empty, spark, tmp_path):
