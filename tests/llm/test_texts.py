@@ -163,7 +163,8 @@ def test_wrapped_licenses(spark):
         made.append((10 * t + 6, " ".join(f"{w} {' '.join(['x'] * 80)}" for w in own)))  # far apart on one line
     long = licenses.TEMPLATES[1][1].split()
     made += [(900, f"{' '.join(long[:9])} and\nsome inserted words of one more line\n{' '.join(long[9:])}"), (901, f"{' '.join(long[:9])}\n\n{'x ' * 60}\n\n{' '.join(long[9:])}")]
-    made += [(902, f"{' '.join(long)}\n\n{' '.join(long)}\n{' '.join(long)}"), (903, None), (904, "\n\n")]
+    filler = "x " * 60
+    made += [(902, f"{' '.join(long)}\n{filler}\n{' '.join(long)}\n{filler}\n{' '.join(long)}"), (903, None), (904, "\n\n")]
     found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(made, "doc_id int, text string").coalesce(1)).collect()}
     for key, span in want.items():
         # A statement that repeats its first words is cut to the shorter block.
@@ -171,7 +172,8 @@ def test_wrapped_licenses(spark):
         assert own in ([span], [(*span[:2], span[2] + 4, *span[3:])]) and len(own) == 1, key
     assert not any(found[10 * t + 6].matches for t in range(len(licenses.TEMPLATES)))
     assert [(m.label, m.line, m.last_line) for m in found[900].matches] == [("mit", 0, 2)]
-    assert not found[901].matches and sorted(m.line for m in found[902].matches) == [0, 2, 3]
+    assert not found[901].matches
+    assert [m.containment for m in found[902].matches] == [1.0] * 3 and sorted(m.line for m in found[902].matches) == [0, 2, 4]
     assert not found[903].matches and not found[904].matches
 
 
