@@ -88,6 +88,7 @@ def _automaton(key: str, held, width: int) -> tuple:
             entries.append((size, sorted(texts)))
         if windows:
             machine.make_automaton()
+        _automata.clear()  # a worker outlives its query, and needs one automaton at a time
         _automata[key] = (machine if windows else None, entries, [ids for ids, _ in rows])
     return _automata[key]
 
