@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from lodestone.functions.messages import APPEARANCE, PARAMETER_LIKE
 from lodestone.functions.text import squeeze, strip
+from lodestone.session import cut_lineage
 
 # Fixed values.
 ASK_MORE = "Не знаю. Для корректного ответа укажите дополнительно - "
@@ -30,9 +31,15 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Characters that composition never changes, nor joins with another one of them; marks are not among them.
+COMPOSED = r"\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+GRAM = 8
+
+
 def normalize(text: Column) -> Column:
-    """Composed characters, single blanks."""
-    return squeeze(_nfc(text))
+    """Composed characters, single blanks; only texts that composition may change leave the JVM."""
+    changing = F.when(text.rlike(f"[^{COMPOSED}]"), text)
+    return squeeze(F.coalesce(_nfc(changing), text))
 
 
 def answer_shape(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -57,18 +64,42 @@ def quote_support(citations: DataFrame, contexts: DataFrame, keys: list[str] | N
 
     A quote must have eight characters or more once blanks are single. citations: keys, seq, quote.
     contexts: keys, rank, chunk_id, text, purpose, inherited, headers (missing columns are skipped).
+
+    The words inside a quote are whole words of any context that holds it, so a quote of three words or more meets the
+    contexts of its question on the one of them that the fewest hold. Shorter quotes meet contexts on their first
+    GRAM characters; only contexts of questions with such quotes are taken apart for that.
     """
     keys = keys or ANSWER
     parts = [c for c in ("text", "purpose", "inherited", "headers") if c in contexts.columns]
     # Each source must hold the quote by itself, so they stay apart under a mark no text contains.
-    haystack = contexts.select(*keys, "rank", "chunk_id", normalize(F.concat_ws(" \x1f ", *parts)).alias("_h"))
+    haystack = cut_lineage(contexts.select(
+        *keys, "rank", "chunk_id", normalize(F.concat_ws(" \x1f ", *parts)).alias("_h")).withColumn("_at", F.monotonically_increasing_id()))
     wanted = citations.withColumn("_q", normalize(strip(F.col("quote"))))
-    found = wanted.select(*keys, "seq", "_q").filter(F.length("_q") >= 8).join(haystack, keys).filter(F.contains("_h", "_q"))
+    asked = cut_lineage(wanted.select(*keys, "seq", "_q").filter(F.length("_q") >= GRAM).withColumn("_w", F.split("_q", " ")))
+    inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
+    words = asked.select(*keys, "seq", "_q", F.explode(F.array_distinct(inner)).alias("_key"))
+    held = haystack.select(*keys, "_at", F.explode(F.array_distinct(F.split("_h", " "))).alias("_key"))
+    held = held.join(words.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
+    # A word that no context holds leaves its quote without any.
+    common = held.groupBy(*keys, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    rare = words.join(common, [*keys, "_key"], "left").groupBy(*keys, "seq", "_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_r"))
+    rare = rare.filter("_r.n > 0").select(*keys, "seq", "_q", F.col("_r.key").alias("_key"))
+    short = asked.filter(F.size("_w") < 3).select(*keys, "seq", "_q", F.substring("_q", 1, GRAM).alias("_key"))
+    near = haystack.join(short.select(*keys).distinct(), keys, "left_semi")
+    grams = near.select(*keys, "_at", F.explode(_grams(F.col("_h"))).alias("_key")).join(short.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
+    met = rare.join(held, [*keys, "_key"]).unionByName(short.join(grams, [*keys, "_key"])).drop("_key")
+    found = met.join(haystack.select("_at", "rank", "chunk_id", "_h"), "_at").filter(F.contains("_h", "_q"))
     first = found.groupBy(*keys, "seq").agg(F.min_by("chunk_id", "rank").alias("chunk_id"))
     out = wanted.drop("_q").join(first, [*keys, "seq"], "left")
     return out.withColumn("supported", F.col("chunk_id").isNotNull())
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters, each offset by one pass over the text."""
+    passes = [F.regexp_extract_all(F.substring(text, i + 1, 1 << 30), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0)) for i in range(GRAM)]
+    return F.array_distinct(F.concat(*passes))
+
+
 def unverified_evidence(supported: DataFrame) -> DataFrame:
     """Add allowed and caveat for machine-extracted support.
 

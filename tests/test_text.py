@@ -1,5 +1,7 @@
 """Names, tokens, questions and answers on small fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,35 @@ def test_encoder_leaves_null_texts_out(spark):
     df = spark.createDataFrame([(i, None if i % 2 else f"t {i}") for i in range(9)] + [(9, None)], "id int, text string").coalesce(1)
     rows = {r.id: r.embedding for r in embed(df, "id", "text", word_hash_encoder(4), 4, batch=2).collect()}
     assert all((rows[i] is None) == bool(i % 2) for i in range(10)) and len(rows[0]) == 4
+
+
+def test_quotes_of_one_large_request(spark):
+    """Quotes meet contexts on their rarest inner word, or on a gram; the work is not quotes times contexts."""
+    import random
+    import unicodedata
+
+    from lodestone.operators.evidence import normalize, quote_support
+
+    pick = random.Random(7)
+    words = [f"w{i}" for i in range(400)] + ["é" * 2 + str(i) for i in range(30)] + [unicodedata.normalize("NFD", "й") + str(i) for i in range(30)]
+    contexts = [("r", i, f"c{i}", " ".join(pick.choice(words) for _ in range(40)), "purpose of it" if i % 3 else None) for i in range(400)]
+    quotes = []
+    for i in range(500):
+        text = contexts[pick.randrange(400)][3]
+        a = pick.randrange(len(text) - 40)
+        quotes.append(("r", i, [text[a : a + pick.choice([7, 8, 9, 12, 30])], "w1 nowhere w3 w4", "  purpose   of", "of it", "purpose of it w1", unicodedata.normalize("NFC", text[a : a + 30])][i % 6]))
+    quotes += [("other", 1, contexts[0][3][:20]), ("r", 900, None), ("r", 901, "")]
+    c = spark.createDataFrame(contexts, "request_id string, rank int, chunk_id string, text string, purpose string").repartition(4)
+    q = spark.createDataFrame(quotes, "request_id string, seq int, quote string").repartition(4)
+    plain = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFC", t)).strip()
+    want = {}
+    for key, seq, quote in quotes:
+        n = plain(quote or "")
+        hits = [k for r, _, k, *sources in contexts if r == key and any(n in plain(s) for s in sources if s)] if len(n) >= 8 else []
+        want[key, seq] = hits[0] if hits else None
+    found = {(r.request_id, r.seq): (r.chunk_id, r.supported) for r in quote_support(q, c, ["request_id"]).collect()}
+    assert found == {k: (v, v is not None) for k, v in want.items()}
+    assert quote_support(q.limit(0), c, ["request_id"]).count() == 0 and not any(r.supported for r in quote_support(q, c.limit(0), ["request_id"]).collect())
+    made = [(i, t) for i, t in enumerate(["áb", "각", "Å x", "plain", "й", "中文", "한국", "á̧", "יִ", None])]
+    got = spark.createDataFrame(made, "i int, t string").select("i", normalize(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: t if t is None else plain(t) for i, t in made}
