@@ -252,7 +252,7 @@ def drop_near_duplicates(
     rows = docs.select(F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit(1), id_col).alias("k2"), F.struct(*docs.columns).alias("row"))
     stay = found.filter("first").select("k.k1", "k.k2", F.lit(True).alias("single"))
     free = signed.filter("n_shingles = 0").select("k1", "k2", F.lit(False).alias("single")).distinct()
-    rows = rows.join(stay.unionByName(free), ["k1", "k2"])
+    rows = rows.join(stay.unionByName(free).hint("merge"), ["k1", "k2"])
     # A row that is repeated whole has one key; its first copy stays.
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("single")))
     return rows.filter("NOT single OR n = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
@@ -296,7 +296,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     weights = members.groupBy("r1", "r2").agg(F.greatest(
         F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).alias("n"))
     # A row that is repeated whole would bring its text twice; within a tile that is one more equal set.
-    texts = members.join(weights, ["r1", "r2"]).join(source.select("k1", "k2", "text"), ["k1", "k2"]).select("c1", "c2", "r1", "r2", "n", "text")
+    # Members grow with the corpus: they meet the texts in one way at every size, and are never broadcast.
+    texts = members.join(weights, ["r1", "r2"]).join(source.select("k1", "k2", "text").hint("merge"), ["k1", "k2"]).select("c1", "c2", "r1", "r2", "n", "text")
     keys = ["r1", "r2", "ti", "tj"]
     tiles = _tiles(texts, ["r1", "r2"], F.col("n")).select(*keys, "c1", "c2", "text")
     groups = components(_pairs(tiles.mapInArrow(_confirmed(keys, shingle, percent), edge_type)))
