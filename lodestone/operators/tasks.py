@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.operators.folds import Fold, counted, segmented_fold
+from lodestone.operators.scans import top_rows
 
 # States and allowed edges.
 STATES = ("PLANNING", "EXECUTION", "VALIDATION", "DONE")
@@ -79,7 +80,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = 6,
     """Add window_start, allowed and retry_after by windows that open at a key's first event.
 
     Events are first reduced to the distinct seconds of each key; the fold runs over those. ``window`` is at
-    most a day.
+    most a day; ``order`` tells events of one time apart.
     """
     if not 1 < window <= DAY:
         raise ValueError("window must be from 2 seconds to a day")
@@ -87,7 +88,10 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int = 6,
     seconds = rows.groupBy(key, "_sec").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     opened = segmented_fold(seconds, [key], ["_sec"], ["_sec"], _windows(window), "window_start", "bigint")
     placed = rows.join(opened, [key, "_sec"])
-    nth = F.row_number().over(Window.partitionBy(key, "window_start").orderBy(ts, order))
-    out = placed.withColumn("allowed", nth <= limit)
+    # Of a burst only the first rows are ranked, before the shuffle; all others compare themselves with the last of these.
+    mark = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
+    first = top_rows(placed.select(key, "window_start", mark.alias("_m")), [key, "window_start"], ["_m"], limit, "_n")
+    last = first.groupBy(key, "window_start").agg(F.max("_m").alias("_last"))
+    out = placed.join(last, [key, "window_start"]).withColumn("allowed", mark <= F.col("_last")).drop("_last")
     retry = F.greatest(F.lit(1), F.lit(window) - (F.col("_sec") - F.col("window_start")))
     return out.withColumn("retry_after", F.when(~F.col("allowed"), retry)).drop("_sec")

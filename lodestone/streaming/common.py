@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.session import scratch_path
 
@@ -27,6 +27,19 @@ def drain(stream: DataFrame, mode: str = "append", name: str = "stream") -> Data
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def ordered_parts(df: DataFrame, order: str, key: str, path: str, parts: int = 3) -> None:
+    """Write a table so that a stream reads it in order: one part after the other, ascending by a numeric column.
+
+    A part is one job with as many files as it needs; all rows of a key in a part lie in one file, and files of a later
+    part are younger. Rows of equal ``order`` stay in one part.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.filter(F.col(order) > low)
+        part = part if high is None else part.filter(F.col(order) <= high)
+        part.repartition(key).write.mode("append").parquet(path)
+
+
 def file_stream(spark: SparkSession, path: str, glob: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream over parquet files of one folder, with the schema of what lies there."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema

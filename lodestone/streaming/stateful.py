@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from lodestone.operators.dialogue import MAX_ITEMS, apply_turn
 from lodestone.operators.tasks import STATES, epoch_seconds, transition
@@ -46,21 +46,57 @@ class _RateWindows(StatefulProcessor):
         pass
 
 
+READ, DECIDED = "rate_rows_read", "rate_rows_decided"
+
+
 def rate_limit_stream(events: DataFrame, key: str, limit: int = 6, window: int = 60) -> DataFrame:
     """Rate windows over event time: events (key, ts, event_id) sorted within a micro-batch, later rows dropped.
 
-    The watermark trails by one window; closed windows leave the state by timer.
+    The watermark trails by one window; closed windows leave the state by timer, so a key without open window has none.
+    The observed metrics READ and DECIDED count rows on both sides; their difference is the number of late rows.
     """
     rows = events.select(F.col(key).alias("key"), "ts", "event_id", epoch_seconds(events, "ts").alias("second"))
-    rows = rows.withColumn("at", F.timestamp_seconds("second"))
+    rows = rows.withColumn("at", F.timestamp_seconds("second")).observe(READ, F.count(F.lit(1)).alias("n"))
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([
         T.StructField("key", types["key"]), T.StructField("event_id", types["event_id"]), T.StructField("window_start", T.LongType()),
         T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.LongType())])
-    return (
+    decided = (
         rows.withWatermark("at", f"{window} seconds").groupBy("key")
         .transformWithStateInPandas(_RateWindows(limit, window), schema, "append", "EventTime")
     )
+    return decided.observe(DECIDED, F.count(F.lit(1)).alias("n"))
+
+
+def late_rows(events: DataFrame, decided: DataFrame, key: str) -> DataFrame:
+    """The events that came too late to be decided: the side table of a rate limit stream. event_id is unique per key."""
+    done = decided.select(F.col("key").alias("_key"), F.col("event_id").alias("_event"))
+    return events.join(done, F.col(key).eqNullSafe(F.col("_key")) & F.col("event_id").eqNullSafe(F.col("_event")), "left_anti")
+
+
+class LateCount(StreamingQueryListener):
+    """Adds up the late rows of rate limit streams over all their micro-batches."""
+
+    def __init__(self):
+        self.read = self.decided = 0
+
+    @property
+    def late(self) -> int:
+        return self.read - self.decided
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics
+        self.read += seen[READ].n if READ in seen else 0
+        self.decided += seen[DECIDED].n if DECIDED in seen else 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 class _TaskSaves(StatefulProcessor):

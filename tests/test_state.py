@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -169,3 +170,47 @@ def test_media_kinds(spark):
     data = [("p", bytearray([137, 80, 78, 71, 1])), ("j", bytearray([255, 216, 255, 0])), ("w", bytearray(b"RIFF0000WEBPx")), ("t", bytearray(b"text"))]
     rows = media_inventory(spark.createDataFrame(data, "n string, content binary")).collect()
     assert {r.n: r.mime for r in rows} == {"p": "image/png", "j": "image/jpeg", "w": "image/webp", "t": None}
+
+
+def test_late_rows_are_counted_over_micro_batches(spark, tmp_path):
+    from lodestone.streaming.common import use_rocksdb
+    from lodestone.streaming.stateful import LateCount, late_rows, rate_limit_stream
+
+    path = str(tmp_path / "in")
+    schema = "user string, ts timestamp, event_id int"
+    at = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc)
+    batches = [[("a", at(s), s) for s in (0, 1, 2, 59, 60, 500)] + [("b", at(490), 490)], [("a", at(501), 501)],
+               [("a", at(s), 1000 + s) for s in (3, 100, 439, 502, 560)] + [("b", at(10), 1010), ("c", at(441), 1441)],
+               [("a", at(570), 2570), ("c", at(20), 2020)]]
+    for rows in batches:  # the file stream takes the files by age
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    use_rocksdb(spark)
+    counter = LateCount()
+    spark.streams.addListener(counter)
+    try:
+        out = drain(rate_limit_stream(file_stream(spark, path, "*.parquet"), "user", 2, 60), name="late")
+        decided = {(r.key, r.event_id): (r.window_start - 1_700_000_000, r.allowed, r.retry_after) for r in out.collect()}
+        late = {(r.user, r.event_id) for r in late_rows(spark.read.schema(schema).parquet(path), out, "user").collect()}
+        # Late is what lies a window or more behind the newest row of the batch before last.
+        assert late == {("a", 1003), ("a", 1100), ("a", 1439), ("b", 1010), ("c", 2020)}
+        assert decided["a", 2] == (0, False, 58) and decided["a", 60] == (60, True, None) and decided["a", 500] == (500, True, None)
+        assert decided["a", 501] == (500, True, None) and decided["a", 1502] == (500, False, 58) and decided["a", 1560] == (560, True, None)
+        assert decided["a", 2570] == (560, True, None) and decided["c", 1441] == (441, True, None) and len(decided) + len(late) == sum(map(len, batches))
+        wait = time.time() + 20
+        while counter.late != len(late) and time.time() < wait:
+            time.sleep(0.2)
+        assert counter.late == len(late) and counter.read == sum(map(len, batches))
+    finally:
+        spark.streams.removeListener(counter)
+
+
+def test_a_burst_keeps_its_first_rows(spark):
+    """One key with a third of all rows in one window; events of one time go by their number."""
+    from lodestone.operators.tasks import rate_limit
+
+    at = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc)
+    rows = [("hot", at(i // 500), i) for i in range(5000)] + [(f"k{i % 100}", at(i), 10_000 + i) for i in range(5000)]
+    found = rate_limit(spark.createDataFrame(rows, "user string, ts timestamp, event_id int").repartition(4), "user", "ts", "event_id").collect()
+    hot = {r.event_id: (r.allowed, r.retry_after) for r in found if r.user == "hot"}
+    assert [i for i, v in sorted(hot.items()) if v[0]] == list(range(6)) and hot[4999] == (False, 51)
+    assert len(found) == len(rows) and all(r.allowed for r in found if r.user != "hot")
