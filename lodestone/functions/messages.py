@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import char_grams, strip
 
 # Routing patterns and declaration labels.
 MODEL_DATA = (
@@ -34,6 +34,12 @@ SUBJECT_REFERENCE = r"(?iuU)(?:эт\p{L}*|выбранн\p{L}*)\s+семейст
 PARAMETER_REFERENCE = r"(?iuU)(?:тот|того|тому|тем|том|эт\p{L}*)\s+параметр"
 ANCHOR_LABEL = "\nУточнения из состояния чата: "
 ID_MENTION = r"(?iu)(?:\bElementId|\bID|элемент(?:а|ов)?)[\s:#№]*(\d+(?:\s*[,;]\s*\d+)*)"
+FENCE = r"(?U)^\s*(`{3,}|~{3,})"
+RULE_ROW = r"(?U)^\s*\|?\s*:?-{3,}:?\s*\|[\s|:\-]*$"
+HEADING_MARK = r"(?U)^\s{0,3}#{1,6}\s+"
+EMPHASIS = r"\*\*(.+?)\*\*|__(.+?)__"
+INLINE_CODE = r"`+([^`]+)`+"
+LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 MAX_TOKENS = 8191
 MAX_FACT = 600
 
@@ -118,6 +124,22 @@ def resolve_query(original: Column, query: Column, selections: Column, terms: Co
     return F.when(F.size(missing) > 0, F.concat(query, F.lit(ANCHOR_LABEL), F.array_join(missing, "; "))).otherwise(query)
 
 
+PART = 256
+
+
+def _kept(acc: Column, line: Column) -> dict[str, Column]:
+    """Append a line to a fold's output: full parts are joined, so that each line is copied a bounded number of times."""
+    full = F.size(acc["part"]) >= PART
+    return {
+        "part": F.when(full, F.array(line)).otherwise(F.concat(acc["part"], F.array(line))),
+        "done": F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["part"], "\n")))).otherwise(acc["done"])}
+
+
+def _all_kept(acc: Column) -> Column:
+    last = F.when(F.size(acc["part"]) > 0, F.array(F.array_join(acc["part"], "\n"))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(acc["done"], last), "\n")
+
+
 def strip_citations(answer: Column) -> Column:
     """Drop quote and source lines until the next numbered answer."""
     lines = F.split(answer, "\n")
@@ -127,25 +149,11 @@ def strip_citations(answer: Column) -> Column:
         reopened = F.when(line.rlike(ANSWER_HEAD), F.lit(False)).otherwise(acc["skip"])
         heads = [F.startswith(line, F.lit(h)) for h in CITATION_HEADS]
         skip = reopened | heads[0] | heads[1]
-        kept = F.when(skip, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.rtrim(line, F.lit("\r")))))
-        return F.struct(skip.alias("skip"), kept.alias("kept"))
-
-    start = F.struct(F.lit(False).alias("skip"), none.alias("kept"))
-    return F.array_join(F.aggregate(lines, start, step, lambda acc: acc["kept"]), "\n")
-
+        kept = _kept(acc, F.rtrim(line, F.lit("\r")))
+        return F.struct(skip.alias("skip"), *[F.when(skip, acc[n]).otherwise(c).alias(n) for n, c in kept.items()])
 
-def valid_messages(df: DataFrame, role: str, content: str) -> DataFrame:
-    return df.filter(F.col(role).isin("user", "assistant") & (strip(F.col(content)) != ""))
-
-
-def question_limits(text: Column, tokens: Column, k: Column) -> Column:
-    """Validity of a question row: ok, blank, too_long or bad_top_k."""
-    return (
-        F.when(text.isNull() | (strip(text) == ""), "blank")
-        .when(tokens > MAX_TOKENS, "too_long")
-        .when(k.isNotNull() & ~k.between(1, 100), "bad_top_k")
-        .otherwise("ok")
-    )
+    start = F.struct(F.lit(False).alias("skip"), none.alias("part"), none.alias("done"))
+    return F.aggregate(lines, start, step, _all_kept)
 
 
 def requested_ids(question: Column) -> Column:
@@ -156,25 +164,15 @@ def requested_ids(question: Column) -> Column:
 def requested_filters(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Rows (question_id, kind, value): element ids and names of three letters or more in a question.
 
-    ``questions``: question_id, question; ``names``: name. A name is looked up by its first token,
-    matched to the runs that start at a token of the question, then checked in full.
+    ``questions``: question_id, question; ``names``: name. Containment has no token boundary, so questions and names meet
+    on the first three characters of a name, at any position of the question; the question is read again for what meets.
     """
     ids = questions.select("question_id", F.lit("id").alias("kind"), F.explode(requested_ids(F.col("question"))).alias("value"))
     wanted = names.select("name").filter(F.length("name") >= 3).distinct()
-    # Containment has no token boundary, so the key is the first three characters at any position.
-    grams = questions.select(
-        "question_id", "question",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("question") - 2, F.lit(1))),
-            lambda i: F.substring(F.lower("question"), i, F.lit(3)),
-        ))).alias("_gram"),
-    )
-    named = (
-        grams.join(wanted.withColumn("_gram", F.substring(F.lower("name"), 1, 3)), "_gram")
-        .filter(F.contains(F.lower("question"), F.lower("name")))
-        .select("question_id", F.lit("name").alias("kind"), F.col("name").alias("value"))
-    )
-    return ids.unionByName(named.distinct())
+    grams = questions.select("question_id", F.explode(char_grams(F.lower("question"), 3)).alias("_gram"))
+    met = grams.join(wanted.withColumn("_gram", F.substring(F.lower("name"), 1, 3)), "_gram").select("question_id", "name").distinct()
+    named = met.join(questions.select("question_id", "question"), "question_id").filter(F.contains(F.lower("question"), F.lower("name")))
+    return ids.unionByName(named.select("question_id", F.lit("name").alias("kind"), F.col("name").alias("value")).distinct())
 
 
 def tag_ocr_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,10 +182,6 @@ def tag_ocr_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda r: r["t"]), "\n").alias("ocr_text"))
 
 
-FENCE = r"(?U)^\s*(`{3,}|~{3,})"
-RULE_ROW = r"(?U)^\s*\|?\s*:?-{3,}:?\s*\|[\s|:\-]*$"
-
-
 def _cells(line: Column) -> Column:
     return F.transform(F.split(F.btrim(strip(line), F.lit("|")), r"\|"), strip)
 
@@ -200,10 +194,10 @@ def markdown_to_plain(text: Column) -> Column:
     def step(acc: Column, item: Column) -> Column:
         raw, following = item["line"], item["next"]
         fence = raw.rlike(FENCE)
-        plain = F.regexp_replace(raw, r"(?U)^\s{0,3}#{1,6}\s+", "")
-        plain = F.regexp_replace(plain, r"\*\*(.+?)\*\*|__(.+?)__", "$1$2")
-        plain = F.regexp_replace(plain, r"`+([^`]+)`+", "$1")
-        plain = F.regexp_replace(plain, r"\[([^\]]+)\]\(([^)]+)\)", "$1 ($2)")
+        plain = F.regexp_replace(raw, HEADING_MARK, "")
+        plain = F.regexp_replace(plain, EMPHASIS, "$1$2")
+        plain = F.regexp_replace(plain, INLINE_CODE, "$1")
+        plain = F.regexp_replace(plain, LINK, "$1 ($2)")
         piped = F.contains(plain, F.lit("|"))
         opens = piped & following.isNotNull() & following.rlike(RULE_ROW)
         in_table = acc["headers"].isNotNull() & piped
@@ -225,14 +219,16 @@ def markdown_to_plain(text: Column) -> Column:
             F.when(~acc["skip"] & fence, ~acc["code"]).otherwise(acc["code"]).alias("code"),
             (~quiet & ~acc["code"] & opens).alias("skip"),
             headers.alias("headers"),
-            F.when(quiet, acc["out"]).otherwise(F.concat(acc["out"], F.array(body))).alias("out"),
+            *[F.when(quiet, acc[n]).otherwise(c).alias(n) for n, c in _kept(acc, body).items()],
         )
 
-    items = F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.get(lines, i + 1).alias("next")))
+    # Each line with the one behind it: a lambda that looked into the lines would split the text anew for each.
+    behind = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string")))
+    items = F.zip_with(lines, behind, lambda line, after: F.struct(line.alias("line"), after.alias("next")))
     start = F.struct(
-        F.lit(False).alias("code"), F.lit(False).alias("skip"), F.lit(None).cast("array<string>").alias("headers"), none.alias("out")
+        F.lit(False).alias("code"), F.lit(False).alias("skip"), F.lit(None).cast("array<string>").alias("headers"), none.alias("part"), none.alias("done")
     )
-    return strip(F.array_join(F.aggregate(items, start, step, lambda acc: acc["out"]), "\n"))
+    return strip(F.aggregate(items, start, step, _all_kept))
 
 
 def pick_fields(json: Column, fields: list[str]) -> Column:

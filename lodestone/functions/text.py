@@ -96,6 +96,12 @@ def retrieval_tokens(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("_")), F.concat(search_tokens(text), extra)).otherwise(search_tokens(text))
 
 
+def char_grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters, from one pass over the text for each offset."""
+    passes = [F.regexp_extract_all(F.substring(text, i + 1, 1 << 30), F.lit(f"(?s).{{{size}}}"), F.lit(0)) for i in range(size)]
+    return F.array_distinct(F.concat(*passes) if size > 1 else passes[0])
+
+
 def entity_name(text: Column) -> Column:
     """The identifier of a heading, with suffix words but without a parenthesis; null if none."""
     pattern = rf"(?U)^({IDENTIFIER}{IDENTIFIER_TAIL})(?:\s+\([^\r\n]*\))?$"

@@ -7,19 +7,15 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.functions.text import Pieces, retrieval_tokens, stable_id, strip, token_count, token_pieces
+from lodestone.functions.text import Pieces, bind, char_grams, retrieval_tokens, stable_id, strip, token_count, token_pieces
 from lodestone.operators.folds import Fold, counted, segmented_fold
 from lodestone.operators.scans import previous, running, top_rows
+from lodestone.session import cut_lineage
 
 
 SEGMENT = 4096
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, where a lambda would compute it anew for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _windows(pieces: Column, text: Column, size: int | Column, overlap: int | Column) -> Column:
     """Array of windows (start, end, text, tokens); offsets in code points, last window ends the text.
 
@@ -51,7 +47,7 @@ def _windows(pieces: Column, text: Column, size: int | Column, overlap: int | Co
         body = F.substring(F.array_join(touched, ""), start - first * SEGMENT + 1, end - start)
         return F.struct(start.alias("start"), end.alias("end"), body.alias("text"), F.least(size, h["n"] - k * step).cast("int").alias("tokens"))
 
-    return _let(held, lambda h: F.filter(F.transform(F.sequence(F.lit(0), h["count"] - 1), lambda k: window(h, k)), lambda w: strip(w["text"]) != ""))
+    return bind(held, lambda h: F.filter(F.transform(F.sequence(F.lit(0), h["count"] - 1), lambda k: window(h, k)), lambda w: strip(w["text"]) != ""))
 
 
 def fixed_windows(
@@ -189,22 +185,61 @@ def link_parents(children: DataFrame, parents: DataFrame, key: str = "source") -
     return children.join(best, [key, "chunk_id"], "left")
 
 
-SHORT_TEXT = 16
+#: Lengths of the anchors on which texts meet the lines that may hold them.
+ANCHORS = (16, 4, 1)
 
 
-def _contained(texts: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct texts that occur within a line of the same key, met on their first 16 characters."""
+def _within_lines(texts: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): texts of one line that occur within a line, met on their first characters."""
+    found = None
+    for size, longer in zip(ANCHORS, (1 << 30, *ANCHORS)):
+        some = texts.filter((F.length("text") >= size) & (F.length("text") < longer)).withColumn("_gram", F.substring("text", 1, size))
+        grams = lines.join(some.select(*keys).distinct(), keys, "left_semi").select(*keys, "role", "place", F.explode(char_grams(F.col("line"), size)).alias("_gram"))
+        met = some.join(grams, [*keys, "_gram"]).drop("_gram").join(lines, [*keys, "role", "place"]).filter(F.contains("line", "text"))
+        met = met.select(*keys, "text").distinct()
+        found = met if found is None else found.unionByName(met)
+    return found
 
-    def grams(size: Column) -> Column:
-        last = F.length("text") - size + 1
-        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.substring(F.col("text"), i, size))
 
-    sizes = F.sequence(F.lit(1), F.lit(SHORT_TEXT))
-    found = F.array_distinct(F.flatten(F.transform(sizes, grams)))
-    keyed = lines.select(*keys, F.col("text").alias("_line"), F.explode(found).alias("_gram"))
-    heads = texts.withColumn("_gram", F.substring("text", 1, SHORT_TEXT))
-    return heads.join(keyed, [*keys, "_gram"]).filter(F.contains("_line", "text")).select(*keys, "text").distinct()
+def _across_lines(texts: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): texts of several lines that occur in the joined lines of a role.
+
+    The first line of such a text ends a line, the last one begins one, and those between are whole lines, each behind
+    the other. Texts meet lines on the end of their first line; the rest is compared by place.
+    """
+    size = F.least(F.length("_first"), F.lit(ANCHORS[0]))
+    rows = texts.withColumn("_l", F.split("text", "\n")).withColumn("_first", F.get("_l", F.lit(0)))
+    rows = rows.withColumn("_end", F.struct(size.alias("n"), F.when(size > 0, F.expr("right(_first, least(length(_first), 16))")).otherwise("").alias("t")))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(ANCHORS[0])), lambda n: F.struct(
+        n.alias("n"), F.when(n > 0, F.substring("line", F.length("line") - n + 1, n)).otherwise("").alias("t")))
+    ending = lines.select(*keys, "role", "place", "line", F.explode(F.filter(ends, lambda e: e["n"] <= F.length("line"))).alias("_end"))
+    begun = rows.join(ending, [*keys, "_end"]).filter(F.endswith("line", "_first")).select(*keys, "text", "role", F.col("place").alias("_at"), "_l")
+    rest = begun.select(*keys, "text", "role", "_at", F.size("_l").alias("_n"), F.posexplode("_l").alias("_i", "_own")).filter("_i > 0")
+    rest = rest.withColumn("place", F.col("_at") + F.col("_i"))
+    same = F.when(F.col("_i") == F.col("_n") - 1, F.startswith("line", "_own")).otherwise(F.col("line") == F.col("_own"))
+    held = rest.join(lines, [*keys, "role", "place"]).filter(same).groupBy(*keys, "text", "role", "_at", "_n").agg(F.count(F.lit(1)).alias("_same"))
+    return held.filter("_same = _n - 1").select(*keys, "text").distinct()
+
+
+def quoted_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Blocks of an entity without warnings whose text is quoted in its purpose or its constraints, on one line or over several.
+
+    Entities without a purpose have none. lines: source, entity_id, role, ordinal, text; the texts of a role, joined by
+    line feeds in order, are what may quote a block.
+    """
+    keys = ["source", "owner_id"]
+    owned = blocks.filter(F.col("owner_id").isNotNull() & (F.size("warnings") == 0))
+    lines = lines.withColumnRenamed("entity_id", "owner_id")
+    purposeful = lines.filter("role = 'purpose'").select(*keys).distinct()
+    owned = owned.join(purposeful, keys, "left_semi")
+    cut = lines.select(*keys, "role", "ordinal", F.posexplode(F.split("text", "\n")).alias("_i", "line"))
+    placed = running(cut, [*keys, "role"], ["ordinal", "_i"], {"place": ("count", F.lit(1))}).select(*keys, "role", "place", "line")
+    placed = cut_lineage(placed)
+    texts = owned.select(*keys, "text").distinct()
+    several = F.contains("text", F.lit("\n"))
+    quoted = _within_lines(texts.filter(~several), placed, keys).unionByName(_across_lines(texts.filter(several), placed, keys))
+    # An empty text is part of every other one.
+    return owned.join(quoted.unionByName(texts.filter("text = ''")), [*keys, "text"], "left_semi")
 
 
 def card_chunks(blocks: DataFrame, lines: DataFrame, size: int = 650, pieces: Pieces | None = None) -> DataFrame:
@@ -212,14 +247,7 @@ def card_chunks(blocks: DataFrame, lines: DataFrame, size: int = 650, pieces: Pi
 
     Entities without a purpose have no card chunk.
     """
-    owned = blocks.filter(F.col("owner_id").isNotNull() & (F.size("warnings") == 0))
-    lines = lines.withColumnRenamed("entity_id", "owner_id")
-    purposeful = lines.filter("role = 'purpose'").select("source", "owner_id").distinct()
-    keys = ["source", "owner_id"]
-    owned = owned.join(purposeful, keys, "left_semi")
-    texts = _contained(owned.select(*keys, "text").distinct(), lines.select(*keys, "text"), keys)
-    quoted = owned.join(texts, [*keys, "text"], "left_semi")
-    grouped = structural_groups(quoted.withColumn("token_count", token_count(F.col("text"), pieces)))
+    grouped = structural_groups(quoted_blocks(blocks, lines).withColumn("token_count", token_count(F.col("text"), pieces)))
     keys = ["source", "owner_id", "group_id"]
     chunks = pack_texts(pack_blocks(grouped, keys, size), keys)
     return chunks.withColumns({

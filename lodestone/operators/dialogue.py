@@ -181,4 +181,4 @@ def stage_metrics(lines: DataFrame, line: str = "line") -> DataFrame:
     failed = F.col("status").isNotNull() & ~F.col("status").isin("ok", "200")
     return done.groupBy("stage").agg(
         F.count(F.lit(1)).alias("calls"), F.sum(F.when(failed, 1).otherwise(0)).alias("failures"), F.sum("elapsed_ms").alias("total_ms"),
-        F.max("elapsed_ms").alias("max_ms"), F.percentile_approx("elapsed_ms", 0.95).alias("p95_ms"))
+        F.max("elapsed_ms").alias("max_ms"), F.percentile("elapsed_ms", 0.95).alias("p95_ms"))

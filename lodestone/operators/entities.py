@@ -106,18 +106,27 @@ def name_keys(name: Column) -> Column:
     return F.regexp_extract(F.lower(name), f"^{RUN}", 0)
 
 
-def references(blocks: DataFrame, registry: DataFrame) -> DataFrame:
-    """(source, ordinal, entity_id): registered names in a block, without its owner and members.
+def names_met(texts: DataFrame, keys: list[str], text: str, names: DataFrame, within: list[str] | None = None, joined_only: bool = True) -> DataFrame:
+    """(keys, names' columns): names that occur whole in a text.
 
-    A name can only start at a token of the text, so blocks and names meet on that token.
+    A name can only start at a token of the text, so texts and names meet on that token (and on the ``within`` columns);
+    only keys and tokens travel there, and the text is read again for what meets. names: name and further columns.
     """
-    names = registry.select(
-        "source", "name", "key", "entity_id", name_keys(F.col("name")).alias("_k"))
-    tokens = blocks.select("source", "ordinal", "text", "owner_id", "owner_name", F.explode(run_keys(F.col("text"))).alias("_k"))
+    within = within or []
+    tokens = texts.select(*keys, F.explode(run_keys(F.col(text), joined_only)).alias("_k"))
+    met = tokens.join(names.withColumn("_k", name_keys(F.col("name"))), [*within, "_k"]).drop("_k")
+    whole = met.join(texts.select(*keys, F.col(text).alias("_text")), keys)
+    return whole.filter(contains_name(F.col("_text"), F.col("name"))).drop("_text")
+
+
+def references(blocks: DataFrame, registry: DataFrame) -> DataFrame:
+    """(source, ordinal, entity_id): registered names in a block, without its owner and members."""
+    names = registry.select("source", "name", "key", "entity_id")
+    hits = names_met(blocks, ["source", "ordinal"], "text", names, ["source"])
     members = F.transform(entity_names(F.col("owner_name")), F.lower)
     own = F.coalesce(F.col("entity_id") == F.col("owner_id"), F.lit(False)) | F.coalesce(F.array_contains(members, F.col("key")), F.lit(False))
-    hits = tokens.join(names, ["source", "_k"]).filter(contains_name(F.col("text"), F.col("name")) & ~own)
-    return hits.select("source", "ordinal", "entity_id").distinct()
+    named = hits.join(blocks.select("source", "ordinal", "owner_id", "owner_name"), ["source", "ordinal"])
+    return named.filter(~own).select("source", "ordinal", "entity_id").distinct()
 
 
 def classify_blocks(blocks: DataFrame, refs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from lodestone.functions.messages import APPEARANCE, PARAMETER_LIKE
-from lodestone.functions.text import squeeze, strip
+from lodestone.functions.text import char_grams, squeeze, strip
 from lodestone.session import cut_lineage
 
 # Fixed values.
@@ -86,7 +86,7 @@ def quote_support(citations: DataFrame, contexts: DataFrame, keys: list[str] | N
     rare = rare.filter("_r.n > 0").select(*keys, "seq", "_q", F.col("_r.key").alias("_key"))
     short = asked.filter(F.size("_w") < 3).select(*keys, "seq", "_q", F.substring("_q", 1, GRAM).alias("_key"))
     near = haystack.join(short.select(*keys).distinct(), keys, "left_semi")
-    grams = near.select(*keys, "_at", F.explode(_grams(F.col("_h"))).alias("_key")).join(short.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
+    grams = near.select(*keys, "_at", F.explode(char_grams(F.col("_h"), GRAM)).alias("_key")).join(short.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
     met = rare.join(held, [*keys, "_key"]).unionByName(short.join(grams, [*keys, "_key"])).drop("_key")
     found = met.join(haystack.select("_at", "rank", "chunk_id", "_h"), "_at").filter(F.contains("_h", "_q"))
     first = found.groupBy(*keys, "seq").agg(F.min_by("chunk_id", "rank").alias("chunk_id"))
@@ -94,12 +94,6 @@ def quote_support(citations: DataFrame, contexts: DataFrame, keys: list[str] | N
     return out.withColumn("supported", F.col("chunk_id").isNotNull())
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of GRAM characters, each offset by one pass over the text."""
-    passes = [F.regexp_extract_all(F.substring(text, i + 1, 1 << 30), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0)) for i in range(GRAM)]
-    return F.array_distinct(F.concat(*passes))
-
-
 def unverified_evidence(supported: DataFrame) -> DataFrame:
     """Add allowed and caveat for machine-extracted support.
 

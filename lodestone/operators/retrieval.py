@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.text import contains_name, retrieval_tokens
-from lodestone.operators.entities import name_keys, run_keys
+from lodestone.operators.entities import names_met
 from lodestone.operators.scans import row_numbers, top_rows
 
 KEY = ["query_id", "chunk_id"]
@@ -19,11 +19,9 @@ SEMANTIC_MODE = "cross_encoder:"
 
 
 def named_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, name_key): names that occur whole in a question; they meet on the token they start at."""
-    asked = queries.select("query_id", "text", F.explode(run_keys(F.col("text"), joined_only=False)).alias("_k"))
-    known = names.select("name").distinct().select("name", F.lower("name").alias("name_key"), name_keys(F.col("name")).alias("_k"))
-    hits = asked.join(known, "_k").filter(contains_name(F.col("text"), F.col("name")))
-    return hits.select("query_id", "name_key").distinct()
+    """(query_id, name_key): names that occur whole in a question."""
+    known = names.select("name").distinct().select("name", F.lower("name").alias("name_key"))
+    return names_met(queries.select("query_id", "text"), ["query_id"], "text", known, joined_only=False).select("query_id", "name_key").distinct()
 
 
 def exact_entity_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:

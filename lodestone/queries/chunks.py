@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lodestone.functions.text import retrieval_tokens, token_count
 from lodestone.operators import chunking as C, entities as E
 from lodestone.queries import duck as D
 from lodestone.queries.corpus import OWNED
-from lodestone.queries.entities import classified, owned
+from lodestone.queries.entities import CARDS, classified, owned
 from lodestone.queries.text import LINE_BLOCKS
 from lodestone.registry import query
 from lodestone.session import table
@@ -111,6 +111,24 @@ def link_parents(spark, d):
     return C.link_parents(packs(spark, d, 60), packs(spark, d, 150), "doc_id").select("doc_id", "chunk_id", "parent_id")
 
 
+# Blocks of two lines stand beside those of the corpus: a block with the one behind it of the same owner.
+LINE_STEP = 1_000_000_000_000
+
+
+@query("quoted_blocks", f"""WITH {CARDS}, plain AS (SELECT source, ordinal, owner_name, text FROM classified WHERE owner_name IS NOT NULL AND NOT coalesce(conflict, false)),
+both_ AS (SELECT * FROM plain UNION ALL SELECT source, ordinal + {LINE_STEP}, owner_name, text || chr(10) || after
+  FROM (SELECT *, lead(text) OVER (PARTITION BY source, owner_name ORDER BY ordinal) AS after FROM plain) WHERE after IS NOT NULL)
+SELECT b.source, b.ordinal FROM both_ b JOIN cards c ON c.source = b.source AND c.name = b.owner_name
+WHERE c.purpose <> '' AND (contains(c.purpose, b.text) OR contains(c.constraints, b.text))""")
+def quoted_blocks(spark, d):
+    blocks = classified(spark, d)[0]
+    order = Window.partitionBy("source", "owner_id").orderBy("ordinal")
+    plain = blocks.filter(F.col("owner_id").isNotNull() & (F.size("warnings") == 0))
+    pairs = plain.withColumn("_after", F.lead("text").over(order)).filter("_after IS NOT NULL").withColumns({
+        "ordinal": F.col("ordinal") + F.lit(LINE_STEP), "text": F.concat_ws("\n", "text", "_after")}).drop("_after")
+    return C.quoted_blocks(blocks.unionByName(pairs), E.card_lines(blocks)).select("source", "ordinal")
+
+
 @query("card_chunks")
 def card_chunks(spark, d):
     blocks = classified(spark, d)[0]

@@ -142,3 +142,29 @@ def test_catalog_pairs_equal_all_pairs(spark):
         for scores in (best, free):
             if scores:
                 assert (i, scores[max(scores)]) in found
+
+
+def test_quotes_over_several_lines(spark):
+    schema = "source string, ordinal long, owner_id string, text string, warnings array<string>"
+    lines = [("s", "a", "purpose", 1, "first line"), ("s", "a", "purpose", 2, "second line\nthird line"), ("s", "a", "purpose", 5, "fourth"), ("s", "a", "purpose", 6, "fifth line"),
+             ("s", "a", "constraints", 9, "not allowed\nhere"), ("s", "b", "constraints", 1, "alone"), ("t", "a", "purpose", 1, "first line")]
+    card = spark.createDataFrame(lines, "source string, entity_id string, role string, ordinal long, text string")
+    texts = {
+        1: "first line", 2: "line\nsecond line", 3: "line\nsecond line\nthird line\nfourth\nfif", 4: "first line\nthird line", 5: "not allowed\nhere", 6: "e\nhere", 7: "d\nhere",
+        8: "fifth line\nnot allowed", 9: "fir", 10: "x", 11: "", 12: "line\n", 13: "\nfourth", 14: "second line\nthird line\nfifth", 15: "third line\nfourth\nfifth line", 16: "long enough but nowhere to be found"}
+    blocks = [("s", k, "a", t, []) for k, t in texts.items()] + [("s", 50, "b", "alone", []), ("t", 60, "a", "second line", []), ("s", 61, "a", "first line", ["w"]), ("s", 62, None, "first line", [])]
+    found = {(r.source, r.ordinal) for r in C.quoted_blocks(spark.createDataFrame(blocks, schema).repartition(3), card).collect()}
+    joined = {"purpose": "first line\nsecond line\nthird line\nfourth\nfifth line", "constraints": "not allowed\nhere"}
+    assert found == {("s", k) for k, t in texts.items() if any(t in j for j in joined.values())}
+    assert C.quoted_blocks(spark.createDataFrame([], schema), card).count() == 0
+
+
+def test_names_are_met_without_copies_of_the_text(spark):
+    blocks = spark.createDataFrame([("s", 1, "См. A_1, a_1 и B_2.", None, None), ("s", 2, "A_1x", None, None), ("t", 1, "A_1", None, None), ("s", 3, "A_1 x", "own", "A_1"), ("s", 4, None, None, None)],
+                                   "source string, ordinal int, text string, owner_id string, owner_name string")
+    registry = spark.createDataFrame([("s", "A_1", "a_1", "ia"), ("s", "B_2", "b_2", "ib")], "source string, name string, key string, entity_id string")
+    refs = E.references(blocks, registry)
+    assert {tuple(r) for r in refs.collect()} == {("s", 1, "ia"), ("s", 1, "ib")}
+    plan = refs._jdf.queryExecution().optimizedPlan().toString()
+    tokens = next(part for part in plan.split("Generate")[1:] if "explode" in part)
+    assert "text" not in tokens.split("\n")[0].split("outer")[0].split("[", 2)[-1]

@@ -190,3 +190,20 @@ def test_quotes_of_one_large_request(spark):
     made = [(i, t) for i, t in enumerate(["áb", "각", "Å x", "plain", "й", "中文", "한국", "á̧", "יִ", None])]
     got = spark.createDataFrame(made, "i int, t string").select("i", normalize(F.col("t")).alias("n")).collect()
     assert {r.i: r.n for r in got} == {i: t if t is None else plain(t) for i, t in made}
+
+
+def test_long_answers_in_proportion(spark):
+    """Folds over lines copy each line a bounded number of times, and a line finds the next one without a new split."""
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        text = "\n".join(f"| a{i} | b |" if i % 9 else "## head **x**" for i in range(n)) + "\n1. ok"
+        df = spark.createDataFrame([(text,)], "t string").cache()
+        df.count()
+        for again in range(2):
+            start = time.perf_counter()
+            row = df.select(M.strip_citations(F.col("t")).alias("a"), M.markdown_to_plain(F.col("t")).alias("b")).first()
+        took.append(time.perf_counter() - start)
+        assert row.a == text and row.b.count("\n") == n and "head x" in row.b
+    assert took[1] < 10 * took[0] + 1
