@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import token_count
 from lodestone.operators import incremental as I, scoring as M
 from lodestone.queries import duck as D
+from lodestone.queries.chunks import windows_sql
 from lodestone.registry import query
 from lodestone.session import cut_lineage, derive, scratch_path, table
 from lodestone.sources import index_store as X
@@ -118,7 +119,16 @@ def append_machine_text(spark, d):
     return I.append_machine_text(blocks, derive(spark, d, READ)).select("source", "ordinal", "kind", "text")
 
 
-@query("embed")
+# Words by white space; a word's slot is the crc32 of its UTF-8 bytes, bit by bit, modulo the free slots.
+WORDS = "list_filter(regexp_split_to_array(lower({e}), '\\s+'), lambda w: w <> '')"
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, octet_length(encode(w))),
+  lambda i: [CAST('0x' || substr(hex(encode(w)), i * 2 + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))::BIGINT[]), lambda h, e: xor(xor(h, e) >> 1, (xor(h, e) & 1) * 3988292384)), 4294967295::BIGINT)"""
+
+
+@query("embed", f"""WITH t AS (SELECT doc_id, unnest({WORDS.format(e="'search_document: ' || text")}) AS w FROM documents WHERE text IS NOT NULL),
+slots AS (SELECT w, {CRC} % 15 AS s FROM (SELECT DISTINCT w FROM t)),
+n AS (SELECT doc_id, s, count(*) AS n FROM t JOIN slots USING (w) GROUP BY ALL)
+SELECT doc_id, string_agg(coalesce(n, 0), ' ' ORDER BY s) || ' 1' AS embedding FROM (SELECT doc_id, s FROM documents, range(15) r(s)) LEFT JOIN n USING (doc_id, s) GROUP BY doc_id""")
 def embed(spark, d):
     out = M.embed(table(spark, d, "documents"), "doc_id", "text", M.word_hash_encoder(16), 16)
     return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ").alias("embedding"))
@@ -144,12 +154,30 @@ def dense_hits(spark, d):
     return cut_lineage(top.join(asked.select("query_id", F.col("text").alias("question")), "query_id"))
 
 
-@query("rerank")
+def _reranked_sql() -> str:
+    """Best passage of the 20 nearest chunks of each question: shared words over length."""
+    from lodestone.queries.retrieval import QUESTIONS, base_sql
+
+    return f"""WITH {base_sql(QUESTIONS)},
+top AS (SELECT query_id, chunk_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM pairs) WHERE r <= 20),
+parts AS (SELECT chunk_id, "window" AS k, concat_ws(chr(10), owner_id, section, w.text) AS passage FROM ({windows_sql('chunks', 'chunk_id', 300, 50)}) w JOIN chunks USING (chunk_id)),
+asked AS (SELECT query_id, text, {WORDS.format(e='text')} AS words FROM questions),
+scored AS (SELECT query_id, chunk_id, k, passage, len(list_filter({WORDS.format(e='passage')}, lambda w: list_contains(words, w))) / (1 + length(passage)) AS s
+  FROM top JOIN parts USING (chunk_id) JOIN asked USING (query_id)),
+best AS MATERIALIZED (SELECT query_id, chunk_id, max(s) AS s, arg_min(passage, {{'s': -s, 'k': k}}) AS passage FROM scored GROUP BY ALL)"""
+
+
+@query("rerank", f"{_reranked_sql()} SELECT query_id, chunk_id, round(s, 9) AS rerank, 'cross_encoder:words' AS mode, passage FROM top LEFT JOIN best USING (query_id, chunk_id)")
 def rerank(spark, d):
     return M.rerank(dense_hits(spark, d), _scorer, "words").select("query_id", "chunk_id", F.round("rerank", 9).alias("rerank"), "mode", "passage")
 
 
-@query("rerank_or_fallback")
+@query("rerank_or_fallback", f"""{_reranked_sql()},
+state AS (SELECT query_id, CASE WHEN any_value(length(a.text)) % 3 = 0 THEN 'TimeoutError' WHEN bool_or(s IS NULL) THEN 'missing' END AS why
+  FROM top LEFT JOIN best USING (query_id, chunk_id) JOIN asked a USING (query_id) GROUP BY query_id)
+SELECT query_id, chunk_id, round(CASE WHEN why IS NULL THEN s ELSE similarity END, 9) AS rerank,
+  CASE WHEN why IS NULL THEN 'cross_encoder:words' ELSE 'lexical_fallback:reranker_unavailable' END AS mode, 'reranker_' || why AS reason
+FROM top LEFT JOIN best USING (query_id, chunk_id) JOIN state USING (query_id)""")
 def rerank_or_fallback(spark, d):
     hits = dense_hits(spark, d)
     lexical = hits.select("query_id", "chunk_id", F.col("similarity").alias("rerank"))

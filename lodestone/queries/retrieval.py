@@ -46,7 +46,7 @@ def _vectors(name: str, key: str) -> str:
 {name}n AS (SELECT {key}, sum(n * n) AS norm FROM {name}v GROUP BY ALL)"""
 
 
-def _base(questions: str) -> str:
+def base_sql(questions: str) -> str:
     return f"""chunks AS MATERIALIZED ({CHUNKS}), questions AS MATERIALIZED ({questions}),
 {_vectors('chunks', 'chunk_id')}, {_vectors('questions', 'query_id')},
 pairs AS MATERIALIZED (SELECT query_id, chunk_id, round(CAST(dot AS DOUBLE) / sqrt(CAST(qn.norm * cn.norm AS DOUBLE)), 6) AS similarity FROM (
@@ -124,10 +124,10 @@ final AS (SELECT m.*, position, position IS NOT NULL AS selected, coalesce(m.rea
 
 def final_sql(questions: str, reranked: str = PLAIN) -> str:
     """All stages for other questions, or with other scores of the second stage."""
-    return f"WITH {_base(questions)}, {LEXICAL}, {EXACT}, {RANKED}, {CANDIDATES}, {RERANK}, {reranked}, {JUDGED}, {SELECTED}"
+    return f"WITH {base_sql(questions)}, {LEXICAL}, {EXACT}, {RANKED}, {CANDIDATES}, {RERANK}, {reranked}, {JUDGED}, {SELECTED}"
 
 
-STAGE_LEX = f"WITH {_base(QUESTIONS)}, {LEXICAL}"
+STAGE_LEX = f"WITH {base_sql(QUESTIONS)}, {LEXICAL}"
 STAGE_RANK = f"{STAGE_LEX}, {EXACT}, {RANKED}, {CANDIDATES}"
 STAGE_RERANK = f"{STAGE_RANK}, {RERANK}, {PLAIN}"
 STAGE_JUDGED = f"{STAGE_RERANK}, {JUDGED}"

@@ -92,7 +92,14 @@ def mask_secrets(spark, d):
     return table(spark, d, "documents").select("doc_id", X.mask_secrets(F.col("text")).alias("masked"))
 
 
-@query("describe")
+def describe_sql(e: str) -> str:
+    """The first part that is not blank; a sentence end before a capital becomes a mark, since there is no looking around."""
+    marked = f"regexp_replace({D.strip(e)}, '([.!?])\\s+([А-ЯЁA-Z])', '\\1' || chr(30) || '\\2', 'g')"
+    parts = f"regexp_split_to_array({marked}, '\\r?\\n|;\\s+|' || chr(30))"
+    return D.squeeze(f"coalesce(list_filter({parts}, lambda x: {D.strip('x')} <> '')[1], {e})")
+
+
+@query("describe", f"SELECT doc_id, {describe_sql('text')} AS description FROM documents")
 def describe(spark, d):
     return table(spark, d, "documents").select("doc_id", X.describe(F.col("text")).alias("description"))
 
