@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import describe, strip
-from lodestone.operators.scans import first_rows
+from lodestone.operators.scans import first_rows, previous, running
+from lodestone.session import cut_lineage
 
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 LAYERS = ("short-term", "working", "long-term")
@@ -51,52 +52,91 @@ def route_changes(changes: DataFrame, entries: DataFrame) -> DataFrame:
 def apply_memory_changes(entries: DataFrame, changes: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
     """Entries after ordered changes of one scope, and the rejected changes with a reason.
 
-    changes: change_id (order), action, target, id (null = new), content, new_id. Changes of different ids do
-    not touch each other, so per id the last accepted change wins; new facts equal to a stored or an
-    earlier new one are dropped.
+    changes: change_id (order, unique, a number), action, target, id (null = new), content, new_id. A change may name the new_id of
+    an earlier new fact of the batch. A new fact equal to one that is held just then is dropped without a reason.
+
+    Changes of one id depend on each other only: its last accepted place is a running value, and the first accepted delete
+    ends it. That gives the times during which an id holds a (layer, scope, content). Ids meet where new facts ask whether
+    theirs is held: running counts of open times over (key, time) answer for all facts at once. A fact is decided when a
+    sure holder is open or no unsure one is; each round decides at least the earliest fact of all that are left.
     """
-    facts = entries.select("id", F.col("layer").alias("_layer"), F.col("scope").alias("_scope"))
-    named = changes.filter("id IS NOT NULL").join(facts, "id", "left")
-    fresh = changes.filter("id IS NULL").withColumns({"_layer": F.lit(None).cast("string"), "_scope": F.lit(None).cast("string")})
-    # An accepted delete ends an id, and an accepted upsert moves it to its target layer.
-    order = "change_id"
-    deleted = named.filter("action = 'delete' AND _layer IS NOT NULL").select("id", "change_id", "target")
-    moves = named.filter((F.col("action") == "upsert") & ~_blank("content")).select("id", F.col("change_id").alias("_m"), F.col("target").alias("_to"))
-    earlier = (F.col("d.id") == F.col("m.id")) & (F.col("m._m") < F.col("d.change_id"))
-    placed = deleted.alias("d").join(moves.alias("m"), earlier, "left").select("d.id", "d.change_id", "d.target", "m._m", "m._to")
-    placed = placed.groupBy("id", "change_id", "target").agg(F.max_by("_to", "_m").alias("_to"))
-    placed = placed.join(facts, "id").filter(F.coalesce("_to", "_layer") == F.col("target"))
-    ends = placed.groupBy("id").agg(F.min("change_id").alias("_end"))
-    named = named.join(ends, "id", "left").join(placed.select("id", "change_id", F.lit(True).alias("_hits")), ["id", "change_id"], "left")
-    fresh = fresh.withColumns({"_end": F.lit(None).cast(dict(changes.dtypes)[order]), "_hits": F.lit(None).cast("boolean")})
-    rows = named.unionByName(fresh)
-    gone = F.col("_end").isNotNull() & (F.col(order) > F.col("_end"))
-    foreign = F.col("_scope").isNotNull() & ~F.col("_scope").isin("global", scope)
-    reason = (
-        F.when(~F.coalesce(F.col("target").isin(*LAYERS), F.lit(False)), "bad_target")
-        .when(F.col("id").isNotNull() & (F.col("_layer").isNull() | gone), "unknown_id")
-        .when(foreign, "other_scope")
-        .when((F.col("action") == "delete") & F.col("_hits").isNull(), "not_in_layer")
-        .when(~F.col("action").isin("upsert", "delete"), "bad_action")
-        .when((F.col("action") == "upsert") & _blank("content"), "blank_content")
-    )
-    judged = rows.withColumn("reason", reason)
-    good = judged.filter("reason IS NULL")
+    order, kind = "change_id", dict(changes.dtypes)["change_id"]
     target_scope = F.when(F.col("target") == "long-term", "global").otherwise(F.lit(scope))
-    final = good.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("action", "target", "content"), order).alias("_l"))
-    final = final.select("id", F.col("_l.action").alias("_a"), F.col("_l.target").alias("target"), F.col("_l.content").alias("_new"))
-    kept = entries.join(final, "id", "left").filter(F.coalesce(F.col("_a") != "delete", F.lit(True)))
-    changed = F.col("_a").isNotNull()
-    kept = kept.withColumns({
-        "layer": F.when(changed, F.col("target")).otherwise(F.col("layer")),
-        "scope": F.when(changed, target_scope).otherwise(F.col("scope")),
-        "content": F.when(changed, F.col("_new")).otherwise(F.col("content")),
-    }).drop("_a", "_new", "target")
-    new = good.filter("id IS NULL").withColumns({"layer": F.col("target"), "scope": target_scope, "_c": strip(F.col("content"))})
-    new = first_rows(new.select("layer", "scope", "_c", order, "new_id", "content"), ["layer", "scope", "_c"], [order])
-    same = entries.select("layer", "scope", strip(F.col("content")).alias("_c")).distinct()
-    new = new.join(same, ["layer", "scope", "_c"], "left_anti").select(F.col("new_id").alias("id"), "layer", "scope", "content")
-    return kept.unionByName(new, allowMissingColumns=True), judged.filter("reason IS NOT NULL").select("change_id", "id", "action", "target", "reason")
+    bad = (
+        F.when(~F.coalesce(F.col("target").isin(*LAYERS), F.lit(False)), "bad_target")
+        .when(~F.coalesce(F.col("action").isin("upsert", "delete"), F.lit(False)), "bad_action")
+        .when((F.col("action") == "upsert") & _blank("content"), "blank_content"))
+    changes = cut_lineage(changes.select("change_id", "action", "target", "id", "content", "new_id", target_scope.alias("_to"), bad.alias("_bad")))
+    fresh = changes.filter("id IS NULL")
+    asking = fresh.filter("_bad IS NULL AND action = 'upsert'")
+    stored = entries.select("id", F.col("layer").alias("_layer"), F.col("scope").alias("_scope"), F.col("content").alias("_held"), F.lit(None).cast(kind).alias("_born"))
+    facts = stored.unionByName(asking.select(
+        F.col("new_id").alias("id"), F.col("target").alias("_layer"), F.col("_to").alias("_scope"), F.col("content").alias("_held"), F.col("change_id").alias("_born")))
+    known = F.col("_layer").isNotNull() & (F.col("_born").isNull() | (F.col("_born") < F.col(order)))
+    foreign = ~F.col("_scope").isin("global", scope)
+    named = changes.filter("id IS NOT NULL").join(facts, "id", "left").withColumn("_can", F.coalesce(known & ~foreign & F.col("_bad").isNull(), F.lit(False)))
+    moves = F.when(F.col("_can") & (F.col("action") == "upsert"), F.col("target"))
+    named = running(named, ["id"], [order], {"_at": ("last", moves)})
+    hits = F.col("_can") & (F.col("action") == "delete") & (F.coalesce("_at", "_layer") == F.col("target"))
+    named = cut_lineage(named.withColumn("_hits", hits))
+    ends = named.filter("_hits").groupBy("id").agg(F.min(order).alias("_end"))
+    # Times (from, till) during which an id holds a key, if it is there at all.
+    live = named.filter("_can AND action = 'upsert'").join(ends, "id", "left").filter(F.col("_end").isNull() | (F.col(order) < F.col("_end")))
+    touched = named.filter("_can").select("id").distinct()
+    steps = facts.select("id", F.col("_born").alias("_from"), "_layer", "_scope", "_held", "_born").unionByName(live.select(
+        "id", F.col(order).alias("_from"), F.col("target").alias("_layer"), F.col("_to").alias("_scope"), F.col("content").alias("_held"), "_born"))
+    still = steps.join(touched, "id", "left_anti").withColumn("_till", F.lit(None).cast(kind))
+    moved = steps.join(touched, "id", "left_semi").withColumn("_back", F.coalesce(-F.col("_from"), F.lit(1 << 62)))
+    moved = previous(moved, ["id"], ["_back"], {"_till": F.col("_from")}).drop("_back").join(ends, "id", "left")
+    moved = moved.withColumn("_till", F.coalesce("_till", "_end")).drop("_end")
+    times = cut_lineage(still.unionByName(moved).withColumn("_c", strip(F.col("_held"))))
+    accepted = _decided(times, asking.select(F.col("new_id").alias("id"), "target", "_to", strip(F.col("content")).alias("_c"), F.col(order).alias("_at")), kind)
+    there = accepted.withColumn("_new", F.lit(True))
+    state = named.join(ends, "id", "left").join(there, "id", "left")
+    absent = F.col("_layer").isNull() | (F.col("_born").isNotNull() & (F.col("_new").isNull() | (F.col("_born") >= F.col(order)))) | (F.col(order) > F.coalesce("_end", F.col(order)))
+    reason = (
+        F.when(F.col("_bad") == "bad_target", "bad_target").when(absent, "unknown_id").when(foreign, "other_scope")
+        .when((F.col("action") == "delete") & ~F.col("_hits"), "not_in_layer").otherwise(F.col("_bad")))
+    lost = F.when(F.col("_bad").isNull() & (F.col("action") == "delete"), "not_in_layer").otherwise(F.col("_bad"))
+    columns = ("change_id", "id", "action", "target", "reason")
+    problems = state.withColumn("reason", reason).select(*columns).unionByName(fresh.withColumn("reason", lost).select(*columns)).filter("reason IS NOT NULL")
+    # What an id holds when all changes are over; a stored row that was touched keeps its other columns.
+    last = times.filter("_till IS NULL")
+    gone = ends.join(times.filter("_born IS NULL").select("id").distinct(), "id", "left_semi").select("id")
+    changed = last.filter("_born IS NULL AND _from IS NOT NULL").select("id", F.col("_layer").alias("_l"), F.col("_scope").alias("_s"), F.col("_held").alias("_h"))
+    kept = entries.join(gone, "id", "left_anti").join(changed, "id", "left").withColumns({
+        "layer": F.coalesce("_l", "layer"), "scope": F.coalesce("_s", "scope"), "content": F.coalesce("_h", "content")}).drop("_l", "_s", "_h")
+    new = last.filter("_born IS NOT NULL").join(accepted, "id", "left_semi").select("id", F.col("_layer").alias("layer"), F.col("_scope").alias("scope"), F.col("_held").alias("content"))
+    return kept.unionByName(new, allowMissingColumns=True), problems
+
+
+def _decided(times: DataFrame, asking: DataFrame, kind: str) -> DataFrame:
+    """(id) of the new facts that nothing equal held when they came.
+
+    times: id, _layer, _scope, _c, _from, _till, _born (null: stored). asking: id, target, _to, _c, _at.
+    """
+    keys = ["_layer", "_scope", "_c"]
+    asks = cut_lineage(asking.select("id", F.col("target").alias("_layer"), F.col("_to").alias("_scope"), "_c", "_at"))
+    held = cut_lineage(times.join(asks.select(*keys).distinct(), keys, "left_semi"))
+    early = F.lit(-(1 << 62)).cast(kind)
+    accepted, left = None, asks
+    while not left.isEmpty():
+        # A time counts as sure if its id is stored or accepted, as unsure if it is undecided, not at all otherwise.
+        sure = held.filter("_born IS NULL")
+        sure = sure if accepted is None else sure.unionByName(held.join(accepted, "id", "left_semi"))
+        both = sure.withColumn("_sure", F.lit(1)).unionByName(held.join(left.select("id"), "id", "left_semi").withColumn("_sure", F.lit(0)))
+        opens = both.select(*keys, F.coalesce("_from", early).alias("_at"), F.lit(1).alias("_d"), "_sure", F.lit(None).cast(dict(asks.dtypes)["id"]).alias("id"))
+        shuts = both.filter("_till IS NOT NULL").select(*keys, F.col("_till").alias("_at"), F.lit(-1).alias("_d"), "_sure", F.lit(None).cast(dict(asks.dtypes)["id"]).alias("id"))
+        checks = left.select(*keys, "_at", F.lit(0).alias("_d"), F.lit(0).alias("_sure"), "id")
+        # A fact's own time opens when it comes, so checks go before what happens at their time.
+        events = opens.unionByName(shuts).unionByName(checks).withColumn("_rank", F.abs("_d"))
+        counted = running(events, keys, ["_at", "_rank"], {
+            "_open": ("sum", F.col("_d") * F.col("_sure")), "_unsure": ("sum", F.col("_d") * (1 - F.col("_sure")))})
+        seen = cut_lineage(counted.filter("id IS NOT NULL").select("id", "_open", "_unsure"))
+        good = cut_lineage(seen.filter("_open = 0 AND _unsure = 0").select("id"))
+        accepted = good if accepted is None else accepted.unionByName(good)
+        left = cut_lineage(left.join(seen.filter("_open = 0 AND _unsure > 0").select("id"), "id", "left_semi"))
+    return asks.select("id").limit(0) if accepted is None else accepted
 
 
 def apply_merge_plan(entries: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:

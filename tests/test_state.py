@@ -214,3 +214,70 @@ def test_a_burst_keeps_its_first_rows(spark):
     hot = {r.event_id: (r.allowed, r.retry_after) for r in found if r.user == "hot"}
     assert [i for i, v in sorted(hot.items()) if v[0]] == list(range(6)) and hot[4999] == (False, 51)
     assert len(found) == len(rows) and all(r.allowed for r in found if r.user != "hot")
+
+
+def sequential(entries, plan, scope):
+    """The rule itself: one change after the other on one state."""
+    state, problems = {e[0]: list(e[1:4]) for e in entries}, {}
+    for change, action, target, key, content, new in sorted(plan):
+        to = "global" if target == "long-term" else scope
+        blank = not (content or "").strip()
+        if target not in M.LAYERS:
+            problems[change] = "bad_target"
+        elif key is None:
+            if action not in ("upsert", "delete"):
+                problems[change] = "bad_action"
+            elif action == "delete":
+                problems[change] = "not_in_layer"
+            elif blank:
+                problems[change] = "blank_content"
+            elif not any((layer, s, c.strip()) == (target, to, content.strip()) for layer, s, c in state.values()):
+                state[new] = [target, to, content]
+        elif key not in state:
+            problems[change] = "unknown_id"
+        elif state[key][1] not in ("global", scope):
+            problems[change] = "other_scope"
+        elif action == "delete":
+            if state[key][0] == target:
+                del state[key]
+            else:
+                problems[change] = "not_in_layer"
+        elif action != "upsert":
+            problems[change] = "bad_action"
+        elif blank:
+            problems[change] = "blank_content"
+        else:
+            state[key] = [target, to, content]
+    return {k: tuple(v) for k, v in state.items()}, problems
+
+
+def test_chained_changes_equal_one_after_the_other(spark):
+    import random
+
+    schema = "id string, layer string, scope string, content string, origin string"
+    steps = "change_id long, action string, target string, id string, content string, new_id string"
+
+    def check(entries, plan):
+        kept, rejected = M.apply_memory_changes(spark.createDataFrame([(*e, "o") for e in entries], schema).repartition(2), spark.createDataFrame(plan, steps).repartition(3), "t")
+        state, problems = sequential(entries, plan, "t")
+        rows = kept.collect()
+        assert {r.id: (r.layer, r.scope, r.content) for r in rows} == state and len(rows) == len(state)
+        assert {r.change_id: r.reason for r in rejected.collect()} == problems
+        assert all((r.origin == "o") == any(r.id == e[0] for e in entries) for r in rows)
+
+    # A new fact that is changed, deleted and asked for again; one that waits for the place of another new one.
+    check([("s", "working", "t", "old")], [
+        (1, "upsert", "working", None, "x", "n1"), (2, "upsert", "working", None, " x ", "n2"), (3, "upsert", "long-term", "n1", "y", None),
+        (4, "upsert", "working", None, "x", "n3"), (5, "upsert", "long-term", None, "y", "n4"), (6, "delete", "long-term", "n1", None, None),
+        (7, "upsert", "long-term", None, "y", "n5"), (8, "delete", "working", "n2", None, None), (9, "upsert", "working", "n9", "z", None), (10, "upsert", "working", None, "z", "n9"),
+        (11, "upsert", "working", "s", "x2", None), (12, "upsert", "working", None, "old", "n6"), (13, "upsert", "working", None, "x2", "n7")])
+    pick = random.Random(6)
+    for entries_n, plan_n in ((6, 120), (0, 60)):
+        entries = [(f"e{i}", pick.choice(M.LAYERS), pick.choice(["t", "global", "other"]), pick.choice("abc ")) for i in range(entries_n)]
+        ids = [e[0] for e in entries] + [f"n{i}" for i in range(plan_n)] + ["nobody"]
+        plan = [(i, pick.choice(["upsert"] * 5 + ["delete"] * 4 + ["noop", None]), pick.choice([*M.LAYERS, "working", "working", "elsewhere"]),
+                 pick.choice([None, None, pick.choice(ids[: entries_n + i + 1])]), pick.choice(["a", " a", "b", "c", " ", None]), f"n{i}") for i in range(plan_n)]
+        check(entries, plan)
+    check([("s", "working", "t", "old")], [(1, "delete", "working", "s", None, None)])
+    empty = spark.createDataFrame([], steps)
+    assert M.apply_memory_changes(spark.createDataFrame([("s", "working", "t", "old", "o")], schema), empty, "t")[0].count() == 1
