@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import dialogue as T, memory as M, tasks as K
 from lodestone.queries import duck as D
+from lodestone.queries.text import describe_sql
 from lodestone.registry import query
 from lodestone.session import derive, table
 
@@ -76,7 +77,16 @@ def route_changes(spark, d):
     return M.route_changes(derive(spark, d, CHANGES), derive(spark, d, STORE))
 
 
-@query("apply_memory_changes")
+# Every stored id is changed once at most, so a place that an accepted change takes is held from then on.
+@query("apply_memory_changes", f"""WITH e AS MATERIALIZED ({UNIQUE_DUCK}), c AS (
+  SELECT v.event_id AS change_id, CASE v.event_id % 5 WHEN 0 THEN 'delete' ELSE 'upsert' END AS action, CASE v.event_id % 2 WHEN 0 THEN 'working' ELSE 'long-term' END AS target,
+    CASE WHEN v.event_id % 3 = 0 THEN NULL ELSE e.id END AS id, CASE WHEN v.event_id % 13 = 0 THEN ' ' ELSE v.event_type END AS content, concat('new-', v.event_id) AS new_id FROM events v JOIN e ON e.ord = v.event_id),
+n AS (SELECT c.*, e.layer, e.scope, CASE target WHEN 'long-term' THEN 'global' ELSE 'task1' END AS place FROM c LEFT JOIN e ON e.id = c.id),
+ups AS MATERIALIZED (SELECT * FROM n WHERE action = 'upsert' AND trim(content) <> '' AND (id IS NULL OR scope IN ('global', 'task1'))),
+gone AS (SELECT id FROM n WHERE id IS NOT NULL AND action = 'delete' AND target = layer AND scope IN ('global', 'task1')),
+held AS (SELECT target, place, trim(content) AS k, min(change_id) AS first FROM (SELECT target, place, content, change_id FROM ups UNION ALL SELECT layer, scope, content, -1 FROM e) GROUP BY ALL)
+SELECT e.id, coalesce(u.target, e.layer) AS layer, coalesce(u.place, e.scope) AS scope, coalesce(u.content, e.content) AS content FROM e LEFT JOIN ups u ON u.id = e.id WHERE e.id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT new_id, u.target, u.place, content FROM ups u JOIN held h ON h.target = u.target AND h.place = u.place AND h.k = trim(u.content) WHERE id IS NULL AND first = change_id""")
 def apply_memory_changes(spark, d):
     entries = derive(spark, d, UNIQUE_SPARK)
     changes = derive(spark, d, f"""SELECT e.event_id AS change_id, CASE e.event_id % 5 WHEN 0 THEN 'delete' ELSE 'upsert' END AS action, CASE e.event_id % 2 WHEN 0 THEN 'working' ELSE 'long-term' END AS target,
@@ -89,7 +99,20 @@ PLAN = """SELECT CAST(event_id % 50 AS STRING) AS scope, min(event_id) AS op, CA
   array_sort(collect_list(event_id)) AS items, min(event_type) AS content FROM events GROUP BY event_id % 50, CAST(floor(event_id / 100) AS BIGINT)"""
 
 
-@query("apply_merge_plan")
+@query("apply_merge_plan", f"""WITH e AS MATERIALIZED (SELECT CAST(ord % 50 AS VARCHAR) AS scope, ord AS n, content, optimized FROM ({UNIQUE_DUCK})),
+p AS MATERIALIZED (SELECT CAST(event_id % 50 AS VARCHAR) AS scope, min(event_id) AS op, CASE WHEN min(event_id) % 2 = 0 THEN 'merge' ELSE 'delete' END AS kind,
+  list(event_id ORDER BY event_id) AS items, min(event_type) AS content FROM events GROUP BY event_id % 50, CAST(floor(event_id / 100) AS BIGINT)),
+f AS MATERIALIZED (SELECT scope, min(n) AS n FROM e GROUP BY scope, trim(content)),
+u AS MATERIALIZED (SELECT scope, op, kind, content, unnest(items) AS n, unnest(range(len(items))) AS i FROM p),
+l AS (SELECT u.*, x.optimized FROM u LEFT JOIN (SELECT e.* FROM e SEMI JOIN f USING (scope, n)) x USING (scope, n)),
+void AS MATERIALIZED (
+  SELECT scope FROM l WHERE optimized IS NULL OR (kind = 'delete' AND optimized) UNION SELECT scope FROM u GROUP BY scope, n HAVING count(*) > 1
+  UNION SELECT scope FROM l WHERE kind = 'merge' GROUP BY scope, op HAVING bool_and(optimized) UNION SELECT scope FROM p WHERE kind = 'merge' AND (len(items) < 2 OR trim(content) = '')),
+live AS MATERIALIZED (SELECT * FROM u WHERE scope NOT IN (SELECT scope FROM void))
+SELECT scope, n, content, optimized, {describe_sql('content')} AS description FROM (
+  SELECT e.scope, e.n, coalesce(trim(t.content), e.content) AS content, e.optimized OR e.scope NOT IN (SELECT scope FROM void) AS optimized
+  FROM e LEFT JOIN (SELECT * FROM live WHERE kind = 'merge' AND i = 0) t USING (scope, n)
+  WHERE (e.scope IN (SELECT scope FROM void) OR (e.scope, e.n) IN (SELECT (scope, n) FROM f)) AND (e.scope, e.n) NOT IN (SELECT (scope, n) FROM live WHERE kind = 'delete' OR i > 0))""")
 def apply_merge_plan(spark, d):
     entries = derive(spark, d, f"SELECT CAST(ord % 50 AS STRING) AS scope, ord AS n, content, optimized FROM ({UNIQUE_SPARK})")
     return M.apply_merge_plan(entries, derive(spark, d, PLAN))[0]
