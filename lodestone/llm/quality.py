@@ -29,6 +29,7 @@ from lodestone.session import table
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
+PIECE_BYTES = 512 << 10
 
 _every = np.arange(256)
 _UPPER = (_every >= 0x41) & (_every <= 0x5A)
@@ -217,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             found = features(column(batch, "text"))
             kept = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "label"), kept], names=["key", "label", "x"])
@@ -234,7 +235,7 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(model.score(features(column(batch, "text"))))], names=["id", "score"])
 
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, score double")
@@ -246,7 +247,7 @@ def keep_quality(docs: DataFrame, model: Gam, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, PIECE_BYTES):
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

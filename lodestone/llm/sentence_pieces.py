@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.words import column, pieces, ragged
+from lodestone.llm.words import column, give_back, pieces, ragged
 from lodestone.registry import query
 from lodestone.session import cut_lineage, table
 
@@ -435,6 +435,9 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
             ids, begin, score = model(path).encode(column(batch, "text").cast(pa.large_string()).fill_null(""))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), column(batch, "text"), _id_lists(ids, begin), pa.array(score)], names=["id", "text", "pieces", "score"])
+        # The units of one task help the next one little, and a worker outlives its tasks.
+        model(path).cache = {}
+        give_back()
 
     out = source.filter(~F.coalesce(long, F.lit(False))).mapInArrow(lambda batches: finish(whole(batches)), schema)
     keyed = source.filter(long).withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", F.lit(1), "id")})
