@@ -116,3 +116,34 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
         before = after
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns and an empty table, stage by stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm import brute
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "id", "n_words", "kept", "k1", "score", "label", "c1", "spans"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, id string, n_words int, kept string, k1 string, score string, label string, c1 string, spans string"
+    rows = [(k, t, "en", None if i % 3 else "s", None if t is None else len(t), *[f"clash{i}"] * 1, i, *["x"] * 6) for i, (k, t, *_) in enumerate(brute.odd_rows())]
+    rows += [tuple([None] * len(names)), (None, "", None, None, None, None, None, None, None, None, None, None, None)]
+    assert all(len(r) == len(names) for r in rows)
+    docs = spark.createDataFrame(rows, kinds).repartition(3)
+    empty = docs.limit(0)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path / name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        after, none = spark.read.parquet(path), stage(spark, empty, sf_dir)
+        assert none.count() == 0 and none.columns == after.columns
+        before, found = [tuple(r) for r in docs.collect()], [tuple(r) for r in after.collect()]
+        if name == "encoding":
+            assert sorted(r.n_pieces for r in after.filter("doc_id IS NULL").collect())[:2] == [0, 0] and len(found) == len(before) and all(r.round_trip for r in after.collect())
+            break
+        assert after.columns == names and [t for _, t in after.dtypes] == [t for _, t in docs.dtypes]
+        rest = lambda r: (r[0], *r[2:4], *r[5:])
+        assert not {rest(r) for r in found} - {rest(r) for r in before}
+        if name == "near_duplicates":
+            # Rows without words stay, repeated rows leave one.
+            assert sum(not (r[1] or "").strip() for r in found) == sum(not (r[1] or "").strip() for r in before)
+            assert sum(r[0] == 19 for r in found) <= 1
+        docs = after
