@@ -53,6 +53,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that all filtering stages keep.
+
+    Defined cases, stage by stage: a null text is an empty one; texts without words are kept by near duplicates (each row),
+    have no repeated passages, no contamination and no pieces; rows that are repeated whole are one document to near
+    duplicates, which keep one of them; null ids take part like others and never lead a group; further columns travel
+    unchanged up to the last stage, whatever their names; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
