@@ -31,9 +31,10 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
-#: Characters that composition never changes, nor joins with another one of them; marks are not among them.
-COMPOSED = r"\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
-GRAM = 8
+#: Characters that composition never changes, nor joins with another one of them: those below the first combining mark.
+COMPOSED = r"\x00-\u02FF"
+GRAM, WORDS = 8, 3
+PAIRS = 1 << 18
 
 
 def normalize(text: Column) -> Column:
@@ -65,8 +66,9 @@ def quote_support(citations: DataFrame, contexts: DataFrame, keys: list[str] | N
     A quote must have eight characters or more once blanks are single. citations: keys, seq, quote.
     contexts: keys, rank, chunk_id, text, purpose, inherited, headers (missing columns are skipped).
 
-    The words inside a quote are whole words of any context that holds it, so a quote of three words or more meets the
-    contexts of its question on the one of them that the fewest hold. Shorter quotes meet contexts on their first
+    Questions with up to PAIRS pairs of a quote and a context compare these. For others, the words inside a quote are
+    whole words of any context that holds it, so a quote of three words or more meets the
+    contexts of its question on that of its WORDS longest inner ones which the fewest hold. Shorter quotes meet contexts on their first
     GRAM characters; only contexts of questions with such quotes are taken apart for that.
     """
     keys = keys or ANSWER
@@ -75,20 +77,28 @@ def quote_support(citations: DataFrame, contexts: DataFrame, keys: list[str] | N
     haystack = cut_lineage(contexts.select(
         *keys, "rank", "chunk_id", normalize(F.concat_ws(" \x1f ", *parts)).alias("_h")).withColumn("_at", F.monotonically_increasing_id()))
     wanted = citations.withColumn("_q", normalize(strip(F.col("quote"))))
-    asked = cut_lineage(wanted.select(*keys, "seq", "_q").filter(F.length("_q") >= GRAM).withColumn("_w", F.split("_q", " ")))
-    inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
-    words = asked.select(*keys, "seq", "_q", F.explode(F.array_distinct(inner)).alias("_key"))
+    asked = cut_lineage(wanted.select(*keys, "seq", "_q").filter(F.length("_q") >= GRAM).withColumn("_n", F.size(F.split("_q", " "))))
+    # A question with few quotes and contexts compares them all; the number of such pairs is bounded per question.
+    many = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_a")).join(haystack.groupBy(*keys).agg(F.count(F.lit(1)).alias("_b")), keys)
+    many = cut_lineage(many.filter(F.col("_a") * F.col("_b") > PAIRS).select(*keys))
+    few = asked.join(many, keys, "left_anti").join(haystack, keys).filter(F.contains("_h", "_q")).select(*keys, "seq", "rank", "chunk_id")
+    asked, haystack = asked.join(many, keys, "left_semi"), haystack.join(many, keys, "left_semi")
+    # Any inner word will do; of the longest ones, which tend to be rare, the rarest is taken. Texts stay behind.
+    parts_of = F.split("_q", " ")
+    inner = F.transform(F.array_distinct(F.slice(parts_of, F.lit(2), F.greatest(F.size(parts_of) - 2, F.lit(0)))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    words = asked.filter("_n > 2").select(*keys, "seq", F.explode(F.slice(F.array_sort(inner), 1, WORDS)).alias("_i")).select(*keys, "seq", F.col("_i.w").alias("_key"))
     held = haystack.select(*keys, "_at", F.explode(F.array_distinct(F.split("_h", " "))).alias("_key"))
-    held = held.join(words.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
+    held = cut_lineage(held.join(words.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi"))
     # A word that no context holds leaves its quote without any.
     common = held.groupBy(*keys, "_key").agg(F.count(F.lit(1)).alias("_n"))
-    rare = words.join(common, [*keys, "_key"], "left").groupBy(*keys, "seq", "_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_r"))
-    rare = rare.filter("_r.n > 0").select(*keys, "seq", "_q", F.col("_r.key").alias("_key"))
-    short = asked.filter(F.size("_w") < 3).select(*keys, "seq", "_q", F.substring("_q", 1, GRAM).alias("_key"))
+    rare = words.join(common, [*keys, "_key"], "left").groupBy(*keys, "seq").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_r"))
+    rare = rare.filter("_r.n > 0").select(*keys, "seq", F.col("_r.key").alias("_key"))
+    short = cut_lineage(asked.filter("_n < 3").select(*keys, "seq", F.substring("_q", 1, GRAM).alias("_key")))
     near = haystack.join(short.select(*keys).distinct(), keys, "left_semi")
     grams = near.select(*keys, "_at", F.explode(char_grams(F.col("_h"), GRAM)).alias("_key")).join(short.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
     met = rare.join(held, [*keys, "_key"]).unionByName(short.join(grams, [*keys, "_key"])).drop("_key")
-    found = met.join(haystack.select("_at", "rank", "chunk_id", "_h"), "_at").filter(F.contains("_h", "_q"))
+    found = met.join(asked.select(*keys, "seq", "_q"), [*keys, "seq"]).join(haystack.select("_at", "rank", "chunk_id", "_h"), "_at").filter(F.contains("_h", "_q"))
+    found = found.select(*keys, "seq", "rank", "chunk_id").unionByName(few)
     first = found.groupBy(*keys, "seq").agg(F.min_by("chunk_id", "rank").alias("chunk_id"))
     out = wanted.drop("_q").join(first, [*keys, "seq"], "left")
     return out.withColumn("supported", F.col("chunk_id").isNotNull())

@@ -6,17 +6,13 @@ from lodestone.registry import ORACLE, QUERIES
 import lodestone.queries  # noqa: F401
 from tests.compare import compare, connect
 
-# The retrieval stages before the last are parts of hybrid_search, which is compared whole.
-STAGES = {"rank_channels", "rrf", "candidates", "lexical_rerank", "gap_cutoff", "reject_reason", "near_duplicates", "diversify", "retrieval_diagnostics"}
-HEAVY = {"card_chunks", "pack_local", "linked_evidence", "rerank", "rerank_or_fallback"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STAGES | HEAVY])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, con, sf_dir, name):
     problem, rows = compare(spark, con, sf_dir, name, QUERIES[name], ORACLE.get(name))
     assert problem == "" and rows >= 0

@@ -160,11 +160,12 @@ def test_encoder_leaves_null_texts_out(spark):
     assert all((rows[i] is None) == bool(i % 2) for i in range(10)) and len(rows[0]) == 4
 
 
-def test_quotes_of_one_large_request(spark):
+def test_quotes_of_one_large_request(spark, monkeypatch):
     """Quotes meet contexts on their rarest inner word, or on a gram; the work is not quotes times contexts."""
     import random
     import unicodedata
 
+    from lodestone.operators import evidence
     from lodestone.operators.evidence import normalize, quote_support
 
     pick = random.Random(7)
@@ -184,8 +185,10 @@ def test_quotes_of_one_large_request(spark):
         n = plain(quote or "")
         hits = [k for r, _, k, *sources in contexts if r == key and any(n in plain(s) for s in sources if s)] if len(n) >= 8 else []
         want[key, seq] = hits[0] if hits else None
-    found = {(r.request_id, r.seq): (r.chunk_id, r.supported) for r in quote_support(q, c, ["request_id"]).collect()}
-    assert found == {k: (v, v is not None) for k, v in want.items()}
+    for pairs in (evidence.PAIRS, 0, 1 << 40):  # by anchors where a request is large, for all requests, for none
+        monkeypatch.setattr(evidence, "PAIRS", pairs)
+        found = {(r.request_id, r.seq): (r.chunk_id, r.supported) for r in quote_support(q, c, ["request_id"]).collect()}
+        assert found == {k: (v, v is not None) for k, v in want.items()}
     assert quote_support(q.limit(0), c, ["request_id"]).count() == 0 and not any(r.supported for r in quote_support(q, c.limit(0), ["request_id"]).collect())
     made = [(i, t) for i, t in enumerate(["áb", "각", "Å x", "plain", "й", "中文", "한국", "á̧", "יִ", None])]
     got = spark.createDataFrame(made, "i int, t string").select("i", normalize(F.col("t")).alias("n")).collect()
