@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import char_grams, strip
+from lodestone.session import sized
 
 # Routing patterns and declaration labels.
 MODEL_DATA = (
@@ -180,12 +181,13 @@ def requested_filters(questions: DataFrame, names: DataFrame) -> DataFrame:
 
     ``questions``: question_id, question; ``names``: name. Containment has no token boundary, so questions and names meet
     on the first three characters of a name, at any position of the question; the question is read again for what meets.
+    Grams and questions are more than the planner guesses from the files, so neither is ever broadcast.
     """
     ids = questions.select("question_id", F.lit("id").alias("kind"), F.explode(requested_ids(F.col("question"))).alias("value"))
     wanted = names.select("name").filter(F.length("name") >= 3).distinct()
     grams = questions.select("question_id", F.explode(char_grams(F.lower("question"), 3)).alias("_gram"))
-    met = grams.join(wanted.withColumn("_gram", F.substring(F.lower("name"), 1, 3)), "_gram").select("question_id", "name").distinct()
-    named = met.join(questions.select("question_id", "question"), "question_id").filter(F.contains(F.lower("question"), F.lower("name")))
+    met = grams.join(sized(wanted.withColumn("_gram", F.substring(F.lower("name"), 1, 3))), "_gram").select("question_id", "name").distinct()
+    named = met.hint("merge").join(questions.select("question_id", "question").hint("merge"), "question_id").filter(F.contains(F.lower("question"), F.lower("name")))
     return ids.unionByName(named.select("question_id", F.lit("name").alias("kind"), F.col("name").alias("value")).distinct())
 
 

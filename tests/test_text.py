@@ -210,3 +210,12 @@ def test_long_answers_in_proportion(spark):
         took.append(time.perf_counter() - start)
         assert row.a == text and row.b.count("\n") == n and "head x" in row.b
     assert took[1] < 10 * took[0] + 1
+
+
+def test_grams_and_questions_are_not_broadcast(spark, capsys):
+    questions = spark.createDataFrame([(1, "ask Alpha"), (2, "ask 7")], "question_id long, question string")
+    out = M.requested_filters(questions, spark.createDataFrame([("alpha",), ("beta",)], "name string"))
+    assert [(r.question_id, r.value) for r in out.filter("kind = 'name'").collect()] == [(1, "alpha")]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "BuildLeft" not in plan and "SortMergeJoin [question_id" in plan
