@@ -133,8 +133,11 @@ def invented_names(answers: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def resolve_evidence_ids(refs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Evidence ids to literal quotes of the same question; add quote and valid. refs, quotes: request_id, number, line."""
-    out = refs.join(quotes.select(*ANSWER, "line", "quote"), [*ANSWER, "line"], "left")
+    """Evidence ids to literal quotes of the same question; add quote and valid. refs, quotes: request_id, number, line.
+
+    Both sides grow with the questions, and lines that were exploded are more than the planner guesses: they are merged.
+    """
+    out = refs.join(quotes.select(*ANSWER, "line", "quote").hint("merge"), [*ANSWER, "line"], "left")
     return out.withColumn("valid", F.col("quote").isNotNull())
 
 
