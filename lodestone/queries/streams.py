@@ -8,7 +8,7 @@ from lodestone.operators.tasks import epoch_seconds
 from lodestone.queries import dialogue as B
 from lodestone.registry import ORACLE, query
 from lodestone.session import scratch_path, table
-from lodestone.streaming.common import drain, file_stream, ordered_parts
+from lodestone.streaming.common import drain, file_stream, ordered_parts, table_stream
 from lodestone.streaming.indexing import stream_index
 from lodestone.streaming.stateful import chat_state_stream, latest_state, rate_limit_stream, task_stream
 
@@ -45,6 +45,6 @@ def chat_state_query(spark, d):
 
 @query("index_stream", "SELECT doc_id, \"window\", \"start\", \"end\", text, token_count, true AS encoded FROM (" + ORACLE["fixed_windows"] + ")")
 def index_stream_query(spark, d):
-    docs = file_stream(spark, d, "documents.parquet").select("doc_id", "text")
+    docs = table_stream(spark, f"{d}/documents.parquet").select("doc_id", "text")
     out = stream_index(docs, scratch_path(spark, "index"))
     return out.select("doc_id", "window", "start", "end", "text", "token_count", F.col("embedding").isNotNull().alias("encoded"))

@@ -46,3 +46,12 @@ def file_stream(spark: SparkSession, path: str, glob: str, files_per_trigger: in
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     )
+
+
+def table_stream(spark: SparkSession, path: str, parts: int = 3) -> DataFrame:
+    """A parquet table as a stream of about ``parts`` micro-batches, be it one file or a folder of files."""
+    table = spark.read.parquet(path)
+    files = max(1, -(-len(table.inputFiles()) // parts))
+    # A path that is a file must be a pattern: else the source takes it for the folder of its partitions.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(pattern)

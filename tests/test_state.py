@@ -6,7 +6,9 @@ import time
 
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  (registers every query)
 from lodestone.operators import context as A, dialogue as T, evidence as Q, memory as M, scoring, snapshots as S, tasks as K
+from lodestone.registry import QUERIES
 from lodestone.sources.index_store import read_index, write_index
 from lodestone.sources.media import media_inventory
 from lodestone.sources.snapshots import read_snapshot
@@ -166,6 +168,16 @@ def test_index_stream_encodes_equal_inputs_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index/vectors")).count() == 2
 
 
+def test_a_table_of_one_file_or_a_folder_streams_whole(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    docs.repartition(4).write.parquet(str(tmp_path / "many/documents.parquet"))
+    for folder in (tmp_path, tmp_path / "many"):
+        out = QUERIES["index_stream"](spark, str(folder))
+        assert sorted(r.doc_id for r in out.collect()) == list(range(8)) and out.filter("NOT encoded").isEmpty()
+
+
 def test_media_kinds(spark):
     data = [("p", bytearray([137, 80, 78, 71, 1])), ("j", bytearray([255, 216, 255, 0])), ("w", bytearray(b"RIFF0000WEBPx")), ("t", bytearray(b"text"))]
     rows = media_inventory(spark.createDataFrame(data, "n string, content binary")).collect()
@@ -281,3 +293,11 @@ def test_chained_changes_equal_one_after_the_other(spark):
     check([("s", "working", "t", "old")], [(1, "delete", "working", "s", None, None)])
     empty = spark.createDataFrame([], steps)
     assert M.apply_memory_changes(spark.createDataFrame([("s", "working", "t", "old", "o")], schema), empty, "t")[0].count() == 1
+
+
+def test_evidence_lines_are_not_broadcast(spark, capsys):
+    refs = spark.createDataFrame([(1, 1, 2), (1, 1, 9)], "request_id long, number int, line int")
+    out = Q.resolve_evidence_ids(refs, spark.createDataFrame([(1, 1, 2, "q")], "request_id long, number int, line int, quote string"))
+    assert {(r.line, r.quote, r.valid) for r in out.collect()} == {(2, "q", True), (9, None, False)}
+    out.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
