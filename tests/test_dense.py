@@ -110,3 +110,20 @@ def test_empty_sides(spark, names):
     assert dense_ranks(q, c, c.limit(0).select(F.col("chunk_id").alias("query_id"), "chunk_id")).count() == 0
     with pytest.raises(ValueError):
         dense.dense_topk(q, c, 0)
+
+
+def test_questions_with_many_pairs_rank_all_their_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(0, 3, (300, 6)).astype("float32")
+    vectors[:, 5] = 1
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, embedding array<float>")
+    queries = chunks.filter("chunk_id < 4").withColumnRenamed("chunk_id", "query_id")
+    wanted = queries.select("query_id").crossJoin(chunks.select("chunk_id")).filter("query_id < 3 OR chunk_id < 5")
+    held = tiles(chunks, tile_rows=64)
+    plain = {tuple(r) for r in dense_ranks(queries, chunks, wanted, held).collect()}
+    monkeypatch.setattr(dense, "WHOLE", 100)
+    met, sent = [], dense._sent
+    monkeypatch.setattr(dense, "_sent", lambda q, *rest: met.append(q.columns) or sent(q, *rest))
+    whole = {tuple(r) for r in dense_ranks(queries, chunks, wanted, held).collect()}
+    assert len(plain) == 905 and whole == plain
+    assert ["query_id", "embedding"] in met  # without the lists of pairs
