@@ -8,23 +8,24 @@ from lodestone.operators.tasks import epoch_seconds
 from lodestone.queries import dialogue as B
 from lodestone.registry import ORACLE, query
 from lodestone.session import scratch_path, table
-from lodestone.streaming.common import drain, file_stream, ordered_parts, table_stream
+from lodestone.streaming.common import drain, ordered_parts, table_stream
 from lodestone.streaming.indexing import stream_index
 from lodestone.streaming.stateful import chat_state_stream, latest_state, rate_limit_stream, task_stream
 
 
-def _streamed(spark, df, order, key):
-    """A table as a stream of three parts or more, ascending by ``order``, so that keys carry state over micro-batches."""
+def _in_order(spark, df, order, build, name):
+    """The output of a stream over a table in three parts, ascending by ``order``, so that keys carry state over micro-batches."""
     path = scratch_path(spark, "parts")
-    ordered_parts(df, order, key, path)
-    return file_stream(spark, path, "*.parquet")
+    df.limit(0).write.parquet(path)
+    stream = build(spark.readStream.schema(df.schema).parquet(path))
+    return drain(stream, name=name, parts=ordered_parts(df, order, path))
 
 
 @query("rate_limit_stream", ORACLE["rate_limit"])
 def rate_limit_query(spark, d):
     events = table(spark, d, "events").select("user_id", "ts", "event_id")
     events = events.withColumn("_at", epoch_seconds(events, "ts"))
-    out = drain(rate_limit_stream(_streamed(spark, events, "_at", "user_id"), "user_id", 1, B.WIDTH), name="rate")
+    out = _in_order(spark, events, "_at", lambda rows: rate_limit_stream(rows, "user_id", 1, B.WIDTH), "rate")
     return out.withColumnRenamed("key", "user_id").select("user_id", "event_id", "window_start", "allowed", "retry_after")
 
 
@@ -34,12 +35,12 @@ def task_stream_query(spark, d):
     state = F.when(F.col("o_orderstatus") == "P", "PLANNING").when(F.col("o_orderstatus") == "F", "EXECUTION").otherwise(
         F.when(F.col("o_orderkey") % 3 == 0, "DONE").otherwise("VALIDATION"))
     saves = orders.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("seq"), state.alias("state"), (F.col("o_orderpriority") < "4").alias("confirmed"))
-    return drain(task_stream(_streamed(spark, saves, "seq", "task_id")), name="tasks")
+    return _in_order(spark, saves, "seq", task_stream, "tasks")
 
 
 @query("chat_state_stream", ORACLE["chat_state"])
 def chat_state_query(spark, d):
-    out = latest_state(drain(chat_state_stream(_streamed(spark, B.accepted_changes(spark, d), "turn", "chat_id")), name="chats"))
+    out = latest_state(_in_order(spark, B.accepted_changes(spark, d), "turn", chat_state_stream, "chats"))
     return out.select("chat_id", "category", "value", "evidence", "turn")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.session import scratch_path
+from lodestone.session import cut_lineage, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -14,30 +16,36 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def drain(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Process all available input once; the output is a parquet table with exactly-once commits."""
+def drain(stream: DataFrame, mode: str = "append", name: str = "stream", parts: Iterable = (None,)) -> DataFrame:
+    """Process all available input; the output is a parquet table with exactly-once commits.
+
+    ``parts`` lays more input down while it is walked: the stream runs to the end of what is there after each of them.
+    """
     spark = stream.sparkSession
     use_rocksdb(spark)
     path = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    for _ in parts:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
+            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def ordered_parts(df: DataFrame, order: str, key: str, path: str, parts: int = 3) -> None:
-    """Write a table so that a stream reads it in order: one part after the other, ascending by a numeric column.
+def ordered_parts(df: DataFrame, order: str, path: str, parts: int = 3) -> Iterator[int]:
+    """Write a table part by part, ascending by a numeric column, for a stream that reads each part before the next is written.
 
-    A part is one job with as many files as it needs; all rows of a key in a part lie in one file, and files of a later
-    part are younger. Rows of equal ``order`` stay in one part.
+    A part is one job with as many files as it needs, and one micro-batch: rows of a part cannot be late to its own
+    watermark. Rows of equal ``order`` stay in one part.
     """
+    df = cut_lineage(df)
     cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
-    for low, high in zip([None, *cuts], [*cuts, None]):
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         part = df if low is None else df.filter(F.col(order) > low)
         part = part if high is None else part.filter(F.col(order) <= high)
-        part.repartition(key).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        yield i
 
 
 def file_stream(spark: SparkSession, path: str, glob: str, files_per_trigger: int = 1) -> DataFrame:

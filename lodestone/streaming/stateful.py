@@ -99,31 +99,45 @@ class LateCount(StreamingQueryListener):
         pass
 
 
+BUCKETS = 4096
+
+
 class _TaskSaves(StatefulProcessor):
+    """Saves of a bucket of tasks: a call, a frame and a state row serve many tasks, since each of them costs milliseconds."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "code int")
+        self.state = handle.getValueState("state", "json string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        code = int(self.state.get()[0]) if self.state.exists() else 0
-        pdf = pd.concat(list(rows)).sort_values("seq")
+        codes = dict(json.loads(self.state.get()[0])) if self.state.exists() else {}
+        pdf = pd.concat(list(rows)).sort_values(["missing", "seq"])
         accepted = []
-        for name, confirmed in zip(pdf["state"], pdf["confirmed"]):
-            code, ok = transition(code, STATES.index(name) + 1, confirmed)
+        for task, name, confirmed in zip(pdf["task"].tolist(), pdf["state"].tolist(), pdf["confirmed"].tolist()):
+            codes[task], ok = transition(codes.get(task, 0), STATES.index(name) + 1, confirmed)
             accepted.append(ok)
-        self.state.update((code,))
-        yield pd.DataFrame({"task_id": key[0], "seq": pdf["seq"].to_numpy(), "state": pdf["state"].to_numpy(), "accepted": accepted})
+        self.state.update((json.dumps(list(codes.items())),))
+        yield pdf[["task", "seq", "missing", "state"]].assign(accepted=accepted)
 
     def close(self) -> None:
         pass
 
 
-def task_stream(saves: DataFrame) -> DataFrame:
-    """Accept or refuse task saves against stored state: task_id, seq, state, confirmed."""
+def task_stream(saves: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Accept or refuse task saves against stored state: task_id, seq, state, confirmed.
+
+    State is kept per bucket of task ids, so ``buckets`` is fixed for the life of a checkpoint.
+    """
     types = {f.name: f.dataType for f in saves.schema.fields}
+    # Tasks go by their text, and numbers without nulls: pandas would make floats of whole numbers beside a null.
+    whole = isinstance(types["seq"], T.IntegralType)
+    rows = saves.select(
+        F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket"), F.col("task_id").cast("string").alias("task"),
+        (F.coalesce("seq", F.lit(0).cast(types["seq"])) if whole else F.col("seq")).alias("seq"), F.isnull("seq").alias("missing"), "state", "confirmed")
     schema = T.StructType([
-        T.StructField("task_id", types["task_id"]), T.StructField("seq", types["seq"]), T.StructField("state", T.StringType()),
-        T.StructField("accepted", T.BooleanType())])
-    return saves.groupBy("task_id").transformWithStateInPandas(_TaskSaves(), schema, "append", "None")
+        T.StructField("task", T.StringType()), T.StructField("seq", types["seq"]), T.StructField("missing", T.BooleanType()),
+        T.StructField("state", T.StringType()), T.StructField("accepted", T.BooleanType())])
+    done = rows.groupBy("bucket").transformWithStateInPandas(_TaskSaves(), schema, "append", "None")
+    return done.select(F.col("task").cast(types["task_id"]).alias("task_id"), F.when(~F.col("missing"), F.col("seq")).alias("seq"), "state", "accepted")
 
 
 class _ChatState(StatefulProcessor):

@@ -14,7 +14,7 @@ from lodestone.sources.media import media_inventory
 from lodestone.sources.snapshots import read_snapshot
 from lodestone.streaming.common import drain, file_stream
 from lodestone.streaming.indexing import stream_index
-from lodestone.streaming.stateful import chat_state_stream, latest_state
+from lodestone.streaming.stateful import chat_state_stream, latest_state, task_stream
 
 CHANGE = "chat_id long, turn long, seq int, category string, action string, value string, evidence string"
 
@@ -53,6 +53,28 @@ def test_chat_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, T.chat_state(df).collect()))
 
 
+def test_a_bucket_keeps_its_tasks_apart(spark, tmp_path):
+    saves = [(t, t * 100 + i, ("EXECUTION", "PLANNING", "EXECUTION", "DONE", "VALIDATION")[(i + (t or 0)) % 5], (None, True, False)[i % 3]) for t in range(1, 20) for i in range(10)]
+    saves += [(None, 5000 + i, ("PLANNING", "EXECUTION")[i % 2], i % 4 == 1) for i in range(8)]
+    df = spark.createDataFrame(saves, "task_id long, seq long, state string, confirmed boolean")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    expected = sorted(map(str, K.task_transitions(df).select("task_id", "seq", "state", "accepted").collect()))
+    for buckets in (1, 5):
+        assert sorted(map(str, drain(task_stream(stream, buckets), name="tasks").collect())) == expected
+
+
+def test_a_part_of_many_files_is_not_late_to_itself(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=7 * i), i % 11) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(r.event_id for r in QUERIES["rate_limit_stream"](spark, str(tmp_path)).collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_rate_window_opens_at_the_first_event(spark):
     base = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([("k", base + dt.timedelta(seconds=s), s) for s in (0, 10, 20, 59, 60)], "k string, ts timestamp, id int")
