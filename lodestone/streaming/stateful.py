@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from lodestone.operators.dialogue import MAX_ITEMS, apply_turn
 from lodestone.operators.tasks import STATES, epoch_seconds, transition
+from lodestone.session import sized
 
 
 class _RateWindows(StatefulProcessor):
@@ -140,6 +142,9 @@ def task_stream(saves: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return done.select(F.col("task").cast(types["task_id"]).alias("task_id"), F.when(~F.col("missing"), F.col("seq")).alias("seq"), "state", "accepted")
 
 
+TURNS = 4096
+
+
 class _ChatState(StatefulProcessor):
     def __init__(self, max_items: int):
         self.max_items = max_items
@@ -148,16 +153,29 @@ class _ChatState(StatefulProcessor):
         self.state = handle.getValueState("state", "json string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        out = []
-        for turn, group in pd.concat(list(rows)).sort_values(["turn", "seq"]).groupby("turn"):
-            changes = list(group[["category", "action", "value", "evidence"]].itertuples(index=False, name=None))
-            new = apply_turn(state, changes, int(turn), self.max_items)
+        stored = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        state = {c: {k: tuple(fact) for k, fact in items.items()} for c, items in stored.items()}
+        pdf = pd.concat(list(rows)).dropna(subset="turn").sort_values(["turn", "seq"])
+        lines = zip(pdf["turn"].tolist(), *[pdf[c].tolist() for c in ("category", "action", "value", "evidence")])
+        shown, out = {}, []
+        for turn, group in groupby(lines, key=lambda line: line[0]):
+            new = apply_turn(state, [line[1:] for line in group], int(turn), self.max_items)
             state = state if new is None else new
-            flat = [(c, *fact) for c, items in state.items() for fact in items.values()]
-            out.append((key[0], int(turn), new is not None, json.dumps(flat, ensure_ascii=False)))
+            facts = [(c, *fact) for c, items in state.items() for fact in items.values()]
+            # A fact lives for many turns and is put into JSON once.
+            for fact in facts:
+                if fact not in shown:
+                    shown[fact] = json.dumps(fact, ensure_ascii=False)
+            out.append((key[0], int(turn), new is not None, f"[{', '.join([shown[fact] for fact in facts])}]"))
+            if len(out) == TURNS:
+                yield self._frame(out)
+                shown, out = {}, []
         self.state.update((json.dumps(state, ensure_ascii=False),))
-        yield pd.DataFrame(out, columns=["chat_id", "turn", "accepted", "state"])
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["chat_id", "turn", "accepted", "state"])
 
     def close(self) -> None:
         pass
@@ -177,7 +195,10 @@ def chat_state_stream(changes: DataFrame, max_items: int = MAX_ITEMS) -> DataFra
 
 def latest_state(states: DataFrame) -> DataFrame:
     """(chat_id, category, value, evidence, turn) of every chat's last turn."""
-    last = states.groupBy("chat_id").agg(F.max_by("state", "turn").alias("state"))
+    # Only the states of last turns are read and grouped; there is one for every turn.
+    ends = states.groupBy(F.col("chat_id").alias("_chat")).agg(F.max("turn").alias("_end"))
+    own = F.col("chat_id").eqNullSafe(F.col("_chat")) & (F.col("turn") == F.col("_end"))
+    last = states.join(sized(ends), own, "left_semi").groupBy("chat_id").agg(F.max_by("state", "turn").alias("state"))
     facts = F.explode(F.from_json("state", "array<array<string>>")).alias("f")
     return last.select("chat_id", facts).select(
         "chat_id", F.get("f", F.lit(0)).alias("category"), F.get("f", F.lit(1)).alias("value"), F.get("f", F.lit(2)).alias("evidence"),

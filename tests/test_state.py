@@ -53,6 +53,24 @@ def test_chat_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, T.chat_state(df).collect()))
 
 
+def test_chat_stream_gives_the_state_after_every_turn(spark, tmp_path):
+    rows = [(t, 1, ("terms", "constraints")[t % 2], "add" if t % 3 else "remove", f"v{t % 7}") for t in range(1, 30)] + [(30, 1, "goal", "set", "Goal"), (30, 2, "terms", "add", "\u0451")]
+    df = changes(spark, rows)
+    df.filter("turn <= 12").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = chat_state_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+
+    def parts():
+        yield 1
+        df.filter("turn > 12").write.mode("append").parquet(str(tmp_path / "in"))
+        yield 2
+
+    got = {r.turn: json.loads(r.state) for r in drain(stream, name="turns", parts=parts()).collect()}
+    assert sorted(got) == list(range(1, 31))
+    for turn in (1, 12, 13, 30):
+        expected = T.chat_state(df.filter(F.col("turn") <= turn)).select("category", "value", "evidence", "turn").collect()
+        assert sorted(map(tuple, got[turn])) == sorted(map(tuple, expected))
+
+
 def test_a_bucket_keeps_its_tasks_apart(spark, tmp_path):
     saves = [(t, t * 100 + i, ("EXECUTION", "PLANNING", "EXECUTION", "DONE", "VALIDATION")[(i + (t or 0)) % 5], (None, True, False)[i % 3]) for t in range(1, 20) for i in range(10)]
     saves += [(None, 5000 + i, ("PLANNING", "EXECUTION")[i % 2], i % 4 == 1) for i in range(8)]
