@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone.functions.text import best_value
 from lodestone.functions.units import to_unit
 from lodestone.operators.scans import top_rows
+from lodestone.session import sized
 
 PARAMETER_KEY = ["element_id", "source", "owner_id", "parameter_id"]
+ELEMENT_ROWS = 262_144
 
 
 def element_query(elements: DataFrame, categories: list[str], fields: list[str], in_view: DataFrame | None = None) -> DataFrame:
@@ -26,18 +28,23 @@ def resolve_properties(elements: DataFrame, requests: DataFrame, values: DataFra
     'instanceThenType'), method. values: owner_id, identifier, number, text, spec. elements: element_id,
     type_id, class, category. The first request of a key that applies to the element is read, else its first one
     answers notApplicable. Requests are a short fixed list.
+
+    Files of few bytes may hold many elements, so they are dealt by rows: ELEMENT_ROWS of them, with their requests, to a task.
     """
-    wanted = elements.select("element_id", "type_id", "class", "category").join(requests, "category")
+    cores = elements.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-elements.count() // ELEMENT_ROWS))
+    wanted = elements.select("element_id", "type_id", "class", "category").repartition(parts).join(sized(requests), "category")
     applies = F.col("class_filter").isNull() | (F.col("class_filter") == F.col("class")) | (
         F.startswith("class_filter", F.lit("not")) & (F.substring("class_filter", 4, 200) != F.col("class")))
     order = F.struct(F.when(applies, 0).otherwise(1), F.col("place"))
     picked = wanted.withColumn("_ok", applies).groupBy("element_id", "type_id", "key").agg(
         F.min_by(F.struct("identifier", "source", "method", "_ok"), order).alias("_r"))
-    rows = picked.select("element_id", "type_id", "key", "_r.*")
+    rows = picked.select("element_id", "type_id", "key", "_r.*").repartition(parts, "element_id", "identifier")
     value = F.struct("number", "text", "spec")
     own = values.select(F.col("owner_id").alias("element_id"), "identifier", value.alias("_own"))
     typed = values.select(F.col("owner_id").alias("type_id"), "identifier", value.alias("_type"))
-    rows = rows.join(own, ["element_id", "identifier"], "left").join(typed, ["type_id", "identifier"], "left")
+    typed = typed.join(elements.select("type_id").distinct(), "type_id", "left_semi")
+    rows = rows.join(sized(own), ["element_id", "identifier"], "left").join(sized(typed), ["type_id", "identifier"], "left")
     has = lambda c: F.col(c).isNotNull() & (F.col(f"{c}.number").isNotNull() | F.col(f"{c}.text").isNotNull())
     use_type = (F.col("source") == "type") | ((F.col("source") == "instanceThenType") & ~has("_own"))
     rows = rows.withColumns({

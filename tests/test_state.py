@@ -341,3 +341,17 @@ def test_evidence_lines_are_not_broadcast(spark, capsys):
     assert {(r.line, r.quote, r.valid) for r in out.collect()} == {(2, "q", True), (9, None, False)}
     out.explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_properties_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "ELEMENT_ROWS", 10)
+    elements = spark.range(200).selectExpr("id AS element_id", "-1 - id % 3 AS type_id", "IF(id % 2 = 0, 'a', 'b') AS class", "'c' AS category").coalesce(1)
+    requests = spark.createDataFrame([("c", "size", 1, "a", "LEN", "instance", "parameter"), ("c", "size", 2, None, "LEN", "instanceThenType", "parameter")],
+                                     "category string, key string, place int, class_filter string, identifier string, source string, method string")
+    values = spark.range(-4, 200).filter("id < 0 OR id % 5 = 0").selectExpr(
+        "id AS owner_id", "'LEN' AS identifier", "CAST(NULL AS DOUBLE) AS number", "CONCAT('t', id) AS text", "CAST(NULL AS STRING) AS spec")
+    out = S.resolve_properties(elements, requests, values)
+    got = {r.element_id: (r.origin, r.status, r.text) for r in out.collect()}
+    assert len(got) == 200
+    assert got[0] == ("instance", "ok", "t0") and got[2] == ("instance", "missing", None) and got[5] == ("instance", "ok", "t5") and got[1] == ("type", "ok", "t-2")
+    assert "RoundRobinPartitioning(20)" in out._jdf.queryExecution().toString()
