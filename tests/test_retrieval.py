@@ -13,6 +13,7 @@ from lodestone.operators.dedup import near_duplicates, signatures
 from lodestone.operators.dense import dense_topk
 from lodestone.operators.scoring import embed, word_hash_encoder
 from lodestone.plans.hybrid import hybrid_search
+from lodestone.session import cut_lineage
 
 CHUNK = "chunk_id string, text string, embedding array<double>, family_names array<string>, section string, owner_id string, kind string, conflict boolean"
 FAMILY = "КркНес_ЛПлощадка_Монолитная"
@@ -190,3 +191,36 @@ def test_possible_pairs_of_templates_grow_with_the_rows(spark, n):
     pairs = dedup.possible_pairs(members, members, [*space, "_s", "_room"], ["g"], "id").count()
     assert pairs <= n
     assert near_duplicates(df.filter("id < 500"), ["g"], "id", [], signed).filter("duplicate").count() == 0
+
+
+def test_written_pairs_are_merged_and_not_broadcast(spark):
+    """A row per question and chunk takes a byte or two on disk, so a plain join would send all of them to every executor."""
+    flags = {"similarity": F.lit(0.5), "dense_rank": F.lit(1).cast("long"), "lexical": F.lit(0.0), "lexical_rank": F.lit(0).cast("long"),
+             "exact": F.lit(True), "in_text": F.lit(True), "rerank": F.lit(0.5), "place": F.lit(1), "selected": F.lit(True), "reason": F.lit("selected"), "owner_id": F.lit("o")}
+    pairs = cut_lineage(spark.range(50).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("chunk_id"), *[v.alias(k) for k, v in flags.items()]))
+    plain = pairs.drop("exact", "in_text", "lexical", "lexical_rank")
+    visual = pairs.select("chunk_id", "owner_id", F.col("chunk_id").alias("first_ordinal"), F.lit("v").alias("visual"), F.lit(False).alias("conflict"))
+    named = pairs.select("query_id", "owner_id").distinct()
+    joined = {
+        "candidates": R.candidates(R.rank_channels(plain, pairs), pairs, pairs),
+        "linked": A.linked_evidence(pairs, visual, named),
+    }
+    for name, df in joined.items():
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        sides = [line for line in plan.splitlines() if "Join" in line and "query_id" in line and "chunk_id" in line]
+        assert sides and all("SortMergeJoin" in line for line in sides if "LeftOuter" in line and "_kept" not in line), (name, sides)
+    assert joined["candidates"].count() == 50
+
+
+def test_a_text_is_searched_once_for_questions_with_the_same_names(spark):
+    asked = spark.createDataFrame([(i, f"Как установить {FAMILY}?") for i in range(20)] + [(99, "ничего"), (100, f"{FAMILY} и Другая_Семья")], "query_id long, text string")
+    rows = [("named", f"Инструкция: {FAMILY} рядом"), ("silent", "Без имени"), ("other", "Другая_Семья стоит"), ("named", "копия без имени")]
+    owner = {"other": ["Другая_Семья"]}
+    chunks = spark.createDataFrame([(k, t, owner.get(k, [FAMILY])) for k, t in rows], "chunk_id string, text string, family_names array<string>")
+    found = R.exact_entity_match(asked, chunks)
+    got = sorted((r.query_id, r.chunk_id, r.in_text) for r in found.collect())
+    each = [("named", False), ("named", True), ("silent", False)]
+    assert got == sorted([(i, *e) for i in [*range(20), 100] for e in each] + [(100, "other", True)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    before = plan[plan.index("regexp") if "regexp" in plan else plan.index("RLIKE"):]
+    assert "Aggregate [chunk_id" in before  # the search stands above the distinct chunks and names
