@@ -127,3 +127,17 @@ def test_questions_with_many_pairs_rank_all_their_chunks(spark, monkeypatch):
     whole = {tuple(r) for r in dense_ranks(queries, chunks, wanted, held).collect()}
     assert len(plain) == 905 and whole == plain
     assert ["query_id", "embedding"] in met  # without the lists of pairs
+
+
+def test_a_question_travels_once_per_lot_of_tiles(spark, sides, monkeypatch):
+    monkeypatch.setattr(dense, "LOTS", 2)
+    made, plain = [], dense._lots
+    monkeypatch.setattr(dense, "_lots", lambda queries, rings, per, choose: made.append((plain(queries, rings, per, choose), per)) or made[-1][0])
+    q, c = frames(spark, *sides)
+    held = tiles(c, tile_rows=50)
+    found = search(q, held, 10)[0].collect()
+    assert {(r.query_id, r.chunk_id): (r.similarity, r["rank"]) for r in found} == {
+        (k, i): (s, n + 1) for k, hits in product(*sides).items() for n, (i, s) in enumerate(hits[:10])}
+    sent, per = made[0]
+    rows, slots = sent.count(), sent.selectExpr("sum(size(_slots))").first()[0]
+    assert per > 1 and rows == sent.select("query_id", "_lot").distinct().count() and slots >= rows
