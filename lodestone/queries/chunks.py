@@ -11,7 +11,7 @@ from lodestone.queries.corpus import OWNED
 from lodestone.queries.entities import CARDS, classified, owned
 from lodestone.queries.text import LINE_BLOCKS
 from lodestone.registry import query
-from lodestone.session import table
+from lodestone.session import cut_lineage, table
 from lodestone.sources.blocks import blocks_from_lines
 
 PIECE = r"\s*(?:[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])"
@@ -94,8 +94,8 @@ def chunk_rollup(spark, d):
     return C.chunk_rollup(spans, ["doc_id", "window"])
 
 
-def packs(spark, d, size):
-    grouped = C.pack_texts(C.pack_blocks(line_blocks(spark, d), ["doc_id"], size), ["doc_id"])
+def packs(sizes, size):
+    grouped = C.pack_texts(C.pack_blocks(sizes, ["doc_id"], size), ["doc_id"])
     return grouped.select("doc_id", F.col("pack").cast("string").alias("chunk_id"), "block_ordinals")
 
 
@@ -108,7 +108,9 @@ p AS (SELECT doc_id, min(ordinal) AS chunk, list(ordinal ORDER BY ordinal) AS o
 SELECT c.doc_id, CAST(c.chunk AS VARCHAR) AS chunk_id, CAST(min(p.chunk) AS VARCHAR) AS parent_id FROM c LEFT JOIN p ON c.doc_id = p.doc_id AND list_has_all(p.o, c.o)
 GROUP BY c.doc_id, c.chunk""")
 def link_parents(spark, d):
-    return C.link_parents(packs(spark, d, 60), packs(spark, d, 150), "doc_id").select("doc_id", "chunk_id", "parent_id")
+    # Blocks are cut and counted once for both sizes; their texts have no part in which blocks a pack holds.
+    sizes = cut_lineage(line_blocks(spark, d).select("doc_id", "ordinal", "token_count"))
+    return C.link_parents(packs(sizes, 60), packs(sizes, 150), "doc_id").select("doc_id", "chunk_id", "parent_id")
 
 
 # Blocks of two lines stand beside those of the corpus: a block with the one behind it of the same owner.
