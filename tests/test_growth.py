@@ -2,7 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import search_tokens
 from lodestone.operators import chunking as C
+from lodestone.operators.dedup import near_duplicates, shingles, signatures
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
 def test_packs_of_blocks_without_texts_link_like_those_with(spark):
@@ -18,3 +24,27 @@ def test_packs_of_blocks_without_texts_link_like_those_with(spark):
 
     assert "text" not in C.pack_texts(C.pack_blocks(blocks.drop("text"), ["source"], 12), ["source"]).columns
     assert linked(blocks.drop("text")) == linked(blocks)
+
+
+def test_shingles_are_ordered_from_rare_to_common_without_a_shuffle(spark):
+    common = " ".join(f"base{i}" for i in range(20))
+    rows = [(i, f"{common} " + " ".join(f"own{i}x{j}" for j in range(20))) for i in range(40)] + [(40, None), (41, ""), (42, "one two")]
+    docs = spark.createDataFrame(rows, "id int, text string").withColumn("t", search_tokens(F.col("text")))
+    signed = signatures(docs, "id", "t")
+    assert shuffles(signed) == 0
+    plain = {r.id: r.s for r in docs.select("id", shingles(F.col("t")).alias("s")).collect()}
+    found = {r.id: r["_sh"] for r in signed.collect()}
+    often = set.intersection(*[set(plain[i]) for i in range(40)])
+    assert len(often) == 18 and all(sorted(found[i]) == sorted(plain[i] or []) for i in range(43))
+    assert all(set(found[i][-18:]) == often for i in range(40))
+    tails = {tuple(found[i][-18:]) for i in range(40)}
+    assert len(tails) == 1
+
+
+def test_near_duplicates_by_heads_of_sets(spark):
+    words = [f"word{a}{b}" for a in "bcdfgh" for b in "klmnprstvz"]
+    texts = {1: words, 2: words[:-1], 3: words[::-1], 4: words, 5: words[:30], 6: words[:-2] + ["zeta", "theta"], 7: ["7", *words], 8: words[:5]}
+    docs = spark.createDataFrame([(i, "en", " ".join(t)) for i, t in texts.items()], "id int, lang string, text string")
+    signed = signatures(docs.withColumn("t", search_tokens(F.col("text"))), "id", "t")
+    out = {r.id: r.duplicate for r in near_duplicates(docs, ["lang"], "id", [], signed).collect()}
+    assert out == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
