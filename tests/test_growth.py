@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_tokens
+from lodestone.functions.vectors import hashing_slots, hashing_vectors
 from lodestone.operators import chunking as C
 from lodestone.operators.dedup import near_duplicates, shingles, signatures
 
@@ -48,3 +49,13 @@ def test_near_duplicates_by_heads_of_sets(spark):
     signed = signatures(docs.withColumn("t", search_tokens(F.col("text"))), "id", "t")
     out = {r.id: r.duplicate for r in near_duplicates(docs, ["lang"], "id", [], signed).collect()}
     assert out == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
+
+
+def test_vectors_travel_once_and_equal_the_slots(spark):
+    rows = [(1, "alpha beta beta part_of_it"), (2, ""), (3, None), (4, "ёлка елка " * 30)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    vectors = hashing_vectors(texts, "id", F.col("text"))
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    slots = {(r.id, r.slot): r.n for r in hashing_slots(texts, "id", F.col("text")).collect()}
+    found = {r.id: r.embedding for r in vectors.collect()}
+    assert found == {i: [float(slots.get((i, s), 0)) for s in range(64)] for i, _ in rows}
