@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_tokens
 from lodestone.functions.vectors import hashing_slots, hashing_vectors
-from lodestone.operators import chunking as C
+from lodestone.operators import chunking as C, context as A
 from lodestone.operators.dedup import near_duplicates, shingles, signatures
 
 
@@ -59,3 +59,19 @@ def test_vectors_travel_once_and_equal_the_slots(spark):
     slots = {(r.id, r.slot): r.n for r in hashing_slots(texts, "id", F.col("text")).collect()}
     found = {r.id: r.embedding for r in vectors.collect()}
     assert found == {i: [float(slots.get((i, s), 0)) for s in range(64)] for i, _ in rows}
+
+
+def test_a_question_reads_texts_up_to_its_first_fits(spark, monkeypatch):
+    filler = "plain words without the wanted ones " * 100
+    rows = [("q", f"c{i:03}", i, i < 2, "selected" if i < 2 else "family_limit", f"g{i}", False, f"{filler} c{i}", "s", "wanted words") for i in range(300)]
+    rows += [("r", f"c{i:03}", i, True, "selected", "g", False, filler if i < 20 else "short", "s " * 200 if i < 20 else "s", "wanted words") for i in range(30)]
+    hits = spark.createDataFrame(rows, "query_id string, chunk_id string, place int, selected boolean, reason string, group_key string, exact boolean, text string, section string, question string")
+    cut, read = A.best_excerpt, []
+    monkeypatch.setattr(A, "best_excerpt", lambda pairs, *a, **b: read.append(pairs.count()) or cut(pairs, *a, **b))
+    got = {(r.query_id, r.chunk_id): r.verdict for r in A.pack_local(hits, 160, 3).collect()}
+    assert sum(read) <= 60
+    apart = A.pack_local(hits.withColumn("chunk_id", F.concat("query_id", "chunk_id")).drop("text"), 160, 3, texts=hits.select(F.concat("query_id", "chunk_id").alias("chunk_id"), "text"))
+    assert {(r.query_id, r.chunk_id[1:]): r.verdict for r in apart.collect()} == got
+    assert got["q", "c000"] == "selected_excerpt" and all(got["q", f"c{i:03}"] != "selected" for i in range(300))
+    assert all(got["r", f"c{i:03}"] == "token_budget" for i in range(20)) and got["r", "c020"] == got["r", "c021"] == "selected"
+    assert all(got["r", f"c{i:03}"] == "family_limit" for i in range(22, 30))
