@@ -15,33 +15,51 @@ from lodestone.operators.tasks import STATES, epoch_seconds, transition
 from lodestone.session import sized
 
 
+BUCKETS = 4096
+
+
 class _RateWindows(StatefulProcessor):
+    """Windows of a bucket of keys: a call, a frame, a timer and a state row serve many keys, since each costs milliseconds."""
+
     def __init__(self, limit: int, window: int):
         self.limit, self.window = limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "began long, used int")
+        self.open = handle.getValueState("open", "json string")
+
+    def _opened(self) -> dict:
+        return {k: (began, used) for k, began, used in json.loads(self.open.get()[0])} if self.open.exists() else {}
+
+    def _keep(self, opened: dict, timerValues) -> None:
+        # A row that is not late is at least a window newer than a closed one, so it would open a new one anyway.
+        now = timerValues.getCurrentWatermarkInMs()
+        left = [(k, began, used) for k, (began, used) in opened.items() if (began + self.window) * 1000 > now]
+        if left:
+            self.open.update((json.dumps(left),))
+            self.handle.registerTimer((min(began for _, began, _ in left) + self.window) * 1000)
+        elif self.open.exists():
+            self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        began, used = tuple(self.open.get()) if self.open.exists() else (None, 0)
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        opened = self._opened()
+        pdf = pd.concat(list(rows)).sort_values(["ts", "missing", "event_id"])
         out = []
-        for event, second in zip(pdf["event_id"], pdf["second"]):
+        for name, second in zip(pdf["key"].tolist(), pdf["second"].tolist()):
+            began, used = opened.get(name, (None, 0))
             if began is None or second - began >= self.window:
                 began, used = int(second), 0
-                self.handle.registerTimer((began + self.window) * 1000)
             allowed = used < self.limit
-            used += allowed
-            out.append((key[0], event, began, allowed, None if allowed else max(1, self.window - (int(second) - began))))
-        self.open.update((began, used))
-        frame = pd.DataFrame(out, columns=["key", "event_id", "window_start", "allowed", "retry_after"])
-        yield frame.astype({"retry_after": "Int64"})
+            opened[name] = began, used + allowed
+            out.append((began, allowed, None if allowed else max(1, self.window - (int(second) - began))))
+        self._keep(opened, timerValues)
+        frame = pd.DataFrame(out, columns=["window_start", "allowed", "retry_after"], index=pdf.index).astype({"retry_after": "Int64"})
+        for name in ("missing", "event_id", "key"):
+            frame.insert(0, name, pdf[name])
+        yield frame
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A row that is not late is at least a window newer than this one, so it would open a new one anyway.
-        if self.open.exists() and (self.open.get()[0] + self.window) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
+        self._keep(self._opened(), timerValues)
         yield pd.DataFrame()
 
     def close(self) -> None:
@@ -51,22 +69,30 @@ class _RateWindows(StatefulProcessor):
 READ, DECIDED = "rate_rows_read", "rate_rows_decided"
 
 
-def rate_limit_stream(events: DataFrame, key: str, limit: int = 6, window: int = 60) -> DataFrame:
+def rate_limit_stream(events: DataFrame, key: str, limit: int = 6, window: int = 60, buckets: int = BUCKETS) -> DataFrame:
     """Rate windows over event time: events (key, ts, event_id) sorted within a micro-batch, later rows dropped.
 
-    The watermark trails by one window; closed windows leave the state by timer, so a key without open window has none.
+    The watermark trails by one window; closed windows leave the state with the next rows or by timer. State is kept per
+    bucket of keys, so ``buckets`` is fixed for the life of a checkpoint.
     The observed metrics READ and DECIDED count rows on both sides; their difference is the number of late rows.
     """
-    rows = events.select(F.col(key).alias("key"), "ts", "event_id", epoch_seconds(events, "ts").alias("second"))
+    types = {f.name: f.dataType for f in events.schema.fields}
+    # Keys go by their text, and numbers without nulls: pandas would make floats of whole numbers beside a null.
+    whole = isinstance(types["event_id"], T.IntegralType)
+    rows = events.select(
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("key"), "ts",
+        (F.coalesce("event_id", F.lit(0).cast(types["event_id"])) if whole else F.col("event_id")).alias("event_id"),
+        F.isnull("event_id").alias("missing"), epoch_seconds(events, "ts").alias("second"))
     rows = rows.withColumn("at", F.timestamp_seconds("second")).observe(READ, F.count(F.lit(1)).alias("n"))
-    types = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([
-        T.StructField("key", types["key"]), T.StructField("event_id", types["event_id"]), T.StructField("window_start", T.LongType()),
-        T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.LongType())])
+        T.StructField("key", T.StringType()), T.StructField("event_id", types["event_id"]), T.StructField("missing", T.BooleanType()),
+        T.StructField("window_start", T.LongType()), T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.LongType())])
     decided = (
-        rows.withWatermark("at", f"{window} seconds").groupBy("key")
+        rows.withWatermark("at", f"{window} seconds").groupBy("bucket")
         .transformWithStateInPandas(_RateWindows(limit, window), schema, "append", "EventTime")
     )
+    decided = decided.select(
+        F.col("key").cast(types[key]).alias("key"), F.when(~F.col("missing"), F.col("event_id")).alias("event_id"), "window_start", "allowed", "retry_after")
     return decided.observe(DECIDED, F.count(F.lit(1)).alias("n"))
 
 
@@ -101,9 +127,6 @@ class LateCount(StreamingQueryListener):
         pass
 
 
-BUCKETS = 4096
-
-
 class _TaskSaves(StatefulProcessor):
     """Saves of a bucket of tasks: a call, a frame and a state row serve many tasks, since each of them costs milliseconds."""
 

@@ -355,3 +355,34 @@ def test_properties_are_dealt_by_rows(spark, monkeypatch):
     assert len(got) == 200
     assert got[0] == ("instance", "ok", "t0") and got[2] == ("instance", "missing", None) and got[5] == ("instance", "ok", "t5") and got[1] == ("type", "ok", "t-2")
     assert "RoundRobinPartitioning(20)" in out._jdf.queryExecution().toString()
+
+
+def test_rate_windows_of_many_keys_share_state_rows(spark, tmp_path):
+    from lodestone.operators.tasks import rate_limit
+    from lodestone.streaming.stateful import LateCount, rate_limit_stream
+    from lodestone.streaming.common import use_rocksdb
+
+    class Kept(LateCount):
+        rows = []
+
+        def onQueryProgress(self, event):
+            self.rows += [op.numRowsTotal for op in event.progress.stateOperators]
+
+    at = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc)
+    rows = [(None if k == 5 else k, at(s + k % 7), k * 100 + s) for k in range(60) for s in (0, 1, 2, 59, 61, 130)] + [(7, at(300), None)]
+    events = spark.createDataFrame(rows, "user long, ts timestamp, event_id int")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    use_rocksdb(spark)
+    counter = Kept()
+    spark.streams.addListener(counter)
+    out = drain(rate_limit_stream(file_stream(spark, str(tmp_path / "in"), "*.parquet"), "user", 2, 60, buckets=4), name="many")
+    got = sorted(map(tuple, out.select("key", "event_id", "window_start", "allowed", "retry_after").collect()), key=str)
+    wait = time.time() + 20
+    while not counter.rows and time.time() < wait:
+        time.sleep(0.2)
+    spark.streams.removeListener(counter)
+    assert counter.rows and max(counter.rows) <= 16  # four buckets with their timers, not sixty keys
+    want = rate_limit(events.filter("event_id IS NOT NULL AND user IS NOT NULL"), "user", "ts", "event_id", 2, 60)
+    want = {tuple(r) for r in want.select("user", "event_id", "window_start", "allowed", "retry_after").collect()}
+    assert {r for r in got if r[0] is not None and r[1] is not None} == want and len(got) == len(rows)
+    assert (7, None, 1_700_000_300, True, None) in got and sum(r[0] is None for r in got) == 6
