@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_tokens
 from lodestone.functions.vectors import hashing_slots, hashing_vectors
-from lodestone.operators import chunking as C, context as A
+from lodestone.operators import chunking as C, context as A, dedup, lexical as L, retrieval as R, scoring
 from lodestone.operators.dedup import near_duplicates, shingles, signatures
+from lodestone.session import cut_lineage
 
 
 def shuffles(df) -> int:
@@ -75,3 +76,61 @@ def test_a_question_reads_texts_up_to_its_first_fits(spark, monkeypatch):
     assert got["q", "c000"] == "selected_excerpt" and all(got["q", f"c{i:03}"] != "selected" for i in range(300))
     assert all(got["r", f"c{i:03}"] == "token_budget" for i in range(20)) and got["r", "c020"] == got["r", "c021"] == "selected"
     assert all(got["r", f"c{i:03}"] == "family_limit" for i in range(22, 30))
+
+
+def test_passages_are_cut_once_for_all_questions(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "h", f"word{i} " * (350 + i)) for i in range(5)] + [(9, "h", " ")], "chunk_id int, heading string, text string")
+    pairs = spark.createDataFrame([(q, c, f"asks {q}") for q in "abcdefgh" for c in (0, 1, 2, 3, 4, 9)], "query_id string, chunk_id int, question string")
+    cut, read = scoring.passages, []
+    monkeypatch.setattr(scoring, "passages", lambda rows, *a, **b: read.append(rows.count()) or cut(rows, *a, **b))
+
+    def scorer(question, found):
+        if question == "asks c":
+            raise TimeoutError("down")
+        return [float(len(question) + len(t)) for t in found]
+
+    def ranked(cands, **more):
+        return sorted(map(tuple, scoring.rerank(cands, scorer, "m", **more).select("query_id", "chunk_id", "rerank", "passage", "mode", "_error").collect()), key=str)
+
+    apart = ranked(pairs, texts=texts)
+    assert read == [6] and len(apart) == 48 and apart == ranked(pairs.join(texts, "chunk_id"))
+
+
+def test_scores_are_ordered_where_wanted_only_and_rank_as_among_all(spark, monkeypatch):
+    rows = [(q, c, round(((c * 7919 + q * 31) % 1000) / 50, 6)) for q in range(4) for c in range(1500)]
+    scores = cut_lineage(spark.createDataFrame(rows, "query_id int, chunk_id int, lexical double"))
+    wanted = scores.filter("(query_id < 3 AND chunk_id % 400 = 3) OR (query_id = 3)").select("query_id", "chunk_id")
+    monkeypatch.setattr(R, "WHOLE", 1000)
+    plain = {(r.query_id, r.chunk_id): (r.lexical, r.lexical_rank) for r in R.lexical_ranks(scores).collect()}
+    got = {(r.query_id, r.chunk_id): (r.lexical, r.lexical_rank) for r in R.ranked_words(scores, wanted).collect()}
+    assert got.items() <= plain.items() and len(got) < 3000
+    best = {k for k, v in plain.items() if v[1] <= 40} | {(r.query_id, r.chunk_id) for r in wanted.collect()}
+    assert best & set(plain) <= set(got)
+
+
+def test_only_asked_terms_are_kept_and_places_stay(spark):
+    terms = spark.createDataFrame([(1, "alpha"), (1, "gamma"), (2, "alpha")], "query_id int, term string")
+    rows = [(1, ["alpha", "beta", "gamma", "alpha"], 4), (2, [], 0), (3, None, None), (4, ["beta"], 1)]
+    tokens = spark.createDataFrame(rows, "chunk_id int, tokens array<string>, length int")
+    kept = {r.chunk_id: (r.tokens, r.length) for r in L.asked_tokens(tokens, terms).collect()}
+    assert kept == {1: (["alpha", "gamma", "alpha"], 4), 2: ([], 0), 3: (None, None), 4: ([], 1)}
+    placed = {r.chunk_id: r.tokens for r in L.asked_tokens(tokens, terms, placed=True).collect()}
+    assert placed == {1: ["alpha", None, "gamma", "alpha"], 2: [], 3: None, 4: [None]}
+
+
+def test_texts_of_many_groups_are_compared_once(spark, monkeypatch):
+    words = [f"word{a}{b}" for a in "bcdfgh" for b in "klmnprstvz"]
+    docs = spark.createDataFrame([(i, " ".join([*words[i % 2 :], f"own{chr(97 + i)}x"])) for i in range(10)], "id int, text string").withColumn("t", search_tokens(F.col("text")))
+    write, sets = dedup.cut_lineage, []
+
+    def seen(df):
+        out = write(df)
+        sets.extend([out.count()] if "_sh" in df.columns else [])
+        return out
+
+    monkeypatch.setattr(dedup, "cut_lineage", seen)
+    signed = signatures(docs, "id", "t")
+    assert not sets
+    rows = docs.select("id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("q"))
+    out = near_duplicates(rows, ["q"], "id", [], signed).collect()
+    assert sets == [10] and len(out) == 80 and sum(r.duplicate for r in out) == 72
